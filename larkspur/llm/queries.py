@@ -27,16 +27,32 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(read(spark, sf_dir, "documents"), Fraction(3, 4), 5)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup_passages
+
+    return dedup_passages(read(spark, sf_dir, "documents").select("doc_id", "text"), 50)
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_topk import exact_topk
 
     return exact_topk(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity, with_fold
+
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(documents, fit_toxicity(documents, read(spark, sf_dir, "labels")))
+    return with_fold(scored).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_substring_dedup": op3_substring_dedup,
     "op8_exact_topk": op8_exact_topk,
+    "op9_toxicity": op9_toxicity,
 }
 
 OP8_SQL = """

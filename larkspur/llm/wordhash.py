@@ -61,8 +61,13 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and for each text the place of its first word (and the total at the end)."""
+    return words_with_spans(column)[:2]
+
+
+def words_with_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes, and each word's first byte and end in the column's buffer."""
     offsets, data = string_buffers(column)
-    parts, at, lo, end = [], [], int(offsets[0]), int(offsets[-1])
+    parts, at, ends, lo, end = [], [], [], int(offsets[0]), int(offsets[-1])
     while lo < end:
         hi = min(lo + CHUNK, end)
         if hi < end:  # cut behind the last space or before the last text that starts here
@@ -97,10 +102,13 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum(_BYTE[b] * power[: len(b)], out=total[1:])
         parts.append(mix((total[last + 1] - total[first]) * inverse[first]))
         at.append(first + lo)
+        ends.append(last + 1 + lo)
         lo = hi
     if not parts:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
-    return np.concatenate(parts), np.searchsorted(np.concatenate(at), offsets, side="left")
+        none = np.zeros(0, dtype=np.int64)
+        return none.astype(np.uint64), np.zeros(len(offsets), dtype=np.int64), none, none
+    first = np.concatenate(at)
+    return np.concatenate(parts), np.searchsorted(first, offsets, side="left"), first, np.concatenate(ends)
 
 
 def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
@@ -120,3 +128,29 @@ def set_digest(tokens: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         h = np.uint64(len(tokens)) * _MULT[0] + np.sum(mix(tokens ^ _MULT[1]), dtype=np.uint64) + np.sum(mix(tokens + _MULT[2]) * _MULT[3], dtype=np.uint64)
     return int(mix(np.array([h], dtype=np.uint64)).view(np.int64)[0])
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20) -> list[pa.RecordBatch]:
+    """The batch in parts whose texts have about `size` bytes, a single longer text by itself."""
+    offsets, _ = string_buffers(batch.column(column))
+    parts, lo = [], 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1)
+        parts.append(batch.slice(lo, hi - lo))
+        lo = hi
+    return parts
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word of one text."""
+    solid = ~_SPACE[data]
+    edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run words[start:end], the same wherever the run stands."""
+    power, inverse = _powers(len(words))
+    total = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * power[: len(words)], out=total[1:])
+    return mix((total[ends] - total[starts]) * inverse[np.minimum(starts, max(0, len(words) - 1))] + (ends - starts).astype(np.uint64) * _MULT[4])
