@@ -33,6 +33,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(read(spark, sf_dir, "documents").select("doc_id", "text"), 50)
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_topk import exact_topk
 
@@ -51,6 +63,8 @@ QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_quality_rules": op7_quality_rules,
     "op8_exact_topk": op8_exact_topk,
     "op9_toxicity": op9_toxicity,
 }
