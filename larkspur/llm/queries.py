@@ -33,6 +33,20 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(read(spark, sf_dir, "documents").select("doc_id", "text"), 50)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import fit_quality, score_quality, with_fold
+
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(documents, fit_quality(documents, read(spark, sf_dir, "labels")))
+    return with_fold(scored).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -59,14 +73,23 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fold(scored).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_html_extraction": op5_html_extraction,
     "op6_source_mixing": op6_source_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_topk": op8_exact_topk,
     "op9_toxicity": op9_toxicity,
+    "op10_license_scan": op10_license_scan,
 }
 
 OP8_SQL = """
