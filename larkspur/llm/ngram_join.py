@@ -8,9 +8,13 @@ whoever meets is compared in a compressed prefix tree.
 
 A token shared by k documents doesn't give k(k-1)/2 pairs.  First all are
 compared with one pivot (the least digest).  When the links found so have been
-merged, only members of different components that met under a token are
-compared.  Every pair that could link is thus either compared or already in one
-component, so the components are exact.
+merged, those in other components are compared with a second pivot, another one for each
+token.  At last members of components that are still different and met under
+a token are compared with each other, in tiles.  Every pair that could link is thus either
+compared or already in one component, so the components are exact.
+
+Before sets are sent anywhere, parity signatures (a few bits per token) bound the
+symmetric difference of a pair from below; who can't link by it is dropped.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ COUNTERS = 1 << 18
 _PART = 1024
 #: Tokens of the sets that meet a pivot in one block.
 BLOCK_TOKENS = 200_000
+#: Rows of a token in one tile of the last round.
+TILE = 4096
+#: Bits of a signature: the power of two from so many times the set's size on.
+BITS_PER_TOKEN = 4
 
 
 def ceil_div(a: int, b: int) -> int:
@@ -118,31 +126,55 @@ class Order:
         return tokens[np.argsort(self.counts[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")]
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
     words, at = word_hashes(batch.column("text"))
     for i in range(batch.num_rows):
-        yield i, shingles(words[at[i] : at[i + 1]], width)
+        yield shingles(words[at[i] : at[i + 1]], width)
+
+
+
+def signature(tokens: np.ndarray) -> bytes:
+    """Parities of the number of tokens in each of a power of two of cells."""
+    size = 64
+    while size < BITS_PER_TOKEN * len(tokens):
+        size <<= 1
+    cells = np.bincount(((tokens >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(cells.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(words: np.ndarray, size: int) -> np.ndarray:
+    """Signatures (rows of 64-bit words) with half the cells, until there are `size` words."""
+    while words.shape[-1] > size:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
+def allowed(n1, n2, t: Fraction):
+    """The greatest symmetric difference of sets that link."""
+    return n1 + n2 + 2 * (-(t.numerator * (n1 + n2)) // (t.denominator + t.numerator))
 
 
 def _nodes_and_counts(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
-            node, size, pending = [], [], []
-            for _, tokens in _sets(batch, width):
+            node, size, sig, pending = [], [], [], []
+            for tokens in _sets(batch, width):
                 node.append(set_digest(tokens) if len(tokens) else None)
+                sig.append(signature(tokens) if len(tokens) else None)
                 size.append(len(tokens))
                 pending.append(tokens)
-                if sum(map(len, pending[-1:])) > 1 << 16 or len(pending) >= 256:
+                if len(tokens) > 1 << 16 or len(pending) >= 256:
                     counts += np.bincount((np.concatenate(pending) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                     pending = []
             if pending:
                 counts += np.bincount((np.concatenate(pending) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             n = len(node)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         parts = range(0, COUNTERS, _PART)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([i // _PART for i in parts], pa.int32()), pa.array([counts[i : i + _PART].tobytes() for i in parts], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary()), pa.array([i // _PART for i in parts], pa.int32()), pa.array([counts[i : i + _PART].tobytes() for i in parts], pa.binary())], schema=schema)
 
     return run
 
@@ -158,13 +190,11 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(width: int, order, t: Fraction):
-    need = 2 * t / (1 + t)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets of this task: copies within it go once
         for batch in batches:
             out = {k: [] for k in ("token", "node", "n", "pos")}
-            for _, tokens in _sets(batch, width):
+            for tokens in _sets(batch, width):
                 n = len(tokens)
                 if not n or (digest := set_digest(tokens)) in seen:
                     continue
@@ -177,7 +207,6 @@ def _prefixes(width: int, order, t: Fraction):
             if out["token"]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out.values()], names=list(out))
 
-    assert need  # the index prefix is derived from it in _may_link
     return run
 
 
@@ -242,22 +271,123 @@ def _stars(t: Fraction):
     return run
 
 
-def _tokens_of(width: int, order):
-    """(node, tokens) of texts that a join on the id has found; a text of another set under the same id is dropped."""
-    schema = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
+def _near(t: Fraction):
+    """Of pairs a, node, n, na, sig_a, sig those that may link by their signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            most = allowed(batch.column("na").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64), t)
+            for x, y, m in zip(batch.column("sig_a"), batch.column("sig"), most, strict=True):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                size = min(len(x), len(y))
+                keep.append(bool(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum() <= m))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "node", "n", "na"])
+
+    return run
+
+
+def _tile_pairs(t: Fraction):
+    """Rows sorted by token and tile pair: pairs of different components that may link by size, place and signature.
+
+    A group has the rows of two tiles at most; a pair of rows of the same tile comes from
+    the group of that tile with itself.
+    """
+    schema = pa.schema([("a", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("na", pa.int32())])
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple]:
+        by_size: dict[int, list[tuple]] = {}
+        for row in rows:
+            by_size.setdefault(len(row[7]), []).append(row)
+        packed = {k: (np.frombuffer(b"".join(r[7] for r in v), dtype=np.uint64).reshape(len(v), -1), *(np.array([r[i] for r in v], dtype=np.int64) for i in (3, 4, 5, 6, 8))) for k, v in by_size.items()}
+        for size, (sig, node, n, pos, root, tile) in packed.items():
+            for other in (size, size // 2):
+                if other not in packed:
+                    continue
+                sig2, node2, n2, pos2, root2, tile2 = packed[other]
+                own = fold(sig, sig2.shape[1])
+                for i in range(len(node)):
+                    m = (root2 != root[i]) & _may_link(n[i], pos[i], n2, pos2, t)
+                    if rows[0][1] != rows[0][2]:
+                        m &= tile2 != tile[i]
+                    if other == size:
+                        m[: i + 1] = False
+                    at = np.flatnonzero(m)
+                    at = at[np.bitwise_count(sig2[at] ^ own[i]).sum(axis=1) <= allowed(n[i], n2[at], t)]
+                    for j in at:
+                        x, y = (int(node[i]), int(n[i])), (int(node2[j]), int(n2[j]))
+                        (a, na), (b, nb) = (x, y) if x < y else (y, x)
+                        yield a, b, nb, na
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("token", "i", "j", "node", "n", "pos", "root", "sig", "tile")
+        group: list[tuple] = []
+        out: set[tuple] = set()
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*sorted(out), strict=True)) or [(), (), (), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
         for batch in batches:
-            wanted, node, tokens = batch.column("node").to_pylist(), [], []
-            for i, found in _sets(batch, width):
-                if len(found) and set_digest(found) == wanted[i]:
-                    node.append(wanted[i])
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if group and group[0][:3] != row[:3]:
+                    out.update(pairs(group))
+                    group = []
+                    if len(out) > 50_000:
+                        yield flush()
+                group.append(row)
+        if group:
+            out.update(pairs(group))
+        yield flush()
+
+    return run
+
+
+def _tokens_of(width: int, order, wanted):
+    """(node, tokens) of the documents whose id may be wanted; of a set of this task once."""
+    schema = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in (x.filter(pa.array(wanted.value.has(x.column("key").to_numpy(zero_copy_only=False)))) for x in batches):
+            node, tokens = [], []
+            for found in _sets(batch, width):
+                if len(found) and (digest := set_digest(found)) not in seen:
+                    seen.add(digest)
+                    node.append(digest)
                     tokens.append(order.value.sort(found).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(tokens, pa.binary())], schema=schema)
 
     return run
 
 
+class Bits:
+    """A set of hashed keys, of at most MOST bits: it may hold too many, never too few."""
+
+    MOST = 1 << 24
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Bits:
+        """keys: one column of hashes (long)."""
+        size = 1 << 16
+        while size < cls.MOST and size < 16 * keys.count():
+            size <<= 1
+        bit = F.pmod(F.col(keys.columns[0]), F.lit(size))
+        rows = keys.select(F.shiftright(bit, 6).cast("int").alias("w"), (bit % 64).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).collect()
+        words = np.zeros(size // 64, dtype=np.int64)
+        for r in rows:
+            words[r["w"]] = r["bits"]
+        return cls(words)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        bit = keys & np.int64(64 * len(self.words) - 1)
+        return (self.words[bit >> 6] >> (bit & 63)) & 1 == 1
+
+
 def _compare(t: Fraction):
     num, den = t.numerator, t.denominator + t.numerator
 
@@ -285,9 +415,10 @@ class NgramJoin:
         self.t, self.width = Fraction(threshold), width
         self.docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.spark = documents.sparkSession
-        first = materialize(self.docs.mapInArrow(_nodes_and_counts(width), "doc_id long, node long, n long, part int, counts binary"), "nodes")
+        first = materialize(self.docs.mapInArrow(_nodes_and_counts(width), "doc_id long, node long, n long, sig binary, part int, counts binary"), "nodes")
         #: doc_id, node (null for an empty set), n of every row.
         self.nodes = first.where("part IS NULL").select("doc_id", "node", "n")
+        self.signatures = first.where("node IS NOT NULL AND doc_id IS NOT NULL").select("node", "sig")
         kind = "part int, counts binary"
         parts = first.where("part IS NOT NULL").select("part", "counts").mapInArrow(_add_counts, kind).repartition(16, "part").mapInArrow(_add_counts, kind).collect()
         counts = np.zeros(COUNTERS, dtype=np.int64)
@@ -301,27 +432,41 @@ class NgramJoin:
         met = materialize(
             rows.repartition(F.col("token")).sortWithinPartitions("token", "node").mapInArrow(_stars(self.t), "a long, token long, node long, n int, pos int, na int, meet boolean, more boolean"), "met"
         )
-        tested = materialize(met.where("meet").groupBy("a", "node").agg(F.max("n").alias("n")), "tested")
-        links = self._verified(tested)
+        here = met.select("node").unionByName(met.select(F.col("a").alias("node"))).distinct()
+        self.known = materialize(self.signatures.join(here, "node").groupBy("node").agg(F.first("sig").alias("sig")), "known")
+        links = self._verified(self._near(met.where("meet").groupBy("a", "node").agg(F.max("n").alias("n"), F.max("na").alias("na"))))
         roots = connected_components(links)
-        rest = met.where("more").select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rest = materialize(rest, "rest")
-        mixed = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-        rest = rest.join(mixed, "token")
-        x, y = rest.alias("x"), rest.alias("y")
+        rest = self._mixed(met.where("more").select("token", "node", "n", "pos"), roots)
+        pivot = rest.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "root"), F.xxhash64("node", "token")).alias("p"))
         num, den = self.t.numerator, self.t.denominator
-        need = F.ceil(F.expr(f"({num} * (x.n + y.n)) / {num + den}D"))
-        bound = F.expr("least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos)")
-        pairs = (
-            x.join(y, F.expr(f"x.token = y.token AND x.root <> y.root AND x.node < y.node AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)") & (bound >= need))
-            .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("node"))
-            .agg(F.max("y.n").alias("n"))
-            .join(tested.select("a", "node"), ["a", "node"], "left_anti")
-        )
+        need = F.ceil(F.expr(f"({num} * (n + p.n)) / {num + den}D"))
+        bound = F.expr("least(n - pos, p.n - p.pos) + least(pos, p.pos)")
+        star = rest.join(pivot, "token").where(F.expr(f"root <> p.root AND {den} * least(n, p.n) >= {num} * greatest(n, p.n)") & (bound >= need))
+        star = star.groupBy(F.col("p.node").alias("a"), "node").agg(F.max("n").alias("n"), F.max("p.n").alias("na"))
+        second = self._verified(self._near(star))
+        if not second.isEmpty():
+            links = materialize(links.unionByName(second), "links")
+            roots = connected_components(links)
+            rest = self._mixed(rest.select("token", "node", "n", "pos"), roots)
+        tiles = rest.groupBy("token").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
+        rest = rest.join(tiles, "token").join(self.known, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles").cast("long")).cast("int"))
+        rest = rest.select("token", "node", "n", "pos", "root", "sig", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+        rest = rest.select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "n", "pos", "root", "sig", "tile")
+        pairs = rest.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node").mapInArrow(_tile_pairs(self.t), "a long, node long, n int, na int").distinct()
         pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            return links
-        return links.unionByName(self._verified(pairs))
+        return links if pairs.isEmpty() else links.unionByName(self._verified(pairs))
+
+    def _mixed(self, rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """Rows of the tokens under which different components meet, with each row's root."""
+        rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = materialize(rows, "rest")
+        mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+        return materialize(rows.join(mixed, "token"), "mixed")
+
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """pairs: a, node, n, na.  Those that may link by their signatures."""
+        known = pairs.join(self.known, "node").join(self.known.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a")
+        return materialize(known.mapInArrow(_near(self.t), "a long, node long, n int, na int"), "near")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """pairs: a, node, n (size of node's set).  Links among them, by prefix trees in blocks of a bounded number of tokens."""
@@ -330,7 +475,9 @@ class NgramJoin:
         members = spread.unionByName(spread.select("a", F.col("a").alias("node"), "block").distinct())
         members = materialize(members, "members")
         holders = self.nodes.where("doc_id IS NOT NULL").join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        sets = self.docs.join(holders, "doc_id").select("node", "text").mapInArrow(_tokens_of(self.width, self.order), "node long, tokens binary").dropDuplicates(["node"])
+        key = F.xxhash64("doc_id").alias("key")
+        wanted = self.spark.sparkContext.broadcast(Bits.of(materialize(holders.select(key), "wanted")))
+        sets = self.docs.where("doc_id IS NOT NULL").select(key, "text").mapInArrow(_tokens_of(self.width, self.order, wanted), "node long, tokens binary").dropDuplicates(["node"])
         blocks = members.join(sets, "node").groupBy("a", "block").applyInPandas(_compare(self.t), "u long, v long")
         return materialize(blocks, "links")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -29,11 +30,17 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    Shuffle files that only this table needed go when the driver collects its
+    garbage, which is asked for here.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspur-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
