@@ -46,6 +46,6 @@ def load_completed(spark: SparkSession, path: str, schema: str, key: str = "row_
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("at"), "value")
-    lines = texts.select("file", "at", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("number", "value"))
+    lines = texts.select("file", "at", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("number", "value"))
     rows = parse_lines(lines, schema).join(lines.select("file", "at").distinct(), "file").withColumn("order", F.struct("at", "file", "number"))
     return last_write_wins(rows, key, "order").drop("file", "at", "number", "order")
