@@ -40,6 +40,12 @@ TABLE = (
     (120, 0.02, 55, 0.0, 60, 0.1, 1, 0, 1), (300, 0.0, 1, 1.0, 15, 0.0, 1, 0, 1), (2, 0.0, 1, 1.0, 1, 0.0, 1, 0, 1), (20, 0.3, 40, 0.0, 35, 0.0, 1, 0, 1),
     (5, 1.0, 44, 0.0, 31, 0.0, 1, 0, 1), (2, 1.0, 5, 1.0, 5, 1.0, 1, 1, 0), (18, 0.0, 60, 0.0, 22, 0.0, 1, 1, 0), (75, 0.0, 30, 0.0, 41, 0.0, 1, 1, 0),
     (6, 0.5, 90, 0.0, 10, 0.0, 1, 1, 0), (1, 0.0, 50, 0.0, 1, 0.0, 1, 1, 0), (33, 0.0, 4, 0.0, 15, 0.0, 1, 1, 0),
+    (10, 0.0, 1, 1.0, 110, 0.0, 0, 1, 0), (12, 0.0, 2, 1.0, 24, 0.0, 0, 1, 0), (16, 0.0, 1, 1.0, 60, 0.0, 0, 1, 0), (24, 0.0, 1, 1.0, 33, 0.0, 0, 1, 0),
+    (8, 0.0, 40, 0.0, 70, 0.0, 0, 1, 0), (45, 0.1, 30, 0.0, 90, 0.0, 0, 1, 0), (110, 0.0, 60, 0.0, 40, 0.0, 0, 1, 0), (140, 0.0, 5, 0.0, 150, 0.0, 0, 1, 0),
+    (5, 0.0, 0, 0.0, 27, 0.0, 0, 1, 0), (98, 0.0, 120, 0.0, 0, 0.0, 0, 1, 0), (15, 0.0, 140, 0.0, 26, 0.0, 1, 1, 0), (130, 0.0, 35, 0.0, 0, 0.0, 1, 1, 0), (52, 0.0, 75, 0.0, 64, 0.0, 1, 1, 0),
+    (40, 0.0, 50, 0.0, 0, 0.0, 1, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1), (60, 0.0, 20, 0.0, 4, 0.9, 1, 0, 1), (1, 0.0, 9, 0.0, 1, 1.0, 1, 0, 1), (2, 0.0, 1, 1.0, 0, 0.0, 1, 0, 1), (8, 0.0, 6, 1.0, 2, 1.0, 1, 0, 1), (4, 0.0, 30, 0.0, 6, 1.0, 1, 0, 1),
+    (70, 0.0, 40, 0.0, 0, 0.0, 0, 0, 1), (65, 0.0, 30, 0.0, 6, 1.0, 0, 0, 1), (50, 0.0, 1, 1.0, 3, 1.0, 0, 0, 1), (34, 0.0, 2, 1.0, 0, 0.0, 0, 0, 1),
+    (3, 0.0, 5, 0.0, 30, 0.0, 0, 0, 0), (6, 0.0, 20, 0.0, 4, 0.0, 0, 0, 0), (2, 0.0, 0, 0.0, 50, 0.0, 0, 0, 0), (4, 0.0, 3, 0.0, 9, 0.0, 0, 0, 0), (7, 0.0, 1, 1.0, 60, 0.0, 0, 0, 0), (5, 0.0, 44, 0.0, 0, 0.0, 0, 0, 0), (1, 0.0, 70, 0.0, 80, 0.0, 0, 0, 0),
     (45, 0.0, 9, 0.0, 60, 0.0, 0, 0, 1), (80, 0.05, 45, 0.0, 33, 0.0, 0, 0, 1), (22, 0.0, 80, 0.05, 50, 0.0, 0, 0, 1), (130, 0.0, 0, 0.0, 9, 0.0, 0, 0, 1),
     (12, 0.0, 64, 0.0, 48, 0.0, 0, 0, 1), (8, 0.0, 2, 1.0, 70, 0.0, 0, 0, 1), (5, 0.0, 55, 0.0, 61, 0.0, 0, 0, 1), (16, 0.0, 40, 0.0, 25, 0.0, 0, 0, 1),
     (4, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0), (3, 1.0, 4, 1.0, 2, 1.0, 0, 0, 0), (7, 0.9, 3, 1.0, 4, 1.0, 0, 0, 0), (30, 0.8, 8, 1.0, 25, 0.9, 0, 0, 0),

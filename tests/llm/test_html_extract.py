@@ -29,6 +29,13 @@ def test_articles():
         assert H.main_text(page(rng, parts), TREE) == "\n".join(["Título & más", *parts])
 
 
+def test_short_notice_before_a_long_article():
+    words = " ".join(["palabra"] * 110)
+    for n in range(1, 40):
+        notice = " ".join(["aviso"] * n)
+        assert H.main_text(f'<nav><a href="/">uno</a></nav><div class="ad">{notice}</div><article><h1>{words}</h1><p>{words}</article>', TREE) == f"{words}\n{words}"
+
+
 def test_without_article():
     rng = random.Random(2)
     parts = [" ".join(prose(rng, 60).split()) for _ in range(4)]
