@@ -168,7 +168,7 @@ def segment(docs: DataFrame, spec: ChunkSpec | None = None, tokenizer: Tokenizer
     dispositions, bare numbers, chapters, titles, length; then the last section is cut at annexes.
     """
     spec, tokenizer = spec or ChunkSpec(), tokenizer or WordTokenizer()
-    layers = scan(docs, patterns)
+    layers = scan(docs, patterns).persist()  # four branches read it; the scan runs once
     outer = layers.where("outer AND text <> ''").select("doc_id", F.col("level").alias("layer"), F.lit(0).alias("section_seq"), F.lit("preambulo").alias("tipo_seccion"), F.lit(None).cast("string").alias("seccion"), F.col("text").alias("content"))
     inner = layers.where("NOT outer").select("doc_id", F.col("level").alias("layer"), "text", "marks")
     inner = inner.withColumn("annex", F.array_min(F.transform(F.filter("marks", lambda m: m["kind"] == "annex"), lambda m: m["start"])))
