@@ -8,8 +8,8 @@ whoever meets is compared in a compressed prefix tree.
 
 A token shared by k documents doesn't give k(k-1)/2 pairs.  First all are
 compared with one pivot (the least digest).  When the links found so have been
-merged, those in other components are compared with a second pivot, another one for each
-token.  At last members of components that are still different and met under
+merged, those in other components are compared with further pivots, another one for each
+token and round.  At last members of components that are still different and met under
 a token are compared with each other, in tiles.  Every pair that could link is thus either
 compared or already in one component, so the components are exact.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import materialize
-from .wordhash import set_digest, shingles, word_hashes
+from .wordhash import set_digest, shingles, slices, word_hashes
 
 #: Counters of the histogram that orders the tokens: 1 MB whatever the input.
 COUNTERS = 1 << 18
@@ -41,6 +41,11 @@ BLOCK_TOKENS = 200_000
 TILE = 4096
 #: Bits of a signature: the power of two from so many times the set's size on.
 BITS_PER_TOKEN = 4
+#: Rounds with further pivots, at most, before components are compared in tiles; a round
+#: that links less than this share of the rows that it had is the last.
+PIVOT_ROUNDS, WORTH = 4, 0.005
+#: Least shared tokens of a row that go with it, so that a pair comes out under its first one only.
+FIRST_TOKENS = 64
 
 
 def ceil_div(a: int, b: int) -> int:
@@ -132,6 +137,11 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
         yield shingles(words[at[i] : at[i + 1]], width)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut to a few MB of text each."""
+    for batch in batches:
+        yield from slices(batch, size=2 << 20)
+
 
 def signature(tokens: np.ndarray) -> bytes:
     """Parities of the number of tokens in each of a power of two of cells."""
@@ -158,8 +168,8 @@ def allowed(n1, n2, t: Fraction):
 def _nodes_and_counts(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
-        for batch in batches:
+        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+        for batch in _parts(batches):
             node, size, sig, pending = [], [], [], []
             for tokens in _sets(batch, width):
                 node.append(set_digest(tokens) if len(tokens) else None)
@@ -172,9 +182,9 @@ def _nodes_and_counts(width: int):
             if pending:
                 counts += np.bincount((np.concatenate(pending) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             n = len(node)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         parts = range(0, COUNTERS, _PART)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary()), pa.array([i // _PART for i in parts], pa.int32()), pa.array([counts[i : i + _PART].tobytes() for i in parts], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary()), pa.array([i // _PART for i in parts], pa.int32()), pa.array([counts[i : i + _PART].tobytes() for i in parts], pa.binary())], schema=schema)
 
     return run
 
@@ -192,7 +202,7 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(width: int, order, t: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets of this task: copies within it go once
-        for batch in batches:
+        for batch in _parts(batches):
             out = {k: [] for k in ("token", "node", "n", "pos")}
             for tokens in _sets(batch, width):
                 n = len(tokens)
@@ -296,6 +306,8 @@ def _tile_pairs(t: Fraction):
     schema = pa.schema([("a", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("na", pa.int32())])
 
     def pairs(rows: list[tuple]) -> Iterator[tuple]:
+        token = rows[0][0]
+        before = {r[3]: {x for x in r[9] if x < token} for r in rows}
         by_size: dict[int, list[tuple]] = {}
         for row in rows:
             by_size.setdefault(len(row[7]), []).append(row)
@@ -314,13 +326,16 @@ def _tile_pairs(t: Fraction):
                         m[: i + 1] = False
                     at = np.flatnonzero(m)
                     at = at[np.bitwise_count(sig2[at] ^ own[i]).sum(axis=1) <= allowed(n[i], n2[at], t)]
+                    mine = before[int(node[i])]
                     for j in at:
+                        if not mine.isdisjoint(before[int(node2[j])]):
+                            continue  # it comes out under a lesser token
                         x, y = (int(node[i]), int(n[i])), (int(node2[j]), int(n2[j]))
                         (a, na), (b, nb) = (x, y) if x < y else (y, x)
                         yield a, b, nb, na
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("token", "i", "j", "node", "n", "pos", "root", "sig", "tile")
+        names = ("token", "i", "j", "node", "n", "pos", "root", "sig", "tile", "firsts")
         group: list[tuple] = []
         out: set[tuple] = set()
 
@@ -350,7 +365,7 @@ def _tokens_of(width: int, order, wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in (x.filter(pa.array(wanted.value.has(x.column("key").to_numpy(zero_copy_only=False)))) for x in batches):
+        for batch in _parts(x.filter(pa.array(wanted.value.has(x.column("key").to_numpy(zero_copy_only=False)))) for x in batches):
             node, tokens = [], []
             for found in _sets(batch, width):
                 if len(found) and (digest := set_digest(found)) not in seen:
@@ -413,11 +428,11 @@ class NgramJoin:
 
     def __init__(self, documents: DataFrame, threshold: Fraction = Fraction(3, 4), width: int = 5) -> None:
         self.t, self.width = Fraction(threshold), width
-        self.docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("key"))
         self.spark = documents.sparkSession
-        first = materialize(self.docs.mapInArrow(_nodes_and_counts(width), "doc_id long, node long, n long, sig binary, part int, counts binary"), "nodes")
-        #: doc_id, node (null for an empty set), n of every row.
-        self.nodes = first.where("part IS NULL").select("doc_id", "node", "n")
+        first = materialize(self.docs.mapInArrow(_nodes_and_counts(width), "doc_id long, key long, node long, n long, sig binary, part int, counts binary"), "nodes")
+        #: doc_id, key (a hash of the text), node (null for an empty set), n of every row.
+        self.nodes = first.where("part IS NULL").select("doc_id", "key", "node", "n")
         self.signatures = first.where("node IS NOT NULL AND doc_id IS NOT NULL").select("node", "sig")
         kind = "part int, counts binary"
         parts = first.where("part IS NOT NULL").select("part", "counts").mapInArrow(_add_counts, kind).repartition(16, "part").mapInArrow(_add_counts, kind).collect()
@@ -437,21 +452,28 @@ class NgramJoin:
         links = self._verified(self._near(met.where("meet").groupBy("a", "node").agg(F.max("n").alias("n"), F.max("na").alias("na"))))
         roots = connected_components(links)
         rest = self._mixed(met.where("more").select("token", "node", "n", "pos"), roots)
-        pivot = rest.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "root"), F.xxhash64("node", "token")).alias("p"))
         num, den = self.t.numerator, self.t.denominator
         need = F.ceil(F.expr(f"({num} * (n + p.n)) / {num + den}D"))
         bound = F.expr("least(n - pos, p.n - p.pos) + least(pos, p.pos)")
-        star = rest.join(pivot, "token").where(F.expr(f"root <> p.root AND {den} * least(n, p.n) >= {num} * greatest(n, p.n)") & (bound >= need))
-        star = star.groupBy(F.col("p.node").alias("a"), "node").agg(F.max("n").alias("n"), F.max("p.n").alias("na"))
-        second = self._verified(self._near(star))
-        if not second.isEmpty():
-            links = materialize(links.unionByName(second), "links")
+        for turn in range(PIVOT_ROUNDS):
+            pivot = rest.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "root"), F.xxhash64("node", "token", F.lit(turn))).alias("p"))
+            star = rest.join(pivot, "token").where(F.expr(f"root <> p.root AND {den} * least(n, p.n) >= {num} * greatest(n, p.n)") & (bound >= need))
+            star = star.groupBy(F.col("p.node").alias("a"), "node").agg(F.max("n").alias("n"), F.max("p.n").alias("na"))
+            further = self._verified(self._near(star))
+            found = further.count()
+            if not found:
+                break
+            links = materialize(links.unionByName(further), "links")
             roots = connected_components(links)
+            size = rest.count()
             rest = self._mixed(rest.select("token", "node", "n", "pos"), roots)
+            if found < WORTH * size:
+                break
         tiles = rest.groupBy("token").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
-        rest = rest.join(tiles, "token").join(self.known, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles").cast("long")).cast("int"))
-        rest = rest.select("token", "node", "n", "pos", "root", "sig", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-        rest = rest.select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "n", "pos", "root", "sig", "tile")
+        firsts = rest.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("token")), 1, FIRST_TOKENS).alias("firsts"))
+        rest = rest.join(tiles, "token").join(self.known.join(firsts, "node"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles").cast("long")).cast("int"))
+        rest = rest.select("token", "node", "n", "pos", "root", "sig", "tile", "firsts", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+        rest = rest.select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "n", "pos", "root", "sig", "tile", "firsts")
         pairs = rest.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node").mapInArrow(_tile_pairs(self.t), "a long, node long, n int, na int").distinct()
         pairs = materialize(pairs, "pairs")
         return links if pairs.isEmpty() else links.unionByName(self._verified(pairs))
@@ -482,24 +504,25 @@ class NgramJoin:
         return materialize(blocks, "links")
 
     def classes(self) -> DataFrame:
-        """doc_id, n_shingles, component_id (least doc_id of the class) of every row."""
+        """doc_id, key, n_shingles, component_id (least doc_id of the class) of every row."""
         roots = connected_components(self.links())
-        docs = self.nodes.join(roots, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
+        docs = self.nodes.join(roots, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
         docs = materialize(docs, "docs")
         least = docs.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        linked = docs.where("root IS NOT NULL AND doc_id IS NOT NULL").join(least, "root").select("doc_id", "n_shingles", "component_id")
-        return linked.unionByName(docs.where("root IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        linked = docs.where("root IS NOT NULL AND doc_id IS NOT NULL").join(least, "root").select("doc_id", "key", "n_shingles", "component_id")
+        return linked.unionByName(docs.where("root IS NULL OR doc_id IS NULL").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def near_duplicate_classes(documents: DataFrame, threshold: Fraction = Fraction(3, 4), width: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.  See NgramJoin for nulls, empties and repeats."""
-    return NgramJoin(documents, threshold, width).classes()
+    return NgramJoin(documents, threshold, width).classes().drop("key")
 
 
 def drop_near_duplicates(documents: DataFrame, threshold: Fraction = Fraction(3, 4), width: int = 5) -> DataFrame:
     """documents without all but the least doc_id of each class; columns as they are.
 
-    Rows that repeat a kept doc_id stay together; rows without doc_id stay.
+    Rows that repeat a kept doc_id and text all stay; rows without doc_id stay.
     """
-    gone = near_duplicate_classes(documents, threshold, width).where("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+    gone = NgramJoin(documents, threshold, width).classes().where("doc_id <> component_id").select("doc_id", F.col("key").alias("__key")).distinct()
+    keyed = documents.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+    return keyed.join(gone, ["doc_id", "__key"], "left_anti").select(*documents.columns)
