@@ -14,6 +14,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import with_results
+
 #: Longer texts are cut before they are encoded.
 PIECE_CHARS = 100_000
 #: Between a letter and a space that a letter follows, or a letter and a line end that a character other
@@ -55,10 +57,10 @@ def decode(ids: list[int], rank_file: str, pattern: str) -> bytes:
     return _encoding(rank_file, pattern).decode_bytes(ids)
 
 
-def _run(rank_file: str, pattern: str, keep: list[str], with_ids: bool):
+def _run(rank_file: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("__text")
+            texts = batch.column("text")
             for lo in range(0, batch.num_rows, 256):
                 part, n, ids_hash, bytes_hash, ids_out = batch.slice(lo, 256), [], [], [], []
                 for text in texts.slice(lo, 256):
@@ -68,8 +70,8 @@ def _run(rank_file: str, pattern: str, keep: list[str], with_ids: bool):
                     bytes_hash.append(hashlib.sha256(decode(ids, rank_file, pattern)).hexdigest())
                     if with_ids:
                         ids_out.append(ids)
-                columns = [part.column(c) for c in keep] + [pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(bytes_hash, pa.string())]
-                names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
+                columns = [part.column("row"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(bytes_hash, pa.string())]
+                names = ["row", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     columns.append(pa.array(ids_out, pa.list_(pa.int32())))
                     names.append("token_ids")
@@ -86,10 +88,8 @@ def encode_documents(documents: DataFrame, rank_file: str, pattern: str, text: s
     repeat as they come; other columns are dropped.  rank_file must be readable
     on every executor under the same path; the text itself never needs a file.
     """
-    frame = documents.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name != "__text")
-    schema += ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
-    return frame.mapInArrow(_run(rank_file, pattern, list(keep), ids), schema)
+    more = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
+    return with_results(documents, keep, {"text": F.col(text).cast("string")}, _run(rank_file, pattern, ids), more)
 
 
 def decode_documents(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "token_ids") -> DataFrame:

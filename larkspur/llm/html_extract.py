@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import with_results
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
 #: Elements whose content isn't text of the page (fixed values).
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button title head".split())
@@ -192,13 +194,13 @@ def main_text(page: str, tree: Tree) -> str:
     return "\n".join(b.text for b, p in zip(found, tree.predict(features(found)), strict=True) if p >= 0.5)
 
 
-def _run(keep: list[str], tree: Tree):
+def _run(tree: Tree):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                texts = [main_text(x.as_py() or "", tree) for x in part.column("__html")]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*keep, "text", "n_chars"])
+                texts = [main_text(x.as_py() or "", tree) for x in part.column("html")]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["row", "text", "n_chars"])
 
     return run
 
@@ -210,6 +212,4 @@ def extract_pages(pages: DataFrame, page: str = "html", keep: tuple[str, ...] =
     and one without text blocks, gives an empty text.  Broken markup is taken as
     far as it goes: what isn't closed ends with its container or the page.  Rows repeat as they come.
     """
-    frame = pages.select(*keep, F.col(page).cast("string").alias("__html"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name != "__html")
-    return frame.mapInArrow(_run(list(keep), tree or train()), schema + ", text string, n_chars long")
+    return with_results(pages, keep, {"html": F.col(page).cast("string")}, _run(tree or train()), "text string, n_chars long")

@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import with_results
+
 #: Wordings by which licenses are stated (fixed values; further ones are a parameter).
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -120,15 +122,15 @@ class Scanner:
 _FOUND = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("saved", pa.int64()), ("differences", pa.list_(pa.string()))]))
 
 
-def _run(keep: list[str], templates: dict[str, str] | None, differences: float):
+def _run(templates: dict[str, str] | None, differences: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, differences)
         for batch in batches:
-            texts = batch.column("__text")
+            texts = batch.column("text")
             maybe = pc.fill_null(pc.match_substring_regex(texts, CUE, ignore_case=True), False).to_pylist()
             out = [scanner.scan(texts[i].as_py()) if maybe[i] else [] for i in range(batch.num_rows)]
             names = [sorted({x["license"].removesuffix("-text") for x in found}) for found in out]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(names, pa.list_(pa.string())), pa.array(out, _FOUND)], names=[*keep, "licenses", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.list_(pa.string())), pa.array(out, _FOUND)], names=["row", "licenses", "found"])
 
     return run
 
@@ -140,6 +142,5 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None,
     templates the one with fewer differences, more bytes saved, then the lesser
     name wins.  Rows repeat as they come; other columns are dropped.
     """
-    frame = documents.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name != "__text")
-    return frame.mapInArrow(_run(list(keep), templates, differences), schema + ", licenses array<string>, found array<struct<license: string, start: bigint, end: bigint, saved: bigint, differences: array<string>>>")
+    more = "licenses array<string>, found array<struct<license: string, start: bigint, end: bigint, saved: bigint, differences: array<string>>>"
+    return with_results(documents, keep, {"text": F.col("text").cast("string")}, _run(templates, differences), more)

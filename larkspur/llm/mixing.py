@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, named, part_of
 
 LEVELS = ("domain", "lang", "source")
 WORDS = r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"
@@ -40,10 +40,17 @@ class Mix:
     domain: str = r"coalesce(concat('d', pmod(cast(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') as int), 4)), 'other')"
 
 
-def _leaves(documents: DataFrame, mix: Mix) -> DataFrame:
+def _leaves(documents: DataFrame, mix: Mix, keep: list[str] | None = None) -> DataFrame:
+    """The leaf and tokens of each row; keep: its columns, as one struct, so that no name of theirs can clash."""
+    row = [] if keep is None else [F.struct(*named(keep)).alias("__row")]
     return documents.select(
-        "*", F.expr(mix.domain).alias("__domain"), F.coalesce("lang", F.lit("?")).alias("__lang"), F.coalesce("source", F.lit("?")).alias("__source"), F.coalesce(F.expr(mix.tokens), F.lit(0)).cast("long").alias("__tokens")
-    )
+        *row, F.expr(mix.domain).alias("__domain"), F.coalesce("lang", F.lit("?")).alias("__lang"), F.coalesce("source", F.lit("?")).alias("__source"), F.coalesce(F.expr(mix.tokens), F.lit(0)).cast("long").alias("__tokens"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"),
+    )
+
+
+def _order(mix: Mix) -> F.Column:
+    return F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("whole").cast("string"), F.col("__id")).cast("binary"))
 
 
 def _weight(path: list[str], mix: Mix) -> F.Column:
@@ -63,11 +70,12 @@ def share_out(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     w = Window.partitionBy(*parent).orderBy(F.col("cap") / F.col("w"), *[c for c in children.columns if c.startswith("__")])
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     from_here = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = children.withColumn("level", (F.col("grant") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(from_here))
+    level = children.withColumn("level", (F.col("grant") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(from_here)).withColumn("place", F.row_number().over(w))
     full = F.col("cap") / F.col("w") <= F.col("level")
     # of the children in order of cap/w, the first that isn't full sets the level of all behind it
-    level = level.withColumn("level", F.min(F.when(~full, F.struct(F.col("cap") / F.col("w"), F.col("level")))).over(Window.partitionBy(*parent))["level"]).withColumn("full", F.col("level").isNull() | (F.col("cap") / F.col("w") <= F.col("level")))
-    return level.withColumn(name, F.when(F.col("full"), F.col("cap")).otherwise(F.floor(F.col("w") * F.col("level"))).cast("long")).drop("level", "full")
+    first = F.min(F.when(~full, F.struct("place", "level"))).over(Window.partitionBy(*parent))
+    level = level.withColumn("level", first["level"]).withColumn("full", F.col("level").isNull() | (F.col("cap") / F.col("w") <= F.col("level")))
+    return level.withColumn(name, F.when(F.col("full"), F.col("cap")).otherwise(F.floor(F.col("w") * F.col("level"))).cast("long")).drop("level", "place", "full")
 
 
 def budgets(documents: DataFrame, mix: Mix) -> DataFrame:
@@ -100,7 +108,6 @@ def mix_sources(documents: DataFrame, mix: Mix | None = None) -> DataFrame:
     mix = mix or Mix()
     keys = ["__domain", "__lang", "__source"]
     keep = [c for c in documents.columns if c not in ("epoch", "domain", "n_tokens")]
-    documents = documents.select(*keep)
     leaves = budgets(documents, mix)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("grant") / F.col("tokens"))).otherwise(1).cast("int")
     leaves = materialize(leaves.withColumn("whole", whole).withColumn("rest", F.when(F.col("tokens") > 0, F.col("grant") - F.col("whole") * F.col("tokens")).otherwise(0)), "grants")
@@ -109,7 +116,7 @@ def mix_sources(documents: DataFrame, mix: Mix | None = None) -> DataFrame:
     digits = 1
     while digits < 8 and (stats["most"] or 0) / 16**digits > 500:
         digits += 1
-    rows = _leaves(documents, mix).join(small(leaves.select(*keys, "whole", "rest")), keys).withColumn("__order", F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
+    rows = _leaves(documents, mix).join(small(leaves.select(*keys, "whole", "rest")), keys).withColumn("__order", _order(mix))
     # the bucket of orders in which a leaf's prefix ends, then the row within it
     part = rows.where("rest > 0").withColumn("__bucket", F.substring("__order", 1, digits))
     buckets = part.groupBy(*keys, "__bucket").agg(F.sum("__tokens").alias("t"), F.max("rest").alias("rest"))
@@ -121,8 +128,8 @@ def mix_sources(documents: DataFrame, mix: Mix | None = None) -> DataFrame:
     # a leaf whose bucket gives no row ends below that bucket
     limits = ends.join(inside, keys, "left").select(*keys, F.coalesce("limit", F.col("__bucket")).alias("limit"))
     limits = materialize(leaves.select(*keys, "whole", "rest").join(limits, keys, "left"), "limits")
-    chosen = _leaves(documents, mix).join(small(limits), keys)
-    order = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    more = (F.col("rest") > 0) & (F.col("limit").isNull() | (order <= F.col("limit")))
-    n = F.col("whole") + more.cast("int")
-    return chosen.withColumn("__n", n).where("__n > 0").select(*keep, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("epoch"), F.col("__domain").alias("domain"), F.col("__tokens").alias("n_tokens"))
+    chosen = _leaves(documents, mix, keep).join(small(limits), keys)
+    more = (F.col("rest") > 0) & (F.col("limit").isNull() | (_order(mix) <= F.col("limit")))
+    chosen = chosen.withColumn("__n", F.col("whole") + more.cast("int")).where("__n > 0")
+    rows = chosen.select("__row", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("epoch"), "__domain", "__tokens")
+    return rows.select(*[part_of("__row", c) for c in keep], "epoch", F.col("__domain").alias("domain"), F.col("__tokens").alias("n_tokens"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize
+from .shared import materialize, named, part_of
 from .wordhash import set_digest, shingles, slices, word_hashes
 
 #: Counters of the histogram that orders the tokens: 1 MB whatever the input.
@@ -523,6 +523,6 @@ def drop_near_duplicates(documents: DataFrame, threshold: Fraction = Fraction(3,
 
     Rows that repeat a kept doc_id and text all stay; rows without doc_id stay.
     """
-    gone = NgramJoin(documents, threshold, width).classes().where("doc_id <> component_id").select("doc_id", F.col("key").alias("__key")).distinct()
-    keyed = documents.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(gone, ["doc_id", "__key"], "left_anti").select(*documents.columns)
+    gone = NgramJoin(documents, threshold, width).classes().where("doc_id <> component_id").select("doc_id", "key").distinct()
+    rows = documents.select(F.struct(*named(documents.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    return rows.join(gone, ["doc_id", "key"], "left_anti").select(*[part_of("row", c) for c in documents.columns])

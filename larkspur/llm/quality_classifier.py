@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_fold, labelled_sample
+from .shared import crc_fold, labelled_sample, with_results
 from .wordhash import _MULT, mix, slices, string_buffers, words_with_spans
 
 #: Labelled documents that the trees are fitted on, at most.
@@ -168,12 +168,12 @@ def fit_quality(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, hel
     return fit_trees(np.array([r["x"] for r in found]).reshape(len(found), len(FEATURES)), np.array([r["label"] for r in found], dtype=float))
 
 
-def _score(model, keep: list[str]):
+def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 score = np.round(model.value.score(statistics(part.column("text"))), 6)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
 
     return run
 
@@ -184,9 +184,8 @@ def score_quality(documents: DataFrame, model: Trees) -> DataFrame:
     A null text is scored as an empty one.  Columns score and predicted of the input are replaced.
     """
     keep = [c for c in documents.columns if c not in ("score", "predicted")]
-    frame = documents.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in keep])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-    return frame.mapInArrow(_score(documents.sparkSession.sparkContext.broadcast(model), keep), schema + ", score double, predicted int")
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    return with_results(documents, keep, {"text": F.col("text").cast("string")}, _score(shared), "score double, predicted int")
 
 
 def with_fold(scored: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:

@@ -7,9 +7,11 @@ import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 CHECKPOINT = "spark.checkpoint.dir"
 
@@ -48,7 +50,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def crc_fold(column: str, folds: int) -> F.Column:
+def named(columns: Iterable[str]) -> list[Column]:
+    """Columns by their names, whatever signs these have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def part_of(row: str, name: str) -> Column:
+    """A field of a struct column by its name."""
+    return F.col(row).getField(name).alias(name)
+
+
+def extended(schema: StructType, more: str, without: tuple[str, ...] = ()) -> StructType:
+    """The fields of a schema and further ones."""
+    return StructType([f for f in schema.fields if f.name not in without] + _parse_datatype_string(more).fields)
+
+
+def with_results(documents: DataFrame, keep: Iterable[str], inputs: dict[str, Column], run, more: str) -> DataFrame:
+    """The columns `keep` and those that run adds to each row.
+
+    run maps Arrow batches of `row` (the kept columns as one struct, so that none of their names
+    can clash) and the inputs to batches of `row` and the columns of the DDL string `more`.
+    """
+    keep = list(keep)
+    frame = documents.select(F.struct(*named(keep)).alias("row"), *[c.alias(name) for name, c in inputs.items()])
+    schema = extended(frame.select("row").schema, more)
+    return frame.mapInArrow(run, schema).select(*[part_of("row", c) for c in keep], *schema.fieldNames()[1:])
+
+
+def crc_fold(column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 

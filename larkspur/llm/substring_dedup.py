@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import extended, materialize, named, part_of
 from .wordhash import _MULT, mix, sequence_hashes, slices, string_buffers, word_hashes, word_spans
 
 REACH = 4
@@ -104,7 +104,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [c[lead[-1]] for c in cols]
 
 
-def _cut(least: int, keep: list[str]):
+def _cut(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -113,7 +113,7 @@ def _cut(least: int, keep: list[str]):
                 offsets, data = string_buffers(texts)
                 words, at = word_hashes(texts)
                 starts = unit_starts(words, at)
-                for i, units in enumerate(part.column("__units")):
+                for i, units in enumerate(part.column("units")):
                     text = texts[i].as_py()
                     spans, n = [], 0
                     if units.is_valid and text:
@@ -133,9 +133,8 @@ def _cut(least: int, keep: list[str]):
                     out[0].append(text)
                     out[1].append(spans)
                     out[2].append(n)
-                cols = [pa.array(out[0], pa.string()) if c == "text" else part.column(c) for c in keep]
-                cols += [pa.array(out[1], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out[2], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "removed", "removed_words"])
+                cols = [part.column("row"), pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out[2], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "text", "removed", "removed_words"])
 
     return run
 
@@ -170,16 +169,15 @@ def dedup_passages(documents: DataFrame, least_words: int = 50) -> DataFrame:
     Other columns stay as they are (removed and removed_words of the input are replaced).
     """
     keep = [c for c in documents.columns if c not in ("removed", "removed_words")]
-    clash = {"__id", "__hash", "__units"} & set(keep)
-    if clash:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
-    docs = documents.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in keep])
-    docs = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    key = docs.select(F.col("__id").alias("doc_id"), F.col("__hash").alias("hash"), "text")
-    local = materialize(key.mapInArrow(_local, _UNIT), "units")
+    rest = [c for c in keep if c != "text"]
+    docs = documents.select(
+        F.struct(*named(rest)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("hash"), F.col("text").cast("string").alias("text")
+    )
+    local = materialize(docs.select("doc_id", "hash", "text").mapInArrow(_local, _UNIT), "units")
     unit = "doc_id long, hash long, unit int"
     later = local.where("first").select("digest", "doc_id", "hash", "unit").repartition(F.col("digest")).sortWithinPartitions("digest", "doc_id", "hash", "unit").mapInArrow(_later, unit)
     gone = later.unionByName(local.where("NOT first").select("doc_id", "hash", "unit"))
-    gone = gone.groupBy("doc_id", "hash").agg(F.collect_set("unit").alias("units")).toDF("__id", "__hash", "__units")
-    schema = ", ".join(f"`{c}` {'string' if c == 'text' else docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.join(gone, ["__id", "__hash"], "left").mapInArrow(_cut(least_words, keep), schema + ", removed array<struct<start: bigint, end: bigint>>, removed_words long")
+    gone = gone.groupBy("doc_id", "hash").agg(F.collect_set("unit").alias("units"))
+    joined = docs.join(gone, ["doc_id", "hash"], "left").select("row", "text", "units")
+    done = joined.mapInArrow(_cut(least_words), extended(joined.schema, "removed array<struct<start: bigint, end: bigint>>, removed_words long", without=("units",)))
+    return done.select(*[F.col("text") if c == "text" else part_of("row", c) for c in keep], "removed", "removed_words")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_fold, labelled_sample
+from .shared import crc_fold, labelled_sample, materialize, with_results
 from .wordhash import slices, string_buffers, words_with_spans
 
 #: Labelled documents that the lexicon and the model are fitted on, at most.
@@ -298,8 +298,6 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, he
     """
     chosen = labelled_sample(labels, "toxic", folds, held_out, sample)
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
-    from .shared import materialize
-
     texts = materialize(texts, "labelled")
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
     lexicon = learn_lexicon(texts.where(half == 0))
@@ -316,13 +314,13 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, he
     return ToxicityModel(lexicon, fit_logistic(x, y))
 
 
-def _score(model, keep: list[str]):
+def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _finder(model.value.lexicon)
         for batch in batches:
             for part in slices(batch):
                 score = np.round(model.value.score(finder.features(part)), 6)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
 
     return run
 
@@ -334,9 +332,8 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     and predicted of the input are replaced.
     """
     keep = [c for c in documents.columns if c not in ("score", "predicted")]
-    frame = documents.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in keep])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-    return frame.mapInArrow(_score(documents.sparkSession.sparkContext.broadcast(model), keep), schema + ", score double, predicted int")
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    return with_results(documents, keep, {"text": F.col("text").cast("string")}, _score(shared), "score double, predicted int")
 
 
 def with_fold(scored: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:

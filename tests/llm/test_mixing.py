@@ -86,5 +86,14 @@ def test_against_brute_force(spark, mix):
     assert found == grants
 
 
+def test_equal_leaves(spark):
+    data = [(i, "uno dos", lang, f"src{s}") for i, (lang, s) in enumerate((x, y) for x in ("en", "de", "fr") for y in range(8))] + [(90, "", "en", "src9"), (91, None, None, None)]
+    for mix in (Mix(), Mix(budget=30), Mix(budget=70, epochs=3)):
+        expected, grants = brute(data, mix)
+        df = spark.createDataFrame([(*r, "") for r in data], DOCS)
+        assert sorted(((r.doc_id, r.epoch) for r in mix_sources(df, mix).collect()), key=str) == expected
+        assert {(r["__domain"], r["__lang"], r["__source"]): r.grant for r in budgets(df, mix).collect()} == grants
+
+
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], DOCS)).count() == 0
