@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 EXAMS = ("A1", "A2", "C1", "C2")
@@ -77,6 +78,11 @@ class IndexSpec:
     buckets: int = 16
     batch: int = 50
 
+    @staticmethod
+    def from_environment(environ: Mapping[str, str]) -> IndexSpec:
+        """LARKSPUR_INDEX and LARKSPUR_BUCKETS; without the first the folder `index` here."""
+        return IndexSpec(environ.get("LARKSPUR_INDEX", "index"), buckets=int(environ.get("LARKSPUR_BUCKETS", "16")))
+
 
 @dataclass(frozen=True)
 class EvalSpec:

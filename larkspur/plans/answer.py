@@ -5,8 +5,11 @@ Each gate is a status, and what a gate stops doesn't reach the next stage.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,6 +32,7 @@ MESSAGES = {
     "GENERATION_ERROR": "La respuesta no se ha podido completar.",
 }
 SYSTEM_PROMPT = "Responde solo con los fragmentos numerados y cita su número entre corchetes. Si no bastan, dilo."
+CONTEXT_MARK = "Contexto:\n"
 CONDENSE_PROMPT = "Di si la consulta trata de las normas del temario (SI o NO) y reescríbela para que se entienda sin la conversación."
 
 
@@ -78,17 +82,19 @@ def retrieve(queries: DataFrame, points: DataFrame, embedder: Embedder, k: int,
     return to_result(top(fuse([dense, sparse], spec.fusion), k), points)
 
 
-def prompt(context: F.Column, query: F.Column) -> F.Column:
-    return F.concat(F.lit("Contexto:\n"), context, F.lit("\n\nPregunta: "), query)
+def prompt(context: F.Column, query: F.Column, history: F.Column | None = None) -> F.Column:
+    """The rules, the transcript of the last turns if there is one, the context and the question."""
+    parts = [F.lit(SYSTEM_PROMPT)] if history is None else [F.lit(SYSTEM_PROMPT), F.nullif(F.coalesce(history, F.lit("")), F.lit(""))]
+    return F.concat_ws("\n\n", *parts, F.concat(F.lit(CONTEXT_MARK), context), F.concat(F.lit("Pregunta: "), query))
 
 
 def generate(rows: DataFrame, generator: Generator) -> DataFrame:
-    """rows with blocks; adds answer and error.  What came before a failure is kept; empty fragments are skipped."""
+    """rows with prompt; adds answer and error.  What came before a failure is kept; empty fragments are skipped."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             answers, errors = [], []
-            for text in batch["blocks"]:
+            for text in batch["prompt"]:
                 parts: list[str] = []
                 error = None
                 try:
@@ -110,22 +116,58 @@ def messages() -> F.Column:
     return F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
 
 
-def answer(queries: DataFrame, points: DataFrame, components: Components | None = None, k: int | None = None, spec: RetrievalSpec | None = None, context: ContextSpec | None = None, processed: DataFrame | None = None) -> DataFrame:
-    """One trace per question: query_id, exam, temas, query, condensed_query, relevance, status, message, answer, blocks, sources, error.
+@dataclass
+class Timer:
+    """Milliseconds of the stages, taken on the driver around each stage's table."""
+
+    durations_ms: dict[str, float] = field(default_factory=dict)
+    began: float = field(default_factory=time.perf_counter)
+
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        start = time.perf_counter()
+        df = df.persist()
+        df.count()
+        self.durations_ms[name] = (time.perf_counter() - start) * 1000
+        return df
+
+    def column(self) -> F.Column:
+        done = {**self.durations_ms, "total": (time.perf_counter() - self.began) * 1000}
+        return F.create_map(*[F.lit(x) for pair in done.items() for x in pair])
+
+
+def answer(
+    queries: DataFrame, points: DataFrame, components: Components | None = None, k: int | None = None, spec: RetrievalSpec | None = None, context: ContextSpec | None = None,
+    processed: DataFrame | None = None, session_id: str | None = None, timestamp_utc: str | None = None, models: dict[str, str] | None = None,
+) -> DataFrame:
+    """One trace per question, whatever fails: query_id, exam, temas, query, condensed_query, relevance, status, message, answer, blocks, sources, error, session_id, timestamp_utc, models, durations_ms.
 
     queries: query_id, query, history, exam, temas.  processed: results of process_queries, if they exist already.
+    A failure of the search as a whole is a status of all its questions.
     """
-    components, spec = components or Components(), spec or RetrievalSpec()
+    components, spec, timer = components or Components(), spec or RetrievalSpec(), Timer()
     k = k or spec.top_k
-    asked = (process_queries(queries, components.query_model) if processed is None else processed).persist()
+    asked = timer.stage("relevance", process_queries(queries, components.query_model)) if processed is None else processed
     open_ = asked.where("relevance <> 'OFF_TOPIC'")
-    found = retrieve(open_, points, components.embedder, k, spec).persist()
-    blocks = render(within_budget(found, context), open_)
-    some = blocks.where("blocks <> ''")
-    said = generate(some, components.generator).select("query_id", "blocks", "sources", "answer", "error")
+    failure = None
+    try:
+        found = timer.stage("retrieve", retrieve(open_, points, components.embedder, k, spec))
+        blocks = render(within_budget(found, context), open_)
+        some = blocks.where("blocks <> ''").join(open_.select("query_id", "condensed_query", "history"), "query_id")
+        some = some.withColumn("prompt", prompt(F.col("blocks"), F.col("condensed_query"), F.col("history")))
+        said = timer.stage("generate", generate(some, components.generator).select("query_id", "blocks", "sources", "answer", "error"))
+    except Exception as x:  # the contract of this stage: a status, not an exception
+        failure = f"{type(x).__name__}: {str(x)[:500]}"
+        said = asked.select("query_id", F.lit(None).cast("string").alias("blocks"), F.array().cast("array<struct<index: int, doc_name: string, seccion: string, source_url: string, doc_id: string, point_id: string>>").alias("sources"), F.lit("").alias("answer"), F.lit(failure).alias("error"))
     rows = asked.join(said, "query_id", "left")
-    status = F.when(F.col("relevance") == "OFF_TOPIC", "OFF_TOPIC").when(F.col("blocks").isNull(), "NO_CONTEXT").when(F.col("error").isNotNull(), "GENERATION_ERROR").otherwise("OK")
-    return rows.withColumn("status", status).withColumn("message", messages()[F.col("status")]).withColumn("answer", F.coalesce("answer", F.lit("")))
+    status = F.when(F.col("relevance") == "OFF_TOPIC", "OFF_TOPIC").when(F.lit(failure is not None), "RETRIEVAL_ERROR").when(F.col("blocks").isNull(), "NO_CONTEXT").when(F.col("error").isNotNull(), "GENERATION_ERROR").otherwise("OK")
+    rows = rows.withColumn("status", status).withColumn("message", messages()[F.col("status")]).withColumn("answer", F.coalesce("answer", F.lit("")))
+    named = F.create_map(*[F.lit(x) for pair in (models or {}).items() for x in pair]).cast("map<string,string>")
+    return (
+        rows.withColumn("session_id", F.lit(session_id or uuid.uuid4().hex))
+        .withColumn("timestamp_utc", F.lit(timestamp_utc or datetime.now(UTC).isoformat()))
+        .withColumn("models", named)
+        .withColumn("durations_ms", timer.column())
+    )
 
 
 def next_history(history: F.Column, query: F.Column, said: F.Column) -> F.Column:

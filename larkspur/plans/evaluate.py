@@ -77,5 +77,5 @@ def evaluate_generation(rows: DataFrame, processed: DataFrame, points: DataFrame
     asked = require_all(graded(rows), processed.select("row_id", "condensed_query", "verdict"))
     ready = as_queries(asked).join(asked.select(F.col("row_id").alias("query_id"), "condensed_query", F.col("verdict").alias("relevance")), "query_id")
     traces = answer(ready, points, components, k, processed=ready)
-    joined = asked.join(traces.select(F.col("query_id").alias("row_id"), "status", "relevance", "answer", F.coalesce("blocks", F.lit("")).alias("context")), "row_id")
-    return judge_rows(joined.select("row_id", "exam", "question_type", "question", "ground_truth_answer", "status", "relevance", "answer", "context"), judge)
+    joined = asked.join(traces.select(F.col("query_id").alias("row_id"), "status", "relevance", "answer", F.coalesce("blocks", F.lit("")).alias("context"), "session_id", "timestamp_utc", "durations_ms"), "row_id")
+    return judge_rows(joined.select("row_id", "exam", "question_type", "question", "ground_truth_answer", "status", "relevance", "answer", "context", "session_id", "timestamp_utc", "durations_ms"), judge)

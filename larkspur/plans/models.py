@@ -71,10 +71,11 @@ class KeywordQueryModel:
 
 
 class ExtractiveGenerator:
-    """Answers with the first sentence of the context."""
+    """Answers with the first block of the context."""
 
     def generate_batch(self, prompts: list[str]) -> list[list[str]]:
-        return [[x for x in re.split(r"(?<=\s)", (p or "").split("\n\n")[0]) if x] for p in prompts]
+        first = ((p or "").split("Contexto:\n", 1)[-1].split("\n\n")[0] for p in prompts)
+        return [[x for x in re.split(r"(?<=\s)", block) if x] for block in first]
 
 
 class OverlapJudge:

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import pytest
 from larkspur.config import IndexSpec
+from larkspur.functions import accounts
 from larkspur.plans.answer import Components, answer, next_history, process_queries
+from larkspur.plans.cli import main
 from larkspur.plans.evaluate import evaluate_generation, evaluate_queries, evaluate_retrieval, judge_rows
 from larkspur.plans.ingest import build_index, ingest, with_metadata
 from larkspur.plans.models import GenerationConfig, HashingEmbedder, KeywordQueryModel, OverlapJudge
@@ -55,6 +57,7 @@ def test_answers(spark, index):
     queries = ask(spark, [("1", "¿Qué plazos de recurso hay?", None, "A1", ["I"]), ("2", "receta de paella", None, "A1", []), ("3", "plazos", None, "C2", []), ("4", "plazos de recurso", None, "A1", ["V"])])
     rows = {r.query_id: r for r in answer(queries, index, Components(query_model=model)).collect()}
     assert {k: r.status for k, r in rows.items()} == {"1": "OK", "2": "OFF_TOPIC", "3": "NO_CONTEXT", "4": "NO_CONTEXT"}
+    assert rows["1"].durations_ms["total"] >= rows["1"].durations_ms["retrieve"] > 0 and len({r.session_id for r in rows.values()}) == 1
     assert "plazos de recurso" in rows["1"].answer and rows["1"].sources[0].doc_id == "ley1" and rows["2"].message
 
 
@@ -64,6 +67,12 @@ def test_failures(spark, index):
     assert (row.relevance, row.condensed_query) == ("UNKNOWN", "plazos")
     row = answer(queries, index, Components(generator=Fails())).first()
     assert (row.status, row.answer) == ("GENERATION_ERROR", "a medias")
+    class NoVectors(HashingEmbedder):
+        def embed(self, texts):
+            raise RuntimeError("sin modelo")
+
+    row = answer(queries, index, Components(embedder=NoVectors())).first()
+    assert row.status == "RETRIEVAL_ERROR" and row.error and row.message
     turns = spark.createDataFrame([("q", "a"), ("q", "")], "q string, a string").select(F.size(next_history(F.array().cast("array<struct<role: string, content: string>>"), F.col("q"), F.col("a"))))
     assert [r[0] for r in turns.collect()] == [2, 0]
 
@@ -109,3 +118,26 @@ def test_streams(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/out").count() == 5
     events = spark.createDataFrame([("2020-01-01 00:10:00", "v", 1.0), ("2020-01-01 00:20:00", "v", 2.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert [(r.n, r.value) for r in windowed_counts(events).collect()] == [(2, 3.0)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/ley1.txt").write_text(DOCS[0][1], encoding="utf-8")
+    (tmp_path / "meta.csv").write_text("doc_id,doc_name,doc_date,source_url,exams_id,tema\nley1,Ley uno,,,A1,I\n", encoding="utf-8")
+    index = ["--index", f"file://{tmp_path}/index"]
+    assert main([*index, "ingest", f"file://{tmp_path}/docs", f"file://{tmp_path}/meta.csv", "--review", f"file://{tmp_path}/review"]) == 0
+    assert spark.read.json(f"file://{tmp_path}/review").first().final_n_chunks == 2
+    assert main([*index, "ask", "plazos de recurso", "--tema", "I"]) == 0
+    assert "[1] Ley uno Artículo 1." in capsys.readouterr().out
+    assert main([*index, "ask", "plazos de recurso", "--exam", "C2"]) == 1
+
+
+def test_accounts():
+    line = "|".join([accounts.record("ana", "clave", b"\x01" * 16), "", accounts.record("leo", "otra")])
+    known = accounts.parse(line)
+    assert accounts.admits(known, "ana", "clave") and not accounts.admits(known, "ana", "otra") and not accounts.admits(known, "eva", "clave")
+
+
+def test_environment():
+    assert IndexSpec.from_environment({"LARKSPUR_INDEX": "x", "LARKSPUR_BUCKETS": "3"}) == IndexSpec("x", buckets=3)
+    assert IndexSpec.from_environment({}).path == "index"
