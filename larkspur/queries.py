@@ -500,7 +500,6 @@ def pipeline_status(spark, sf_dir):
     """Verdicts, gates and messages; a passage's documents are those that contain it."""
     items = read(spark, sf_dir, "benchmark")
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    # passages are looked up by the hash of their first line's words in a map over documents: equi join, then an exact check
     label = F.when(F.col("item_id") % 7 == 0, "NO").when(F.col("item_id") % 11 == 0, F.lit(None)).otherwise("SI")
     rows = items.select(F.col("item_id").alias("query_id"), verdict(label).alias("relevance"), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise("").alias("c"), "text")
     hits = _containing(items, docs)
@@ -514,9 +513,11 @@ def _containing(items: DataFrame, docs: DataFrame) -> DataFrame:
     width = 4
     inner = F.slice(F.split("text", r"\s+"), 2, width)
     keys = items.select(F.col("item_id").alias("query_id"), "text", F.when(F.size(inner) == width, F.array_join(inner, " ")).alias("key"))
-    windows = docs.select("doc_id", "body", F.split("body", r"\s+").alias("w"))
-    windows = windows.select("doc_id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, width), " ")))).alias("key"))
-    found = windows.join(keys.where("key IS NOT NULL"), "key").where(F.contains("body", "text")).select("query_id", "doc_id").distinct()
+    windows = docs.select("doc_id", F.split("body", r"\s+").alias("w"))
+    windows = windows.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, width), " ")))).alias("key"))
+    # only ids meet by window; the few that do get their texts for the exact check
+    met = windows.join(keys.where("key IS NOT NULL"), "key").select("query_id", "doc_id", "text").distinct()
+    found = met.join(docs, "doc_id").where(F.contains("body", "text")).select("query_id", "doc_id").distinct()
     return found.groupBy("query_id").agg(F.count("*").alias("n"))
 
 
