@@ -13,6 +13,8 @@ token and round.  At last members of components that are still different and met
 a token are compared with each other, in tiles.  Every pair that could link is thus either
 compared or already in one component, so the components are exact.
 
+Similar sets share not one prefix token but many: of two sets of equal size and t = 3/4, one
+in nine of their tokens.  Who meets others under fewer tokens than a pair needs is left out of that pair.
 Before sets are sent anywhere, parity signatures (a few bits per token) bound the
 symmetric difference of a pair from below; who can't link by it is dropped.
 """
@@ -45,7 +47,9 @@ BITS_PER_TOKEN = 4
 #: that links less than this share of the rows that it had is the last.
 PIVOT_ROUNDS, WORTH = 4, 0.005
 #: Least shared tokens of a row that go with it, so that a pair comes out under its first one only.
-FIRST_TOKENS = 64
+FIRST_TOKENS = 8
+#: Tokens of at most so many rows are paired by a join, of more rows in tiles with signatures.
+FEW = 64
 
 
 def ceil_div(a: int, b: int) -> int:
@@ -228,8 +232,25 @@ def _may_link(n1, p1, n2, p2, t: Fraction):
     return (t.denominator * small >= t.numerator * big) & (bound >= need)
 
 
+def least_shared(n1, n2, t: Fraction):
+    """Prefix tokens that two sets share at least if they link.
+
+    Up to n - need of a set's tokens aren't common, so the first p + need - n common
+    ones lie in its prefix of p tokens; the lesser of both numbers lies in both prefixes.
+    """
+    num, den = t.numerator, t.denominator
+    need = -(-(num * (n1 + n2)) // (num + den))
+    return np.minimum(need + 1 + (-num * n1) // den, need + 1 + (-num * n2) // den)
+
+
+def least_shared_sql(n1: str, n2: str, t: Fraction) -> str:
+    num, den = t.numerator, t.denominator
+    need = f"(({num} * ({n1} + {n2}) + {num + den - 1}) div {num + den})"
+    return f"least({need} + 1 - (({num} * {n1} + {den - 1}) div {den}), {need} + 1 - (({num} * {n2} + {den - 1}) div {den}))"
+
+
 def _stars(t: Fraction):
-    """Rows sorted by token and node: each row but a token's first (its pivot) with that pivot.
+    """Rows sorted by token and node, of tokens with two nodes or more: each row with the token's first (its pivot).
 
     A row comes out when the next one is known; what is kept is one pivot and
     one row, however many rows a token has.
@@ -243,10 +264,9 @@ def _stars(t: Fraction):
 
         def out(x, take, pivot, more):
             i, j = np.flatnonzero(take), pivot[take]
-            meet = _may_link(x["n"][i], x["pos"][i], x["n"][j], x["pos"][j], t)
-            cols = [x["node"][j], x["token"][i], x["node"][i], x["n"][i].astype(np.int32), x["pos"][i].astype(np.int32), x["n"][j].astype(np.int32), meet, more[i]]
-            keep = meet | more[i]
-            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], schema=schema)
+            meet = (i != j) & _may_link(x["n"][i], x["pos"][i], x["n"][j], x["pos"][j], t)
+            cols = [x["node"][j], x["token"][i], x["node"][i], x["n"][i].astype(np.int32), x["pos"][i].astype(np.int32), x["n"][j].astype(np.int32), meet, more[i] & (i != j)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -269,6 +289,9 @@ def _stars(t: Fraction):
             more[:-1] |= (place[:-1] == 1) & ~first[1:]
             last = n - 1
             take = ~first
+            take[:-1] |= ~first[1:]  # pivots, too
+            if kept == 2:
+                take[0] = False  # this one came out before
             take[last] = False
             if take.any():
                 yield out(x, take, pivot, more)
@@ -282,12 +305,14 @@ def _stars(t: Fraction):
 
 
 def _near(t: Fraction):
-    """Of pairs a, node, n, na, sig_a, sig those that may link by their signatures."""
+    """Of pairs a, node, n, na, sig_a, sig, shared_a, shared those that may link by shared tokens and signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            most = allowed(batch.column("na").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64), t)
+            n1, n2, c1, c2 = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("na", "n", "shared_a", "shared"))
+            enough = np.minimum(c1, c2) >= least_shared(n1, n2, t)
+            batch, most = batch.filter(pa.array(enough)), allowed(n1, n2, t)[enough]
             for x, y, m in zip(batch.column("sig_a"), batch.column("sig"), most, strict=True):
                 x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 size = min(len(x), len(y))
@@ -311,15 +336,15 @@ def _tile_pairs(t: Fraction):
         by_size: dict[int, list[tuple]] = {}
         for row in rows:
             by_size.setdefault(len(row[7]), []).append(row)
-        packed = {k: (np.frombuffer(b"".join(r[7] for r in v), dtype=np.uint64).reshape(len(v), -1), *(np.array([r[i] for r in v], dtype=np.int64) for i in (3, 4, 5, 6, 8))) for k, v in by_size.items()}
-        for size, (sig, node, n, pos, root, tile) in packed.items():
+        packed = {k: (np.frombuffer(b"".join(r[7] for r in v), dtype=np.uint64).reshape(len(v), -1), *(np.array([r[i] for r in v], dtype=np.int64) for i in (3, 4, 5, 6, 8, 10))) for k, v in by_size.items()}
+        for size, (sig, node, n, pos, root, tile, shared) in packed.items():
             for other in (size, size // 2):
                 if other not in packed:
                     continue
-                sig2, node2, n2, pos2, root2, tile2 = packed[other]
+                sig2, node2, n2, pos2, root2, tile2, shared2 = packed[other]
                 own = fold(sig, sig2.shape[1])
                 for i in range(len(node)):
-                    m = (root2 != root[i]) & _may_link(n[i], pos[i], n2, pos2, t)
+                    m = (root2 != root[i]) & _may_link(n[i], pos[i], n2, pos2, t) & (np.minimum(shared[i], shared2) >= least_shared(n[i], n2, t))
                     if rows[0][1] != rows[0][2]:
                         m &= tile2 != tile[i]
                     if other == size:
@@ -335,7 +360,7 @@ def _tile_pairs(t: Fraction):
                         yield a, b, nb, na
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("token", "i", "j", "node", "n", "pos", "root", "sig", "tile", "firsts")
+        names = ("token", "i", "j", "node", "n", "pos", "root", "sig", "tile", "firsts", "shared")
         group: list[tuple] = []
         out: set[tuple] = set()
 
@@ -447,8 +472,8 @@ class NgramJoin:
         met = materialize(
             rows.repartition(F.col("token")).sortWithinPartitions("token", "node").mapInArrow(_stars(self.t), "a long, token long, node long, n int, pos int, na int, meet boolean, more boolean"), "met"
         )
-        here = met.select("node").unionByName(met.select(F.col("a").alias("node"))).distinct()
-        self.known = materialize(self.signatures.join(here, "node").groupBy("node").agg(F.first("sig").alias("sig")), "known")
+        self.shared = materialize(met.groupBy("node").agg(F.count("*").cast("int").alias("shared")), "shared")
+        self.known = materialize(self.signatures.join(self.shared, "node").groupBy("node").agg(F.first("sig").alias("sig"), F.first("shared").alias("shared")), "known")
         links = self._verified(self._near(met.where("meet").groupBy("a", "node").agg(F.max("n").alias("n"), F.max("na").alias("na"))))
         roots = connected_components(links)
         rest = self._mixed(met.where("more").select("token", "node", "n", "pos"), roots)
@@ -469,12 +494,22 @@ class NgramJoin:
             rest = self._mixed(rest.select("token", "node", "n", "pos"), roots)
             if found < WORTH * size:
                 break
-        tiles = rest.groupBy("token").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
-        firsts = rest.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("token")), 1, FIRST_TOKENS).alias("firsts"))
-        rest = rest.join(tiles, "token").join(self.known.join(firsts, "node"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles").cast("long")).cast("int"))
-        rest = rest.select("token", "node", "n", "pos", "root", "sig", "tile", "firsts", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-        rest = rest.select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "n", "pos", "root", "sig", "tile", "firsts")
-        pairs = rest.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node").mapInArrow(_tile_pairs(self.t), "a long, node long, n int, na int").distinct()
+        rest = materialize(rest.join(self.shared, "node"), "rest")
+        sizes = rest.groupBy("token").agg(F.count("*").alias("k"))
+        rest = rest.join(sizes, "token")
+        x, y = rest.where(F.col("k") <= FEW).alias("x"), rest.where(F.col("k") <= FEW).alias("y")
+        need = F.ceil(F.expr(f"({num} * (x.n + y.n)) / {num + den}D"))
+        bound = F.expr("least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos)")
+        fits = F.expr(f"x.token = y.token AND x.root <> y.root AND x.node < y.node AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND least(x.shared, y.shared) >= {least_shared_sql('x.n', 'y.n', self.t)}")
+        few = self._near(x.join(y, fits & (bound >= need)).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("node")).agg(F.max("y.n").alias("n"), F.max("x.n").alias("na")))
+        many = rest.where(F.col("k") > FEW).withColumn("tiles", F.ceil(F.col("k") / F.lit(TILE)).cast("int"))
+        firsts = many.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("token")), 1, FIRST_TOKENS).alias("firsts"))
+        many = many.join(self.known.select("node", "sig").join(firsts, "node"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles").cast("long")).cast("int"))
+        columns = ["node", "n", "pos", "root", "sig", "tile", "firsts", "shared"]
+        many = many.select("token", *columns, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+        many = many.select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), *columns)
+        many = many.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node").mapInArrow(_tile_pairs(self.t), "a long, node long, n int, na int")
+        pairs = few.unionByName(many).distinct()
         pairs = materialize(pairs, "pairs")
         return links if pairs.isEmpty() else links.unionByName(self._verified(pairs))
 
@@ -487,7 +522,7 @@ class NgramJoin:
 
     def _near(self, pairs: DataFrame) -> DataFrame:
         """pairs: a, node, n, na.  Those that may link by their signatures."""
-        known = pairs.join(self.known, "node").join(self.known.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a")
+        known = pairs.join(self.known, "node").join(self.known.withColumnsRenamed({"node": "a", "sig": "sig_a", "shared": "shared_a"}), "a")
         return materialize(known.mapInArrow(_near(self.t), "a long, node long, n int, na int"), "near")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
