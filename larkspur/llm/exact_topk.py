@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a query tile and of a candidate tile.
-QUERY_TILE, TILE = 512, 4096
+#: Queries that go to a shard together; each tile of them sends all rows once more.
+QUERY_TILE = 16_384
+#: Queries and rows of one matrix product.
+BLOCK, TILE = 512, 4096
 _EXACT = 1 << 53
 
 
@@ -72,17 +74,15 @@ def _tile_topk(k: int):
         q_matrix = np.frombuffer(b"".join(queries["v"]), dtype=np.int64).reshape(len(queries), dim)
         for lo in range(0, len(rows), TILE):
             part = ids[lo : lo + TILE]
-            scores = _products(q_matrix, matrix[lo : lo + TILE])
-            for i, q in enumerate(q_ids):
-                own = part != q
-                s, d = scores[i][own], part[own]
-                at = select(s, d, k)
-                s, d = s[at], d[at]
-                if i in best:
-                    s, d = np.concatenate([best[i][0], s]), np.concatenate([best[i][1], d])
+            for first in range(0, len(q_ids), BLOCK):
+                block = _products(q_matrix[first : first + BLOCK], matrix[lo : lo + TILE])
+                for i, scores in enumerate(block, first):
+                    own = part != q_ids[i]
+                    s, d = scores[own], part[own]
+                    if i in best:
+                        s, d = np.concatenate([best[i][0], s]), np.concatenate([best[i][1], d])
                     at = select(s, d, k)
-                    s, d = s[at], d[at]
-                best[i] = (s, d)
+                    best[i] = (s[at], d[at])
         n = [len(best[i][0]) for i in range(len(q_ids))]
         return pd.DataFrame({"query_id": np.repeat(q_ids, n), "vec_id": np.concatenate([best[i][1] for i in range(len(q_ids))]), "score": np.concatenate([best[i][0] for i in range(len(q_ids))])})
 
@@ -92,9 +92,10 @@ def _tile_topk(k: int):
 def exact_topk(vectors: DataFrame, is_query: F.Column, k: int = 10, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows among all others.
 
-    vectors: vec_id, embedding.  Query tiles of QUERY_TILE rows meet shards of
+    vectors: vec_id, embedding.  Tiles of about QUERY_TILE queries meet shards of
     the rows of their dimension; the number of shards grows with the rows, so
-    that a task holds a bounded tile of each.  Vectors of another dimension are no
+    that a task holds a bounded tile of each.  What is shuffled is the rows once
+    for each query tile and the queries once for each shard.  Vectors of another dimension are no
     candidates.  A query is never its own candidate; rows that repeat a vec_id
     are one query, and each of them a candidate of the others.  Scores beyond 64
     bits are held at the limit.  An empty table gives no rows.

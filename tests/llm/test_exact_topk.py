@@ -26,6 +26,7 @@ def brute(rows, k=10):
 def test_against_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(X, "QUERY_TILE", tile[0])
     monkeypatch.setattr(X, "TILE", tile[1])
+    monkeypatch.setattr(X, "BLOCK", 2 if tile[0] == 3 else 512)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(700)]
     rows += [(1000 + i, rows[i % 3][1]) for i in range(40)]  # ties
