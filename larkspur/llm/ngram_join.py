@@ -49,7 +49,7 @@ PIVOT_ROUNDS, WORTH = 4, 0.005
 #: Least shared tokens of a row that go with it, so that a pair comes out under its first one only.
 FIRST_TOKENS = 8
 #: Tokens of at most so many rows are paired by a join, of more rows in tiles with signatures.
-FEW = 64
+FEW = 16
 
 
 def ceil_div(a: int, b: int) -> int:
