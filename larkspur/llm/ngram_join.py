@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize, named, part_of
+from .shared import lean, materialize, named, part_of
 from .wordhash import set_digest, shingles, slices, word_hashes
 
 #: Counters of the histogram that orders the tokens: 1 MB whatever the input.
@@ -455,12 +455,12 @@ class NgramJoin:
         self.t, self.width = Fraction(threshold), width
         self.docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("key"))
         self.spark = documents.sparkSession
-        first = materialize(self.docs.mapInArrow(_nodes_and_counts(width), "doc_id long, key long, node long, n long, sig binary, part int, counts binary"), "nodes")
+        first = materialize(self.docs.mapInArrow(lean(_nodes_and_counts(width)), "doc_id long, key long, node long, n long, sig binary, part int, counts binary"), "nodes")
         #: doc_id, key (a hash of the text), node (null for an empty set), n of every row.
         self.nodes = first.where("part IS NULL").select("doc_id", "key", "node", "n")
         self.signatures = first.where("node IS NOT NULL AND doc_id IS NOT NULL").select("node", "sig")
         kind = "part int, counts binary"
-        parts = first.where("part IS NOT NULL").select("part", "counts").mapInArrow(_add_counts, kind).repartition(16, "part").mapInArrow(_add_counts, kind).collect()
+        parts = first.where("part IS NOT NULL").select("part", "counts").mapInArrow(lean(_add_counts), kind).repartition(16, "part").mapInArrow(lean(_add_counts), kind).collect()
         counts = np.zeros(COUNTERS, dtype=np.int64)
         for part, found in parts:
             counts[part * _PART : (part + 1) * _PART] += np.frombuffer(found, dtype=np.int64)
@@ -468,9 +468,9 @@ class NgramJoin:
 
     def links(self) -> DataFrame:
         """Links (u, v) of nodes that make all components; not every pair within a component."""
-        rows = self.docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(self.width, self.order, self.t), "token long, node long, n int, pos int")
+        rows = self.docs.where("doc_id IS NOT NULL").mapInArrow(lean(_prefixes(self.width, self.order, self.t)), "token long, node long, n int, pos int")
         met = materialize(
-            rows.repartition(F.col("token")).sortWithinPartitions("token", "node").mapInArrow(_stars(self.t), "a long, token long, node long, n int, pos int, na int, meet boolean, more boolean"), "met"
+            rows.repartition(F.col("token")).sortWithinPartitions("token", "node").mapInArrow(lean(_stars(self.t)), "a long, token long, node long, n int, pos int, na int, meet boolean, more boolean"), "met"
         )
         self.shared = materialize(met.groupBy("node").agg(F.count("*").cast("int").alias("shared")), "shared")
         self.known = materialize(self.signatures.join(self.shared, "node").groupBy("node").agg(F.first("sig").alias("sig"), F.first("shared").alias("shared")), "known")
@@ -508,7 +508,7 @@ class NgramJoin:
         columns = ["node", "n", "pos", "root", "sig", "tile", "firsts", "shared"]
         many = many.select("token", *columns, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
         many = many.select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), *columns)
-        many = many.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node").mapInArrow(_tile_pairs(self.t), "a long, node long, n int, na int")
+        many = many.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node").mapInArrow(lean(_tile_pairs(self.t)), "a long, node long, n int, na int")
         pairs = few.unionByName(many).distinct()
         pairs = materialize(pairs, "pairs")
         return links if pairs.isEmpty() else links.unionByName(self._verified(pairs))
@@ -523,7 +523,7 @@ class NgramJoin:
     def _near(self, pairs: DataFrame) -> DataFrame:
         """pairs: a, node, n, na.  Those that may link by their signatures."""
         known = pairs.join(self.known, "node").join(self.known.withColumnsRenamed({"node": "a", "sig": "sig_a", "shared": "shared_a"}), "a")
-        return materialize(known.mapInArrow(_near(self.t), "a long, node long, n int, na int"), "near")
+        return materialize(known.mapInArrow(lean(_near(self.t)), "a long, node long, n int, na int"), "near")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """pairs: a, node, n (size of node's set).  Links among them, by prefix trees in blocks of a bounded number of tokens."""
@@ -534,7 +534,7 @@ class NgramJoin:
         holders = self.nodes.where("doc_id IS NOT NULL").join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
         key = F.xxhash64("doc_id").alias("key")
         wanted = self.spark.sparkContext.broadcast(Bits.of(materialize(holders.select(key), "wanted")))
-        sets = self.docs.where("doc_id IS NOT NULL").select(key, "text").mapInArrow(_tokens_of(self.width, self.order, wanted), "node long, tokens binary").dropDuplicates(["node"])
+        sets = self.docs.where("doc_id IS NOT NULL").select(key, "text").mapInArrow(lean(_tokens_of(self.width, self.order, wanted)), "node long, tokens binary").dropDuplicates(["node"])
         blocks = members.join(sets, "node").groupBy("a", "block").applyInPandas(_compare(self.t), "u long, v long")
         return materialize(blocks, "links")
 

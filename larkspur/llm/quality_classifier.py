@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_fold, labelled_sample, with_results
+from .shared import crc_fold, labelled_sample, lean, with_results
 from .wordhash import _MULT, mix, slices, string_buffers, words_with_spans
 
 #: Labelled documents that the trees are fitted on, at most.
@@ -163,7 +163,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, hel
     Without labels of both kinds the score is their share (a half without any).
     """
     chosen = labelled_sample(labels, "quality", folds, held_out, sample)
-    found = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(_training_rows, "label int, x array<double>").collect()
+    found = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(lean(_training_rows), "label int, x array<double>").collect()
     found.sort(key=lambda r: (r["label"], r["x"]))
     return fit_trees(np.array([r["x"] for r in found]).reshape(len(found), len(FEATURES)), np.array([r["label"] for r in found], dtype=float))
 

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 CHECKPOINT = "spark.checkpoint.dir"
+#: Rows of an Arrow batch while a scratch table is written.
+ARROW_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +44,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspur-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS)  # long texts: smaller batches
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     atexit.register(_remove, spark, path)
     gc.collect()
     spark._jvm.System.gc()
@@ -50,6 +61,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _trim() -> None:
+    """Give freed memory back to the system: Python workers live on after a task, and what they keep adds up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """A map over batches that gives its memory back at the end of a task."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return wrapped
+
+
 def named(columns: Iterable[str]) -> list[Column]:
     """Columns by their names, whatever signs these have."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
@@ -74,7 +106,7 @@ def with_results(documents: DataFrame, keep: Iterable[str], inputs: dict[str, Co
     keep = list(keep)
     frame = documents.select(F.struct(*named(keep)).alias("row"), *[c.alias(name) for name, c in inputs.items()])
     schema = extended(frame.select("row").schema, more)
-    return frame.mapInArrow(run, schema).select(*[part_of("row", c) for c in keep], *schema.fieldNames()[1:])
+    return frame.mapInArrow(lean(run), schema).select(*[part_of("row", c) for c in keep], *schema.fieldNames()[1:])
 
 
 def crc_fold(column: str, folds: int) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import extended, materialize, named, part_of
+from .shared import extended, lean, materialize, named, part_of
 from .wordhash import _MULT, mix, sequence_hashes, slices, string_buffers, word_hashes, word_spans
 
 REACH = 4
@@ -173,11 +173,11 @@ def dedup_passages(documents: DataFrame, least_words: int = 50) -> DataFrame:
     docs = documents.select(
         F.struct(*named(rest)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("hash"), F.col("text").cast("string").alias("text")
     )
-    local = materialize(docs.select("doc_id", "hash", "text").mapInArrow(_local, _UNIT), "units")
+    local = materialize(docs.select("doc_id", "hash", "text").mapInArrow(lean(_local), _UNIT), "units")
     unit = "doc_id long, hash long, unit int"
-    later = local.where("first").select("digest", "doc_id", "hash", "unit").repartition(F.col("digest")).sortWithinPartitions("digest", "doc_id", "hash", "unit").mapInArrow(_later, unit)
+    later = local.where("first").select("digest", "doc_id", "hash", "unit").repartition(F.col("digest")).sortWithinPartitions("digest", "doc_id", "hash", "unit").mapInArrow(lean(_later), unit)
     gone = later.unionByName(local.where("NOT first").select("doc_id", "hash", "unit"))
     gone = gone.groupBy("doc_id", "hash").agg(F.collect_set("unit").alias("units"))
     joined = docs.join(gone, ["doc_id", "hash"], "left").select("row", "text", "units")
-    done = joined.mapInArrow(_cut(least_words), extended(joined.schema, "removed array<struct<start: bigint, end: bigint>>, removed_words long", without=("units",)))
+    done = joined.mapInArrow(lean(_cut(least_words)), extended(joined.schema, "removed array<struct<start: bigint, end: bigint>>, removed_words long", without=("units",)))
     return done.select(*[F.col("text") if c == "text" else part_of("row", c) for c in keep], "removed", "removed_words")

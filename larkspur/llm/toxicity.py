@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_fold, labelled_sample, materialize, with_results
+from .shared import crc_fold, labelled_sample, lean, materialize, with_results
 from .wordhash import slices, string_buffers, words_with_spans
 
 #: Labelled documents that the lexicon and the model are fitted on, at most.
@@ -302,7 +302,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, he
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
     lexicon = learn_lexicon(texts.where(half == 0))
     spread = texts.sparkSession.sparkContext.broadcast(lexicon)
-    rows = texts.where(half == 1).select("text", "label").mapInArrow(_features(spread), "label int, x array<double>").collect()
+    rows = texts.where(half == 1).select("text", "label").mapInArrow(lean(_features(spread)), "label int, x array<double>").collect()
     if not lexicon[0] or len({r["label"] for r in rows}) < 2:
         n = texts.agg(F.avg("label").alias("p")).first()["p"]
         share = min(0.99, max(0.01, 0.5 if n is None else n))
