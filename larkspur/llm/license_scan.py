@@ -36,7 +36,7 @@ TEMPLATES = {
     "CC0-1.0": "Licensed under CC0 1.0 Universal, dedicated to the public domain.",
     "proprietary": "All rights reserved.",
 }
-CUE = r"licen[cs]e|rights reserved|public domain|copyright|\bcc[ -]?(?:by|0)|redistribution|permission is hereby"
+CUE = r"licen[cs]e|rights[\W_]+reserved|public[\W_]+domain|copyright|\bcc[\W_]{0,9}(?:by|0)|redistribution|permission[\W_]+is[\W_]+hereby"
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 _CUE = re.compile(CUE, re.I)
 _END = re.compile(r"[.!?][\"')\]]*(?=\s)|\n")
@@ -46,6 +46,11 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def plain(text: str) -> str:
+    """Lower case, white space as one space: what is compressed, as words are compared without case, too."""
+    return " ".join(text.lower().split())
+
+
 def candidate_blocks(text: str, reach: int = 600) -> list[tuple[int, int]]:
     """Stretches of sentences around cues, (start, end); sentences end at a stop before white space or at a line end.
 
@@ -79,11 +84,11 @@ class Scanner:
         self.differences, self.winners = differences, winners
         self.words = {k: words(t) for k, t in self.templates.items()}
         self.plain = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
-        self.given = {k: zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in self.templates.items()}
+        self.given = {k: zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(plain(t).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in self.templates.items()}
 
     def rank(self, block: str) -> list[tuple[int, str]]:
         """(bytes saved, template), most first; ties by name."""
-        raw = block.encode()
+        raw = plain(block).encode()
         alone = len(self.plain.compress(raw))
         return sorted(((alone - len(c.compress(raw)), k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
 

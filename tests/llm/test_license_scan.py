@@ -47,3 +47,12 @@ def test_against_every_template(spark):
         assert [(x.license, x.start, x.end) for x in row.found] == [(x["license"], x["start"], x["end"]) for x in every.scan(text)] == [(x["license"], x["start"], x["end"]) for x in three.scan(text)]
     assert sorted(str(r.licenses) for r in got if r.doc_id in (None, 300, 301, 302)) == ["['proprietary']"] * 3 + ["[]"] * 2
     assert L.scan_licenses(df.where("false")).count() == 0
+
+
+def test_every_template_in_every_case():
+    scanner = L.Scanner()
+    for name, template in L.TEMPLATES.items():
+        for text in (template.upper(), template.title(), template.lower(), template.replace(" ", "  ")):
+            found = scanner.scan("Uno dos. " + text)
+            assert [(x["license"], x["differences"]) for x in found] == [(name, [])], text
+            assert found[0]["saved"] > 0
