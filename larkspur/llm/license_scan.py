@@ -1,6 +1,6 @@
 """License scans by conditional compression.
 
-Blocks (sentences of a line around a cue) are compressed with each license template as a zstandard raw
+Blocks (sentences around a cue) are compressed with each license template as a zstandard raw
 dictionary.  Templates are ranked by how many bytes that saves; winners are
 confirmed by the word differences between block and template.
 """
@@ -39,7 +39,11 @@ TEMPLATES = {
 CUE = r"licen[cs]e|rights[\W_]+reserved|public[\W_]+domain|copyright|\bcc[\W_]{0,9}(?:by|0)|redistribution|permission[\W_]+is[\W_]+hereby"
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 _CUE = re.compile(CUE, re.I)
-_END = re.compile(r"[.!?][\"')\]]*(?=\s)|\n")
+_SIGNS = r"[ \t]*(?:[#*;%!>|'\"]+|//+!?|/\*+!?|--+)?[ \t]*"
+#: Ends of sentences: a stop before white space, or a line without words; a single line end is white space.
+_END = re.compile(r"[.!?][\"')\]]*(?=\s)|\n" + _SIGNS + r"\r?(?=\n)")
+_SHORT = re.compile(r"\b(?:v|no)\Z", re.I)
+_LINE = re.compile(r"\n" + _SIGNS)
 
 
 def words(text: str) -> list[str]:
@@ -47,32 +51,44 @@ def words(text: str) -> list[str]:
 
 
 def plain(text: str) -> str:
-    """Lower case, white space as one space: what is compressed, as words are compared without case, too."""
-    return " ".join(text.lower().split())
+    """Lower case, white space (and comment signs at line starts) as one space: what is compressed, as words are compared without case, too."""
+    return " ".join(_LINE.sub(" ", text.lower()).split())
+
+
+def _stop(text: str, lo: int, hi: int) -> re.Match | None:
+    """The first end of a sentence; a version number such as "v. 2.0" has none."""
+    stop = _END.search(text, lo, hi)
+    while stop and _SHORT.search(text, max(0, stop.start() - 3), stop.start()):
+        stop = _END.search(text, stop.end(), hi)
+    return stop
 
 
 def candidate_blocks(text: str, reach: int = 600) -> list[tuple[int, int]]:
-    """Stretches of sentences around cues, (start, end); sentences end at a stop before white space or at a line end.
+    """Stretches of sentences around cues, (start, end); sentences end at a stop before white space or at a blank line.
 
-    A block is the sentence of a cue, or (where that is longer) `reach` characters on either side of it.
+    A block is the sentence of one or more cues, or (where that is longer) `reach` characters on
+    either side of them; cues whose surroundings meet within a sentence share a block.
     """
     found: list[tuple[int, int]] = []
     at = 0
     while cue := _CUE.search(text, at):
         lo = max(at, cue.start() - reach)
-        before = [m.end() for m in _END.finditer(text, lo, cue.start())]
+        before = [m.end() for m in _END.finditer(text, lo, cue.start()) if not _SHORT.search(text, max(0, m.start() - 3), m.start())]
         start = before[-1] if before else lo
-        stop = _END.search(text, cue.end(), min(len(text), cue.end() + reach + 2))
-        # a version number such as "v. 2.0" doesn't end the sentence
-        while stop and text[stop.start() - 2 : stop.start()].lower() in (" v", "no"):
-            stop = _END.search(text, stop.end(), min(len(text), cue.end() + reach + 2))
-        end = stop.end() if stop else min(len(text), cue.end() + reach)
+        while True:
+            most = min(len(text), cue.end() + 2 * reach + 2)
+            stop = _stop(text, cue.end(), most)
+            further = _CUE.search(text, cue.end(), stop.start() if stop else most)
+            if not further:
+                break
+            cue = further
+        end = min(stop.end() if stop else len(text), cue.end() + reach)
+        at = max(end, cue.end())
         while start < end and text[start].isspace():
             start += 1
         while end > start and text[end - 1].isspace():
             end -= 1
         found.append((start, end))
-        at = max(end, cue.end())
     return found
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 
 from helpers import prose
 from larkspur.llm import license_scan as L
@@ -56,3 +57,22 @@ def test_every_template_in_every_case():
             found = scanner.scan("Uno dos. " + text)
             assert [(x["license"], x["differences"]) for x in found] == [(name, [])], text
             assert found[0]["saved"] > 0
+
+
+def test_every_template_in_wrapped_lines():
+    rng = random.Random(4)
+    scanner = L.Scanner()
+    for name, template in L.TEMPLATES.items():
+        for width in (40, 72):
+            for sign in ("", "# ", " * ", "// ", "-- "):
+                notice = "\n".join(sign + line for line in textwrap.wrap(template, width))
+                for text in (notice, prose(rng, 30) + "\n\n" + notice + "\n\n" + prose(rng, 30), sign + "Copyright Uno Dos.\n" + sign.rstrip() + "\n" + notice):
+                    (found,) = scanner.scan(text)
+                    assert (found["license"], found["differences"]) == (name, []), text
+                    assert notice.removeprefix(sign) in text[found["start"] : found["end"]]
+
+
+def test_cues_in_one_sentence_share_a_block():
+    text = "uno " * 200 + "license " + "dos " * 200 + "copyright " + "tres " * 200
+    assert len(L.candidate_blocks(text)) == 1
+    assert L.candidate_blocks("una license.\n\nuna license") == [(0, 12), (14, 25)]
