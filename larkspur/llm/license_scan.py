@@ -1,16 +1,20 @@
 """License scans by conditional compression.
 
 Blocks (sentences around a cue) are compressed with each license template as a zstandard raw
-dictionary.  Templates are ranked by how many bytes that saves; winners are
-confirmed by the word differences between block and template.
+dictionary.  Templates are ranked by how many bytes that saves; each is held
+against every stretch of the block and confirmed by its word differences.  Of
+confirmed stretches that overlap the best one stays, all others are returned.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -42,6 +46,7 @@ _CUE = re.compile(CUE, re.I)
 _SIGNS = r"[ \t]*(?:[#*;%!>|'\"]+|//+!?|/\*+!?|--+)?[ \t]*"
 #: Ends of sentences: a stop before white space, or a line without words; a single line end is white space.
 _END = re.compile(r"[.!?][\"')\]]*(?=\s)|\n" + _SIGNS + r"\r?(?=\n)")
+_TAIL = re.compile(r"[^\w\s]*")
 _SHORT = re.compile(r"\b(?:v|no)\Z", re.I)
 _LINE = re.compile(r"\n" + _SIGNS)
 
@@ -93,12 +98,16 @@ def candidate_blocks(text: str, reach: int = 600) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """differences: words that may be lost, added or exchanged, as a share of the template's words."""
+    """differences: words that may be lost, added or exchanged, as a share of the template's words.
 
-    def __init__(self, templates: dict[str, str] | None = None, differences: float = 0.2, winners: int = 3) -> None:
+    winners: with a number, only so many templates of a block (by bytes saved) are confirmed; by default all.
+    """
+
+    def __init__(self, templates: dict[str, str] | None = None, differences: float = 0.2, winners: int | None = None) -> None:
         self.templates = dict(sorted((templates or TEMPLATES).items()))
         self.differences, self.winners = differences, winners
         self.words = {k: words(t) for k, t in self.templates.items()}
+        self.reach = max(600, *(2 * len(t) for t in self.templates.values())) if self.templates else 600
         self.plain = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
         self.given = {k: zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(plain(t).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in self.templates.items()}
 
@@ -108,36 +117,73 @@ class Scanner:
         alone = len(self.plain.compress(raw))
         return sorted(((alone - len(c.compress(raw)), k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
 
-    def differ(self, block: str, template: str) -> list[str]:
-        """Words to lose (-) or add (+) that turn the template into the block's nearest stretch of words."""
-        own, other = words(block), self.words[template]
-        match = difflib.SequenceMatcher(None, other, own, autojunk=False)
-        runs = [m for m in match.get_matching_blocks() if m.size]
-        if not runs:
-            return ["-" + w for w in other]
-        lo = max(0, runs[0].b - runs[0].a)
-        hi = min(len(own), runs[-1].b + runs[-1].size + len(other) - runs[-1].a - runs[-1].size)
+    def saved(self, stretch: str, template: str) -> int:
+        raw = plain(stretch).encode()
+        return len(self.plain.compress(raw)) - len(self.given[template].compress(raw))
+
+    def differ(self, own: list[str], template: str) -> list[str]:
+        """Words to lose (-) or add (+) that turn the template into a stretch of words."""
+        other = self.words[template]
         out: list[str] = []
-        for tag, a, b, c, d in difflib.SequenceMatcher(None, other, own[lo:hi], autojunk=False).get_opcodes():
+        for tag, a, b, c, d in difflib.SequenceMatcher(None, other, own, autojunk=False).get_opcodes():
             if tag != "equal":
-                out += ["-" + w for w in other[a:b]] + ["+" + w for w in own[lo + c : lo + d]]
+                out += ["-" + w for w in other[a:b]] + ["+" + w for w in own[c:d]]
         return out
 
+    def confirmed(self, own: list[str], ids: np.ndarray, known: dict[str, int], counts: Counter, template: str) -> Iterator[tuple[int, int, list[str]]]:
+        """Stretches (first word, end) of a block's words that differ little enough from the template, and their differences.
+
+        A stretch that may lose and add `most` words is at most twice as many edits away, so all ends of
+        stretches within that distance are judged; own words that are too few in common can't be.
+        """
+        other = self.words[template]
+        most = self.differences * len(other)
+        if not other or sum(min(n, counts[w]) for w, n in Counter(other).items()) < len(other) - most:
+            return
+        n = len(own)
+        place = np.arange(n + 1)
+        edits, start = np.zeros(n + 1, dtype=np.int64), place.copy()
+        for w in other:
+            kept = np.concatenate([[n + 1], edits[:-1] + (ids != known.get(w, -1))])
+            lost = edits + 1
+            best = np.minimum(kept, lost)
+            begin = np.where(kept <= lost, np.concatenate([[0], start[:-1]]), start)
+            # words added behind: the least of best[i] + (j - i), the nearest i first
+            level = best - place
+            least = np.minimum.accumulate(level)
+            nearest = np.maximum.accumulate(np.where(level == least, place, 0))
+            edits, start = least + place, begin[nearest]
+        for end in np.flatnonzero(edits <= 2 * most):
+            lo, hi = int(start[end]), int(end)
+            if lo < hi:
+                differences = self.differ(own[lo:hi], template)
+                if max(sum(w[0] == s for w in differences) for s in "+-") <= most:
+                    yield lo, hi, differences
+
     def scan(self, text: str) -> list[dict]:
         found = []
-        for start, end in candidate_blocks(text):
-            block, best = text[start:end], None
-            for saved, name in self.rank(block)[: self.winners]:
-                if saved <= 0:
-                    break
-                differences = self.differ(block, name)
-                if max(sum(w[0] == s for w in differences) for s in "+-") <= self.differences * len(self.words[name]):
-                    key = (len(differences), -saved, name)
-                    if best is None or key < best[0]:
-                        best = (key, {"license": name, "start": start, "end": end, "saved": saved, "differences": differences})
-            if best:
-                found.append(best[1])
-        return found
+        for start, end in candidate_blocks(text, self.reach):
+            block = text[start:end]
+            spans = [m.span() for m in _WORD.finditer(block)]
+            own = [block[a:b].lower() for a, b in spans]
+            counts = Counter(own)
+            known = {w: i for i, w in enumerate(counts)}
+            ids = np.array([known[w] for w in own], dtype=np.int64)
+            stretches, saves = [], {}
+            for _, name in self.rank(block)[: self.winners]:
+                for lo, hi, differences in self.confirmed(own, ids, known, counts, name):
+                    a, b = spans[lo][0], _TAIL.match(block, spans[hi - 1][1]).end()
+                    if (a, b, name) not in saves:
+                        saves[a, b, name] = self.saved(block[a:b], name)
+                    stretches.append((len(differences), -saves[a, b, name], name, lo, hi, a, b, differences))
+            taken: list[tuple[int, int]] = []  # words of the chosen stretches, in order
+            for n, saved, name, lo, hi, a, b, differences in sorted(stretches):
+                i = bisect(taken, (lo, hi))
+                if (i and taken[i - 1][1] > lo) or (i < len(taken) and taken[i][0] < hi):
+                    continue
+                taken.insert(i, (lo, hi))
+                found.append({"license": name, "start": start + a, "end": start + b, "saved": -saved, "differences": differences})
+        return sorted(found, key=lambda x: x["start"])
 
 
 _FOUND = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("saved", pa.int64()), ("differences", pa.list_(pa.string()))]))
@@ -159,9 +205,8 @@ def _run(templates: dict[str, str] | None, differences: float):
 def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None, differences: float = 0.2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns, licenses (sorted names) and found (license, start, end in characters, bytes saved, word differences) of every row.
 
-    Null and empty texts, and texts without a cue, have none.  Of equally good
-    templates the one with fewer differences, more bytes saved, then the lesser
-    name wins.  Rows repeat as they come; other columns are dropped.
+    Null and empty texts, and texts without a cue, have none.  Of stretches that overlap
+    the one with fewer differences, more bytes saved, then the lesser name wins.  Rows repeat as they come; other columns are dropped.
     """
     more = "licenses array<string>, found array<struct<license: string, start: bigint, end: bigint, saved: bigint, differences: array<string>>>"
     return with_results(documents, keep, {"text": F.col("text").cast("string")}, _run(templates, differences), more)

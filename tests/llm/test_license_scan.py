@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 import textwrap
 
@@ -76,3 +77,29 @@ def test_cues_in_one_sentence_share_a_block():
     text = "uno " * 200 + "license " + "dos " * 200 + "copyright " + "tres " * 200
     assert len(L.candidate_blocks(text)) == 1
     assert L.candidate_blocks("una license.\n\nuna license") == [(0, 12), (14, 25)]
+
+
+def test_several_licenses_in_one_sentence():
+    scanner = L.Scanner()
+    text = "Released under the MIT License and licensed under CC BY 4.0."
+    found = scanner.scan(text)
+    assert [(x["license"], x["differences"], text[x["start"] : x["end"]]) for x in found] == [("MIT", [], "Released under the MIT License"), ("CC-BY-4.0", [], "licensed under CC BY 4.0.")]
+    for (a, one), (b, two) in itertools.permutations(L.TEMPLATES.items(), 2):
+        got = [x["license"] for x in scanner.scan(one.rstrip(".") + " and " + two)]
+        assert got == [a, b], (one, two)
+
+
+def test_families_of_near_equal_templates():
+    """More templates than three save as many bytes: each is found by its own wording."""
+    templates = {f"X-{v}": f"This program may be used under the terms of the Example Public License, version {v}." for v in range(12)}
+    scanner = L.Scanner(templates)
+    for v in range(12):
+        assert [(x["license"], x["differences"]) for x in scanner.scan(templates[f"X-{v}"])] == [(f"X-{v}", [])]
+    (row,) = scanner.scan("Si no. " + templates["X-7"].replace("program", "work"))
+    assert row["license"] == "X-7" and row["differences"] == ["-program", "+work"]
+
+
+def test_many_in_one_block():
+    scanner = L.Scanner()
+    found = scanner.scan("uno dos licensed under CC BY 4.0 tres " * 2000)
+    assert [x["license"] for x in found] == ["CC-BY-4.0"] * 2000
