@@ -54,7 +54,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_remove, spark, path)
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
+
+
+def release(df: DataFrame) -> None:
+    """Remove a table of materialize() that nothing still to be run reads."""
+    _remove(df.sparkSession, df.scratch_path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

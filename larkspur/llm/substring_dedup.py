@@ -6,7 +6,9 @@ words on either side.  Inside a passage the cuts are the same wherever it
 stands, at the start of a line or in the middle of one; lines and paragraphs as units miss
 what was pasted into a line.  Units are normalised (A-Z as a-z, white space as
 one space) and grouped by digest over the whole corpus; the occurrence with the
-least (doc_id, text hash, place) is kept.
+least (doc_id, text hash, place) is kept.  Where a run of repeated units isn't
+long enough by itself, the true length of the passage decides: windows of the
+words around it are grouped by digest in the same way.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import extended, lean, materialize, named, part_of
+from .shared import extended, lean, materialize, named, part_of, release
 from .wordhash import _MULT, mix, sequence_hashes, slices, string_buffers, word_hashes, word_spans
 
 REACH = 4
@@ -60,15 +62,8 @@ def _units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 _UNIT = "digest long, doc_id long, hash long, unit int, first boolean"
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units of a task: of each digest the first occurrence (may be kept), and all others (will not)."""
-    cols: list[list[np.ndarray]] = [[], [], [], []]
-    for batch in batches:
-        for part in slices(batch):
-            digest, row, unit, _ = _units(part)
-            doc, text = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("hash").to_numpy(zero_copy_only=False)
-            for col, x in zip(cols, (digest.view(np.int64), doc[row], text[row], unit.astype(np.int32)), strict=True):
-                col.append(x)
+def _firsts(cols: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Batches of _UNIT from digests, ids, text hashes and places: of each digest the first occurrence (may be kept), and all others (will not)."""
     if not cols[0]:
         return
     digest, doc, text, unit = (np.concatenate(c) for c in cols)
@@ -84,6 +79,90 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (digest, doc, text, unit, first)], names=["digest", "doc_id", "hash", "unit", "first"])
 
 
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of a task, firsts and others."""
+    cols: list[list[np.ndarray]] = [[], [], [], []]
+    for batch in batches:
+        for part in slices(batch):
+            digest, row, unit, _ = _units(part)
+            doc, text = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("hash").to_numpy(zero_copy_only=False)
+            for col, x in zip(cols, (digest.view(np.int64), doc[row], text[row], unit.astype(np.int32)), strict=True):
+                col.append(x)
+    yield from _firsts(cols)
+
+
+def runs(units: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of consecutive units, (first, end)."""
+    return [(int(run[0]), int(run[-1]) + 1) for run in np.split(units, np.flatnonzero(np.diff(units) != 1) + 1)] if len(units) else []
+
+
+def doubtful(units: np.ndarray, starts: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Runs of at most `least` words that a passage of more words may hold.
+
+    A passage ends within the unit next to the run, or, where the earlier text has no cut
+    that this one has near the edge, up to REACH words before or REACH + 1 behind that unit.
+    """
+    out = []
+    for lo, hi in runs(units):
+        n = starts[hi] - starts[lo]
+        most = n + (starts[lo] - starts[lo - 1] + REACH if lo else 0) + (starts[hi + 1] - starts[hi] + REACH + 1 if hi < len(starts) - 1 else 0)
+        if n <= least < most:
+            out.append((lo, hi))
+    return out
+
+
+def _bounds(starts: np.ndarray, at: np.ndarray, i: int) -> np.ndarray:
+    """First word of each unit of text i, counted from its own first word, and its number of words."""
+    return np.append(starts[np.searchsorted(starts, at[i]) : np.searchsorted(starts, at[i + 1])], at[i + 1]) - at[i]
+
+
+def _doubts(least: int):
+    """Digests of the units in doubtful runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                digest, _, _, _ = _units(part)
+                words, at = word_hashes(part.column("text"))
+                starts = unit_starts(words, at)
+                found = [digest[:0]]
+                for i, units in enumerate(part.column("units")):
+                    begin = int(np.searchsorted(starts, at[i]))
+                    found += [digest[begin + lo : begin + hi] for lo, hi in doubtful(np.unique(units.values.to_numpy(zero_copy_only=False)), _bounds(starts, at, i), least)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], names=["digest"])
+
+    return run
+
+
+def _windows(least: int):
+    """All windows of least + 1 words that hold one of the given units whole; their place is that of the first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            for part in slices(batch):
+                words, at = word_hashes(part.column("text"))
+                starts = unit_starts(words, at)
+                for i, units in enumerate(part.column("units")):
+                    own = _bounds(starts, at, i)
+                    inside = np.zeros(max(0, own[-1] - least) + 1, dtype=np.int64)
+                    for u in units.values.to_numpy(zero_copy_only=False):
+                        lo, hi = max(0, own[u + 1] - least - 1), min(own[u] + 1, len(inside) - 1)
+                        if lo < hi:
+                            inside[lo] += 1
+                            inside[hi] -= 1
+                    place = np.flatnonzero(np.cumsum(inside) > 0)
+                    if len(place):
+                        text = words[at[i] : at[i + 1]]
+                        same = np.ones(len(place), dtype=np.int64)
+                        new = (sequence_hashes(text, place, place + least + 1).view(np.int64), same * part.column("doc_id")[i].as_py(), same * part.column("hash")[i].as_py(), place.astype(np.int32))
+                        for col, x in zip(cols, new, strict=True):
+                            col.append(x)
+        yield from _firsts(cols)
+
+    return run
+
+
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by digest and rank: all that aren't the first of their digest."""
     held = None
@@ -117,9 +196,10 @@ def _cut(least: int):
                     text = texts[i].as_py()
                     spans, n = [], 0
                     if units.is_valid and text:
-                        own = np.append(starts[np.searchsorted(starts, at[i]) : np.searchsorted(starts, at[i + 1])], at[i + 1]) - at[i]
+                        own, windows = _bounds(starts, at, i), part.column("windows")[i]
+                        seen = windows.values.to_numpy(zero_copy_only=False) if windows.is_valid else np.zeros(0, dtype=np.int32)
                         raw = data[offsets[i] : offsets[i + 1]]
-                        spans, n = passages(np.unique(units.values.to_numpy(zero_copy_only=False)), own, raw, least)
+                        spans, n = passages(np.unique(units.values.to_numpy(zero_copy_only=False)), own, raw, least, seen)
                         if spans:
                             raw = raw.tobytes()
                             kept, chars, at_byte, at_char = [], [], 0, 0
@@ -139,25 +219,43 @@ def _cut(least: int):
     return run
 
 
-def passages(units: np.ndarray, starts: np.ndarray, raw: np.ndarray, least: int) -> tuple[list[tuple[int, int]], int]:
-    """Byte spans to remove and their words: runs of repeated units that may belong to a passage of over `least` words.
+def passages(units: np.ndarray, starts: np.ndarray, raw: np.ndarray, least: int, seen: np.ndarray | None = None) -> tuple[list[tuple[int, int]], int]:
+    """Byte spans to remove and their words: runs of repeated units that belong to a passage of over `least` words.
 
-    starts: first word of each unit, and the number of words.  A passage that
-    repeats may reach into the units next to the run, so their words count
-    towards the length, but are not removed.
+    starts: first word of each unit, and the number of words.  seen: first words of windows of
+    least + 1 words that repeat; of a run of at most `least` words the units in these go.  Without
+    seen the length is only guessed: the words of the units next to the run count towards it.
     """
     spans, words = [], 0
     size = np.diff(starts)
     first, end = word_spans(raw)
-    for run in np.split(units, np.flatnonzero(np.diff(units) != 1) + 1) if len(units) else []:
-        lo, hi = int(run[0]), int(run[-1]) + 1
+    if seen is not None:
+        edge = np.zeros(int(starts[-1]) + 1, dtype=np.int64)
+        np.add.at(edge, seen, 1)
+        np.add.at(edge, seen + least + 1, -1)
+        bare = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) == 0)])  # words before each place that no window holds
+        whole = bare[starts[1:]] == bare[starts[:-1]]
+    for lo, hi in runs(units):
         around = (int(size[lo - 1]) if lo else 0) + (int(size[hi]) if hi < len(size) else 0)
-        if starts[hi] - starts[lo] + around > least:
-            spans.append((int(first[starts[lo]]), int(first[starts[hi]]) if starts[hi] < len(first) else len(raw)))
-            words += int(starts[hi] - starts[lo])
+        n = starts[hi] - starts[lo]
+        if seen is None or n > least:
+            gone = [(lo, hi)] if n + (around if seen is None else 0) > least else []
+        else:
+            gone = runs(lo + np.flatnonzero(whole[lo:hi]))
+        for a, b in gone:
+            spans.append((int(first[starts[a]]), int(first[starts[b]]) if starts[b] < len(first) else len(raw)))
+            words += int(starts[b] - starts[a])
     return spans, words
 
 
+def _repeats(local: DataFrame) -> DataFrame:
+    """doc_id, hash and the places of all that isn't the first occurrence of its digest."""
+    unit = "doc_id long, hash long, unit int"
+    later = local.where("first").select("digest", "doc_id", "hash", "unit").repartition(F.col("digest")).sortWithinPartitions("digest", "doc_id", "hash", "unit").mapInArrow(lean(_later), unit)
+    gone = later.unionByName(local.where("NOT first").select("doc_id", "hash", "unit"))
+    return gone.groupBy("doc_id", "hash").agg(F.collect_set("unit").alias("units"))
+
+
 def dedup_passages(documents: DataFrame, least_words: int = 50) -> DataFrame:
     """documents with repeated passages removed from text, and columns removed and removed_words.
 
@@ -174,10 +272,16 @@ def dedup_passages(documents: DataFrame, least_words: int = 50) -> DataFrame:
         F.struct(*named(rest)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("hash"), F.col("text").cast("string").alias("text")
     )
     local = materialize(docs.select("doc_id", "hash", "text").mapInArrow(lean(_local), _UNIT), "units")
-    unit = "doc_id long, hash long, unit int"
-    later = local.where("first").select("digest", "doc_id", "hash", "unit").repartition(F.col("digest")).sortWithinPartitions("digest", "doc_id", "hash", "unit").mapInArrow(lean(_later), unit)
-    gone = later.unionByName(local.where("NOT first").select("doc_id", "hash", "unit"))
-    gone = gone.groupBy("doc_id", "hash").agg(F.collect_set("unit").alias("units"))
-    joined = docs.join(gone, ["doc_id", "hash"], "left").select("row", "text", "units")
-    done = joined.mapInArrow(lean(_cut(least_words)), extended(joined.schema, "removed array<struct<start: bigint, end: bigint>>, removed_words long", without=("units",)))
+    key = ["doc_id", "hash"]
+    repeated = materialize(_repeats(local), "repeats")
+    joined = materialize(docs.join(repeated, key, "left").select("row", *key, "text", "units"), "repeated")
+    # runs of units too short by themselves: all windows of least_words + 1 words with such a unit are compared, wherever it stands
+    doubts = materialize(joined.where("units IS NOT NULL").select("text", "units").mapInArrow(lean(_doubts(least_words)), "digest long").distinct(), "doubts")
+    holders = materialize(local.join(doubts, "digest").groupBy(*key).agg(F.collect_set("unit").alias("units")), "holders")
+    release(local)
+    windows = materialize(joined.select(*key, "text").join(holders, key).mapInArrow(lean(_windows(least_words)), _UNIT), "windows")
+    seen = materialize(_repeats(windows).withColumnRenamed("units", "windows"), "seen")
+    release(windows)
+    judged = joined.join(seen, key, "left").select("row", "text", "units", "windows")
+    done = judged.mapInArrow(lean(_cut(least_words)), extended(judged.schema, "removed array<struct<start: bigint, end: bigint>>, removed_words long", without=("units", "windows")))
     return done.select(*[F.col("text") if c == "text" else part_of("row", c) for c in keep], "removed", "removed_words")

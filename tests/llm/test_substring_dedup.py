@@ -84,3 +84,19 @@ def test_repeats_and_nulls(spark):
         [(False, 4, False, text), (False, 4, False, text), (True, 0, False, ""), (True, 0, True, ""), (False, 5, False, ""), (False, 9, False, "x" * 2_000_000)]
     )
     assert S.dedup_passages(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_passages_about_as_long_as_the_limit(spark):
+    """In differing surroundings, repeats of 51 to 60 words go and those of 35 to 50 stay, as real substring comparison says."""
+    rng = random.Random(11)
+    plain = lambda n: " ".join(f"{rng.getrandbits(40):x}" for _ in range(n))
+    rows, length = [], {}
+    for n in [*range(35, 61)] * 12:
+        passage, i = plain(n), len(rows)
+        length[i + 1] = n
+        rows += [(i, f"{plain(30)} {passage} {plain(30)}"), (i + 1, f"{plain(30)} {passage} {plain(30)}")]
+    df = spark.createDataFrame([(i, t, "en", "x") for i, t in rows], DOCS).repartition(3)
+    got = {r.doc_id: r for r in S.dedup_passages(df).collect()}
+    wrong = [(n, got[i].removed_words) for i, n in length.items() if (got[i].removed_words > 0) != (n > 50)]
+    assert wrong == [] and not any(got[i - 1].removed_words for i in length)
+    assert all(got[i].removed_words <= n for i, n in length.items())
