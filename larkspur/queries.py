@@ -509,16 +509,21 @@ def pipeline_status(spark, sf_dir):
 
 
 def _containing(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, n): documents that contain each passage, by an inner word window and an exact check."""
+    """(query_id, n): documents that contain each passage, by an inner word window and an exact check.
+
+    Passages too short for a window between their first and last word, which may be parts of words, are held against every document.
+    """
     width = 4
-    inner = F.slice(F.split("text", r"\s+"), 2, width)
-    keys = items.select(F.col("item_id").alias("query_id"), "text", F.when(F.size(inner) == width, F.array_join(inner, " ")).alias("key"))
+    words = F.split("text", r"\s+")
+    inner = F.slice(words, 2, width)
+    keys = items.select(F.col("item_id").alias("query_id"), "text", F.when(F.size(words) >= width + 2, F.array_join(inner, " ")).alias("key"))
     windows = docs.select("doc_id", F.split("body", r"\s+").alias("w"))
     windows = windows.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, width), " ")))).alias("key"))
     # only ids meet by window; the few that do get their texts for the exact check
     met = windows.join(keys.where("key IS NOT NULL"), "key").select("query_id", "doc_id", "text").distinct()
     found = met.join(docs, "doc_id").where(F.contains("body", "text")).select("query_id", "doc_id").distinct()
-    return found.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = keys.where("key IS NULL").select("query_id", "text").join(docs, F.contains("body", "text")).select("query_id", "doc_id").distinct()
+    return found.unionByName(short).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
