@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, release
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> DataFrame:
+    return materialize(edges, "edges", n=F.count("*"), hash=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -22,19 +22,18 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     nulls are ignored.
     """
     e = edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _signature(e)
-    for _ in range(rounds):
+    e = _written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    for _ in range(rounds if e.stats["n"] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        e = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        after = _signature(e)
-        if after == before:
+        before, e = e, _written(small.select("e.u", "e.v").where("u <> v").distinct())
+        release(before)
+        if e.stats == before.stats:
             break
-        before = after
     else:
-        raise RuntimeError(f"components have not settled within {rounds} rounds")
+        if e.stats["n"]:
+            raise RuntimeError(f"components have not settled within {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

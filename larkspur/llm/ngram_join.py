@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import lean, materialize, named, part_of
+from .shared import lean, materialize, named, part_of, release
 from .wordhash import set_digest, shingles, slices, word_hashes
 
 #: Counters of the histogram that orders the tokens: 1 MB whatever the input.
@@ -44,8 +44,13 @@ TILE = 4096
 #: Bits of a signature: the power of two from so many times the set's size on.
 BITS_PER_TOKEN = 4
 #: Rounds with further pivots, at most, before components are compared in tiles; a round
-#: that links less than this share of the rows that it had is the last.
-PIVOT_ROUNDS, WORTH = 4, 0.005
+#: that links less than this share of the rows that it had is the last, and none is held where
+#: the rows left make at most so many pairs each.
+PIVOT_ROUNDS, WORTH, CHEAP = 4, 0.005, 64
+#: Rows of a token in one group of the first round: a token that is far more frequent is dealt to several.
+SPLIT = 2048
+#: Groups to which the rows of a token are dealt where they meet one row of that token.
+SALTS = 8
 #: Least shared tokens of a row that go with it, so that a pair comes out under its first one only.
 FIRST_TOKENS = 8
 #: Tokens of at most so many rows are paired by a join, of more rows in tiles with signatures.
@@ -129,6 +134,13 @@ class Order:
 
     def __init__(self, counts: np.ndarray) -> None:
         self.counts = counts
+        hot = max(SPLIT, 4 * int(counts.mean()))
+        self.groups = np.where(counts > hot, -(-counts // SPLIT), 1).astype(np.int64)
+
+    def salts(self, tokens: np.ndarray, digest: int) -> np.ndarray:
+        """The group in which a set meets others under each token; -1 where a token has only one."""
+        groups = self.groups[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
+        return np.where(groups > 1, (digest & ((1 << 62) - 1)) % groups, -1).astype(np.int32)
 
     def sort(self, tokens: np.ndarray) -> np.ndarray:
         """tokens: distinct and ascending."""
@@ -207,14 +219,16 @@ def _prefixes(width: int, order, t: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets of this task: copies within it go once
         for batch in _parts(batches):
-            out = {k: [] for k in ("token", "node", "n", "pos")}
+            out = {k: [] for k in ("token", "salt", "node", "n", "pos")}
             for tokens in _sets(batch, width):
                 n = len(tokens)
                 if not n or (digest := set_digest(tokens)) in seen:
                     continue
                 seen.add(digest)
                 p = n - ceil_div(t.numerator * n, t.denominator) + 1
-                out["token"].append(order.value.sort(tokens)[:p].view(np.int64))
+                first = order.value.sort(tokens)[:p]
+                out["token"].append(first.view(np.int64))
+                out["salt"].append(order.value.salts(first, digest))
                 out["node"].append(np.full(p, digest, dtype=np.int64))
                 out["n"].append(np.full(p, n, dtype=np.int32))
                 out["pos"].append(np.arange(p, dtype=np.int32))
@@ -250,22 +264,23 @@ def least_shared_sql(n1: str, n2: str, t: Fraction) -> str:
 
 
 def _stars(t: Fraction):
-    """Rows sorted by token and node, of tokens with two nodes or more: each row with the token's first (its pivot).
+    """Rows sorted by token, salt and node, of groups with two nodes or more: each row with its group's first (the pivot).
 
     A row comes out when the next one is known; what is kept is one pivot and
-    one row, however many rows a token has.
+    one row, however many rows a group has.  All rows of a token with several groups
+    come out, with `more`: they meet again in the next rounds.
     """
-    names = ("token", "node", "n", "pos")
+    names = ("token", "salt", "node", "n", "pos")
     schema = pa.schema([("a", pa.int64()), ("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("na", pa.int32()), ("meet", pa.bool_()), ("more", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {k: np.zeros(0, dtype=np.int64) for k in names}  # the last row, before it its pivot if that is another
-        third = False  # whether the held row is its token's third or later
+        third = False  # whether the held row is its group's third or later
 
         def out(x, take, pivot, more):
             i, j = np.flatnonzero(take), pivot[take]
             meet = (i != j) & _may_link(x["n"][i], x["pos"][i], x["n"][j], x["pos"][j], t)
-            cols = [x["node"][j], x["token"][i], x["node"][i], x["n"][i].astype(np.int32), x["pos"][i].astype(np.int32), x["n"][j].astype(np.int32), meet, more[i] & (i != j)]
+            cols = [x["node"][j], x["token"][i], x["node"][i], x["n"][i].astype(np.int32), x["pos"][i].astype(np.int32), x["n"][j].astype(np.int32), meet, (more[i] & (i != j)) | (x["salt"][i] >= 0)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
 
         for batch in batches:
@@ -273,7 +288,7 @@ def _stars(t: Fraction):
                 continue
             x = {k: np.concatenate([held[k], batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for k in names}
             first = np.ones(len(x["token"]), dtype=bool)
-            first[1:] = x["token"][1:] != x["token"][:-1]
+            first[1:] = (x["token"][1:] != x["token"][:-1]) | (x["salt"][1:] != x["salt"][:-1])
             again = ~first
             again[1:] &= x["node"][1:] == x["node"][:-1]
             again[0] = False
@@ -290,6 +305,7 @@ def _stars(t: Fraction):
             last = n - 1
             take = ~first
             take[:-1] |= ~first[1:]  # pivots, too
+            take |= x["salt"] >= 0
             if kept == 2:
                 take[0] = False  # this one came out before
             take[last] = False
@@ -298,8 +314,9 @@ def _stars(t: Fraction):
             third = bool(place[last] >= 2)
             keep = [last] if pivot[last] == last else [pivot[last], last]
             held = {k: v[keep] for k, v in x.items()}
-        if len(held["token"]) == 2:
-            yield out(held, np.array([False, True]), np.array([0, 0]), np.array([False, third]))
+        n = len(held["token"])
+        if n == 2 or (n and held["salt"][0] >= 0):
+            yield out(held, np.arange(n) == n - 1, np.zeros(n, dtype=np.int64), np.full(n, third))
 
     return run
 
@@ -338,9 +355,7 @@ def _tile_pairs(t: Fraction):
             by_size.setdefault(len(row[7]), []).append(row)
         packed = {k: (np.frombuffer(b"".join(r[7] for r in v), dtype=np.uint64).reshape(len(v), -1), *(np.array([r[i] for r in v], dtype=np.int64) for i in (3, 4, 5, 6, 8, 10))) for k, v in by_size.items()}
         for size, (sig, node, n, pos, root, tile, shared) in packed.items():
-            for other in (size, size // 2):
-                if other not in packed:
-                    continue
+            for other in (x for x in packed if x <= size):
                 sig2, node2, n2, pos2, root2, tile2, shared2 = packed[other]
                 own = fold(sig, sig2.shape[1])
                 for i in range(len(node)):
@@ -405,7 +420,7 @@ def _tokens_of(width: int, order, wanted):
 class Bits:
     """A set of hashed keys, of at most MOST bits: it may hold too many, never too few."""
 
-    MOST = 1 << 24
+    MOST = 1 << 26
 
     def __init__(self, words: np.ndarray) -> None:
         self.words = words
@@ -466,37 +481,39 @@ class NgramJoin:
             counts[part * _PART : (part + 1) * _PART] += np.frombuffer(found, dtype=np.int64)
         self.order = self.spark.sparkContext.broadcast(Order(counts))
 
-    def links(self) -> DataFrame:
-        """Links (u, v) of nodes that make all components; not every pair within a component."""
-        rows = self.docs.where("doc_id IS NOT NULL").mapInArrow(lean(_prefixes(self.width, self.order, self.t)), "token long, node long, n int, pos int")
-        met = materialize(
-            rows.repartition(F.col("token")).sortWithinPartitions("token", "node").mapInArrow(lean(_stars(self.t)), "a long, token long, node long, n int, pos int, na int, meet boolean, more boolean"), "met"
-        )
-        self.shared = materialize(met.groupBy("node").agg(F.count("*").cast("int").alias("shared")), "shared")
-        self.known = materialize(self.signatures.join(self.shared, "node").groupBy("node").agg(F.first("sig").alias("sig"), F.first("shared").alias("shared")), "known")
+    def roots(self) -> DataFrame:
+        """(node, root) of every node with a link: the components of all links."""
+        rows = self.docs.where("doc_id IS NOT NULL").mapInArrow(lean(_prefixes(self.width, self.order, self.t)), "token long, salt int, node long, n int, pos int")
+        kind = "a long, token long, node long, n int, pos int, na int, meet boolean, more boolean"
+        met = materialize(rows.repartition(F.col("token"), F.col("salt")).sortWithinPartitions("token", "salt", "node").mapInArrow(lean(_stars(self.t)), kind), "met")
+        #: node, sig and the number of its prefix tokens under which it meets others.
+        self.known = materialize(self.signatures.join(met.groupBy("node").agg(F.count("*").cast("int").alias("shared")), "node").groupBy("node").agg(F.first("sig").alias("sig"), F.first("shared").alias("shared")), "known")
+        self.sets = self._sets()
         links = self._verified(self._near(met.where("meet").groupBy("a", "node").agg(F.max("n").alias("n"), F.max("na").alias("na"))))
         roots = connected_components(links)
         rest = self._mixed(met.where("more").select("token", "node", "n", "pos"), roots)
+        release(met, links)
         num, den = self.t.numerator, self.t.denominator
         need = F.ceil(F.expr(f"({num} * (n + p.n)) / {num + den}D"))
         bound = F.expr("least(n - pos, p.n - p.pos) + least(pos, p.pos)")
         for turn in range(PIVOT_ROUNDS):
+            if rest.size["pairs"] <= CHEAP * rest.size["rows"]:
+                break
             pivot = rest.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "root"), F.xxhash64("node", "token", F.lit(turn))).alias("p"))
-            star = rest.join(pivot, "token").where(F.expr(f"root <> p.root AND {den} * least(n, p.n) >= {num} * greatest(n, p.n)") & (bound >= need))
+            star = self._dealt(rest, pivot).where(F.expr(f"root <> p.root AND {den} * least(n, p.n) >= {num} * greatest(n, p.n)") & (bound >= need))
             star = star.groupBy(F.col("p.node").alias("a"), "node").agg(F.max("n").alias("n"), F.max("p.n").alias("na"))
             further = self._verified(self._near(star))
-            found = further.count()
-            if not found:
+            if not further.stats["n"]:
                 break
-            links = materialize(links.unionByName(further), "links")
-            roots = connected_components(links)
-            size = rest.count()
+            before, had = rest, rest.size["rows"]
+            roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(further))
             rest = self._mixed(rest.select("token", "node", "n", "pos"), roots)
-            if found < WORTH * size:
+            release(before, further)
+            if further.stats["n"] < WORTH * had:
                 break
-        rest = materialize(rest.join(self.shared, "node"), "rest")
-        sizes = rest.groupBy("token").agg(F.count("*").alias("k"))
-        rest = rest.join(sizes, "token")
+        if not rest.size["rows"]:
+            return roots
+        rest = rest.join(self.known.select("node", "shared"), "node")
         x, y = rest.where(F.col("k") <= FEW).alias("x"), rest.where(F.col("k") <= FEW).alias("y")
         need = F.ceil(F.expr(f"({num} * (x.n + y.n)) / {num + den}D"))
         bound = F.expr("least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos)")
@@ -509,39 +526,56 @@ class NgramJoin:
         many = many.select("token", *columns, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
         many = many.select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), *columns)
         many = many.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node").mapInArrow(lean(_tile_pairs(self.t)), "a long, node long, n int, na int")
-        pairs = few.unionByName(many).distinct()
-        pairs = materialize(pairs, "pairs")
-        return links if pairs.isEmpty() else links.unionByName(self._verified(pairs))
+        pairs = materialize(few.unionByName(many).distinct(), "pairs", n=F.count("*"))
+        if not pairs.stats["n"]:
+            return roots
+        further = self._verified(pairs)
+        return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(further)) if further.stats["n"] else roots
+
+    def _dealt(self, rows: DataFrame, tokens: DataFrame) -> DataFrame:
+        """rows joined with tokens, one row each: the rows of a token are dealt to SALTS groups, which the adaptive skew join can cut further."""
+        salted = tokens.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"]).drop("salt")
 
     def _mixed(self, rows: DataFrame, roots: DataFrame) -> DataFrame:
-        """Rows of the tokens under which different components meet, with each row's root."""
-        rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rows = materialize(rows, "rest")
-        mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-        return materialize(rows.join(mixed, "token"), "mixed")
+        """Rows of the tokens under which different components meet, with each row's root and the token's number of rows, k.
+
+        The result's `size` has its rows and the pairs that they make under their tokens.
+        """
+        rows = materialize(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rest")
+        tokens = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).where("low <> high").select("token", "k")
+        tokens = materialize(tokens, "mixed", rows=F.sum("k"), pairs=F.sum(F.expr("k * (k - 1) / 2")))
+        size = {k: v or 0 for k, v in tokens.stats.items()}
+        found = materialize(self._dealt(rows, tokens), "mixed")
+        release(rows, tokens)
+        found.size = size
+        return found
 
     def _near(self, pairs: DataFrame) -> DataFrame:
         """pairs: a, node, n, na.  Those that may link by their signatures."""
         known = pairs.join(self.known, "node").join(self.known.withColumnsRenamed({"node": "a", "sig": "sig_a", "shared": "shared_a"}), "a")
         return materialize(known.mapInArrow(lean(_near(self.t)), "a long, node long, n int, na int"), "near")
 
+    def _sets(self) -> DataFrame:
+        """(node, tokens in the global order) of the nodes that meet others: the texts are read once for all comparisons."""
+        holders = self.nodes.where("doc_id IS NOT NULL").join(self.known.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        key = F.xxhash64("doc_id").alias("key")
+        ids = materialize(holders.select(key), "wanted")
+        wanted = self.spark.sparkContext.broadcast(Bits.of(ids))
+        release(ids)
+        return materialize(self.docs.where("doc_id IS NOT NULL").select(key, "text").mapInArrow(lean(_tokens_of(self.width, self.order, wanted)), "node long, tokens binary").join(self.known.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """pairs: a, node, n (size of node's set).  Links among them, by prefix trees in blocks of a bounded number of tokens."""
         shares = pairs.groupBy("a").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("blocks"))
         spread = pairs.join(shares, "a").select("a", "node", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).alias("block"))
         members = spread.unionByName(spread.select("a", F.col("a").alias("node"), "block").distinct())
-        members = materialize(members, "members")
-        holders = self.nodes.where("doc_id IS NOT NULL").join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        key = F.xxhash64("doc_id").alias("key")
-        wanted = self.spark.sparkContext.broadcast(Bits.of(materialize(holders.select(key), "wanted")))
-        sets = self.docs.where("doc_id IS NOT NULL").select(key, "text").mapInArrow(lean(_tokens_of(self.width, self.order, wanted)), "node long, tokens binary").dropDuplicates(["node"])
-        blocks = members.join(sets, "node").groupBy("a", "block").applyInPandas(_compare(self.t), "u long, v long")
-        return materialize(blocks, "links")
+        blocks = members.join(self.sets, "node").groupBy("a", "block").applyInPandas(_compare(self.t), "u long, v long")
+        return materialize(blocks, "links", n=F.count("*"))
 
     def classes(self) -> DataFrame:
         """doc_id, key, n_shingles, component_id (least doc_id of the class) of every row."""
-        roots = connected_components(self.links())
-        docs = self.nodes.join(roots, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
+        docs = self.nodes.join(self.roots(), "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
         docs = materialize(docs, "docs")
         least = docs.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
         linked = docs.where("root IS NOT NULL AND doc_id IS NOT NULL").join(least, "root").select("doc_id", "key", "n_shingles", "component_id")

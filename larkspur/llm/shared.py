@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -22,9 +22,16 @@ ARROW_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where it is unset) a new temporary one."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset a single local JVM gets a temporary folder; on a cluster, whose executors
+    would each write to a folder of their own, that raises.
+    """
     found = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT, None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{CHECKPOINT} must name a folder that all executors share (master {master})")
         found = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set(CHECKPOINT, found)
     return found
@@ -36,32 +43,64 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Scratch tables that have not been removed, in the order they were written.
+_LIVE: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in _LIVE.items():
+        _remove(spark, path)
+
+
+def materialize(df: DataFrame, name: str, **stats: Column) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    Shuffle files that only this table needed go when the driver collects its
-    garbage, which is asked for here.
+    Shuffle files of the write are removed when it ends.  stats: aggregates over the rows written,
+    found without another job; the result holds them in `stats`.  The tables lie in a folder named by the
+    application, so that what an application that died has left can be told and removed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/larkspur-{name}-{uuid.uuid4().hex}"
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS)  # long texts: smaller batches
+    path = f"{shared_dir(spark)}/larkspur-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    held = {rows: min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS, "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}  # long texts: smaller batches
+    before = {k: spark.conf.get(k, None) for k in held}
+    seen = Observation() if stats else None
+    for k, v in held.items():
+        spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        (df.observe(seen, *[c.alias(k) for k, c in stats.items()]) if seen else df).write.parquet(path)
     finally:
-        spark.conf.set(batch, before)
-    atexit.register(_remove, spark, path)
-    gc.collect()
-    spark._jvm.System.gc()
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    _LIVE[path] = spark
     written = spark.read.schema(df.schema).parquet(path)
-    written.scratch_path = path
+    written.scratch_path, written.stats = path, seen.get if seen else {}
     return written
 
 
-def release(df: DataFrame) -> None:
-    """Remove a table of materialize() that nothing still to be run reads."""
-    _remove(df.sparkSession, df.scratch_path)
+def release(*tables: DataFrame) -> None:
+    """Remove tables of materialize() that nothing still to be run reads."""
+    for df in tables:
+        _LIVE.pop(df.scratch_path, None)
+        _remove(df.sparkSession, df.scratch_path)
+
+
+@contextlib.contextmanager
+def scratch():
+    """What is written inside and isn't given to the function this yields is removed at the end."""
+    before, kept = set(_LIVE), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.scratch_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _LIVE if p not in before and p not in kept]:
+            _remove(_LIVE.pop(path), path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

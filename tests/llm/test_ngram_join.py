@@ -28,7 +28,7 @@ def shingle_set(text, width=5):
     return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1)))
 
 
-def brute(pairs):
+def brute(pairs, t=Fraction(3, 4)):
     """(doc_id, n, component) of rows; equal ids are different rows of one name."""
     sets = [shingle_set(t) for _, t in pairs]
     root = list(range(len(pairs)))
@@ -41,7 +41,7 @@ def brute(pairs):
     for i in range(len(pairs)):
         for j in range(i):
             common = len(sets[i] & sets[j])
-            if pairs[i][0] is not None and pairs[j][0] is not None and common and 100 * common >= 75 * len(sets[i] | sets[j]):
+            if pairs[i][0] is not None and pairs[j][0] is not None and common and common >= t * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     least = {}
@@ -74,6 +74,36 @@ def test_against_brute_force(spark, seed, monkeypatch):
     assert sorted(map(tuple, got)) == brute(pairs)[0]
 
 
+@pytest.mark.parametrize("t", [Fraction(1, 5), Fraction(1, 3), Fraction(9, 10)])
+def test_other_thresholds(spark, t, monkeypatch):
+    """Sets of very different sizes link at low thresholds; pivots alone don't find all of them."""
+    monkeypatch.setattr(N, "TILE", 4)
+    monkeypatch.setattr(N, "FEW", 2)
+    monkeypatch.setattr(N, "SPLIT", 8)
+    rng = random.Random(9)
+    out = []
+    for _ in range(12):
+        base = prose(rng, 200).split(" ")
+        for _ in range(20):
+            at, n = rng.randint(0, 120), rng.choice([20, 40, 60, 80])
+            out.append(edited(rng, " ".join(base[at : at + n]), 0.02))
+    pairs = list(enumerate(out))
+    got = N.near_duplicate_classes(spark.createDataFrame(rows(pairs), DOCS), t).collect()
+    assert sorted(map(tuple, got)) == brute(pairs, t)[0]
+
+
+@pytest.mark.parametrize("cheap", [0, 10**9])
+def test_frequent_tokens_in_several_groups(spark, monkeypatch, cheap):
+    """With and without further pivots, and with tokens dealt to many groups."""
+    monkeypatch.setattr(N, "SPLIT", 4)
+    monkeypatch.setattr(N, "SALTS", 3)
+    monkeypatch.setattr(N, "CHEAP", cheap)
+    monkeypatch.setattr(N, "WORTH", 0.0)
+    pairs = corpus(3, groups=2, size=60)
+    got = N.near_duplicate_classes(spark.createDataFrame(rows(pairs), DOCS).repartition(5)).collect()
+    assert sorted(map(tuple, got)) == brute(pairs)[0]
+
+
 def test_hard_cases(spark):
     rng = random.Random(5)
     base = prose(rng, 80)
