@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, named, part_of
+from .shared import materialize, named, part_of, release
 
 LEVELS = ("domain", "lang", "source")
 WORDS = r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"
@@ -28,12 +28,13 @@ BROADCAST_ROWS = 20_000
 class Mix:
     """weights: whole numbers by the path of a node, e.g. ("web",) or ("web", "en"); others have 1.
 
-    budget: tokens, or None for as many as the input has.  tokens, domain: SQL
-    expressions over the columns of documents.
+    budget: tokens, or None for a share of those of the input (a fraction, all by default).  tokens,
+    domain: SQL expressions over the columns of documents.
     """
 
     weights: dict[tuple[str, ...], int] = field(default_factory=dict)
     budget: int | None = None
+    share: tuple[int, int] = (1, 1)
     epochs: int = 2
     seed: str = "mix"
     tokens: str = WORDS
@@ -78,11 +79,11 @@ def share_out(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     return level.withColumn(name, F.when(F.col("full"), F.col("cap")).otherwise(F.floor(F.col("w") * F.col("level"))).cast("long")).drop("level", "place", "full")
 
 
-def budgets(documents: DataFrame, mix: Mix) -> DataFrame:
-    """One row per leaf: __domain, __lang, __source, docs, tokens, cap (tokens times epochs), grant."""
+def budgets(documents: DataFrame, mix: Mix, rows: DataFrame | None = None) -> DataFrame:
+    """One row per leaf: __domain, __lang, __source, docs, tokens, cap (tokens times epochs), grant.  rows: _leaves(documents, mix), if it is written already."""
     keys = ["__domain", "__lang", "__source"]
-    leaves = materialize(_leaves(documents, mix).groupBy(*keys).agg(F.count("*").alias("docs"), F.sum("__tokens").alias("tokens")).withColumn("cap", F.col("tokens") * mix.epochs), "leaves")
-    total = leaves.agg(F.sum("tokens").alias("t")).first()["t"] or 0
+    leaves = materialize((_leaves(documents, mix) if rows is None else rows).groupBy(*keys).agg(F.count("*").alias("docs"), F.sum("__tokens").alias("tokens")).withColumn("cap", F.col("tokens") * mix.epochs), "leaves")
+    total = (leaves.agg(F.sum("tokens").alias("t")).first()["t"] or 0) * mix.share[0] // mix.share[1]
     grants = leaves.select(F.lit("").alias("__root"), *keys, "cap")
     level = None
     for depth in range(1, len(keys) + 1):
@@ -102,13 +103,15 @@ def mix_sources(documents: DataFrame, mix: Mix | None = None) -> DataFrame:
     Rows are chosen whole; columns epoch, domain and n_tokens of the input are
     replaced.  A null language or source is the leaf "?"; null and empty texts
     have no tokens and go with the epochs of their leaf.  Rows with equal doc_id in a leaf
-    are chosen together.  A leaf without tokens gives one epoch.  Texts aren't shuffled:
-    a leaf's choice is its number of epochs and one limit of the order.
+    are chosen together.  A leaf without tokens gives one epoch.  A leaf's choice is its number of epochs and one limit of
+    the order, so texts aren't shuffled as long as there are at most BROADCAST_ROWS leaves; with more
+    each text is shuffled once, to its leaf's limit.  Words are counted once for the budgets and once as the rows are chosen.
     """
     mix = mix or Mix()
     keys = ["__domain", "__lang", "__source"]
     keep = [c for c in documents.columns if c not in ("epoch", "domain", "n_tokens")]
-    leaves = budgets(documents, mix)
+    counted = materialize(_leaves(documents, mix), "counted")
+    leaves = budgets(documents, mix, counted)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("grant") / F.col("tokens"))).otherwise(1).cast("int")
     leaves = materialize(leaves.withColumn("whole", whole).withColumn("rest", F.when(F.col("tokens") > 0, F.col("grant") - F.col("whole") * F.col("tokens")).otherwise(0)), "grants")
     stats = leaves.agg(F.count("*").alias("n"), F.max("docs").alias("most")).first()
@@ -116,7 +119,7 @@ def mix_sources(documents: DataFrame, mix: Mix | None = None) -> DataFrame:
     digits = 1
     while digits < 8 and (stats["most"] or 0) / 16**digits > 500:
         digits += 1
-    rows = _leaves(documents, mix).join(small(leaves.select(*keys, "whole", "rest")), keys).withColumn("__order", _order(mix))
+    rows = counted.join(small(leaves.select(*keys, "whole", "rest")), keys).withColumn("__order", _order(mix))
     # the bucket of orders in which a leaf's prefix ends, then the row within it
     part = rows.where("rest > 0").withColumn("__bucket", F.substring("__order", 1, digits))
     buckets = part.groupBy(*keys, "__bucket").agg(F.sum("__tokens").alias("t"), F.max("rest").alias("rest"))
@@ -128,6 +131,7 @@ def mix_sources(documents: DataFrame, mix: Mix | None = None) -> DataFrame:
     # a leaf whose bucket gives no row ends below that bucket
     limits = ends.join(inside, keys, "left").select(*keys, F.coalesce("limit", F.col("__bucket")).alias("limit"))
     limits = materialize(leaves.select(*keys, "whole", "rest").join(limits, keys, "left"), "limits")
+    release(counted, ends)
     chosen = _leaves(documents, mix, keep).join(small(limits), keys)
     more = (F.col("rest") > 0) & (F.col("limit").isNull() | (_order(mix) <= F.col("limit")))
     chosen = chosen.withColumn("__n", F.col("whole") + more.cast("int")).where("__n > 0")

@@ -47,10 +47,16 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read(spark, sf_dir, "pages"))
 
 
+#: Weights of nodes (all others 1) and the share of the tokens that op6_source_mixing gives out.
+OP6_WEIGHTS = {("d0",): 4, ("d1",): 3, ("d3",): 2, ("d0", "en"): 3, ("d0", "de"): 2, ("d1", "fr"): 5, ("d2", "es"): 2, ("d0", "en", "src0"): 2, ("d1", "en", "src1"): 3, ("d3", "de", "src7"): 4}
+OP6_SHARE = (3, 4)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix_sources
+    """Three quarters of the tokens by weights at all three levels; what a small source lacks goes to its siblings first."""
+    from .mixing import Mix, mix_sources
 
-    return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
+    return mix_sources(read(spark, sf_dir, "documents"), Mix(weights=OP6_WEIGHTS, share=OP6_SHARE)).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,17 +124,19 @@ def _level(n: int, parent: str, parent_keys: list[str], key: str) -> str:
     grant = f"JOIN {parent} p USING ({', '.join(parent_keys)})" if parent_keys else f"CROSS JOIN {parent} p"
     match = " AND ".join(f"l.{k} = f.{k}" for k in parent_keys) or "TRUE"
     groups = f"GROUP BY {', '.join(parent_keys)}" if parent_keys else ""
+    weights = "".join(f" WHEN {' AND '.join(f"{k} = '{v}'" for k, v in zip(keys, path, strict=True))} THEN {w}" for path, w in OP6_WEIGHTS.items() if len(path) == n)
+    weight = f"CAST(CASE{weights} ELSE 1 END AS DOUBLE)" if weights else "CAST(1 AS DOUBLE)"
     return f"""
 nodes{n} AS (
-  SELECT {cols}, cap, CAST(p.given AS DOUBLE) AS granted FROM (SELECT {cols}, CAST(sum(cap) AS BIGINT) AS cap FROM leaves GROUP BY {cols}) {grant}
+  SELECT {cols}, cap, {weight} AS w, CAST(p.given AS DOUBLE) AS granted FROM (SELECT {cols}, CAST(sum(cap) AS BIGINT) AS cap FROM leaves GROUP BY {cols}) {grant}
 ), level{n} AS (
-  SELECT *, row_number() OVER ({part} ORDER BY cap, {key}) AS place,
-    (granted - coalesce(sum(cap) OVER ({part} ORDER BY cap, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / CAST(count(*) OVER ({part} ORDER BY cap, {key} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  SELECT *, row_number() OVER ({part} ORDER BY cap / w, {key}) AS place,
+    (granted - coalesce(sum(cap) OVER ({part} ORDER BY cap / w, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER ({part} ORDER BY cap / w, {key} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM nodes{n}
 ), first{n} AS (
-  SELECT {', '.join([*parent_keys, 'arg_min(level, place) AS level'])} FROM level{n} WHERE cap > level {groups}
+  SELECT {', '.join([*parent_keys, 'arg_min(level, place) AS level'])} FROM level{n} WHERE cap / w > level {groups}
 ), given{n} AS (
-  SELECT {', '.join('l.' + k for k in keys)}, CAST(CASE WHEN f.level IS NULL OR l.cap <= f.level THEN l.cap ELSE floor(f.level) END AS BIGINT) AS given FROM level{n} l LEFT JOIN first{n} f ON {match}
+  SELECT {', '.join('l.' + k for k in keys)}, CAST(CASE WHEN f.level IS NULL OR l.cap / l.w <= f.level THEN l.cap ELSE floor(l.w * f.level) END AS BIGINT) AS given FROM level{n} l LEFT JOIN first{n} f ON {match}
 )"""
 
 
@@ -140,7 +148,7 @@ WITH d AS (
 ), leaves AS (
   SELECT domain, l, s, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) * 2 AS BIGINT) AS cap FROM d GROUP BY domain, l, s
 ), total AS (
-  SELECT CAST(sum(tokens) AS BIGINT) AS given FROM leaves
+  SELECT CAST(sum(tokens) * {OP6_SHARE[0]} // {OP6_SHARE[1]} AS BIGINT) AS given FROM leaves
 ), {_level(1, "total", [], "domain")}, {_level(2, "given1", ["domain"], "l")}, {_level(3, "given2", ["domain", "l"], "s")}, shares AS (
   SELECT domain, l, s, CAST(CASE WHEN tokens > 0 THEN floor(CAST(given AS DOUBLE) / tokens) ELSE 1 END AS BIGINT) AS whole, given, tokens FROM leaves JOIN given3 USING (domain, l, s)
 ), ordered AS (
@@ -195,8 +203,10 @@ WITH d AS (
   SELECT x.r, f.g, f.q, CAST(x.n AS DOUBLE) / nullif(t.total, 0) AS p FROM cells x JOIN counted t ON t.r = x.r JOIN char_ref f ON f.c = x.c
 ), char_distance AS (
   SELECT r, min(v) AS char_distance FROM (SELECT r, g, sqrt(greatest(sum({term}), 0)) AS v FROM char_terms WHERE p IS NOT NULL GROUP BY r, g) GROUP BY r
+), runs AS (
+  SELECT r, lang, lower(unnest(list_filter(string_split_regex(t, '[^\p{{L}}]+'), lambda x: x <> ''))) AS word FROM d
 ), common AS (
-  SELECT r, lang, lower(word) AS word, count(*) AS n FROM words WHERE lower(word) IN ({vocabulary}) GROUP BY r, lang, lower(word)
+  SELECT r, lang, CASE WHEN word IN ({vocabulary}) THEN word ELSE '' END AS word, count(*) AS n FROM runs GROUP BY 1, 2, 3
 ), common_sizes AS (
   SELECT r, CAST(sum(n) AS BIGINT) AS n_common FROM common GROUP BY r
 ), word_ref AS (
@@ -208,13 +218,13 @@ WITH d AS (
   SELECT r, min(v) AS word_distance FROM (SELECT r, g, sqrt(greatest(0.5 + sum({term} - 0.5 * q), 0)) AS v FROM word_terms GROUP BY r, g) GROUP BY r
 ), base AS (
   SELECT d.r, d.doc_id, coalesce(s.n_words, 0) AS n_words, coalesce(s.word_chars, 0) AS word_chars, CAST(c.symbol AS BIGINT) AS n_symbols, coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(v.n_repeat_words, 0) AS n_repeat_words,
-         coalesce(k.char_distance, 0) AS char_distance, coalesce(z.n_common, 0) AS n_common, coalesce(x.word_distance, 1) AS word_distance
-  FROM d JOIN counted c USING (r) LEFT JOIN sizes s USING (r) LEFT JOIN lines l USING (r) LEFT JOIN covered v USING (r) LEFT JOIN char_distance k USING (r) LEFT JOIN common_sizes z USING (r) LEFT JOIN word_distance x USING (r)
+         coalesce(k.char_distance, 0) AS char_distance, coalesce(x.word_distance, 1) AS word_distance
+  FROM d JOIN counted c USING (r) LEFT JOIN sizes s USING (r) LEFT JOIN lines l USING (r) LEFT JOIN covered v USING (r) LEFT JOIN char_distance k USING (r) LEFT JOIN word_distance x USING (r)
 ), judged AS (
   SELECT *, n_words < {rules.least_words} OR 100 * n_repeat_words > {rules.repeat_percent} * n_words AS base_failed FROM base
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (n_words < {rules.char_words} OR char_distance <= {rules.char_distance}) AND (n_common < {rules.word_words} OR word_distance <= {rules.word_distance}) AS kept
+       NOT base_failed AND (n_words < {rules.char_words} OR char_distance <= {rules.char_distance}) AND (n_words < {rules.word_words} OR word_distance <= {rules.word_distance}) AS kept
 FROM judged
 """
 

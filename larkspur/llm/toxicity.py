@@ -33,6 +33,8 @@ REPORTING = frozenset("said says say quoted quotes quote wrote writes called cal
 #: Signs written for letters.
 SIGNS = str.maketrans("013457@$!", "oleastasi")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+#: Words as they are learned: letters only.
+_LETTERS = re.compile(r"[^\W\d_]+")
 FEATURES = ("exact", "stem", "near", "quoted", "density", "distinct", "crowd", "bias")
 
 
@@ -44,8 +46,10 @@ def normalise(word: str) -> str:
 class Lexicon:
     """Terms in a trie and the lazily determinised product with Levenshtein automata.
 
-    A term of at least `fuzzy` letters is found with one edit (insertion, loss,
-    exchange), shorter ones exactly.  A stem is found as the beginning of a word.
+    A term of at least `fuzzy` letters is found with one edit (a letter too many, too few or
+    another one; two letters in each other's place are two edits), shorter ones exactly.  A stem is
+    found as the beginning of a word.  A word between spaces is looked up as it is and, where it has several
+    runs of letters, run by run, as the lexicon is learned.
     """
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy: int = 5) -> None:
@@ -122,8 +126,13 @@ class Lexicon:
         return self.accepts[state]
 
     def look_up(self, word: str) -> tuple[int, float, int]:
-        """Kind (0 none, 1 exact, 2 stem, 3 near), weight and an identity of what was found."""
+        """Kind (0 none, 1 exact, 2 stem, 3 near), weight and an identity of what was found, the best of the word and its runs of letters."""
         word = normalise(word)
+        runs = _LETTERS.findall(word)
+        found = [self._look_up(w) for w in ([word] if runs == [word] else [word, *runs])]
+        return min((x for x in found if x[0]), key=lambda x: (x[0], -x[1], x[2]), default=(0, 0.0, 0))
+
+    def _look_up(self, word: str) -> tuple[int, float, int]:
         found = self.find(word)
         if found is None and (plain := word.translate(SIGNS)) != word:
             found = self.find(plain)

@@ -37,7 +37,7 @@ def brute(rows, mix):
     for i, text, lang, source in rows:
         leaves[domain(source), lang or "?", source or "?"].append((i, len((text or "").split())))
     tokens = {k: sum(n for _, n in v) for k, v in leaves.items()}
-    total = sum(tokens.values()) if mix.budget is None else mix.budget
+    total = sum(tokens.values()) * mix.share[0] // mix.share[1] if mix.budget is None else mix.budget
     grants = {(): total}
     for depth in (1, 2, 3):
         level = {}
@@ -74,7 +74,7 @@ def rows(n=600, seed=1):
     return out + [(9000, None, "fr", "src7"), (9001, "", "fr", "src7"), (None, "x y", "en", "src0"), (5, "b b b", "en", "src0"), (5, "b b b", "en", "src0")]
 
 
-@pytest.mark.parametrize("mix", [Mix(), Mix(budget=900), Mix(budget=10**9, epochs=3), Mix(weights={("d0",): 5, ("d0", "de"): 3, ("d1", "en", "src1"): 2}, budget=4000, seed="z"), Mix(budget=0)])
+@pytest.mark.parametrize("mix", [Mix(), Mix(budget=900), Mix(budget=10**9, epochs=3), Mix(weights={("d0",): 5, ("d0", "de"): 3, ("d1", "en", "src1"): 2}, budget=4000, seed="z"), Mix(budget=0), Mix(weights={("d0",): 3, ("d1", "en"): 2}, share=(2, 3))])
 def test_against_brute_force(spark, mix):
     data = rows()
     df = spark.createDataFrame([(*r, "clash") for r in data], DOCS).repartition(3)

@@ -136,6 +136,15 @@ def test_quotation():
     assert [list(np.flatnonzero(r[:4])) for r in x] == [[0], [3], [1], [2], [], [], [0, 2]]
 
 
+def test_one_tokenisation():
+    """A term is found wherever learning would have seen it as a word: between any signs."""
+    finder = T.Lexicon({"idiota": 3.0, "moron": 2.0}, {})
+    for text in ("d'idiota", "idiota-nada", "nada/idiota", "(l'idiota)", "uno_idiota", "uno2idiota"):
+        assert finder.look_up(text)[:2] == (1, 3.0), text
+    assert finder.look_up("moron-idiota")[:2] == (1, 3.0)
+    assert finder.look_up("d'idiotta")[0] == 3 and finder.look_up("uno-dos")[0] == 0
+
+
 def base_counts(x):
     w = re.findall(r"[^\x20\x09-\x0D]+", x or "")
     c = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
@@ -171,7 +180,7 @@ def test_rules_against_brute_force(spark):
         assert r.base_failed == (n < 50 or 100 * repeat > 50 * n)
         assert not (r.base_failed and r.kept)
     vocabulary = {w for x in R.COMMON.values() for w in x.split()}
-    common = lambda t: Counter(w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "") if w.lower() in vocabulary)
+    common = lambda t: Counter(w.lower() if w.lower() in vocabulary else "" for w in re.findall(r"[^\W\d_]+", t or ""))
     total = sum((common(t) for t in texts[:60]), Counter())
     share = lambda c: {k: v / sum(c.values()) for k, v in c.items()}
     spanish = share(common("una dos"))
@@ -180,6 +189,25 @@ def test_rules_against_brute_force(spark):
         expected = min(jsd(share(c), share(total)), jsd(share(c), spanish)) if c else 1.0
         assert abs(by[i].word_distance - expected) < 1e-6
     assert by[66].kept is False and by[67].kept is False
-    assert R.quality_rules(df.where("false")).count() == 0
+
+
+def test_either_histogram_decides(spark):
+    """Long texts without common words and texts of signs are rejected each by its own histogram; signs at a word's edges hide no common word."""
+    rng = random.Random(8)
+    english = R.COMMON["en"].split()
+    plain = lambda: [rng.choice(english) if rng.random() < 0.5 else word(rng) for _ in range(300)]
+    texts = [" ".join(plain()) for _ in range(40)] + [" ".join(word(rng) for _ in range(300)), " ".join(w + "," * (i % 4 == 0) for i, w in enumerate(plain())), " ".join(w + "%%%&&&" for w in plain()), "12 34 " * 20 + " ".join(map(str, range(200)))]
+    got = {r.doc_id: r for r in R.quality_rules(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()}
+    rules = R.Rules()
+    assert all(got[i].kept for i in range(40))
+    assert not got[40].kept and got[40].word_distance > rules.word_distance and got[40].char_distance <= rules.char_distance
+    assert got[41].kept
+    assert not got[42].kept and got[42].char_distance > rules.char_distance and got[42].word_distance <= rules.word_distance
+    assert not got[43].kept and got[43].word_distance == 1.0
+
+
+def test_no_rows(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert R.quality_rules(df).count() == 0
 
 
