@@ -69,7 +69,7 @@ def select(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         places = np.flatnonzero(scores >= least)
     else:
         places = np.arange(len(scores))
-    return places[np.lexsort((ids[places], -scores[places]))][:k]
+    return places[np.lexsort((ids[places], ~scores[places]))][:k]  # ~ turns the order of whole numbers round and has no overflow
 
 
 def _tile_topk(k: int):
