@@ -1,9 +1,10 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page is cut into blocks at block-level tags.  A block has its number of words, its link
-density, those of the blocks before and behind it, and what its ancestors say
-(article or main; navigation, footer and the like; names of classes and ids).
-A decision tree trained on a small labelled table says which blocks are text.
+A page is cut into blocks at block-level tags.  A block has its number of words and its link
+density, those of the blocks before and behind it and of all blocks of its container, and
+what its ancestors say: article or main, navigation and the like, names of classes and ids.
+A decision tree trained on a small labelled table of page sketches says which blocks are text;
+names are votes in it, not a veto, and an article starts anew within a container whose name is about layout.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,40 +30,91 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _GOOD = frozenset("article main".split())
 _BAD = frozenset("nav aside footer header form menu dialog".split())
-_CONTAINER = frozenset("div section ul ol dl table figure details blockquote td tr body".split()) | _GOOD | _BAD
-_NAME = re.compile(r"(?i)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_HINT = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|comments?|cookies?|consent|notice|menu|nav\w*|breadcrumbs?|footer|header|masthead|share|social|related|recommend\w*|newsletter|subscribe|popup|modal|widget|toolbar|pager|pagination|search|login|complementary|contentinfo)(?:$|[\s_-])")
-FEATURES = ("words", "links", "words_before", "links_before", "words_behind", "links_behind", "good", "bad")
-
-#: Labelled blocks: words, link density, those of the block before, those of the block behind, inside
-#: article or main, inside what isn't text by element or name; 1 for text.  Written by hand.
-TABLE = (
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (2, 1.0, 1, 1.0, 9, 0.0, 0, 1, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 1, 0),
-    (9, 0.0, 2, 1.0, 12, 0.0, 0, 1, 0), (14, 0.0, 3, 1.0, 11, 0.0, 0, 1, 0), (60, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0), (25, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0),
-    (11, 0.0, 6, 0.0, 55, 0.0, 1, 0, 1), (55, 0.0, 11, 0.0, 70, 0.0, 1, 0, 1), (3, 0.0, 70, 0.0, 12, 0.0, 1, 0, 1), (1, 0.0, 90, 0.0, 6, 0.0, 1, 0, 1),
-    (120, 0.02, 55, 0.0, 60, 0.1, 1, 0, 1), (300, 0.0, 1, 1.0, 15, 0.0, 1, 0, 1), (2, 0.0, 1, 1.0, 1, 0.0, 1, 0, 1), (20, 0.3, 40, 0.0, 35, 0.0, 1, 0, 1),
-    (5, 1.0, 44, 0.0, 31, 0.0, 1, 0, 1), (2, 1.0, 5, 1.0, 5, 1.0, 1, 1, 0), (18, 0.0, 60, 0.0, 22, 0.0, 1, 1, 0), (75, 0.0, 30, 0.0, 41, 0.0, 1, 1, 0),
-    (6, 0.5, 90, 0.0, 10, 0.0, 1, 1, 0), (1, 0.0, 50, 0.0, 1, 0.0, 1, 1, 0), (33, 0.0, 4, 0.0, 15, 0.0, 1, 1, 0),
-    (10, 0.0, 1, 1.0, 110, 0.0, 0, 1, 0), (12, 0.0, 2, 1.0, 24, 0.0, 0, 1, 0), (16, 0.0, 1, 1.0, 60, 0.0, 0, 1, 0), (24, 0.0, 1, 1.0, 33, 0.0, 0, 1, 0),
-    (8, 0.0, 40, 0.0, 70, 0.0, 0, 1, 0), (45, 0.1, 30, 0.0, 90, 0.0, 0, 1, 0), (110, 0.0, 60, 0.0, 40, 0.0, 0, 1, 0), (140, 0.0, 5, 0.0, 150, 0.0, 0, 1, 0),
-    (5, 0.0, 0, 0.0, 27, 0.0, 0, 1, 0), (98, 0.0, 120, 0.0, 0, 0.0, 0, 1, 0), (15, 0.0, 140, 0.0, 26, 0.0, 1, 1, 0), (130, 0.0, 35, 0.0, 0, 0.0, 1, 1, 0), (52, 0.0, 75, 0.0, 64, 0.0, 1, 1, 0),
-    (40, 0.0, 50, 0.0, 0, 0.0, 1, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1), (60, 0.0, 20, 0.0, 4, 0.9, 1, 0, 1), (1, 0.0, 9, 0.0, 1, 1.0, 1, 0, 1), (2, 0.0, 1, 1.0, 0, 0.0, 1, 0, 1), (8, 0.0, 6, 1.0, 2, 1.0, 1, 0, 1), (4, 0.0, 30, 0.0, 6, 1.0, 1, 0, 1),
-    (70, 0.0, 40, 0.0, 0, 0.0, 0, 0, 1), (65, 0.0, 30, 0.0, 6, 1.0, 0, 0, 1), (50, 0.0, 1, 1.0, 3, 1.0, 0, 0, 1), (34, 0.0, 2, 1.0, 0, 0.0, 0, 0, 1),
-    (3, 0.0, 5, 0.0, 30, 0.0, 0, 0, 0), (6, 0.0, 20, 0.0, 4, 0.0, 0, 0, 0), (2, 0.0, 0, 0.0, 50, 0.0, 0, 0, 0), (4, 0.0, 3, 0.0, 9, 0.0, 0, 0, 0), (7, 0.0, 1, 1.0, 60, 0.0, 0, 0, 0), (5, 0.0, 44, 0.0, 0, 0.0, 0, 0, 0), (1, 0.0, 70, 0.0, 80, 0.0, 0, 0, 0),
-    (45, 0.0, 9, 0.0, 60, 0.0, 0, 0, 1), (80, 0.05, 45, 0.0, 33, 0.0, 0, 0, 1), (22, 0.0, 80, 0.05, 50, 0.0, 0, 0, 1), (130, 0.0, 0, 0.0, 9, 0.0, 0, 0, 1),
-    (12, 0.0, 64, 0.0, 48, 0.0, 0, 0, 1), (8, 0.0, 2, 1.0, 70, 0.0, 0, 0, 1), (5, 0.0, 55, 0.0, 61, 0.0, 0, 0, 1), (16, 0.0, 40, 0.0, 25, 0.0, 0, 0, 1),
-    (4, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0), (3, 1.0, 4, 1.0, 2, 1.0, 0, 0, 0), (7, 0.9, 3, 1.0, 4, 1.0, 0, 0, 0), (30, 0.8, 8, 1.0, 25, 0.9, 0, 0, 0),
-    (6, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0), (9, 0.2, 4, 0.0, 0, 0.0, 0, 0, 0), (2, 0.0, 3, 0.0, 4, 0.5, 0, 0, 0), (1, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0),
-    (15, 0.9, 50, 0.0, 2, 1.0, 0, 0, 0), (5, 1.0, 70, 0.0, 6, 1.0, 0, 0, 0), (40, 0.7, 30, 0.8, 20, 0.9, 0, 0, 0),
-)
+_CONTAINER = frozenset("div section ul ol dl table figure details blockquote td tr body center fieldset".split()) | _GOOD | _BAD
+#: What ends by itself where one of its kind begins.
+_ENDS = frozenset("p li dd dt th".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PROSE = frozenset("p li dd dt pre blockquote th td figcaption summary".split())
+_NAME = re.compile(r"(?i)(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_PARTS = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
+
+#: Words in names of what isn't the text of a page (fixed values): such that stand for the
+#: layout round a text, which an article within them leaves behind, and such that stand for what is no text wherever it is.
+LAYOUT = frozenset("sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar search login signin pager pagination widget widgets modal popup complementary contentinfo".split())
+CONTENT = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored sponsors promo promos promotion comment comments reply replies respond discussion cookie cookies consent gdpr notice share sharing social related recommend recommended recommendations newsletter subscribe subscription teaser teasers outbrain taboola disqus".split())
+#: Words in names of what holds the text.
+TEXT = frozenset("article articles content entry post story body text main prose".split())
+#: Words that say nothing beside one of the above.
+PLAIN = frozenset("list item items box wrapper wrap container block section area inner outer left right top bottom slot unit bar row col column link links post posts article articles stories thread form signup panel group holder info main page site content body text header footer title".split())
+#: First words that turn a name round: the container is one with, without or of something else.
+OTHER = frozenset("with without has no not is show hide entry post article story page content hentry".split())
+FEATURES = ("words", "links", "words_before", "links_before", "words_behind", "links_behind", "siblings", "sibling_links", "prose", "heading", "good", "named", "elsewhere", "element", "strong", "weak")
+
+
+class State(NamedTuple):
+    """What the open containers say of a block."""
+
+    good: bool = False
+    named: bool = False
+    element: int = 0
+    form: int = 0
+    layout: int = 0
+    content: int = 0
+    weak: int = 0
 
 
 class Block:
-    __slots__ = ("bad", "good", "linked", "text", "words")
+    __slots__ = ("container", "heading", "linked", "prose", "state", "text", "words")
 
-    def __init__(self, text: str, linked: int, good: bool, bad: bool) -> None:
-        self.text, self.linked, self.good, self.bad = text, linked, good, bad
+    def __init__(self, text: str, linked: int, state: State, container: int, element: str) -> None:
+        self.text, self.linked, self.state, self.container = text, linked, state, container
         self.words = text.count(" ") + 1
+        self.heading, self.prose = element in _HEADINGS, element in _PROSE
+
+
+def votes(attributes: str) -> tuple[int, int, int, bool]:
+    """Of the names of an element: whether layout, whether no text, how many weak signs of either, whether text.
+
+    A name counts in full if all its words are known ones ("ad", "left-sidebar", "comment-list"), weakly with
+    a word that may mean anything ("related-work"), and not at all behind a word such as "with" ("with-sidebar").
+    """
+    layout = content = weak = 0
+    text = False
+    for kind, a, b, c in _NAME.findall(attributes):
+        for name in (a or b or c).split():
+            words = [w.lower() for w in _PARTS.split(name) if w]
+            if kind.lower() == "itemprop":
+                text |= "".join(words) == "articlebody"
+                continue
+            known = [w for w in words if w in LAYOUT or w in CONTENT]
+            if len(words) > 1 and words[0] in OTHER and known:
+                continue
+            if not known:
+                text |= any(w in TEXT for w in words) and all(w in TEXT or w in PLAIN or w.isdigit() for w in words)
+            elif all(w in known or w in PLAIN or w.isdigit() for w in words):
+                content += any(w in CONTENT for w in known)
+                layout += not any(w in CONTENT for w in known)
+            else:
+                weak += 1
+    return min(layout, 1), min(content, 1), min(weak, 1), text
+
+
+def _behind(page: str, at: int, name: str, unclosed: set[str]) -> int:
+    """The place behind the element that has just been opened; `at` where nothing closes it."""
+    if name in unclosed:
+        return at
+    if name in _RAW:
+        shut = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+        if shut:
+            return shut.end()
+    else:
+        depth = 1
+        for m in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+            depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
+            if not depth:
+                return m.end()
+    unclosed.add(name)
+    return len(page) if name in _RAW else at
 
 
 def blocks(page: str) -> list[Block]:
@@ -69,15 +122,16 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, int]] = []  # open containers: name, whether in text, whether not
-    good = bad = link = 0
+    stack: list[tuple[str, State, int]] = []  # open containers and hinted elements: name, the state and container outside them
+    state, container, containers, link, element = State(), 0, 0, 0, ""
+    unclosed: set[str] = set()
     at, end = 0, len(page)
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append(Block(text, len(html.unescape("".join(linked)).split()), good > 0, bad > 0))
+                found.append(Block(text, len(html.unescape("".join(linked)).split()), state, container, element))
         parts.clear()
         linked.clear()
 
@@ -101,15 +155,13 @@ def blocks(page: str) -> list[Block]:
         if name in SKIPPED:
             if closing or attributes.endswith("/"):
                 continue
-            flush() if name in ("head", "title") else None
-            shut = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            if shut:
-                at = shut.end()
-            elif name == "head":
-                shut = re.compile(r"<body\b", re.I).search(page, at)
-                at = shut.start() if shut else at
-            elif name in _RAW:
-                at = end
+            if name in ("head", "title"):
+                flush()
+            behind = _behind(page, at, name, unclosed)
+            if behind == at and name == "head":
+                body = re.compile(r"<body\b", re.I).search(page, at)
+                behind = body.start() if body else at
+            at = behind
             continue
         if name in INLINE:
             if name == "a":
@@ -120,44 +172,107 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         link = 0
-        if name not in _CONTAINER:
-            hinted = not closing and name not in _VOID and attributes and any(_HINT.search(x[0] or x[1] or x[2]) for x in _NAME.findall(attributes))
-            if hinted:
-                stack.append((name, 0, 1))
-                bad += 1
-            elif closing and stack and stack[-1][0] == name:
-                bad -= stack.pop()[2]
-            elif not closing and stack and stack[-1][0] == name and name in ("p", "li", "dd", "dt", "th"):
-                bad -= stack.pop()[2]  # the one before ends by itself
-            continue
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    for _, g, b in stack[i:]:
-                        good -= g
-                        bad -= b
+        element = "" if closing else name
+        if closing or (name in _ENDS and stack and stack[-1][0] == name):
+            # an element closes all that stands open within it; one that isn't open closes nothing
+            for i in range(len(stack) - 1, -1 if name in _CONTAINER else len(stack) - 2, -1):
+                if i >= 0 and stack[i][0] == name:
+                    _, state, container = stack[i]
                     del stack[i:]
                     break
-        elif not attributes.endswith("/"):
-            inside = name in _GOOD
-            outside = (name in _BAD and not (name == "header" and good)) or (not inside and name != "body" and any(_HINT.search(x[0] or x[1] or x[2]) for x in _NAME.findall(attributes)))
-            stack.append((name, int(inside), int(outside)))
-            good += inside
-            bad += outside
+            if closing:
+                continue
+        if name in _VOID or attributes.endswith("/"):
+            continue
+        layout, content, weak, text = votes(attributes) if attributes and name != "body" else (0, 0, 0, False)
+        if name in _CONTAINER:
+            stack.append((name, state, container))
+            containers += 1
+            container = containers
+        elif layout or content or weak:
+            stack.append((name, state, container))
+        else:
+            continue
+        if name in _GOOD:
+            text = False
+            state = State(True, False, state.element, 0, 0, state.content, 0)
+        bad = name in _BAD and name != "form" and not (name == "header" and state.good)
+        state = State(state.good, state.named or text, state.element + bad, state.form + (name == "form"), state.layout + layout, state.content + content, state.weak + weak)
     flush()
     return found
 
 
 def features(found: list[Block]) -> np.ndarray:
-    own = np.array([(b.words, min(1.0, b.linked / b.words), b.good, b.bad) for b in found], dtype=float).reshape(-1, 4)
-    wide = np.vstack([np.zeros(4), own, np.zeros(4)])
-    return np.column_stack([own[:, :2], wide[:-2, :2], wide[2:, :2], own[:, 2:]])
+    """A row of FEATURES per block."""
+    n = len(found)
+    words = np.array([b.words for b in found], dtype=float)
+    links = np.array([min(1.0, b.linked / b.words) for b in found], dtype=float)
+    _, place = np.unique([b.container for b in found], return_inverse=True) if n else (None, np.zeros(0, dtype=int))
+    siblings = np.bincount(place, weights=words, minlength=1)
+    linked = np.bincount(place, weights=words * links, minlength=1)
+    pad = lambda x: np.concatenate([[0.0], x, [0.0]])
+    w, k = pad(words), pad(links)
+    article = any(b.state.good and not b.state.content and not b.state.element for b in found)
+    said = [(b.prose, b.heading, b.state.good, b.state.named, article and not b.state.good, b.state.element + b.state.form, b.state.layout + b.state.content, b.state.weak) for b in found]
+    said = np.minimum(1.0, np.array(said, dtype=float).reshape(n, 8))
+    return np.column_stack([words, links, w[:-2], k[:-2], w[2:], k[2:], siblings[place], (linked / np.maximum(1.0, siblings))[place], said])
+
+
+#: Sketches of pages, written by hand: T stands for words of text and N for words of anything else, with
+#: numbers of words that are taken in turn.  They are the labelled table that the tree is trained on.
+SKETCHES = (
+    "<nav><ul><li><a>N1,2</a><li><a>N1,3</a></ul></nav><div class=ad>N3,9,14,30,70</div><article><h1>T7,3,40,110</h1><p>T40,3,90,1<p>T3,60,1,120<p>T1,2,25,300</article><footer>N9,20,45</footer>",
+    "<header><h1>N4,9</h1><p>N12,30</p></header><article><p>T5,90<p>T120,8<ul><li><a>T2,9</a><li><a>T5,3</a></ul><p><a>T1,4</a> T1,3</article><aside><p>N40,110,15</p></aside><div>N60,7,24,130</div>",
+    "<main><h2>T3,8</h2><div>T70,20,6</div><div>T2,55</div><section id=comments><p>N30,75,8</p><p>N90,12</p></section></main><footer><p>N33,60,5</p></footer>",
+    "<article><p>T55,4</p><div class=ad>N18,60,4,33</div><p>T30,2,80</p><div class=share><a>N1,3</a> <a>N2,1</a></div><form><p>N6,28</p>N2,14</form><p>T9,70,2</p></article><p>N40,8,90</p>",
+    "<article><p>T80,40</p><div class=related-work><p>T60,25,110</p><p>T30,8,50</p></div><div class=related-links><a>N4,7</a> <a>N3,5</a></div><p>T20,4</p></article>",
+    "<article><p>T50,90</p><div class=further-related-x><ul><li><a>N6,9</a><li><a>N4,8</a><li><a>N5,12</a></ul></div><div class=share-us-on-x><a>N1,2</a> <a>N1,2</a> N1,2</div><p>T7,44</p></article>",
+    "<ul><li><a>N1,2</a><li><a>N2,4</a><li><a>N1,3</a></ul><div class=post><h1>T5,12,3</h1><p>T40,6,90</p><p>T3,60,2</p><h2>T2,7</h2><p>T5,80,31</p></div><div id=footer>N9,30,50</div>",
+    "<div class=entry-content><p>T2,9,70</p><p>T4,2,45</p></div><div class=sidebar><p>N20,45,6</p><ul><li><a>N2,4</a><li><a>N3,2</a></ul></div>",
+    "<div class=content><p>T60,5</p><ul><li>T4,9<li>T3,22</ul><p><a>T3,6</a> T20,50</p></div><div class=comments><div>N25,60</div><div>N40,9</div></div>",
+    "<div class=top><a>N1,3</a> <a>N2,2</a></div><h1>T6,9</h1><p>T50,33,90</p><p>T4,7,2</p><p>T70,28,41</p><p>T2,5,1</p><div>N4,6,9,12</div>",
+    "<div><a>N2,3</a> N1,2</div><div><h1>T4,8</h1><p>T35,60,120</p><p>T3,8,1</p><p>T45,30,70</p><h3>T3,5</h3><ul><li>T6,3<li>T2,9</ul></div><div>N7,4,11</div><div><a>N3,5</a> <a>N2,6</a></div>",
+    "<div>N3,5,8</div><div>T45,70,130</div><div>T30,55,90</div><div>N4,7,10</div><table><tr><td><a>N2,4</a><td><a>N1,3</a></table>",
+    "<div><p>N3,6</p></div><div><p>T34,50,80</p><blockquote><p>T22,40</p></blockquote><pre>T18,30</pre><p>T1,6</p></div><div><p>N5,3,8</p></div>",
+    "<td><a>N4,7</a> <a>N5,3</a> N1,2</td><td>T90,60,40<p>T33,70</p><p>T4,9</p></td><td><a>N30,22</a> N5,3</td>",
+    "<p><a>N1,3</a> <a>N2,4</a> <a>N1,2</a></p><p>T40,65</p><p>T25,90 <a>T3,6</a></p><p><a>N9,15</a> <a>N6,11</a></p>",
+    "<form><div>N8,30</div><p>N12,45,80</p></form><div><p>T60,35</p><p>T5,44</p></div><dialog><p>N25,60</p></dialog>",
+    "<form><article><h1>T5,9</h1><p>T30,4,80</p></article></form><div class=site-search><p>N9,33</p></div>",
+    "<div class=post><p>T40,5</p><div class=ad>N4,20,60</div><p>T5,30</p><nav><a>N2,3</a></nav><div class=comments><p>N9,44</p></div><form>N6,20</form><aside><p>N14,50</p></aside><p>T2,8</p><ul><li><a>N2,4</a><li><a>N3,2</a></ul></div>",
+    "<article><p>T40,6</p><p>T3,60</p></article><div class=content><p>N12,70</p><p>N4,9</p></div><div><p>N50,8</p><p>N33,5</p></div>",
+    "<div class=story><h1>T3,9</h1><p>T4,7</p><div class=newsletter>N8,25</div><p>T6,30</p><div class=x-related-y><a>N4,6</a> <a>N3,8</a></div></div><footer><p>N6,40</p></footer>",
+    "<div class=search-results><article><p>T30,4</p><p>T9,60</p></article></div><div class=foo-comments><div><a>N2,5</a> N1,2</div></div>",
+    "<div class=foo-banner-x><p>N4,9,12</p></div><div class=x-menu-y><a>N2,5</a> <a>N3,4</a></div><div><h1>T3,7</h1><p>T50,90</p><p>T28,45</p></div><div class=x-share-y>N2,6,9</div>",
+    "<h1>N4,7</h1><ul><li><a>N6,9</a> N2,1<li><a>N7,4</a> N1,2<li><a>N5,8</a></ul><div><a>N1,3</a></div>",
+)
+
+
+#: What goes into every sketch in turn, at its start, behind its first paragraph or at its end: what a full sign marks is no text whatever its size and links.
+STRAY = ("", "<div class=ad>N1,4,9,20,70,150</div>", "<aside><p>N1,5,12,40,120</p></aside>", "<div class=ad><a>N1,4,9,40</a></div>", "<div class=sidebar><p>N2,30,90</p><p>N1,60</p></div>", "<footer>N1,3,8,33,80</footer>", "<nav><a>N1,3,9,30</a></nav>")
+
+
+def table() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of all sketches, in several sizes each and with what may stand beside them."""
+    xs, ys = [], []
+    for sketch in SKETCHES:
+        for turn in range(21):
+            place = iter(range(1 << 20))
+
+            def some(m: re.Match, turn: int = turn, place: Iterator[int] = place) -> str:
+                sizes = m[2].split(",")
+                return " ".join([m[1].lower()] * int(sizes[(turn + next(place) * (turn // 4)) % len(sizes)]))
+
+            at = (0, sketch.find("</p>") + 4 if "</p>" in sketch else 0, len(sketch))[turn // 7]
+            found = blocks(re.sub(r"\b([TN])(\d+(?:,\d+)*)", some, sketch[:at] + STRAY[turn % 7] + sketch[at:]))
+            xs.append(features(found))
+            ys += [b.text[0] == "t" for b in found]
+    return np.vstack(xs), np.array(ys, dtype=float)
 
 
 class Tree:
     """A binary decision tree by Gini impurity; ties go to the first statistic and the lowest cut."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 30) -> None:
         self.value = float(y.mean()) if len(y) else 0.0
         self.feature = -1
         best = len(y) * self.value * (1 - self.value) - 1e-9
@@ -182,9 +297,8 @@ class Tree:
         return out
 
 
-def train(table: tuple = TABLE) -> Tree:
-    rows = np.array(table, dtype=float)
-    return Tree(rows[:, :-1], rows[:, -1])
+def train(rows: tuple[np.ndarray, np.ndarray] | None = None) -> Tree:
+    return Tree(*(table() if rows is None else rows))
 
 
 def main_text(page: str, tree: Tree) -> str:

@@ -39,7 +39,56 @@ def test_short_notice_before_a_long_article():
 def test_without_article():
     rng = random.Random(2)
     parts = [" ".join(prose(rng, 60).split()) for _ in range(4)]
-    assert H.main_text(page(rng, parts, article=False), TREE).endswith("\n".join(parts))
+    assert H.main_text(page(rng, parts, article=False), TREE) == "\n".join(["Título & más", *parts])
+
+
+def test_built_pages():
+    """Pages put together at random, whose text is known by construction."""
+    rng = random.Random(5)
+    flat = lambda n: " ".join(prose(rng, n).split())
+    outside = [
+        lambda: f'<nav><ul><li><a href="/">{flat(2)}</a><li><a href="/x">{flat(1)}</a></ul></nav>', lambda: f'<div class="{rng.choice(["ad", "ad-slot", "top-banner", "cookie-notice", "adsBox"])}"><p>{flat(rng.randint(1, 50))}</p></div>',
+        lambda: f"<aside><p>{flat(rng.randint(5, 60))}</p></aside>", lambda: f'<section id="{rng.choice(["comments", "comment-list", "related-posts"])}"><p>{flat(rng.randint(5, 90))}</p><article><p>{flat(40)}</p></article></section>',
+        lambda: f"<form><p>{flat(rng.randint(2, 30))}</p><select><option>{flat(1)}</select></form>", lambda: f"<svg><text>{flat(2)}</text><svg><text>{flat(1)}</text></svg><text>{flat(3)}</text></svg>", lambda: f'<script>"<p>{flat(9)}</p>"</script><!-- <p>{flat(5)}</p> -->',
+        lambda: f"<footer><p>{flat(rng.randint(2, 60))}</p></footer>", lambda: f"<template><div><template>{flat(4)}</template>{flat(5)}</div></template>",
+    ]
+    wrap = [("", ""), ('<div class="content with sidebar">', "</div>"), ('<div id="search-results"><div>', "</div></div>"), ('<div class="page with-sidebar no-comments">', "</div>"), ('<form action="/x">', "</form>"), ('<div class="sidebar-left layout"><main>', "</main></div>")]
+    for _ in range(120):
+        text, inner = [], []
+        for i in range(rng.randint(1, 7)):
+            n = rng.choice([1, 3, 12, 40, 120])
+            words = flat(n)
+            text.append(words)
+            inner.append(f'<div class="entry-header"><h1>{words}</h1></div>' if i == 0 else rng.choice([f"<p>{words}</p>", f"<p>{words}", f"<div>{words}</div>", f"<h2>{words}</h2>", f'<ul><li>{words}</ul>', f'<blockquote><p>{words.replace(" ", chr(10), 1)}</blockquote>']))
+            if rng.random() < 0.4:
+                inner.append(rng.choice(outside[:-2])())
+        a, b = rng.choice(wrap)
+        around = [f() for f in rng.sample(outside, 4)]
+        assert H.main_text(f"<html><body>{around[0]}{around[1]}{a}<article>{''.join(inner)}</article>{b}{around[2]}{around[3]}</body></html>", TREE) == "\n".join(text)
+
+
+@pytest.mark.parametrize(("source", "text"), [
+    ('<div class="content with sidebar"><article><p>uno</p></article></div>', "uno"), ('<div id="search-results"><article>uno</article></div>', "uno"), ('<div id="main" class="no-comments"><article>uno</article></div>', "uno"),
+    (f'<article><p>a</p><div class="related-work"><p>{"b " * 40}</p></div></article>', "a\n" + "b " * 39 + "b"), (f'<article><p>a</p><div class="related-posts"><p>{"b " * 40}</p></div></article>', "a"),
+    (f'<div class="post"><h2>uno</h2><p>dos</p><p>{"b " * 40}</p><p>tres</p></div><div class="footer">no</div>', "uno\ndos\n" + "b " * 39 + "b\ntres"),
+    (f'<article><p>a</p><article class="comment"><p>{"b " * 40}</p></article><div class="ad">c</div></article>', "a"), ("<article>a<svg><svg><text>x</text></svg><text>y</text></svg>b</article>", "ab"),
+    (f'<div class="post"><p>{"b " * 40}</p><div class="ad">c</div></div>', "b " * 39 + "b"), ("<article><p>a</p><object><object>x</object>y</object><p>b</article>", "a\nb"),
+])
+def test_names_and_nesting(source, text):
+    assert H.main_text(source, TREE) == text
+
+
+def test_the_tree_asks_for_words_and_links():
+    """Two pages without any name that say what is text: only the numbers of words and links differ."""
+
+    def asked(tree):
+        return set() if tree.feature < 0 else {H.FEATURES[tree.feature]} | asked(tree.low) | asked(tree.high)
+
+    assert {"words", "links", "siblings"} <= asked(TREE) | {"words"} and asked(TREE) & {"words", "words_before", "words_behind"} and "links" in asked(TREE)
+    body = lambda a, b: f"<body><div>{a}</div><div>{b}</div></body>"
+    long, menu = "<p>" + "uno " * 60 + "</p>", "<p>" + '<a href="/">dos</a> ' * 60 + "</p>"
+    assert H.main_text(body(long, menu), TREE) == ("uno " * 60).strip()
+    assert H.main_text(body(menu, "<p>uno dos</p>"), TREE) == ""
 
 
 @pytest.mark.parametrize(("source", "text"), [
