@@ -11,7 +11,7 @@ from larkspur.llm import license_scan as L
 def test_every_template_is_found():
     rng = random.Random(1)
     scanner = L.Scanner()
-    for name, template in L.TEMPLATES.items():
+    for name, template in scanner.templates.items():
         for text in (template, prose(rng, 50) + ".\n" + template + "\n" + prose(rng, 40), prose(rng, 20) + ". " + template):
             found = scanner.scan(text)
             assert [x["license"] for x in found] == [name]
@@ -39,7 +39,8 @@ def test_against_every_template(spark):
     rng = random.Random(2)
     every = L.Scanner(winners=len(L.TEMPLATES))
     three = L.Scanner()
-    rows = [(i, " ".join([prose(rng, rng.randint(0, 60)), rng.choice([*L.TEMPLATES.values(), "x"]), prose(rng, rng.randint(0, 30))]), None) for i in range(200)]
+    templates = list(every.templates.values())
+    rows = [(i, " ".join([prose(rng, rng.randint(0, 60)), rng.choice([*templates, "x"]), prose(rng, rng.randint(0, 30))]), None) for i in range(200)]
     rows += [(300, None, ""), (301, "", ""), (None, "All rights reserved.", ""), (302, "x" * 1_000_000 + " All rights reserved. " + "y " * 100_000, ""), (302, "All rights reserved.", "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, found string")
     got = L.scan_licenses(df).collect()
@@ -53,7 +54,7 @@ def test_against_every_template(spark):
 
 def test_every_template_in_every_case():
     scanner = L.Scanner()
-    for name, template in L.TEMPLATES.items():
+    for name, template in scanner.templates.items():
         for text in (template.upper(), template.title(), template.lower(), template.replace(" ", "  ")):
             found = scanner.scan("Uno dos. " + text)
             assert [(x["license"], x["differences"]) for x in found] == [(name, [])], text
@@ -63,7 +64,7 @@ def test_every_template_in_every_case():
 def test_every_template_in_wrapped_lines():
     rng = random.Random(4)
     scanner = L.Scanner()
-    for name, template in L.TEMPLATES.items():
+    for name, template in scanner.templates.items():
         for width in (40, 72):
             for sign in ("", "# ", " * ", "// ", "-- "):
                 notice = "\n".join(sign + line for line in textwrap.wrap(template, width))
@@ -84,7 +85,7 @@ def test_several_licenses_in_one_sentence():
     text = "Released under the MIT License and licensed under CC BY 4.0."
     found = scanner.scan(text)
     assert [(x["license"], x["differences"], text[x["start"] : x["end"]]) for x in found] == [("MIT", [], "Released under the MIT License"), ("CC-BY-4.0", [], "licensed under CC BY 4.0.")]
-    for (a, one), (b, two) in itertools.permutations(L.TEMPLATES.items(), 2):
+    for (a, one), (b, two) in itertools.permutations([(k, scanner.templates[k]) for k in scanner.short], 2):
         got = [x["license"] for x in scanner.scan(one.rstrip(".") + " and " + two)]
         assert got == [a, b], (one, two)
 
@@ -103,3 +104,85 @@ def test_many_in_one_block():
     scanner = L.Scanner()
     found = scanner.scan("uno dos licensed under CC BY 4.0 tres " * 2000)
     assert [x["license"] for x in found] == ["CC-BY-4.0"] * 2000
+
+
+def test_other_licenses_are_not_the_nearest():
+    """A word that tells licenses apart is never tolerated, though one word in five may differ."""
+    scanner = L.Scanner()
+    one = lambda text: [(x["license"], x["nearest"]) for x in scanner.scan(text)]
+    for text, name in {
+        "Released under the terms of the GNU Affero General Public License, version 3.": "AGPL-3.0", "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0", "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+    }.items():
+        assert [x[0] for x in one(text.replace("Released under the terms of the GNU A", "This work is licensed under the GNU A"))] == [name]
+    for text in ("This work is licensed under the GNU Verbatim General Public License, version 3.", "This work is licensed under the GNU General Public License, version 4.", "Licensed under CC BY-XY 4.0.", "Licensed under the Apache License, Version 1.1.", "Released under the XMIT License.", "Released not under the MIT License."):
+        assert {x[0] for x in one(text)} <= {L.UNKNOWN}, text
+        assert one(text) == [] or one(text)[0][1] in scanner.templates
+    assert one("Released under the MIT Licence.")[0][0] == "MIT" and one("This thing is licensed under the GNU General Public License, v 3.")[0][0] == "GPL-3.0"
+
+
+def test_whole_texts():
+    """Texts over several paragraphs, wrapped and commented, with names and years round them, and what one has beyond another."""
+    scanner = L.Scanner()
+    for name in scanner.long:
+        text = scanner.templates[name]
+        for sign in ("", "# ", " * "):
+            notice = "\n".join(sign + line for part in text.split("\n\n") for line in [*textwrap.wrap(part, 75), ""])
+            found = scanner.scan(f"{sign}Copyright (c) 1999 Uno Dos. All rights reserved.\n{sign}\n{notice}\n\nTres cuatro.")
+            assert [(x["license"], x["differences"]) for x in found if x["license"] != "proprietary"] == [(name, [])], (name, found)
+    two, three = scanner.templates["BSD-2-Clause-text"], scanner.templates["BSD-3-Clause-text"]
+    assert [x["license"] for x in scanner.scan(two)] == ["BSD-2-Clause-text"] and [x["license"] for x in scanner.scan(three)] == ["BSD-3-Clause-text"]
+    (found,) = scanner.scan(three.replace("the copyright holder nor", "Uno Dos nor").replace("reproduce", "keep"))
+    assert found["license"] == "BSD-3-Clause-text" and "+keep" in found["differences"]
+
+
+def test_templates_without_a_cue():
+    templates = {"weather": "You may share these maps with anybody who asks for them politely on a rainy day."}
+    scanner = L.Scanner(templates)
+    for text in ("uno. You may share these maps with anybody who asks for them politely on a rainy day. dos", "you may share the maps with anybody who asks for them kindly on a rainy day"):
+        assert [x["license"] for x in scanner.scan(text)] == ["weather"]
+    rng = random.Random(3)
+    words = templates["weather"].split(" ")
+    for _ in range(200):  # whichever words are lost, the rest brings the block up
+        lost = set(rng.sample(range(len(words)), 3))
+        assert scanner.scan(" ".join(w for i, w in enumerate(words) if i not in lost)), lost
+    assert L.Scanner({}).scan("All rights reserved.") == []
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_against_every_stretch():
+    """Independent brute force: a template is confirmable if some stretch of the text lacks and adds at most a fifth of its words."""
+    rng = random.Random(12)
+    scanner = L.Scanner()
+    texts = []
+    for name in scanner.short:
+        for _ in range(6):
+            words = L.words(scanner.templates[name])
+            for _ in range(rng.randint(0, 4)):
+                i = rng.randrange(len(words))
+                words[i : i + rng.randint(0, 1)] = [rng.choice(["uno", "dos", "the", "license"])] * rng.randint(0, 1)
+            texts.append(" ".join([*(["tres"] * rng.randint(0, 2)), *words, "cuatro"]))
+    for text in texts:
+        own = text.split(" ")
+        able = set()
+        for name in scanner.short:
+            words = scanner.words[name]
+            most = 0.2 * len(words)
+            spans = ((a, b) for a in range(len(own)) for b in range(a + 1, min(len(own), a + len(words) + int(most)) + 1))
+            if any(max(len(words), b - a) - common(words, own[a:b]) <= most for a, b in spans):
+                able.add(name)
+        found = scanner.scan(text)
+        assert {x["nearest"] for x in found} <= able, text
+        if able and L._CUE.search(text):
+            assert found, text
+        for x in found:
+            if x["license"] != L.UNKNOWN:
+                assert not any(L.key(w[1:]) for w in x["differences"] if w[1:] not in L.SAME), x
