@@ -1,14 +1,16 @@
 """Removal of passages that repeat across a corpus, by hashes of text units.
 
-Units are stretches of words cut where the words themselves say so: before each
+Units are lines, paragraphs or stretches of words.  They are normalised (A-Z as a-z, white space as
+one space) and grouped by digest over the whole corpus; the occurrence with the
+least (doc_id, text hash, place) is kept, and runs of later ones that are long enough go.
+
+Stretches are cut where the words themselves say so: before each
 word whose value (a hash of it and its two neighbours) is the least within REACH
 words on either side.  Inside a passage the cuts are the same wherever it
 stands, at the start of a line or in the middle of one; lines and paragraphs as units miss
-what was pasted into a line.  Units are normalised (A-Z as a-z, white space as
-one space) and grouped by digest over the whole corpus; the occurrence with the
-least (doc_id, text hash, place) is kept.  Where a run of repeated units isn't
-long enough by itself, the true length of the passage decides: windows of the
-words around it are grouped by digest in the same way.
+what was pasted into a line.  Repeated stretches only say where to look: windows of words that begin with one of them or
+reach beyond the ends of a run of them (all windows, where the run
+isn't long enough by itself) are grouped by digest in the same way, and the words of a window that repeats go.
 """
 
 from __future__ import annotations
@@ -21,9 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import extended, lean, materialize, named, part_of, release
-from .wordhash import _MULT, mix, sequence_hashes, slices, string_buffers, word_hashes, word_spans
+from .wordhash import _MULT, mix, sequence_hashes, slices, string_buffers, word_hashes, word_spans, words_with_spans
 
 REACH = 4
+#: Words beyond either end of a run of repeated stretches among which the end of the passage is looked for.
+BEYOND = 32
+#: A stretch without a cut is cut every so many words, so that words which repeat without end have units, too.
+MOST = 32
+#: Units of a task that are sorted together.
+LOCAL = 1 << 21
+UNITS = ("stretch", "line", "paragraph")
 _TOP = np.uint64((1 << 64) - 1)
 
 
@@ -46,13 +55,36 @@ def unit_starts(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     for step in range(1, REACH + 1):
         cut &= (value < wide[place - step]) & (value < wide[place + step])
     cut[firsts] = True
+    starts = np.flatnonzero(cut)
+    wide = np.flatnonzero(np.diff(np.append(starts, n)) > MOST)
+    if len(wide):
+        ends = np.append(starts, n)
+        more = [np.arange(starts[i] + MOST, ends[i + 1], MOST) for i in wide]
+        starts = np.sort(np.concatenate([starts, *more]))
+    return starts
+
+
+def broken_starts(column: pa.Array, at: np.ndarray, first: np.ndarray, breaks: int) -> np.ndarray:
+    """Places of the words that begin a line (breaks = 1) or paragraph (2): with so many line ends since the word before."""
+    offsets, data = string_buffers(column)
+    ends = int(offsets[0]) + np.flatnonzero(data[offsets[0] : offsets[-1]] == 10)
+    cut = np.diff(np.searchsorted(ends, first), prepend=0) >= breaks
+    cut[at[:-1][np.diff(at) > 0]] = True
     return np.flatnonzero(cut)
 
 
-def _units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segmented(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, the place of each text's first word (and the total), and the places of the words that begin a unit."""
+    if kind == "stretch":
+        words, at = word_hashes(column)
+        return words, at, unit_starts(words, at)
+    words, at, first, _ = words_with_spans(column)
+    return words, at, broken_starts(column, at, first, UNITS.index(kind))
+
+
+def _units(batch: pa.RecordBatch, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Digest, row, place within its text and number of words of every unit."""
-    words, at = word_hashes(batch.column("text"))
-    starts = unit_starts(words, at)
+    words, at, starts = segmented(batch.column("text"), kind)
     row = np.searchsorted(at, starts, side="right") - 1
     ends = np.append(starts[1:], len(words))
     first = np.searchsorted(starts, at[:-1], side="left")
@@ -79,16 +111,25 @@ def _firsts(cols: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (digest, doc, text, unit, first)], names=["digest", "doc_id", "hash", "unit", "first"])
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _local(kind: str):
     """Units of a task, firsts and others."""
-    cols: list[list[np.ndarray]] = [[], [], [], []]
-    for batch in batches:
-        for part in slices(batch):
-            digest, row, unit, _ = _units(part)
-            doc, text = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("hash").to_numpy(zero_copy_only=False)
-            for col, x in zip(cols, (digest.view(np.int64), doc[row], text[row], unit.astype(np.int32)), strict=True):
-                col.append(x)
-    yield from _firsts(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list[np.ndarray]] = [[], [], [], []]
+        held = 0
+        for batch in batches:
+            for part in slices(batch):
+                digest, row, unit, _ = _units(part, kind)
+                doc, text = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("hash").to_numpy(zero_copy_only=False)
+                for col, x in zip(cols, (digest.view(np.int64), doc[row], text[row], unit.astype(np.int32)), strict=True):
+                    col.append(x)
+                held += len(digest)
+                if held > LOCAL:
+                    yield from _firsts(cols)
+                    cols, held = [[], [], [], []], 0
+        yield from _firsts(cols)
+
+    return run
 
 
 def runs(units: np.ndarray) -> list[tuple[int, int]]:
@@ -116,38 +157,55 @@ def _bounds(starts: np.ndarray, at: np.ndarray, i: int) -> np.ndarray:
     return np.append(starts[np.searchsorted(starts, at[i]) : np.searchsorted(starts, at[i + 1])], at[i + 1]) - at[i]
 
 
+#: What of a unit's neighbourhood is looked at: all windows that hold it, those that reach to or beyond its start or its end, or the one that begins with it.
+ALL, BEFORE, BEHIND, START = range(4)
+
+
 def _doubts(least: int):
-    """Digests of the units in doubtful runs."""
+    """(digest, what) of the units in doubtful runs and in long ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                digest, _, _, _ = _units(part)
-                words, at = word_hashes(part.column("text"))
-                starts = unit_starts(words, at)
-                found = [digest[:0]]
+                digest, _, _, _ = _units(part, "stretch")
+                _, at, starts = segmented(part.column("text"), "stretch")
+                found: set[tuple[int, int]] = set()
                 for i, units in enumerate(part.column("units")):
                     begin = int(np.searchsorted(starts, at[i]))
-                    found += [digest[begin + lo : begin + hi] for lo, hi in doubtful(np.unique(units.values.to_numpy(zero_copy_only=False)), _bounds(starts, at, i), least)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], names=["digest"])
+                    own, places = _bounds(starts, at, i), np.unique(units.values.to_numpy(zero_copy_only=False))
+                    for lo, hi in doubtful(places, own, least):
+                        found.update((int(x), ALL) for x in digest[begin + lo : begin + hi].view(np.int64))
+                    for lo, hi in runs(places):
+                        if own[hi] - own[lo] > least:
+                            found.update((int(x), START) for x in digest[begin + lo : begin + hi].view(np.int64))
+                            found.update([(int(digest.view(np.int64)[begin + lo]), BEFORE), (int(digest.view(np.int64)[begin + hi - 1]), BEHIND)])
+                pairs = sorted(found)
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int32())], names=["digest", "what"])
 
     return run
 
 
 def _windows(least: int):
-    """All windows of least + 1 words that hold one of the given units whole; their place is that of the first word."""
+    """Windows of least + 1 words round the given units (place * 4 + what); their place is that of the first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[], [], [], []]
+        held = 0
         for batch in batches:
             for part in slices(batch):
-                words, at = word_hashes(part.column("text"))
-                starts = unit_starts(words, at)
+                words, at, starts = segmented(part.column("text"), "stretch")
                 for i, units in enumerate(part.column("units")):
                     own = _bounds(starts, at, i)
                     inside = np.zeros(max(0, own[-1] - least) + 1, dtype=np.int64)
-                    for u in units.values.to_numpy(zero_copy_only=False):
+                    for code in units.values.to_numpy(zero_copy_only=False):
+                        u, what = int(code) >> 2, int(code) & 3
                         lo, hi = max(0, own[u + 1] - least - 1), min(own[u] + 1, len(inside) - 1)
+                        if what == BEFORE:
+                            lo = max(lo, own[u] - BEYOND)
+                        elif what == BEHIND:
+                            hi = min(hi, own[u + 1] - least + BEYOND)
+                        elif what == START:
+                            lo = own[u]
                         if lo < hi:
                             inside[lo] += 1
                             inside[hi] -= 1
@@ -158,6 +216,10 @@ def _windows(least: int):
                         new = (sequence_hashes(text, place, place + least + 1).view(np.int64), same * part.column("doc_id")[i].as_py(), same * part.column("hash")[i].as_py(), place.astype(np.int32))
                         for col, x in zip(cols, new, strict=True):
                             col.append(x)
+                        held += len(place)
+                if held > LOCAL:
+                    yield from _firsts(cols)
+                    cols, held = [[], [], [], []], 0
         yield from _firsts(cols)
 
     return run
@@ -183,23 +245,29 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [c[lead[-1]] for c in cols]
 
 
-def _cut(least: int):
+def _cut(least: int, kind: str):
+    """found: the first words of windows of least + 1 words that repeat, or the lines or paragraphs that do."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 out: list[list] = [[], [], []]
                 texts = part.column("text")
                 offsets, data = string_buffers(texts)
-                words, at = word_hashes(texts)
-                starts = unit_starts(words, at)
-                for i, units in enumerate(part.column("units")):
+                if kind != "stretch":
+                    _, at, starts = segmented(texts, kind)
+                for i, found in enumerate(part.column("found")):
                     text = texts[i].as_py()
                     spans, n = [], 0
-                    if units.is_valid and text:
-                        own, windows = _bounds(starts, at, i), part.column("windows")[i]
-                        seen = windows.values.to_numpy(zero_copy_only=False) if windows.is_valid else np.zeros(0, dtype=np.int32)
+                    if text and found.is_valid:
+                        places = np.unique(found.values.to_numpy(zero_copy_only=False))
                         raw = data[offsets[i] : offsets[i + 1]]
-                        spans, n = passages(np.unique(units.values.to_numpy(zero_copy_only=False)), own, raw, least, seen)
+                        if kind == "stretch":
+                            gone = [(int(p), int(p) + least + 1) for p in places]
+                        else:
+                            own = _bounds(starts, at, i)
+                            gone = [(int(own[lo]), int(own[hi])) for lo, hi in runs(places) if own[hi] - own[lo] > least]
+                        spans, n = passages(gone, raw)
                         if spans:
                             raw = raw.tobytes()
                             kept, chars, at_byte, at_char = [], [], 0, 0
@@ -219,33 +287,16 @@ def _cut(least: int):
     return run
 
 
-def passages(units: np.ndarray, starts: np.ndarray, raw: np.ndarray, least: int, seen: np.ndarray | None = None) -> tuple[list[tuple[int, int]], int]:
-    """Byte spans to remove and their words: runs of repeated units that belong to a passage of over `least` words.
-
-    starts: first word of each unit, and the number of words.  seen: first words of windows of
-    least + 1 words that repeat; of a run of at most `least` words the units in these go.  Without
-    seen the length is only guessed: the words of the units next to the run count towards it.
-    """
-    spans, words = [], 0
-    size = np.diff(starts)
-    first, end = word_spans(raw)
-    if seen is not None:
-        edge = np.zeros(int(starts[-1]) + 1, dtype=np.int64)
-        np.add.at(edge, seen, 1)
-        np.add.at(edge, seen + least + 1, -1)
-        bare = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) == 0)])  # words before each place that no window holds
-        whole = bare[starts[1:]] == bare[starts[:-1]]
-    for lo, hi in runs(units):
-        around = (int(size[lo - 1]) if lo else 0) + (int(size[hi]) if hi < len(size) else 0)
-        n = starts[hi] - starts[lo]
-        if seen is None or n > least:
-            gone = [(lo, hi)] if n + (around if seen is None else 0) > least else []
+def passages(gone: list[tuple[int, int]], raw: np.ndarray) -> tuple[list[tuple[int, int]], int]:
+    """Byte spans of a text and the number of their words, from runs of words (first, end) in order that may overlap; white space behind a run goes with it."""
+    first, _ = word_spans(raw)
+    spans: list[tuple[int, int]] = []
+    for lo, hi in gone:
+        if spans and lo <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
         else:
-            gone = runs(lo + np.flatnonzero(whole[lo:hi]))
-        for a, b in gone:
-            spans.append((int(first[starts[a]]), int(first[starts[b]]) if starts[b] < len(first) else len(raw)))
-            words += int(starts[b] - starts[a])
-    return spans, words
+            spans.append((lo, hi))
+    return [(int(first[a]), int(first[b]) if b < len(first) else len(raw)) for a, b in spans], sum(b - a for a, b in spans)
 
 
 def _repeats(local: DataFrame) -> DataFrame:
@@ -256,9 +307,11 @@ def _repeats(local: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "hash").agg(F.collect_set("unit").alias("units"))
 
 
-def dedup_passages(documents: DataFrame, least_words: int = 50) -> DataFrame:
+def dedup_passages(documents: DataFrame, least_words: int = 50, unit: str = "stretch") -> DataFrame:
     """documents with repeated passages removed from text, and columns removed and removed_words.
 
+    unit: stretch (passages of over least_words words go, wherever they begin and end), line or paragraph (runs of whole
+    lines, or of paragraphs between blank lines, of over least_words words in all go; 0 takes every repeated one).
     removed: spans (start, end) in characters of the original text, with the white space behind
     them; removed_words: their words.  A unit that repeats is kept where its
     (doc_id, text hash, place) is least, nulls of doc_id last.  Rows with the same doc_id and
@@ -266,22 +319,28 @@ def dedup_passages(documents: DataFrame, least_words: int = 50) -> DataFrame:
     ones empty; a text that is all repeated becomes empty, its row stays.
     Other columns stay as they are (removed and removed_words of the input are replaced).
     """
+    if unit not in UNITS:
+        raise ValueError(f"unit is none of {UNITS}: {unit}")
     keep = [c for c in documents.columns if c not in ("removed", "removed_words")]
     rest = [c for c in keep if c != "text"]
     docs = documents.select(
         F.struct(*named(rest)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("hash"), F.col("text").cast("string").alias("text")
     )
-    local = materialize(docs.select("doc_id", "hash", "text").mapInArrow(lean(_local), _UNIT), "units")
+    local = materialize(docs.select("doc_id", "hash", "text").mapInArrow(lean(_local(unit)), _UNIT), "units")
     key = ["doc_id", "hash"]
     repeated = materialize(_repeats(local), "repeats")
-    joined = materialize(docs.join(repeated, key, "left").select("row", *key, "text", "units"), "repeated")
-    # runs of units too short by themselves: all windows of least_words + 1 words with such a unit are compared, wherever it stands
-    doubts = materialize(joined.where("units IS NOT NULL").select("text", "units").mapInArrow(lean(_doubts(least_words)), "digest long").distinct(), "doubts")
-    holders = materialize(local.join(doubts, "digest").groupBy(*key).agg(F.collect_set("unit").alias("units")), "holders")
-    release(local)
-    windows = materialize(joined.select(*key, "text").join(holders, key).mapInArrow(lean(_windows(least_words)), _UNIT), "windows")
-    seen = materialize(_repeats(windows).withColumnRenamed("units", "windows"), "seen")
-    release(windows)
-    judged = joined.join(seen, key, "left").select("row", "text", "units", "windows")
-    done = judged.mapInArrow(lean(_cut(least_words)), extended(judged.schema, "removed array<struct<start: bigint, end: bigint>>, removed_words long", without=("units", "windows")))
+    joined = docs.join(repeated, key, "left").select("row", *key, "text", "units")
+    if unit == "stretch":
+        joined = materialize(joined, "repeated")
+        doubts = materialize(joined.where("units IS NOT NULL").select("text", "units").mapInArrow(lean(_doubts(least_words)), "digest long, what int").distinct(), "doubts")
+        holders = materialize(local.join(doubts, "digest").groupBy(*key).agg(F.collect_set(F.expr("unit * 4 + what")).alias("units")), "holders")
+        release(local, doubts, repeated)
+        windows = materialize(joined.select(*key, "text").join(holders, key).mapInArrow(lean(_windows(least_words)), _UNIT), "windows")
+        release(holders)
+        seen = materialize(_repeats(windows).withColumnRenamed("units", "found"), "seen")
+        release(windows)
+        judged = joined.drop("units").join(seen, key, "left").select("row", "text", "found")
+    else:
+        judged = joined.select("row", "text", F.col("units").alias("found"))
+    done = judged.mapInArrow(lean(_cut(least_words, unit)), extended(judged.schema, "removed array<struct<start: bigint, end: bigint>>, removed_words long", without=("found",)))
     return done.select(*[F.col("text") if c == "text" else part_of("row", c) for c in keep], "removed", "removed_words")

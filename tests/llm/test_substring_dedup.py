@@ -1,45 +1,41 @@
 from __future__ import annotations
 
 import random
+import re
 
-import numpy as np
-import pyarrow as pa
-from helpers import prose
+import duckdb
+import pandas as pd
+import pytest
+from helpers import edited, prose
 from larkspur.llm import substring_dedup as S
-from larkspur.llm import wordhash as H
 
 DOCS = "doc_id long, text string, lang string, removed string"
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
 def brute(rows, least=50):
-    """Texts after removal, by units as strings: the same cuts, grouping by the words themselves."""
-    keyed = {}
-    units = {}
-    for i, text in rows:
-        key = (i is None, i or 0, text)
-        column = pa.array([text], pa.string())
-        words, at = H.word_hashes(column)
-        starts = S.unit_starts(words, at)
-        strings = (text or "").lower().split()
-        ends = [*starts, len(words)][1:]
-        units[key] = ([tuple(strings[a:b]) for a, b in zip(starts, ends, strict=True)], [*starts, len(words)])
-        keyed[key] = text
-    first = {}
-    for key in sorted(keyed, key=lambda k: k[:2]):
-        for n, u in enumerate(units[key][0]):
-            first.setdefault(u, (key, n))
-    out = {}
-    for key, text in keyed.items():
-        repeated = np.array([n for n, u in enumerate(units[key][0]) if first[u] != (key, n)], dtype=np.int64)
-        if not text or not len(repeated):
-            out[key] = text
-            continue
-        raw = text.encode()
-        spans, _ = S.passages(repeated, np.array(units[key][1]), np.frombuffer(raw, dtype=np.uint8), least)
-        for lo, hi in reversed(spans):
-            raw = raw[:lo] + raw[hi:]
-        out[key] = raw.decode()
-    return [out[i is None, i or 0, t] for i, t in rows]
+    """Per row the words to remove, from the words alone: those in a window of least + 1 words that stands in a lesser text or place before."""
+    first, out = {}, {}
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")]
+        gone = [False] * len(words)
+        for p in range(len(words) - least):
+            if first.setdefault(tuple(words[p : p + least + 1]), (i, p)) != (i, p):
+                gone[p : p + least + 1] = [True] * (least + 1)
+        out[i] = gone
+    return out
+
+
+def removed_words(text, spans):
+    """Whether each word of a text lies in one of the spans; none is cut."""
+    out = []
+    for m in WORD.finditer(text or ""):
+        inside = [s for s in spans if s.start <= m.start() and m.end() <= s.end]
+        assert inside or all(m.end() <= s.start or s.end <= m.start() for s in spans)
+        out.append(bool(inside))
+    return out
 
 
 def case(seed=1):
@@ -56,7 +52,10 @@ def test_against_brute_force(spark):
     rows, passage, other = case()
     df = spark.createDataFrame([(i, t, "en", "x") for i, t in rows], DOCS).repartition(5)
     got = {r.doc_id: r for r in S.dedup_passages(df).collect()}
-    assert [got[i].text for i, _ in rows] == brute(rows)
+    expected = brute(rows)
+    for i, text in rows:
+        assert removed_words(text, got[i].removed) == expected[i], i
+        assert got[i].removed_words == sum(expected[i])
     assert list(df.drop("removed").columns) == list(got[0].asDict())[:3]
     for p in (passage, other):
         assert sum(p in (r.text or "") for r in got.values()) == 1
@@ -100,3 +99,68 @@ def test_passages_about_as_long_as_the_limit(spark):
     wrong = [(n, got[i].removed_words) for i, n in length.items() if (got[i].removed_words > 0) != (n > 50)]
     assert wrong == [] and not any(got[i - 1].removed_words for i in length)
     assert all(got[i].removed_words <= n for i, n in length.items())
+
+
+def test_extents_to_the_word(spark):
+    """Near copies, passages of several sources, repeats within a text and words that repeat without end: what goes is what lies in windows that repeat."""
+    rng = random.Random(21)
+    plain = lambda n: " ".join(f"{rng.getrandbits(40):x}" for _ in range(n))
+    base, texts = plain(400), []
+    for _ in range(12):
+        texts.append(edited(rng, base, rng.choice([0.005, 0.01, 0.02])))
+    parts = [plain(n) for n in (55, 70, 90, 140)]
+    for _ in range(30):
+        texts.append(" ".join([plain(rng.randint(0, 40)), rng.choice(parts), plain(rng.randint(0, 30)), rng.choice(parts).upper(), plain(rng.randint(0, 40))]))
+    texts += ["uno " * 300, "dos " * 200 + "tres " + "dos " * 200, (plain(60) + "\n") * 3]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in S.dedup_passages(spark.createDataFrame([(i, t, "en", "x") for i, t in rows], DOCS).repartition(4)).collect()}
+    expected = brute(rows)
+    for i, text in rows:
+        gone = removed_words(text, got[i].removed)
+        if i < len(rows) - 3:
+            assert gone == expected[i], i
+        else:  # words that repeat without end lose their copies but for the ends of units
+            assert not any(g and not e for g, e in zip(gone, expected[i], strict=True)), i
+            assert sum(gone) >= sum(expected[i]) - 2 * S.MOST - 51, i
+
+
+@pytest.mark.parametrize(("unit", "least"), [("line", 0), ("line", 12), ("paragraph", 0), ("paragraph", 9)])
+def test_lines_and_paragraphs_against_sql(spark, unit, least):
+    """Runs of whole units that repeat: what stays is what DuckDB keeps of the split texts."""
+    rng = random.Random(5)
+    pool = [prose(rng, n).replace("\n", " ") for n in (1, 2, 5, 8, 13, 20)] + ["  ", ""]
+    texts = []
+    for _ in range(60):
+        lines = [rng.choice(pool) if rng.random() < 0.5 else prose(rng, rng.randint(1, 9)).replace("\n", " ") for _ in range(rng.randint(1, 12))]
+        texts.append("\n".join(rng.choice([x, x.upper(), "  " + x, x.replace(" ", "  ")]) for x in lines))
+    rows = [*enumerate(texts), (100, ""), (101, " \n\n "), (102, None)]
+    got = {r.doc_id: r for r in S.dedup_passages(spark.createDataFrame([(i, t, "en", "x") for i, t in rows], DOCS).repartition(3), least, unit).collect()}
+    docs = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    between = r"\n" if unit == "line" else r"\n[ \t\r\x0b\x0c]*(\n[ \t\r\x0b\x0c]*)+"
+    expected = duckdb.sql(rf"""
+        WITH split AS (
+          SELECT doc_id, unnest(string_split_regex(text, '{between}')) AS u, unnest(generate_series(1, len(string_split_regex(text, '{between}')))) AS i FROM docs WHERE text IS NOT NULL
+        ), words AS (
+          SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, regexp_extract_all(lower(u), '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(u, '[^\x20\x09-\x0D]+') AS own FROM split WHERE len(regexp_extract_all(u, '[^\x20\x09-\x0D]+')) > 0
+        ), marked AS (
+          SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS again FROM words
+        ), numbered AS (
+          SELECT *, i - row_number() OVER (PARTITION BY doc_id, again ORDER BY i) AS run FROM marked
+        ), judged AS (
+          SELECT *, again AND sum(len(w)) OVER (PARTITION BY doc_id, again, run) > {least} AS gone FROM numbered
+        )
+        SELECT doc_id, coalesce(string_agg(array_to_string(own, ' '), ' ' ORDER BY i) FILTER (NOT gone), '') AS kept, coalesce(sum(len(w)) FILTER (gone), 0) AS n FROM judged GROUP BY doc_id
+    """).fetchall()
+    found = {i: (" ".join((got[i].text or "").split()), got[i].removed_words) for i, _ in rows}
+    assert {i: (k, n) for i, k, n in expected} == {i: v for i, v in found.items() if i < 100}
+    assert any(n for _, _, n in expected) and found[100] == found[101] == found[102] == ("", 0)
+    for i, t in rows:
+        kept, at = "", 0
+        for s in got[i].removed:
+            kept, at = kept + t[at : s.start], s.end
+        assert t is None or kept + t[at:] == got[i].text
+
+
+def test_no_other_unit(spark):
+    with pytest.raises(ValueError):
+        S.dedup_passages(spark.createDataFrame([], DOCS), 50, "sentence")
