@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -426,10 +427,10 @@ class Bits:
         self.words = words
 
     @classmethod
-    def of(cls, keys: DataFrame) -> Bits:
-        """keys: one column of hashes (long)."""
+    def of(cls, keys: DataFrame, n: int) -> Bits:
+        """keys: one column of n hashes (long)."""
         size = 1 << 16
-        while size < cls.MOST and size < 16 * keys.count():
+        while size < cls.MOST and size < 16 * n:
             size <<= 1
         bit = F.pmod(F.col(keys.columns[0]), F.lit(size))
         rows = keys.select(F.shiftright(bit, 6).cast("int").alias("w"), (bit % 64).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).collect()
@@ -473,7 +474,8 @@ class NgramJoin:
         first = materialize(self.docs.mapInArrow(lean(_nodes_and_counts(width)), "doc_id long, key long, node long, n long, sig binary, part int, counts binary"), "nodes")
         #: doc_id, key (a hash of the text), node (null for an empty set), n of every row.
         self.nodes = first.where("part IS NULL").select("doc_id", "key", "node", "n")
-        self.signatures = first.where("node IS NOT NULL AND doc_id IS NOT NULL").select("node", "sig")
+        #: node, its signature and the least doc_id that has it.
+        self.firsts = first.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"))
         kind = "part int, counts binary"
         parts = first.where("part IS NOT NULL").select("part", "counts").mapInArrow(lean(_add_counts), kind).repartition(16, "part").mapInArrow(lean(_add_counts), kind).collect()
         counts = np.zeros(COUNTERS, dtype=np.int64)
@@ -486,9 +488,9 @@ class NgramJoin:
         rows = self.docs.where("doc_id IS NOT NULL").mapInArrow(lean(_prefixes(self.width, self.order, self.t)), "token long, salt int, node long, n int, pos int")
         kind = "a long, token long, node long, n int, pos int, na int, meet boolean, more boolean"
         met = materialize(rows.repartition(F.col("token"), F.col("salt")).sortWithinPartitions("token", "salt", "node").mapInArrow(lean(_stars(self.t)), kind), "met")
-        #: node, sig and the number of its prefix tokens under which it meets others.
-        self.known = materialize(self.signatures.join(met.groupBy("node").agg(F.count("*").cast("int").alias("shared")), "node").groupBy("node").agg(F.first("sig").alias("sig"), F.first("shared").alias("shared")), "known")
-        self.sets = self._sets()
+        #: node, sig, doc_id and the number of the prefix tokens under which the node meets others.
+        self.known = materialize(self.firsts.join(met.groupBy("node").agg(F.count("*").cast("int").alias("shared")), "node"), "known")
+        self.sets: list[DataFrame] = []
         links = self._verified(self._near(met.where("meet").groupBy("a", "node").agg(F.max("n").alias("n"), F.max("na").alias("na"))))
         roots = connected_components(links)
         rest = self._mixed(met.where("more").select("token", "node", "n", "pos"), roots)
@@ -553,31 +555,43 @@ class NgramJoin:
 
     def _near(self, pairs: DataFrame) -> DataFrame:
         """pairs: a, node, n, na.  Those that may link by their signatures."""
-        known = pairs.join(self.known, "node").join(self.known.withColumnsRenamed({"node": "a", "sig": "sig_a", "shared": "shared_a"}), "a")
+        own = self.known.select("node", "sig", "shared")
+        known = pairs.join(own, "node").join(own.withColumnsRenamed({"node": "a", "sig": "sig_a", "shared": "shared_a"}), "a")
         return materialize(known.mapInArrow(lean(_near(self.t)), "a long, node long, n int, na int"), "near")
 
-    def _sets(self) -> DataFrame:
-        """(node, tokens in the global order) of the nodes that meet others: the texts are read once for all comparisons."""
-        holders = self.nodes.where("doc_id IS NOT NULL").join(self.known.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    def _sets(self, members: DataFrame) -> DataFrame:
+        """(node, tokens in the global order) of all nodes of `members` and maybe others; a text is tokenised once for all comparisons.
+
+        A row may come twice.
+        """
+        new = members.select("node").distinct()
+        for known in self.sets:
+            new = new.join(known.select("node"), "node", "left_anti")
         key = F.xxhash64("doc_id").alias("key")
-        ids = materialize(holders.select(key), "wanted")
-        wanted = self.spark.sparkContext.broadcast(Bits.of(ids))
+        ids = materialize(self.known.select("node", "doc_id").join(new, "node", "left_semi").select(key), "wanted", n=F.count("*"))
+        if ids.stats["n"]:
+            wanted = self.spark.sparkContext.broadcast(Bits.of(ids, ids.stats["n"]))
+            self.sets.append(materialize(self.docs.where("doc_id IS NOT NULL").select(key, "text").mapInArrow(lean(_tokens_of(self.width, self.order, wanted)), "node long, tokens binary"), "sets"))
         release(ids)
-        return materialize(self.docs.where("doc_id IS NOT NULL").select(key, "text").mapInArrow(lean(_tokens_of(self.width, self.order, wanted)), "node long, tokens binary").join(self.known.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+        return reduce(DataFrame.unionByName, self.sets)
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """pairs: a, node, n (size of node's set).  Links among them, by prefix trees in blocks of a bounded number of tokens."""
         shares = pairs.groupBy("a").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("blocks"))
         spread = pairs.join(shares, "a").select("a", "node", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).alias("block"))
-        members = spread.unionByName(spread.select("a", F.col("a").alias("node"), "block").distinct())
-        blocks = members.join(self.sets, "node").groupBy("a", "block").applyInPandas(_compare(self.t), "u long, v long")
-        return materialize(blocks, "links", n=F.count("*"))
+        members = materialize(spread.unionByName(spread.select("a", F.col("a").alias("node"), "block").distinct()), "members", n=F.count("*"))
+        if not members.stats["n"]:
+            return materialize(self.spark.createDataFrame([], "u long, v long"), "links", n=F.count("*"))
+        blocks = members.join(self._sets(members), "node").groupBy("a", "block").applyInPandas(_compare(self.t), "u long, v long")
+        links = materialize(blocks, "links", n=F.count("*"))
+        release(members, pairs)
+        return links
 
     def classes(self) -> DataFrame:
         """doc_id, key, n_shingles, component_id (least doc_id of the class) of every row."""
         docs = self.nodes.join(self.roots(), "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
         docs = materialize(docs, "docs")
-        least = docs.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        least = materialize(docs.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
         linked = docs.where("root IS NOT NULL AND doc_id IS NOT NULL").join(least, "root").select("doc_id", "key", "n_shingles", "component_id")
         return linked.unionByName(docs.where("root IS NULL OR doc_id IS NULL").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id")))
 
