@@ -22,18 +22,20 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     nulls are ignored.
     """
     e = edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    e = _written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(rounds if e.stats["n"] else 0):
+    e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    stats = None
+    for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         before, e = e, _written(small.select("e.u", "e.v").where("u <> v").distinct())
-        release(before)
-        if e.stats == before.stats:
+        if stats is not None:
+            release(before)
+        if e.stats == stats or not e.stats["n"]:
             break
+        stats = e.stats
     else:
-        if e.stats["n"]:
-            raise RuntimeError(f"components have not settled within {rounds} rounds")
+        raise RuntimeError(f"components have not settled within {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

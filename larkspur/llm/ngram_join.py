@@ -38,8 +38,8 @@ from .wordhash import set_digest, shingles, slices, word_hashes
 #: Counters of the histogram that orders the tokens: 1 MB whatever the input.
 COUNTERS = 1 << 18
 _PART = 1024
-#: Tokens of the sets that meet a pivot in one block.
-BLOCK_TOKENS = 200_000
+#: Tokens of the sets that meet a pivot in one block; pairs of no more than FEW_TOKENS in all are one block for each pivot.
+BLOCK_TOKENS, FEW_TOKENS = 200_000, 4_000_000
 #: Rows of a token in one tile of the last round.
 TILE = 4096
 #: Bits of a signature: the power of two from so many times the set's size on.
@@ -428,7 +428,7 @@ class Bits:
 
     @classmethod
     def of(cls, keys: DataFrame, n: int) -> Bits:
-        """keys: one column of n hashes (long)."""
+        """keys: one column of at most n hashes (long)."""
         size = 1 << 16
         while size < cls.MOST and size < 16 * n:
             size <<= 1
@@ -457,6 +457,11 @@ def _compare(t: Fraction):
     return run
 
 
+def _written(pairs: DataFrame, name: str) -> DataFrame:
+    """Pairs, written, with their number and the tokens of the sets to be compared."""
+    return materialize(pairs, name, n=F.count("*"), tokens=F.coalesce(F.sum("n"), F.lit(0)))
+
+
 class NgramJoin:
     """Jaccard self-join of documents on word shingles.
 
@@ -491,36 +496,38 @@ class NgramJoin:
         #: node, sig, doc_id and the number of the prefix tokens under which the node meets others.
         self.known = materialize(self.firsts.join(met.groupBy("node").agg(F.count("*").cast("int").alias("shared")), "node"), "known")
         self.sets: list[DataFrame] = []
-        links = self._verified(self._near(met.where("meet").groupBy("a", "node").agg(F.max("n").alias("n"), F.max("na").alias("na"))))
+        links = self._verified(self._near(met.where("meet").select("a", "node", "n", "na")))
         roots = connected_components(links)
-        rest = self._mixed(met.where("more").select("token", "node", "n", "pos"), roots)
+        rest, tokens = self._mixed(met.where("more").select("token", "node", "n", "pos"), roots, 0)
         release(met, links)
         num, den = self.t.numerator, self.t.denominator
         need = F.ceil(F.expr(f"({num} * (n + p.n)) / {num + den}D"))
         bound = F.expr("least(n - pos, p.n - p.pos) + least(pos, p.pos)")
         for turn in range(PIVOT_ROUNDS):
-            if rest.size["pairs"] <= CHEAP * rest.size["rows"]:
+            had = tokens.size["rows"]
+            if tokens.size["pairs"] <= CHEAP * had:
                 break
-            pivot = rest.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "root"), F.xxhash64("node", "token", F.lit(turn))).alias("p"))
-            star = self._dealt(rest, pivot).where(F.expr(f"root <> p.root AND {den} * least(n, p.n) >= {num} * greatest(n, p.n)") & (bound >= need))
-            star = star.groupBy(F.col("p.node").alias("a"), "node").agg(F.max("n").alias("n"), F.max("p.n").alias("na"))
-            further = self._verified(self._near(star))
+            star = self._dealt(rest, tokens.select("token", "p")).where(F.expr(f"root <> p.root AND {den} * least(n, p.n) >= {num} * greatest(n, p.n)") & (bound >= need))
+            near = self._near(star.select(F.col("p.node").alias("a"), "node", "n", F.col("p.n").alias("na")))
+            if near.stats["n"] < WORTH * had:
+                break  # what these few pairs link is found in the tiles
+            further = self._verified(near)
             if not further.stats["n"]:
                 break
-            before, had = rest, rest.size["rows"]
+            before = rest, tokens
             roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(further))
-            rest = self._mixed(rest.select("token", "node", "n", "pos"), roots)
-            release(before, further)
+            rest, tokens = self._mixed(self._dealt(rest.drop("root"), tokens.select("token")), roots, turn + 1)
+            release(*before, further)
             if further.stats["n"] < WORTH * had:
                 break
-        if not rest.size["rows"]:
+        if not tokens.size["rows"]:
             return roots
-        rest = rest.join(self.known.select("node", "shared"), "node")
+        rest = self._dealt(rest, tokens.select("token", "k")).join(self.known.select("node", "shared"), "node")
         x, y = rest.where(F.col("k") <= FEW).alias("x"), rest.where(F.col("k") <= FEW).alias("y")
         need = F.ceil(F.expr(f"({num} * (x.n + y.n)) / {num + den}D"))
         bound = F.expr("least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos)")
         fits = F.expr(f"x.token = y.token AND x.root <> y.root AND x.node < y.node AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND least(x.shared, y.shared) >= {least_shared_sql('x.n', 'y.n', self.t)}")
-        few = self._near(x.join(y, fits & (bound >= need)).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("node")).agg(F.max("y.n").alias("n"), F.max("x.n").alias("na")))
+        few = self._near(x.join(y, fits & (bound >= need)).select(F.col("x.node").alias("a"), F.col("y.node").alias("node"), F.col("y.n").alias("n"), F.col("x.n").alias("na")))
         many = rest.where(F.col("k") > FEW).withColumn("tiles", F.ceil(F.col("k") / F.lit(TILE)).cast("int"))
         firsts = many.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("token")), 1, FIRST_TOKENS).alias("firsts"))
         many = many.join(self.known.select("node", "sig").join(firsts, "node"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles").cast("long")).cast("int"))
@@ -528,7 +535,8 @@ class NgramJoin:
         many = many.select("token", *columns, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
         many = many.select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), *columns)
         many = many.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node").mapInArrow(lean(_tile_pairs(self.t)), "a long, node long, n int, na int")
-        pairs = materialize(few.unionByName(many).distinct(), "pairs", n=F.count("*"))
+        pairs = _written(few.unionByName(many).distinct(), "pairs")
+        release(few)
         if not pairs.stats["n"]:
             return roots
         further = self._verified(pairs)
@@ -539,28 +547,27 @@ class NgramJoin:
         salted = tokens.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"]).drop("salt")
 
-    def _mixed(self, rows: DataFrame, roots: DataFrame) -> DataFrame:
-        """Rows of the tokens under which different components meet, with each row's root and the token's number of rows, k.
+    def _mixed(self, rows: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """rows with each node's root, and the tokens under which different components meet: their number of rows k and a pivot p.
 
-        The result's `size` has its rows and the pairs that they make under their tokens.
+        The `size` of the tokens has their rows and the pairs that these make.
         """
         rows = materialize(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rest")
-        tokens = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).where("low <> high").select("token", "k")
+        pivot = F.min_by(F.struct("node", "n", "pos", "root"), F.xxhash64("node", "token", F.lit(turn))).alias("p")
+        tokens = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k"), pivot).where("low <> high").select("token", "k", "p")
         tokens = materialize(tokens, "mixed", rows=F.sum("k"), pairs=F.sum(F.expr("k * (k - 1) / 2")))
-        size = {k: v or 0 for k, v in tokens.stats.items()}
-        found = materialize(self._dealt(rows, tokens), "mixed")
-        release(rows, tokens)
-        found.size = size
-        return found
+        tokens.size = {k: v or 0 for k, v in tokens.stats.items()}
+        return rows, tokens
 
     def _near(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a, node, n, na.  Those that may link by their signatures."""
+        """pairs: a, node, n, na, some of them several times.  Those that may link by their signatures, once each."""
         own = self.known.select("node", "sig", "shared")
+        pairs = pairs.repartition("node").groupBy("a", "node").agg(F.max("n").alias("n"), F.max("na").alias("na"))  # dealt as the join wants it
         known = pairs.join(own, "node").join(own.withColumnsRenamed({"node": "a", "sig": "sig_a", "shared": "shared_a"}), "a")
-        return materialize(known.mapInArrow(lean(_near(self.t)), "a long, node long, n int, na int"), "near")
+        return _written(known.mapInArrow(lean(_near(self.t)), "a long, node long, n int, na int"), "near")
 
-    def _sets(self, members: DataFrame) -> DataFrame:
-        """(node, tokens in the global order) of all nodes of `members` and maybe others; a text is tokenised once for all comparisons.
+    def _sets(self, members: DataFrame, n: int) -> DataFrame:
+        """(node, tokens in the global order) of all nodes of `members`, at most n, and maybe others; a text is tokenised once for all comparisons.
 
         A row may come twice.
         """
@@ -568,23 +575,25 @@ class NgramJoin:
         for known in self.sets:
             new = new.join(known.select("node"), "node", "left_anti")
         key = F.xxhash64("doc_id").alias("key")
-        ids = materialize(self.known.select("node", "doc_id").join(new, "node", "left_semi").select(key), "wanted", n=F.count("*"))
-        if ids.stats["n"]:
-            wanted = self.spark.sparkContext.broadcast(Bits.of(ids, ids.stats["n"]))
+        bits = Bits.of(self.known.select("node", "doc_id").join(new, "node", "left_semi").select(key), n)
+        if bits.words.any():
+            wanted = self.spark.sparkContext.broadcast(bits)
             self.sets.append(materialize(self.docs.where("doc_id IS NOT NULL").select(key, "text").mapInArrow(lean(_tokens_of(self.width, self.order, wanted)), "node long, tokens binary"), "sets"))
-        release(ids)
         return reduce(DataFrame.unionByName, self.sets)
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a, node, n (size of node's set).  Links among them, by prefix trees in blocks of a bounded number of tokens."""
-        shares = pairs.groupBy("a").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("blocks"))
-        spread = pairs.join(shares, "a").select("a", "node", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).alias("block"))
-        members = materialize(spread.unionByName(spread.select("a", F.col("a").alias("node"), "block").distinct()), "members", n=F.count("*"))
-        if not members.stats["n"]:
+        """pairs: a, node, n (size of node's set), written.  Links among them, by prefix trees in blocks of a bounded number of tokens."""
+        if not pairs.stats["n"]:
             return materialize(self.spark.createDataFrame([], "u long, v long"), "links", n=F.count("*"))
-        blocks = members.join(self._sets(members), "node").groupBy("a", "block").applyInPandas(_compare(self.t), "u long, v long")
+        if pairs.stats["tokens"] <= FEW_TOKENS:
+            spread = pairs.select("a", "node", F.lit(0).cast("long").alias("block"))
+        else:
+            shares = pairs.groupBy("a").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("blocks"))
+            spread = pairs.join(shares, "a").select("a", "node", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).alias("block"))
+        members = spread.unionByName(spread.select("a", F.col("a").alias("node"), "block").distinct())
+        blocks = members.join(self._sets(members, 2 * pairs.stats["n"]), "node").groupBy("a", "block").applyInPandas(_compare(self.t), "u long, v long")
         links = materialize(blocks, "links", n=F.count("*"))
-        release(members, pairs)
+        release(pairs)
         return links
 
     def classes(self) -> DataFrame:
