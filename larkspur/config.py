@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 EXAMS = ("A1", "A2", "C1", "C2")
 TEMAS = ("TODOS", "I", "II", "III", "IV", "V")
@@ -21,27 +21,25 @@ class ChunkSpec:
 
     max_tokens: int = 1024
     overlap: int = 100
-    specials: int = 2
     forced: frozenset[str] = frozenset({"doc198"})
     reject_leadins: bool = False
     exempt_ordinals: bool = False
 
-    @property
-    def chunk_size(self) -> int:
-        return self.max_tokens - self.specials
-
-    def clamped(self, model_limit: int) -> ChunkSpec:
-        return ChunkSpec(min(self.max_tokens, model_limit), self.overlap, self.specials, self.forced, self.reject_leadins, self.exempt_ordinals)
+    def clamped(self, limit: int | None) -> ChunkSpec:
+        """With no more tokens than the model takes."""
+        return self if limit is None else replace(self, max_tokens=min(self.max_tokens, limit))
 
 
 @dataclass(frozen=True)
 class Bm25Spec:
-    """Saturated term frequency with a fixed average length; idf on request."""
+    """Saturated term frequency with a fixed average length; idf, stop words and light stems (by language) on request."""
 
     k1: float = 1.2
     b: float = 0.75
     avg_len: float = 256.0
     idf: bool = False
+    stop_words: tuple[str, ...] = ()
+    language: str | None = None
     pattern: str = r"[^\p{L}]+"
 
 

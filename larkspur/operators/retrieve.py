@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,10 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import Bm25Spec, FusionSpec, RetrievalSpec
 from ..functions.text import words
-from ..functions.vectors import cosine
 
-#: Queries in one block of a dense search: what a task holds beside its rows.
-QUERY_BLOCK = 4096
+#: Queries and points that meet in one task of a dense search.
+QUERY_TILE, POINT_TILE = 4096, 50_000
 
 
 def effective_temas(exam: Column, temas: Column) -> Column:
@@ -40,43 +37,27 @@ def top(scored: DataFrame, k: int | Column, query: str = "query_id", point: str
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def dense_scores(queries: DataFrame, points: DataFrame, digits: int = 6) -> DataFrame:
-    """Cosines of every pair, in expressions: for small inputs and as what dense_topk is tested against."""
-    pairs = F.broadcast(queries.select("query_id", F.col("dense").alias("q"))).crossJoin(points.select("point_id", F.col("dense").alias("d")))
-    return pairs.select("query_id", "point_id", F.round(cosine(F.col("q"), F.col("d")), digits).alias("score"))
-
-
-def dense_topk(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, digits: int = 6, keep: Column | None = None) -> DataFrame:
+def dense_topk(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, digits: int = 6) -> DataFrame:
     """query_id, point_id, score, rank of the k nearest points by cosine.
 
-    Queries go out in blocks of QUERY_BLOCK, so what is broadcast has a fixed size; a
-    task multiplies a block with its Arrow batches and keeps k rows per query.
-    Scores are rounded before they are ranked.  Vectors of length zero, null vectors and those of
+    Tiles of about QUERY_TILE queries meet tiles of about POINT_TILE points; a task multiplies one of
+    each and keeps k rows per query, so nothing passes the driver and what a task holds doesn't grow with the tables.
+    Scores are rounded before they are ranked.  Vectors of length zero, null vectors, those with a null and those of
     another size are left out.  queries and points: query_id/point_id and dense;
     with filters also exam, temas and exams_id, tema.
     """
     filtered = "exam" in queries.columns
-    head = ["query_id", "dense", "exam", "temas"] if filtered else ["query_id", "dense"]
     spark = queries.sparkSession
-    asked = queries.select(*head)
-    total = asked.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    numbered = asked.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    body = ["point_id", "dense", "exams_id", "tema"] if filtered else ["point_id", "dense"]
-    rows = points.select(*body)
-    found: DataFrame | None = None
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    point_type = points.schema["point_id"].dataType.simpleString()
-    for block in range(blocks):
-        part = numbered.where(F.col("__block") == block).drop("__block").toPandas()
-        part = part[part["dense"].map(lambda x: x is not None and len(x) > 0)]
-        if part.empty:
-            continue
-        shared = spark.sparkContext.broadcast(part)
-        one = rows.mapInPandas(_scorer(shared, k, exclude_self, digits, filtered), f"query_id {id_type}, point_id {point_type}, score double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = spark.createDataFrame([], f"query_id {id_type}, point_id {point_type}, score double")
+    asked = queries.select("query_id", "dense", *(["exam", "temas"] if filtered else []))
+    rows = points.select(*[F.col(c).alias(c) for c in ("point_id", "dense", *(("exams_id", "tema") if filtered else ()))])  # new columns: both sides may come from one table
+    n_points = points.count()
+    tiles = max(1, -(-queries.count() // QUERY_TILE))
+    shards = max(1, -(-n_points // POINT_TILE), min(spark.sparkContext.defaultParallelism, -(-n_points // 512)))
+    tile, shard = F.pmod(F.xxhash64("query_id"), F.lit(tiles)).cast("int"), F.pmod(F.xxhash64("point_id"), F.lit(shards)).cast("int")
+    asked = asked.withColumn("__tile", tile).withColumn("__shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    rows = rows.withColumn("__shard", shard).withColumn("__tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, point_id {points.schema['point_id'].dataType.simpleString()}, score double"
+    found = asked.groupBy("__tile", "__shard").cogroup(rows.groupBy("__tile", "__shard")).applyInPandas(_tile_topk(k, exclude_self, digits, filtered), kinds)
     return top(found, k)
 
 
@@ -86,57 +67,79 @@ def _unit_rows(vectors: list) -> np.ndarray:
     return x / np.where(n > 0, n, np.nan)[:, None]
 
 
-def _scorer(shared, k: int, exclude_self: bool, digits: int, filtered: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = shared.value.reset_index(drop=True)
-        groups = [(size, list(g.index), _unit_rows(list(g["dense"]))) for size, g in asked.groupby(asked["dense"].map(len))]
-        best: list[pd.DataFrame] = []
-        kept = 0
-        for batch in batches:
-            batch = batch[batch["dense"].map(lambda x: x is not None and not pd.isna(np.asarray(x, dtype=object)).any())]
-            sizes = batch["dense"].map(len)
-            for size, index, matrix in groups:
-                rows = batch[sizes == size]
-                if rows.empty:
-                    continue
-                scores = np.round(matrix @ _unit_rows(list(rows["dense"])).T, digits)
-                ids = rows["point_id"].to_numpy()
-                for i, q in enumerate(index):
-                    s = scores[i].copy()
-                    if exclude_self:
-                        s[ids == asked["query_id"][q]] = np.nan
-                    if filtered:
-                        exam, temas = asked["exam"][q], set(asked["temas"][q])
-                        ok = [e is not None and exam in e and (not temas or (t is not None and bool(temas & set(t)))) for e, t in zip(rows["exams_id"], rows["tema"], strict=True)]
-                        s[~np.array(ok, dtype=bool)] = np.nan
-                    usable = np.flatnonzero(~np.isnan(s))
-                    if len(usable) > k:
-                        least = np.partition(s[usable], len(usable) - k)[len(usable) - k]
-                        usable = usable[s[usable] >= least]
-                        usable = usable[np.lexsort((ids[usable], -s[usable]))][:k]
-                    if len(usable):
-                        best.append(pd.DataFrame({"query_id": [asked["query_id"][q]] * len(usable), "point_id": ids[usable], "score": s[usable]}))
-                        kept += len(usable)
-            if kept > 8 * k * max(1, len(asked)):
-                best = [_trim(pd.concat(best), k)]
-                kept = len(best[0])
-        if best:
-            yield _trim(pd.concat(best), k)
+def _by_size(vectors: pd.Series) -> dict[int, np.ndarray]:
+    """Places of the usable vectors by their size."""
+    sizes = np.array([-1 if v is None or pd.isna(np.asarray(v, dtype=object)).any() else len(v) for v in vectors], dtype=np.int64)
+    return {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes[sizes > 0])}
+
+
+def _allowed(rows: pd.DataFrame, exam: str, temas: frozenset) -> np.ndarray:
+    """Which points a filter lets through: one mask for all queries that ask for the same."""
+    ok = [e is not None and exam in e and (not temas or (t is not None and not temas.isdisjoint(t))) for e, t in zip(rows["exams_id"], rows["tema"], strict=True)]
+    return np.array(ok, dtype=bool)
+
+
+def _tile_topk(k: int, exclude_self: bool, digits: int, filtered: bool):
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        asked, given = _by_size(queries["dense"]), _by_size(rows["dense"])
+        query_ids = queries["query_id"].to_numpy()
+        for size in asked.keys() & given.keys():
+            part = rows.iloc[given[size]]
+            ids, matrix = part["point_id"].to_numpy(), _unit_rows(list(part["dense"])).T
+            groups: dict[tuple, list[int]] = {}
+            for place in asked[size]:
+                wanted = (queries["exam"].iat[place], frozenset(t for t in queries["temas"].iat[place] if t is not None)) if filtered else ()
+                groups.setdefault(wanted, []).append(place)
+            for wanted, places in groups.items():
+                open_ = np.flatnonzero(_allowed(part, *wanted)) if filtered else np.arange(len(ids))
+                for lo in range(0, len(places), 256):
+                    block = places[lo : lo + 256]
+                    scores = np.round(_unit_rows([queries["dense"].iat[p] for p in block]) @ matrix[:, open_], digits)
+                    for place, s in zip(block, scores, strict=True):
+                        usable = np.flatnonzero(~np.isnan(s) & (ids[open_] != query_ids[place])) if exclude_self else np.flatnonzero(~np.isnan(s))
+                        if len(usable) > k:
+                            least = np.partition(s[usable], len(usable) - k)[len(usable) - k]
+                            usable = usable[s[usable] >= least]
+                            usable = usable[np.lexsort((ids[open_][usable], -s[usable]))][:k]
+                        out.append((np.repeat(query_ids[place : place + 1], len(usable)), ids[open_][usable], s[usable]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+        return pd.DataFrame(dict(zip(("query_id", "point_id", "score"), columns, strict=True)))
 
     return run
 
 
-def _trim(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    return rows.sort_values(["query_id", "score", "point_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k).reset_index(drop=True)
+def query_terms(queries: DataFrame, spec: Bm25Spec | None = None) -> DataFrame:
+    """(query_id, term): the distinct terms of each query's text."""
+    spec = spec or Bm25Spec()
+    return queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text"), spec))).alias("term"))
+
+
+def terms(text: Column, spec: Bm25Spec) -> Column:
+    """The terms of a text: lower-cased pieces without stop words, and their stems where a language says how (stem_udf)."""
+    found = words(text, spec.pattern)
+    if spec.stop_words:
+        found = F.filter(found, lambda w: ~w.isin(*spec.stop_words))
+    return stems(found, spec.language) if spec.language else found
+
 
+def _weight(tf: str, length: str, spec: Bm25Spec) -> str:
+    return f"{tf} * ({spec.k1}D + 1) / ({tf} + {spec.k1}D * (1 - {spec.b}D + {spec.b}D * {length} / {spec.avg_len}D))"
 
-def inverted_index(points: DataFrame, spec: Bm25Spec | None = None, text: str = "content") -> DataFrame:
-    """term, point_id, weight: the saturated frequency of each term of each point."""
+
+def inverted_index(points: DataFrame, spec: Bm25Spec | None = None, text: str = "content", wanted: DataFrame | None = None) -> DataFrame:
+    """term, point_id, weight: the saturated frequency of each term of each point.
+
+    wanted: a table with the terms that will be asked for.  Others are left out before they are counted, so
+    that a search shuffles the postings of its own terms only.  With idf all terms of the corpus count their documents, yet
+    only the wanted ones come out.
+    """
     spec = spec or Bm25Spec()
-    tokens = points.select("point_id", words(F.col(text), spec.pattern).alias("w"))
-    counted = tokens.select("point_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("point_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    weight = F.expr(f"tf * ({spec.k1}D + 1) / (tf + {spec.k1}D * (1 - {spec.b}D + {spec.b}D * len / {spec.avg_len}D))")
-    index = counted.select("term", "point_id", weight.alias("weight"))
+    tokens = points.select("point_id", terms(F.col(text), spec).alias("w")).select("point_id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    if wanted is not None:
+        tokens = tokens.join(wanted.select("term").distinct(), "term", "left_semi")
+    counted = tokens.groupBy("point_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    index = counted.select("term", "point_id", F.expr(_weight("tf", "len", spec)).alias("weight"))
     if not spec.idf:
         return index
     n = points.select("point_id").distinct().agg(F.count("*").alias("n"))
@@ -144,11 +147,48 @@ def inverted_index(points: DataFrame, spec: Bm25Spec | None = None, text: str =
     return index.join(df, "term").select("term", "point_id", (F.col("weight") * F.col("idf")).alias("weight"))
 
 
+def sparse_vector(text: Column, spec: Bm25Spec | None = None) -> Column:
+    """array<struct<term, weight>> of a text, in the order of terms: what an index stores with each point; the weights without idf."""
+    spec = spec or Bm25Spec()
+
+    @F.pandas_udf("array<struct<term: string, tf: int, len: int>>")
+    def count(found: pd.Series) -> pd.Series:
+        def one(ws) -> list[dict] | None:
+            if ws is None:
+                return None
+            kinds, n = np.unique(np.asarray(ws, dtype=object).astype(str), return_counts=True) if len(ws) else ([], [])
+            return [{"term": t, "tf": int(c), "len": len(ws)} for t, c in zip(kinds, n, strict=True)]
+
+        return found.map(one)
+
+    return F.transform(count(terms(text, spec)), lambda x: F.struct(x["term"].alias("term"), (x["tf"] * F.lit(spec.k1 + 1) / (x["tf"] + F.lit(spec.k1) * (F.lit(1 - spec.b) + F.lit(spec.b) * x["len"] / F.lit(spec.avg_len)))).alias("weight")))
+
+
+def postings(points: DataFrame, wanted: DataFrame, column: str = "sparse") -> DataFrame:
+    """term, point_id, weight of the stored sparse vectors, for the wanted terms."""
+    return points.select("point_id", F.explode(column).alias("p")).select("p.term", "point_id", "p.weight").join(wanted.select("term").distinct(), "term", "left_semi")
+
+
 def sparse_scores(queries: DataFrame, index: DataFrame, spec: Bm25Spec | None = None, digits: int = 6) -> DataFrame:
     """queries: query_id, text.  Sums of weights of the distinct terms of each query, rounded."""
-    spec = spec or Bm25Spec()
-    terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text"), spec.pattern))).alias("term"))
-    return index.join(terms, "term").groupBy("query_id", "point_id").agg(F.round(F.sum("weight"), digits).alias("score"))
+    return index.join(query_terms(queries, spec), "term").groupBy("query_id", "point_id").agg(F.round(F.sum("weight"), digits).alias("score"))
+
+
+def stems(found: Column, language: str) -> Column:
+    """Each word without its endings, by the rules of a language (STEMS)."""
+    rules = STEMS[language]
+
+    def cut(w: Column) -> Column:
+        out = w
+        for shortest, pattern in rules:
+            out = F.when(F.length(out) >= shortest, F.regexp_replace(out, pattern, "")).otherwise(out)
+        return F.translate(out, "áéíóúü", "aeiouu")
+
+    return F.transform(found, cut)
+
+
+#: Endings that go, one rule behind the other, from words of so many letters on.  Light stemmers with rules of their own: plural, then gender.
+STEMS = {"spanish": ((5, "(?<=[^aeiouáéíóú])es$|(?<=[aeiouáéíóú])s$"), (5, "(?:amiento|imiento|aci[oó]n|adora|ador|mente|idad)$"), (5, "[aoe]$")), "english": ((5, "(?<=[^s])s$"), (6, "(?:ing|ed|ly)$"))}
 
 
 def fuse(branches: list[DataFrame], spec: FusionSpec | None = None, digits: int = 9) -> DataFrame:

@@ -1,16 +1,17 @@
 """Segmentation of legal texts into sections.
 
-Offsets of all pattern matches come from one scan of each text in Python (the
-patterns need lookahead and Unicode classes, and Spark has no function for all
-offsets).  Everything after that is windows over the table of marks: citations,
-the order of headings, the choice of a strategy and the slices.
+A text goes through one map in Python: the patterns need lookahead and Unicode classes, Spark has no
+function for all offsets, and a substring of a UTF-8 text by its character offset costs the whole text before
+it.  No row meets another one, so nothing is shuffled or kept, and a document that comes twice is segmented twice.
+Tables of marks without texts have the same rules as windows: drop_citations and resolve_headings.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,6 +22,22 @@ from ..functions.text import strip
 from .patterns import LEGAL, PatternSet
 from .splitter import Splitter, Tokenizer, WordTokenizer
 
+LEVELS = {"articles": "articulo_disposicion", "numbers": "articulo_disposicion", "chapter": "capitulo", "title": "titulo", "length": "documento completo"}
+KINDS = {"articles": "articulo", "numbers": "articulo", "chapter": "capitulo", "title": "titulo"}
+
+
+class Mark(NamedTuple):
+    kind: str
+    start: int
+    end: int
+    heading: str
+    number: int | None = None
+
+
+class Section(NamedTuple):
+    tipo_seccion: str
+    seccion: str | None
+    content: str
 
 
 @lru_cache(maxsize=32)
@@ -28,62 +45,114 @@ def _compiled(pattern: str) -> re.Pattern:
     return re.compile(pattern)
 
 
-def _layers(text: str, patterns: PatternSet) -> Iterator[tuple[str, str | None]]:
-    """The text from outside inwards: (what stands before an embedded title, None) and at last (the rest, rest)."""
+def layers(text: str, patterns: PatternSet) -> Iterator[tuple[str, bool]]:
+    """The text from outside inwards: (what stands before an embedded title, True) and at last (the rest, False)."""
     while patterns.embedded and (m := _compiled(patterns.embedded).search(text)):
-        yield text[: m.start()].strip(), None
+        yield text[: m.start()].strip(), True
         text = text[m.end() :].lstrip().lstrip("«")
-    yield text, text
+    yield text, False
 
 
-def scan_text(text: str, patterns: PatternSet) -> list[tuple[str, int, int, str, int | None]]:
-    """(kind, start, end, stripped heading, number) of all marks of a text that has no embedded one.
-
-    Headings count only before the first annex; bare numbers are looked for in that
-    body ("number") and, as what they match depends on where the text ends, once
-    more in what stands before the first other heading ("early").
-    """
-    found: list[tuple[str, int, int, str, int | None]] = []
-
-    def add(kind: str, pattern: str, within: str) -> None:
-        for m in _compiled(pattern).finditer(within):
-            number = int(m[1]) if kind in ("number", "early") else None
-            found.append((kind, m.start(), m.end(), m[0].strip(), number))
-
-    add("annex", patterns.annex, text)
-    body = text[: found[0][1]] if found else text
-    for kind, pattern in (("heading", patterns.heading), ("category", patterns.category), ("ordinal", patterns.ordinal), ("number", patterns.number), ("chapter", patterns.chapter), ("title", patterns.title)):
-        add(kind, pattern, body)
-    quotes = [("quote", m.start(), m.end(), m[0], None) for m in re.finditer("[«»]", body)]
-    found += quotes
-    return found
-
+def marks(text: str, kind: str, pattern: str) -> list[Mark]:
+    """All matches of a pattern; of bare numbers with the number."""
+    return [Mark(kind, m.start(), m.end(), m[0].strip(), int(m[1]) if kind == "number" else None) for m in _compiled(pattern).finditer(text)]
 
-def scan(docs: DataFrame, patterns: PatternSet = LEGAL) -> DataFrame:
-    """docs (doc_id, text) with layers: array of (level, text, outer, marks); outer layers come before the one to be segmented."""
 
-    @F.pandas_udf("array<struct<level: int, text: string, outer: boolean, marks: array<struct<kind: string, start: int, end: int, heading: string, number: int>>>>")
-    def marks(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            rows = []
-            for level, (part, inner) in enumerate(_layers(text or "", patterns)):
-                found = [] if inner is None else [dict(zip(("kind", "start", "end", "heading", "number"), m, strict=True)) for m in scan_text(inner, patterns)]
-                rows.append({"level": level, "text": part, "outer": inner is None, "marks": found})
-            out.append(rows)
-        return pd.Series(out)
+def in_sequence(found: list[Mark]) -> list[Mark]:
+    """Of numbers in text order those that go 1, 2, 3 and on; none if fewer than 3 or under 0.8 of all."""
+    run: list[Mark] = []
+    for mark in found:
+        if mark.number == len(run) + 1:
+            run.append(mark)
+    return run if len(run) >= 3 and len(run) * 10 >= len(found) * 8 else []
 
-    return docs.select("doc_id", F.explode(marks("text")).alias("l")).select("doc_id", "l.*")
 
+def headings(body: str, patterns: PatternSet, spec: ChunkSpec) -> list[tuple[int, str, str]]:
+    """(start, tipo_seccion, seccion) of the articles and dispositions of a body, in order.
 
-def early_numbers(body: F.Column, patterns: PatternSet = LEGAL) -> F.Column:
-    """Marks of bare numbers in a text that ends before the first heading."""
+    Headings in an open quotation or (on request) behind words that lead into a citation don't count.
+    """
+    tags = [*marks(body, "heading", patterns.heading), *marks(body, "category", patterns.category), *marks(body, "ordinal", patterns.ordinal)]
+    quotes = [(m.start(), m[0] == "«") for m in re.finditer("[«»]", body)]
+    tags.sort(key=lambda t: t.start)  # stable: a heading before a category before an ordinal
+    kept, at, open_ = [], 0, False
+    for tag in tags:
+        while at < len(quotes) and quotes[at][0] < tag.start:
+            open_, at = quotes[at][1], at + 1
+        if tag.kind == "heading":
+            free = spec.exempt_ordinals and _compiled(patterns.ordinal_article).search(tag.heading)
+            if (open_ and not free) or (spec.reject_leadins and _compiled(patterns.lead_in).search(body[: tag.start])):
+                continue
+        kept.append(tag)
+    found, last = [], None
+    for i, tag in enumerate(kept):
+        if tag.kind == "heading":
+            found.append((tag.start, "disposicion" if tag.heading.lower().startswith(patterns.disposition) else "articulo", tag.heading))
+        elif tag.kind == "category":
+            if i + 1 == len(kept) or kept[i + 1].kind != "ordinal":
+                found.append((tag.start, "disposicion", tag.heading))
+        elif last is None:
+            found.append((tag.start, "articulo", tag.heading))
+        elif last.kind == "category":
+            found.append((tag.start, "disposicion", f"{last.heading} {tag.heading}"))
+        last = last if tag.kind == "ordinal" else tag
+    return found
 
-    @F.pandas_udf("array<struct<kind: string, start: int, end: int, heading: string, number: int>>")
-    def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if not t else [{"kind": "number", "start": m.start(), "end": m.end(), "heading": m[0].strip(), "number": int(m[1])} for m in _compiled(patterns.number).finditer(t)])
 
-    return find(body)
+def strategy(text: str, body: str, patterns: PatternSet, spec: ChunkSpec, forced: bool) -> tuple[str, list[tuple[int, str, str]]]:
+    """The first of articles, numbers, chapters, titles and length that the body has, and the starts of its sections."""
+    if forced:
+        return "length", []
+    found = headings(body, patterns, spec)
+    if found:
+        first = found[0][0]
+        early = [] if any(t == "articulo" for _, t, _ in found) else in_sequence(marks(text[:first], "number", patterns.number))
+        return "articles", sorted([*found, *((m.start, "articulo", m.heading) for m in early)])
+    for name, some in (("numbers", lambda: in_sequence(marks(body, "number", patterns.number))), ("chapter", lambda: marks(body, "chapter", patterns.chapter)), ("title", lambda: marks(body, "title", patterns.title))):
+        if starts := some():
+            return name, [(m.start, KINDS[name], m.heading) for m in starts]
+    return "length", []
+
+
+def slices(text: str, starts: list[tuple[int, str, str]]) -> list[Section]:
+    """Each section up to the next start, and what stands before the first as a preamble if not blank."""
+    ends = [s for s, _, _ in starts[1:]] + [len(text)]
+    before = text[: starts[0][0]].strip()
+    return [Section("preambulo", None, before)] * bool(before) + [Section(tipo, name, text[s:e].strip()) for (s, tipo, name), e in zip(starts, ends, strict=True)]
+
+
+def with_annexes(sections: list[Section], patterns: PatternSet) -> list[Section]:
+    """The last section cut at annex headings; what stands before keeps its name if not blank."""
+    if not sections:
+        return []
+    *most, last = sections
+    found = marks(last.content, "annex", patterns.annex)
+    if not found:
+        return sections
+    before = last.content[: found[0].start].strip()
+    ends = [m.start for m in found[1:]] + [len(last.content)]
+    return most + [last._replace(content=before)] * bool(before) + [Section("anexo", m.heading, last.content[m.start : e].strip()) for m, e in zip(found, ends, strict=True)]
+
+
+def sections_of(text: str, patterns: PatternSet, spec: ChunkSpec, splitter: Splitter, forced: bool = False) -> tuple[str, list[Section]]:
+    """The level and the sections of a text.
+
+    Embedded documents first, then by the strategy; the annexes of a text without headings go behind its last part.
+    """
+    *outer, (inner, _) = layers(text, patterns)
+    found = [Section("preambulo", None, part) for part, _ in outer if part]
+    annex = _compiled(patterns.annex).search(inner)
+    body = inner[: annex.start()] if annex else inner
+    name, starts = strategy(inner, body, patterns, spec, forced)
+    if name == "length":
+        parts = splitter.split(body) if body.strip() else []
+        if annex:
+            tail = inner[annex.start() :]
+            parts = [*parts[:-1], f"{parts[-1]}\n{tail}"] if parts else [tail]
+        found += [Section("none", None, part) for part in parts]
+    else:
+        found += slices(inner, starts)
+    return LEVELS[name], with_annexes(found, patterns)
 
 
 def numeric_sequence(marks: F.Column) -> F.Column:
@@ -127,38 +196,24 @@ def resolve_headings(tags: DataFrame, keys: tuple[str, ...], disposition: str =
     return tags.withColumn("tipo_seccion", tipo).withColumn("seccion", name).where("tipo_seccion IS NOT NULL").drop("__p", "__next")
 
 
-def slice_sections(starts: DataFrame, texts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Section starts to sections: each up to the next start, and what stands before the first as a preamble if not blank.
-
-    texts: keys and text.  section_seq counts from 0 for the preamble, from 1 for sections.
-    """
-    w = Window.partitionBy(*keys).orderBy("start")
-    rows = starts.join(texts.select(*keys, "text"), list(keys)).withColumn("section_seq", F.row_number().over(w)).withColumn("__end", F.lead("start").over(w))
-    content = strip(F.substring("text", F.col("start") + 1, F.coalesce("__end", F.length("text")) - F.col("start")))
-    sections = rows.select(*keys, "section_seq", "tipo_seccion", "seccion", content.alias("content"))
-    first = rows.where("section_seq = 1 AND start > 0").select(*keys, F.lit(0).alias("section_seq"), F.lit("preambulo").alias("tipo_seccion"), F.lit(None).cast("string").alias("seccion"), strip(F.substring("text", F.lit(1), F.col("start"))).alias("content"))
-    return sections.unionByName(first.where("content <> ''"))
-
+def slice_texts(texts: DataFrame, starts: str = "starts") -> DataFrame:
+    """texts: text and an array of starts (start, tipo_seccion, seccion) in order.  Its other columns, section_seq (0 for a preamble), tipo_seccion, seccion, content."""
 
-def _splitter(spec: ChunkSpec, tokenizer: Tokenizer) -> Splitter:
-    return Splitter(spec.max_tokens - tokenizer.specials, spec.overlap, tokenizer.count)
+    @F.pandas_udf("array<struct<section_seq: int, tipo_seccion: string, seccion: string, content: string>>")
+    def cut(text: pd.Series, places: pd.Series) -> pd.Series:
+        def one(t: str, some: Iterable) -> list[tuple]:
+            found = slices(t or "", [(p["start"], p["tipo_seccion"], p["seccion"]) for p in some]) if some is not None and len(some) else []
+            first = 0 if found and found[0].tipo_seccion == "preambulo" and len(found) > len(some) else 1
+            return [{"section_seq": i, **s._asdict()} for i, s in enumerate(found, first)]
 
+        return pd.Series([one(t, some) for t, some in zip(text, places, strict=True)])
 
-def split_udf(spec: ChunkSpec, tokenizer: Tokenizer):
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        splitter = _splitter(spec, tokenizer)
-        return texts.map(lambda t: splitter.split(t) if t and t.strip() else [])
+    rest = [c for c in texts.columns if c not in ("text", starts)]
+    return texts.select(*rest, F.explode(cut("text", starts)).alias("__s")).select(*rest, "__s.*")
 
-    return split
 
-
-def count_udf(tokenizer: Tokenizer):
-    @F.pandas_udf("int")
-    def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: tokenizer.count(t or "") + tokenizer.specials)
-
-    return count
+def _splitter(spec: ChunkSpec, tokenizer: Tokenizer) -> Splitter:
+    return Splitter(spec.clamped(tokenizer.limit).max_tokens - tokenizer.specials, spec.overlap, tokenizer.count)
 
 
 def segment(docs: DataFrame, spec: ChunkSpec | None = None, tokenizer: Tokenizer | None = None, patterns: PatternSet = LEGAL) -> DataFrame:
@@ -168,94 +223,45 @@ def segment(docs: DataFrame, spec: ChunkSpec | None = None, tokenizer: Tokenizer
     dispositions, bare numbers, chapters, titles, length; then the last section is cut at annexes.
     """
     spec, tokenizer = spec or ChunkSpec(), tokenizer or WordTokenizer()
-    layers = scan(docs, patterns).persist()  # four branches read it; the scan runs once
-    outer = layers.where("outer AND text <> ''").select("doc_id", F.col("level").alias("layer"), F.lit(0).alias("section_seq"), F.lit("preambulo").alias("tipo_seccion"), F.lit(None).cast("string").alias("seccion"), F.col("text").alias("content"))
-    inner = layers.where("NOT outer").select("doc_id", F.col("level").alias("layer"), "text", "marks")
-    inner = inner.withColumn("annex", F.array_min(F.transform(F.filter("marks", lambda m: m["kind"] == "annex"), lambda m: m["start"])))
-    forced = F.col("doc_id").isin(*spec.forced) if spec.forced else F.lit(False)
-    tags = inner.where(~forced).select("doc_id", "text", F.explode(F.filter("marks", lambda m: m["kind"].isin("heading", "category", "ordinal", "quote"))).alias("m")).select("doc_id", "text", "m.*")
-    if spec.exempt_ordinals:
-        tags = tags.withColumn("kind", F.when((F.col("kind") == "heading") & F.col("heading").rlike(patterns.ordinal_article), "free").otherwise(F.col("kind")))
-    if spec.reject_leadins:
-        lead = F.pandas_udf(lambda t, s: pd.Series([bool(_compiled(patterns.lead_in).search(x[:i])) for x, i in zip(t, s, strict=True)]), "boolean")
-        tags = tags.where(~((F.col("kind").isin("heading", "free")) & lead("text", "start")))
-    headings = resolve_headings(drop_citations(tags.drop("text"), ("doc_id",)).withColumn("kind", F.when(F.col("kind") == "free", "heading").otherwise(F.col("kind"))), ("doc_id",), patterns.disposition)
-    headings = headings.select("doc_id", "start", "tipo_seccion", "seccion")
-    firsts = headings.groupBy("doc_id").agg(F.min("start").alias("first"), F.max(F.col("tipo_seccion") == "articulo").alias("has_article"))
-    state = inner.join(firsts, "doc_id", "left").withColumn("forced", forced)
-    early = early_numbers(F.when(~F.col("has_article"), F.substring("text", F.lit(1), F.col("first"))), patterns)
-    of = lambda kind: F.filter("marks", lambda m: m["kind"] == kind)
-    none = F.filter("marks", lambda m: F.lit(False))
-    state = state.withColumn("early", F.coalesce(early, none))
-    state = state.withColumn("early", numeric_sequence(F.col("early"))).withColumn("numbers", numeric_sequence(of("number")))
-    strategy = (
-        F.when(F.col("forced"), "length").when(F.col("first").isNotNull(), "articles").when(F.size("numbers") > 0, "numbers").when(F.size(of("chapter")) > 0, "chapter").when(F.size(of("title")) > 0, "title").otherwise("length")
-    )
-    state = state.withColumn("strategy", strategy)
-    level = F.when(F.col("strategy").isin("articles", "numbers"), "articulo_disposicion").when(F.col("strategy") == "chapter", "capitulo").when(F.col("strategy") == "title", "titulo").otherwise("documento completo")
-    state = state.withColumn("level", level)
-    marked = state.select("doc_id", F.explode(F.when(F.col("strategy") == "articles", F.col("early")).when(F.col("strategy") == "numbers", F.col("numbers")).when(F.col("strategy") == "chapter", of("chapter")).when(F.col("strategy") == "title", of("title")).otherwise(none)).alias("m"), "strategy")
-    tipo = F.when(F.col("strategy") == "chapter", "capitulo").when(F.col("strategy") == "title", "titulo").otherwise("articulo")
-    starts = headings.unionByName(marked.select("doc_id", F.col("m.start").alias("start"), tipo.alias("tipo_seccion"), F.col("m.heading").alias("seccion")))
-    sections = slice_sections(starts, state, ("doc_id",))
-    # by length: the parts of the body, the annexes behind the last one
-    whole = state.where("strategy = 'length'")
-    body = F.when(F.col("annex").isNull(), F.col("text")).otherwise(F.substring("text", F.lit(1), F.col("annex")))
-    tail = F.substring("text", F.col("annex") + 1, F.length("text"))
-    parts = whole.select("doc_id", split_udf(spec, tokenizer)(body).alias("parts"), tail.alias("tail"))
-    n = F.size("parts")
-    glued = F.when(F.col("tail").isNull(), F.col("parts")).when(n == 0, F.array("tail")).otherwise(F.concat(F.slice("parts", 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat_ws("\n", F.element_at("parts", F.greatest(n, F.lit(1))), "tail"))))
-    lengths = parts.select("doc_id", F.posexplode(glued).alias("i", "content")).select("doc_id", (F.col("i") + 1).alias("section_seq"), F.lit("none").alias("tipo_seccion"), F.lit(None).cast("string").alias("seccion"), "content")
-    found = sections.unionByName(lengths).join(state.select("doc_id", "layer"), "doc_id")
-    found = found.unionByName(outer)
-    w = Window.partitionBy("doc_id").orderBy("layer", "section_seq")
-    found = found.withColumn("section_seq", F.row_number().over(w) - 1).drop("layer")
-    found = split_annexes(found, patterns)
-    return found.join(state.select("doc_id", "level"), "doc_id")
-
-
-def split_annexes(sections: DataFrame, patterns: PatternSet = LEGAL) -> DataFrame:
-    """The last section of each document cut at annex headings; what stands before keeps its name if not blank."""
-
-    @F.pandas_udf("array<struct<start: int, heading: string>>")
-    def annexes(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [{"start": m.start(), "heading": m[0].strip()} for m in _compiled(patterns.annex).finditer(t)])
-
-    last = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("section_seq"))) == 1
-    marked = sections.withColumn("last", last)
-    marked = marked.withColumn("a", annexes(F.when(F.col("last"), F.col("content"))))
-    cut = F.transform(
-        F.sequence(F.lit(1), F.size("a")),
-        lambda i: F.struct(
-            F.lit("anexo").alias("tipo_seccion"), F.element_at("a", i)["heading"].alias("seccion"),
-            strip(F.substring("content", F.element_at("a", i)["start"] + 1, F.coalesce(F.try_element_at("a", i + 1)["start"], F.length("content")) - F.element_at("a", i)["start"])).alias("content"),
-        ),
-    )
-    head = strip(F.substring("content", F.lit(1), F.element_at("a", 1)["start"]))
-    before = F.filter(F.array(F.struct("tipo_seccion", "seccion", head.alias("content"))), lambda x: x["content"] != "")
-    parts = F.when(F.coalesce(F.size("a"), F.lit(0)) <= 0, F.array(F.struct("tipo_seccion", "seccion", "content"))).otherwise(F.concat(before, cut))
-    rows = marked.select("doc_id", "section_seq", F.posexplode(parts).alias("i", "s"))
-    order = Window.partitionBy("doc_id").orderBy("section_seq", "i")
-    return rows.select("doc_id", (F.row_number().over(order) - 1).cast("int").alias("section_seq"), "s.tipo_seccion", "s.seccion", "s.content")
+
+    @F.pandas_udf("struct<level: string, sections: array<struct<tipo_seccion: string, seccion: string, content: string>>>")
+    def run(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        splitter = _splitter(spec, tokenizer)
+        done = [sections_of(t or "", patterns, spec, splitter, i in spec.forced) for i, t in zip(ids, texts, strict=True)]
+        return pd.DataFrame({"level": [x for x, _ in done], "sections": [[s._asdict() for s in x] for _, x in done]})
+
+    found = docs.select("doc_id", run(F.col("doc_id").cast("string"), "text").alias("r")).select("doc_id", F.col("r.level").alias("level"), F.posexplode("r.sections").alias("section_seq", "s"))
+    return found.select("doc_id", "section_seq", "s.tipo_seccion", "s.seccion", "s.content", "level")
 
 
 def split_long(sections: DataFrame, spec: ChunkSpec | None = None, tokenizer: Tokenizer | None = None) -> DataFrame:
-    """Sections over the limit become parts with its name; adds part_seq, n_tokens and was_split."""
+    """Sections over the limit become parts with its name; adds part_seq, n_tokens and was_split.
+
+    The limit is the lesser of the setting and what the tokenizer's model takes; special tokens count.
+    """
     spec, tokenizer = spec or ChunkSpec(), tokenizer or WordTokenizer()
-    count = count_udf(tokenizer)
-    counted = sections.withColumn("n", count("content"))
-    fits = F.col("n") <= spec.max_tokens
-    parts = F.when(fits, F.array("content")).otherwise(split_udf(spec, tokenizer)(F.when(~fits, F.col("content"))))
+    limit = spec.clamped(tokenizer.limit).max_tokens
+
+    @F.pandas_udf("struct<was_split: boolean, parts: array<struct<content: string, n_tokens: int>>>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        splitter = _splitter(spec, tokenizer)
+        size = lambda t: tokenizer.count(t or "") + tokenizer.specials
+        sizes = [size(t) for t in texts]
+        parts = [[{"content": t, "n_tokens": n}] if n <= limit else [{"content": x, "n_tokens": size(x)} for x in splitter.split(t)] for t, n in zip(texts, sizes, strict=True)]
+        return pd.DataFrame({"was_split": [n > limit for n in sizes], "parts": parts})
+
     rest = [c for c in sections.columns if c != "content"]
-    rows = counted.select(*rest, (~fits).alias("was_split"), F.posexplode(parts).alias("part_seq", "content"))
-    return rows.withColumn("n_tokens", count("content"))
+    rows = sections.select(*rest, run("content").alias("__r"))
+    rows = rows.select(*rest, F.col("__r.was_split").alias("was_split"), F.posexplode("__r.parts").alias("part_seq", "__p"))
+    return rows.select(*rest, "was_split", "part_seq", "__p.content", "__p.n_tokens")
 
 
-def chunk_review(sections: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per document: level, sections in order before long ones were split, and counts."""
+def chunk_review(chunks: DataFrame) -> DataFrame:
+    """Per document: level, sections in order before long ones were split, and counts; one aggregate over the chunks."""
     name = F.coalesce(F.nullif("seccion", F.lit("")), F.col("tipo_seccion"))
-    before = sections.groupBy("doc_id").agg(F.first("level").alias("segmentation_level"), F.count("*").alias("n_different_sections"), F.array_sort(F.collect_list(F.struct("section_seq", name.alias("name")))).alias("s"))
-    after = chunks.groupBy("doc_id").agg(
-        F.count_distinct(F.when(F.col("was_split"), F.col("section_seq"))).alias("n_split_chunks"), F.count("*").alias("final_n_chunks"), F.coalesce(F.sum(F.when(F.col("tipo_seccion") == "preambulo", F.col("n_tokens"))), F.lit(0)).alias("preamble_length_tokens")
-    )
-    return before.join(after, "doc_id", "left").select("doc_id", "segmentation_level", "n_different_sections", F.transform("s", lambda x: x["name"]).alias("sections"), F.coalesce("n_split_chunks", F.lit(0)).alias("n_split_chunks"), F.coalesce("final_n_chunks", F.lit(0)).alias("final_n_chunks"), F.coalesce("preamble_length_tokens", F.lit(0)).alias("preamble_length_tokens"))
+    first = F.col("part_seq") == 0
+    found = chunks.groupBy("doc_id").agg(
+        F.first("level").alias("segmentation_level"), F.count_if(first).alias("n_different_sections"), F.array_sort(F.collect_list(F.when(first, F.struct("section_seq", name.alias("name"))))).alias("s"),
+        F.count_if(first & F.col("was_split")).alias("n_split_chunks"), F.count("*").alias("final_n_chunks"), F.coalesce(F.sum(F.when(F.col("tipo_seccion") == "preambulo", F.col("n_tokens"))), F.lit(0)).alias("preamble_length_tokens"),
+    )
+    return found.select("doc_id", "segmentation_level", "n_different_sections", F.transform("s", lambda x: x["name"]).alias("sections"), "n_split_chunks", "final_n_chunks", "preamble_length_tokens")

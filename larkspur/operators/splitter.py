@@ -12,6 +12,8 @@ SEPARATORS = ("\n\n", "\n", " ", "")
 class Tokenizer(Protocol):
     #: Special tokens that go round a text.
     specials: int
+    #: Tokens that the model takes at most, special ones included; None for any number.
+    limit: int | None
 
     def count(self, text: str) -> int:
         """Tokens without special ones."""
@@ -21,6 +23,7 @@ class WordTokenizer:
     """An offline stand-in: words and single signs, long words in pieces of six letters."""
 
     specials = 2
+    limit = None
     _token = re.compile(r"\w{1,6}|[^\w\s]")
 
     def count(self, text: str) -> int:

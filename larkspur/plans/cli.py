@@ -48,6 +48,7 @@ def main(args: list[str] | None = None) -> int:
         if given.review:
             write_review(done.review, given.review)
         build_index(done.chunks, HashingEmbedder(), index, given.doc_id)
+        done.release()
         return 0
     asked = spark.createDataFrame([("1", given.question, None, given.exam, given.tema)], "query_id string, query string, history string, exam string, tema string")
     asked = asked.withColumn("temas", settings_temas(asked["exam"], asked["tema"]))

@@ -21,9 +21,15 @@ from .models import Embedder
 
 @dataclass(frozen=True)
 class Ingested:
+    """Chunks and review share one cached table of parts; release() gives it back."""
+
     chunks: DataFrame
     review: DataFrame
     skipped: DataFrame
+    parts: DataFrame
+
+    def release(self) -> None:
+        self.parts.unpersist()
 
 
 def with_metadata(docs: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -34,17 +40,12 @@ def with_metadata(docs: DataFrame, metadata: DataFrame) -> tuple[DataFrame, Data
 
 
 def ingest(docs: DataFrame, metadata: DataFrame, spec: ChunkSpec | None = None, tokenizer: Tokenizer | None = None, patterns: PatternSet = LEGAL) -> Ingested:
-    """Chunk records of all documents with metadata.
-
-    The sections are written once before they are used twice (chunks and review),
-    so that the scan of the texts runs once.
-    """
+    """Chunk records of all documents with metadata, their review, and the ids without metadata."""
     known, skipped = with_metadata(docs.select("doc_id", "text"), metadata)
-    sections = segment(known.select("doc_id", "text"), spec, tokenizer, patterns).persist()
-    parts = split_long(sections, spec, tokenizer).persist()
+    parts = split_long(segment(known.select("doc_id", "text"), spec, tokenizer, patterns), spec, tokenizer).persist()
     meta = metadata.select("doc_id", "doc_name", "doc_date", "source_url", pipe_split(F.col("exams_id")).alias("exams_id"), pipe_split(F.col("tema")).alias("tema"))
     chunks = parts.join(meta, "doc_id").select("doc_id", "doc_name", "doc_date", "source_url", "exams_id", "tema", "tipo_seccion", "seccion", "n_tokens", "content", "section_seq", "part_seq")
-    return Ingested(chunks, chunk_review(sections, parts), skipped)
+    return Ingested(chunks, chunk_review(parts), skipped, parts)
 
 
 def embed_column(embedder: Embedder):

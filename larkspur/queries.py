@@ -13,7 +13,7 @@ from .operators import metrics as M
 from .operators import retrieve as R
 from .operators.context import block, within_budget
 from .operators.history import session_segments, tail, to_contents, transcript
-from .operators.segment import chunk_review, numeric_sequence, resolve_headings, segment, slice_sections, split_long
+from .operators.segment import chunk_review, numeric_sequence, resolve_headings, segment, slice_texts, split_long
 from .plans.answer import MESSAGES, messages, verdict
 from .sources.files import last_write_wins
 
@@ -83,7 +83,7 @@ doc_words AS (
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), F.col("text").alias("content"))
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.sparse_scores(asked, R.inverted_index(points, SPEC.bm25), SPEC.bm25)
+    return R.sparse_scores(asked, R.inverted_index(points, SPEC.bm25, wanted=R.query_terms(asked, SPEC.bm25)), SPEC.bm25)
 
 
 def _dense_of_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -458,8 +458,8 @@ def section_slices(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     w = F.transform(F.split("text", "\n"), lambda x: F.length(x) + 1)
     ends = F.aggregate(w, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) + n)))
-    starts = docs.select("doc_id", F.explode(F.slice(ends, F.lit(1), F.size(ends) - 1)).alias("start"), F.lit("none").alias("tipo_seccion"), F.lit("").alias("seccion"))
-    return slice_sections(starts, docs, ("doc_id",)).select("doc_id", "section_seq", "tipo_seccion", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+    starts = F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda i: F.struct(i.alias("start"), F.lit("none").alias("tipo_seccion"), F.lit("").alias("seccion")))
+    return slice_texts(docs.withColumn("starts", starts)).select("doc_id", "section_seq", "tipo_seccion", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(nfc_normalize(text), '[ \\t\\n\\r]+', ' ', 'g'))) AS ref_md5 FROM documents")
@@ -474,7 +474,7 @@ SELECT doc_id, 'articulo_disposicion' AS segmentation_level, count(*) AS n_diffe
 def chunk_reviews(spark, sf_dir):
     """The review of the legalised documents, with a limit that no line reaches."""
     sections = segment(_legalised(spark, sf_dir), ChunkSpec(max_tokens=1_000_000))
-    found = chunk_review(sections, split_long(sections, ChunkSpec(max_tokens=1_000_000)))
+    found = chunk_review(split_long(sections, ChunkSpec(max_tokens=1_000_000)))
     return found.select("doc_id", "segmentation_level", "n_different_sections", "n_split_chunks", "final_n_chunks", "preamble_length_tokens")
 
 
@@ -511,14 +511,15 @@ def pipeline_status(spark, sf_dir):
 def _containing(items: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, n): documents that contain each passage, by an inner word window and an exact check.
 
-    Passages too short for a window between their first and last word, which may be parts of words, are held against every document.
+    Windows are hashes, and only those of the passages stay.  Passages too short for a window between their first and last
+    word, which may be parts of words, are held against every document.
     """
     width = 4
     words = F.split("text", r"\s+")
-    inner = F.slice(words, 2, width)
-    keys = items.select(F.col("item_id").alias("query_id"), "text", F.when(F.size(words) >= width + 2, F.array_join(inner, " ")).alias("key"))
+    window = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(width)])
+    keys = items.select(F.col("item_id").alias("query_id"), "text", F.when(F.size(words) >= width + 2, window(words, F.lit(1))).alias("key"))
     windows = docs.select("doc_id", F.split("body", r"\s+").alias("w"))
-    windows = windows.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, width), " ")))).alias("key"))
+    windows = windows.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0))), lambda i: window(F.col("w"), i))).alias("key"))
     # only ids meet by window; the few that do get their texts for the exact check
     met = windows.join(keys.where("key IS NOT NULL"), "key").select("query_id", "doc_id", "text").distinct()
     found = met.join(docs, "doc_id").where(F.contains("body", "text")).select("query_id", "doc_id").distinct()

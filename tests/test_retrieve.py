@@ -1,7 +1,8 @@
 from __future__ import annotations
 
 import numpy as np
-from larkspur.config import ContextSpec, FusionSpec, RetrievalSpec
+from larkspur.config import Bm25Spec, ContextSpec, FusionSpec, RetrievalSpec
+from larkspur.functions.vectors import cosine
 from larkspur.operators import retrieve as R
 from larkspur.operators.context import mark_kept, render, render_sources, within_budget
 from larkspur.operators.history import session_segments, tail, tail_array, to_contents, transcript, user_turn
@@ -13,11 +14,17 @@ def vectors(n=30, dim=8, seed=1):
     return [(i, [float(v) for v in row]) for i, row in enumerate(x)]
 
 
+def dense_scores(queries, points):
+    """Cosines of every pair, in expressions."""
+    pairs = queries.select("query_id", F.col("dense").alias("q")).crossJoin(points.select("point_id", F.col("dense").alias("d")))
+    return pairs.select("query_id", "point_id", F.round(cosine(F.col("q"), F.col("d")), 6).alias("score"))
+
+
 def test_dense_against_expressions(spark):
     points = spark.createDataFrame([*vectors(), (30, None), (31, [0.0] * 8), (32, [1.0, 2.0])], "point_id int, dense array<double>")
     asked = spark.createDataFrame(vectors(5, seed=2), "query_id int, dense array<double>")
     usable = points.where("size(dense) = 8 AND point_id <> 31")
-    expected = R.top(R.dense_scores(asked, usable), 4).select("query_id", "point_id", "score", "rank").collect()
+    expected = R.top(dense_scores(asked, usable), 4).select("query_id", "point_id", "score", "rank").collect()
     assert sorted(R.dense_topk(asked, points, 4).select("query_id", "point_id", "score", "rank").collect()) == sorted(expected)
 
 
@@ -25,7 +32,8 @@ def test_dense_blocks(spark, monkeypatch):
     points = spark.createDataFrame(vectors(), "point_id int, dense array<double>")
     asked = spark.createDataFrame(vectors(9, seed=3), "query_id int, dense array<double>")
     whole = sorted(R.dense_topk(asked, points, 3).collect())
-    monkeypatch.setattr(R, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(R, "QUERY_TILE", 2)
+    monkeypatch.setattr(R, "POINT_TILE", 4)
     assert sorted(R.dense_topk(asked, points, 3).collect()) == whole
 
 
@@ -68,6 +76,26 @@ def test_sparse(spark):
     assert [(r.query_id, r.point_id, r["rank"]) for r in R.top(R.sparse_scores(asked, index), 5).orderBy("rank").collect()] == [(1, 1, 1), (1, 2, 2)]
 
 
+def test_sparse_of_wanted_terms_and_stored(spark):
+    """Pruning by the queries' terms and stored vectors give the scores of the whole index."""
+    texts = ["casa casa perro", "Casa gato; gato gato", "perro, el perro", "", None, "el la de"]
+    points = spark.createDataFrame(list(enumerate(texts)), "point_id int, content string")
+    asked = spark.createDataFrame([(1, "casa perro"), (2, "el gato"), (3, "nada"), (4, None)], "query_id int, text string")
+    for spec in (Bm25Spec(), Bm25Spec(stop_words=("el", "la", "de")), Bm25Spec(k1=2.0, b=0.1, language="spanish")):
+        whole = sorted(R.sparse_scores(asked, R.inverted_index(points, spec), spec).collect())
+        wanted = R.query_terms(asked, spec)
+        assert sorted(R.sparse_scores(asked, R.inverted_index(points, spec, wanted=wanted), spec).collect()) == whole
+        stored = points.select("point_id", R.sparse_vector(F.col("content"), spec).alias("sparse"))
+        assert sorted(R.sparse_scores(asked, R.postings(stored, wanted), spec).collect()) == whole
+    assert {r.term for r in R.query_terms(asked, Bm25Spec(stop_words=("el",))).collect()} == {"casa", "perro", "gato", "nada"}
+
+
+def test_stems(spark):
+    df = spark.createDataFrame([(["casas", "casa", "leyes", "contratación", "contrataciones", "rápidamente", "sol", "los"],)], "w array<string>")
+    got = df.select(R.stems(F.col("w"), "spanish")).first()[0]
+    assert got == ["casa", "casa", "ley", "contrat", "contrat", "rapid", "sol", "los"]
+
+
 def results(spark, lengths):
     meta = "struct<doc_id: string, doc_name: string, doc_date: string, source_url: string, seccion: string>"
     rows = [("q", i, f"p{i}", "x" * n, (f"d{i}", f"Ley {i}" if i else "", "2020" if i == 1 else None, "http://x" if i else "", "Art. 1" if i < 2 else None)) for i, n in enumerate(lengths)]

@@ -6,8 +6,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from larkspur.config import ChunkSpec
-from larkspur.operators.patterns import PatternSet
-from larkspur.operators.segment import chunk_review, numeric_sequence, resolve_headings, segment, split_long
+from larkspur.operators import segment as G
+from larkspur.operators.patterns import LEGAL, PatternSet
+from larkspur.operators.segment import chunk_review, drop_citations, numeric_sequence, resolve_headings, segment, split_long
 from larkspur.operators.splitter import Splitter, WordTokenizer
 from pyspark.sql import functions as F
 
@@ -96,6 +97,47 @@ def test_windows_equal_the_walk(spark):
         assert sorted(found.get(j, [])) == fold(run), run
 
 
+def test_map_equals_windows(spark):
+    """The rules of the map and those for tables of marks say the same, quotations included."""
+    pieces = {"h": "Artículo 1. x\n", "c": "DISPOSICIONES FINALES\n", "o": "Primera. x\n", "(": "dice «\n", ")": "fin»\n"}
+    runs = [x for n in range(1, 6) for x in itertools.product(pieces, repeat=n)]
+    texts = ["".join(pieces[k] for k in run) for run in runs]
+    rows = []
+    for j, text in enumerate(texts):
+        tags = [m for kind, p in (("heading", LEGAL.heading), ("category", LEGAL.category), ("ordinal", LEGAL.ordinal), ("quote", "[«»]")) for m in G.marks(text, kind, p)]
+        rows += [(j, m.start, m.kind, m.heading) for m in tags]
+    marks = spark.createDataFrame(rows, "doc_id int, start int, kind string, heading string")
+    found = {}
+    for r in resolve_headings(drop_citations(marks, ("doc_id",)), ("doc_id",)).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.tipo_seccion, r.seccion))
+    for j, text in enumerate(texts):
+        assert G.headings(text, LEGAL, ChunkSpec()) == sorted(found.get(j, [])), runs[j]
+    for run in itertools.product(range(1, 5), repeat=4):
+        kept = G.in_sequence([G.Mark("number", i, i, "", n) for i, n in enumerate(run)])
+        assert [m.number for m in kept] == ([*range(1, len(kept) + 1)] if len(kept) >= 3 else [])
+
+
+def test_a_document_that_comes_twice(spark):
+    docs = spark.createDataFrame([("a", "Artículo 1. x\nArtículo 2. y")] * 2, "doc_id string, text string")
+    assert sorted((r.section_seq, r.seccion) for r in segment(docs).collect()) == [(0, "Artículo 1.")] * 2 + [(1, "Artículo 2.")] * 2
+
+
+def test_nothing_is_shuffled_or_kept(spark):
+    docs = spark.createDataFrame([("a", "Artículo 1. x")], "doc_id string, text string")
+    plan = split_long(segment(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "InMemory" not in plan
+
+
+def test_the_model_limits_the_parts(spark):
+    class Small(WordTokenizer):
+        limit = 32
+
+    docs = spark.createDataFrame([("a", "palabra " * 100)], "doc_id string, text string")
+    spec = ChunkSpec(overlap=4)
+    rows = split_long(segment(docs, spec, Small()), spec, Small()).collect()
+    assert len(rows) > 1 and max(r.n_tokens for r in rows) <= 32
+
+
 def test_numeric_sequence(spark):
     runs = [[1, 2, 3], [1, 7, 2, 3], [1, 2], [1, 9, 2, 3, 4], [], [2, 3, 4]]
     df = spark.createDataFrame([(i, [(n,) for n in r]) for i, r in enumerate(runs)], "i int, m array<struct<number: int>>")
@@ -124,7 +166,7 @@ def test_long_sections(spark):
     rows = chunks.collect()
     assert max(r.n_tokens for r in rows) <= 64
     assert {r.seccion for r in rows} == {"Artículo 1.", "Artículo 2."}
-    review = chunk_review(sections, chunks).first()
+    review = chunk_review(chunks).first()
     assert (review.n_different_sections, review.n_split_chunks, review.final_n_chunks) == (2, 1, len(rows))
     assert review.sections == ["Artículo 1.", "Artículo 2."]
 
