@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 
 EXAMS = ("A1", "A2", "C1", "C2")
 TEMAS = ("TODOS", "I", "II", "III", "IV", "V")
+QUESTION_TYPES = ("with_ref", "standard", "with_options", "off_topic")
 STATUSES = ("OK", "OFF_TOPIC", "NO_CONTEXT", "RETRIEVAL_ERROR", "GENERATION_ERROR")
 VERDICTS = ("RELEVANT", "OFF_TOPIC", "UNKNOWN")
 SECTION_TYPES = ("preambulo", "articulo", "disposicion", "titulo", "capitulo", "anexo", "none")
@@ -68,13 +69,12 @@ class ContextSpec:
 
 @dataclass(frozen=True)
 class IndexSpec:
-    """Names shared by writer and reader of an index."""
+    """Names shared by writer and reader of an index: the columns of its vectors, and how it lies on disk."""
 
     path: str
     dense: str = "dense"
     sparse: str = "sparse"
     buckets: int = 16
-    batch: int = 50
 
     @staticmethod
     def from_environment(environ: Mapping[str, str]) -> IndexSpec:

@@ -14,15 +14,6 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
-def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+", "")
-
-
-def blank(c: Column) -> Column:
-    """Null or nothing but white space."""
-    return F.coalesce(strip(c) == "", F.lit(True))
-
-
 def or_else(c: Column, other: Column) -> Column:
     """other where c is null or empty."""
     return F.coalesce(F.nullif(c, F.lit("")), other)
@@ -48,10 +39,6 @@ def estimate_tokens(c: Column, chars_per_token: int = 3) -> Column:
     return F.ceil(F.length(F.coalesce(c, F.lit(""))) / F.lit(chars_per_token)).cast("long")
 
 
-def shorten(c: Column, n: int = 30) -> Column:
-    return F.substring(F.coalesce(c, F.lit("")), 1, n)
-
-
 def one_of(c: Column, values: tuple[str, ...]) -> Column:
     """c where it is one of the values; anything else raises."""
     return F.when(c.isNull() | c.isin(*values), c).otherwise(F.raise_error(F.concat(F.lit(f"not one of {', '.join(values)}: "), c)))

@@ -116,9 +116,12 @@ def display_round(x: float, digits: int = 2) -> float:
     return round(x, digits)
 
 
-def mean_retrieve_ms(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("row_id").agg(F.avg("ms").alias("retrieve_ms"))
+def rank_records(ranks: DataFrame) -> DataFrame:
+    """ranks: row_id, k, rank (null for a miss), ms of each search.  row_id, ranks (map by k as text) and the mean retrieve_ms."""
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("k").cast("string").alias("k"), F.col("rank").cast("int").alias("rank")))))
+    return ranks.groupBy("row_id").agg(pairs.alias("ranks"), F.avg("ms").alias("retrieve_ms"))
 
 
-def first_rank(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("row_id").orderBy("rank"))).where("n = 1").drop("n")
+def ranks_of(records: DataFrame) -> DataFrame:
+    """The rows of rank_records again: row_id, question_type, k, rank."""
+    return records.select("row_id", "question_type", F.explode("ranks").alias("k", "rank")).withColumn("k", F.col("k").cast("int"))

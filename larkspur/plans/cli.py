@@ -11,7 +11,6 @@ import os
 from pyspark.sql import Row, SparkSession
 
 from ..config import EXAMS, TEMAS, IndexSpec
-from ..operators.retrieve import settings_temas
 from ..sources.files import read_corpus, read_metadata, write_review
 from ..sources.index_store import read_index
 from .answer import answer
@@ -21,7 +20,8 @@ from .models import HashingEmbedder
 
 def show_trace(row: Row) -> str:
     lines = [f"{row.status} ({row.relevance})", f"query: {row.condensed_query}"]
-    lines += [f"[{s["index"]}] {s.doc_name or s.doc_id} {(s.seccion or '')[:30]}" for s in row.sources or []]
+    lines += [f"{c.doc_id:<12} {(c.seccion or '')[:30]:<30} {c.retrieval_score:.4f} {'kept' if c.kept else 'left out'}" for c in row.retrieved or []]
+    lines += [f"[{s["index"]}] {s.doc_name or s.doc_id} {s.seccion or ''} {s.source_url or ''}".rstrip() for s in row.sources or []]
     lines += [f"{stage}: {ms:.0f} ms" for stage, ms in row.durations_ms.items()]
     return "\n".join([*lines, row.answer or row.message or ""])
 
@@ -38,7 +38,7 @@ def main(args: list[str] | None = None) -> int:
     two = commands.add_parser("ask")
     two.add_argument("question")
     two.add_argument("--exam", choices=EXAMS, default="A1")
-    two.add_argument("--tema", choices=TEMAS, default="TODOS")
+    two.add_argument("--tema", choices=TEMAS, action="append", default=[], help="may be repeated; for exam A1 only")
     two.add_argument("-k", type=int, default=5)
     given = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
@@ -50,13 +50,14 @@ def main(args: list[str] | None = None) -> int:
         build_index(done.chunks, HashingEmbedder(), index, given.doc_id)
         done.release()
         return 0
-    asked = spark.createDataFrame([("1", given.question, None, given.exam, given.tema)], "query_id string, query string, history string, exam string, tema string")
-    asked = asked.withColumn("temas", settings_temas(asked["exam"], asked["tema"]))
-    row = answer(asked, read_index(spark, index), k=given.k).first()
+    temas = [] if "TODOS" in given.tema else given.tema
+    asked = spark.createDataFrame([("1", given.question, [], given.exam, temas)], "query_id string, query string, history array<struct<role: string, content: string>>, exam string, temas array<string>")
+    traces = answer(asked, read_index(spark, index, (given.exam,)), k=given.k, index=index)
+    row = traces.first()
+    traces.unpersist()
     print(show_trace(row))
     return 0 if row.status == "OK" else 1
 
 
-
 if __name__ == "__main__":
     raise SystemExit(main())

@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ChunkSpec, IndexSpec
+from ..config import Bm25Spec, ChunkSpec, IndexSpec
 from ..functions.text import pipe_split
 from ..operators.patterns import LEGAL, PatternSet
+from ..operators.retrieve import sparse_vector
 from ..operators.segment import chunk_review, segment, split_long
 from ..operators.splitter import Tokenizer
 from ..schemas import METADATA_COLUMNS
@@ -56,6 +57,7 @@ def embed_column(embedder: Embedder):
     return embed
 
 
-def build_index(chunks: DataFrame, embedder: Embedder, spec: IndexSpec, doc_ids: list[str] | None = None) -> None:
-    points = to_points(chunks).withColumn(spec.dense, embed_column(embedder)("content"))
+def build_index(chunks: DataFrame, embedder: Embedder, spec: IndexSpec, doc_ids: list[str] | None = None, bm25: Bm25Spec | None = None) -> None:
+    """Both vectors of each chunk are stored: a search counts no text again."""
+    points = to_points(chunks).withColumn(spec.dense, embed_column(embedder)("content")).withColumn(spec.sparse, sparse_vector(F.col("content"), bm25))
     write_index(points, spec, doc_ids)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from typing import Protocol
+from typing import ClassVar, Protocol
 
 import numpy as np
 
@@ -33,13 +35,38 @@ class QueryModel(Protocol):
 
 
 class Generator(Protocol):
-    def generate_batch(self, prompts: list[str]) -> list[list[str]]:
-        """Fragments of each answer."""
+    def generate_batch(self, prompts: list[str], settings: GenerationConfig) -> Iterable[Iterable[str]]:
+        """Fragments of each answer, as they come."""
 
 
 class Judge(Protocol):
-    def score_batch(self, rows: list[dict]) -> list[tuple[int, str, int, str]]:
-        """correctness and its reason, faithfulness and its reason."""
+    #: Name that goes into the records.
+    name: str
+
+    def score(self, instruction: str, payload: str) -> tuple[int, str]:
+        """A whole score from 0 on and its reason, for one rubric."""
+
+
+class Lazy:
+    """A model that each Python worker builds once, at its first use; what travels to the workers is the factory."""
+
+    _built: ClassVar[dict[str, object]] = {}
+
+    def __init__(self, factory: Callable[[], object]) -> None:
+        self.factory, self.key = factory, uuid.uuid4().hex
+
+    def __getstate__(self) -> dict:
+        return {"factory": self.factory, "key": self.key}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+
+    def __getattr__(self, name: str) -> object:
+        if name.startswith("__") or name in ("factory", "key"):
+            raise AttributeError(name)
+        if self.key not in Lazy._built:
+            Lazy._built[self.key] = self.factory()
+        return getattr(Lazy._built[self.key], name)
 
 
 class HashingEmbedder:
@@ -73,17 +100,17 @@ class KeywordQueryModel:
 class ExtractiveGenerator:
     """Answers with the first block of the context."""
 
-    def generate_batch(self, prompts: list[str]) -> list[list[str]]:
+    def generate_batch(self, prompts: list[str], settings: GenerationConfig) -> list[list[str]]:
         first = ((p or "").split("Contexto:\n", 1)[-1].split("\n\n")[0] for p in prompts)
-        return [[x for x in re.split(r"(?<=\s)", block) if x] for block in first]
+        return [[x for x in re.split(r"(?<=\s)", block) if x][: settings.max_tokens] for block in first]
 
 
 class OverlapJudge:
-    """Scores 0 to 3 by the share of the expected words in the answer, and of the answer's in the context."""
+    """Scores 0 to 3 by the share of the words of one part of the payload in another: the reference's in the answer, or the answer's in the context."""
 
-    def score_batch(self, rows: list[dict]) -> list[tuple[int, str, int, str]]:
-        def share(a: str, b: str) -> int:
-            x, y = set(re.findall(r"\w+", (a or "").lower())), set(re.findall(r"\w+", (b or "").lower()))
-            return round(3 * len(x & y) / len(x)) if x else 0
+    name = "word-overlap"
 
-        return [(share(r["ground_truth_answer"], r["answer"]), "word overlap", share(r["answer"], r["context"]), "word overlap") for r in rows]
+    def score(self, instruction: str, payload: str) -> tuple[int, str]:
+        parts = {k: set(re.findall(r"\w+", v.lower())) for k, v in re.findall(r"(?ms)^<(\w+)>\n(.*?)\n</\1>$", payload)}
+        x, y = (parts["referencia"], parts["respuesta"]) if "referencia" in parts else (parts["respuesta"], parts["contexto"])
+        return (round(3 * len(x & y) / len(x)) if x else 0), "word overlap"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +77,9 @@ def build_report(rows: DataFrame, processed: DataFrame | None = None, ranks: Dat
     return "\n\n".join(s for s in sections if s)
 
 
-def condensation_table(processed: DataFrame) -> str:
-    """Questions and their condensed form, with whether it was edited."""
-    rows = processed.withColumn("edited", ~F.col("question").eqNullSafe(F.col("condensed_query"))).orderBy("row_id").select("row_id", "question", "condensed_query", "edited", "verdict").collect()
-    return table(["row", "question", "condensed", "edited", "verdict"], [[r["row_id"], r["question"], r["condensed_query"], "yes" if r["edited"] else "no", r["verdict"]] for r in rows])
+def condensation_table(processed: DataFrame) -> Iterator[str]:
+    """Lines of a table of the questions and their condensed form, with whether it was edited; the driver holds one partition at a time."""
+    rows = processed.withColumn("edited", ~F.col("question").eqNullSafe(F.col("condensed_query"))).orderBy("row_id").select("row_id", "question", "condensed_query", "edited", "verdict")
+    yield from table(["row", "question", "condensed", "edited", "verdict"], []).split("\n")
+    for r in rows.toLocalIterator():
+        yield "| " + " | ".join([r["row_id"], r["question"], r["condensed_query"], "yes" if r["edited"] else "no", r["verdict"]]) + " |"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..config import QUESTION_TYPES
+from ..functions.text import one_of, strip
 from ..schemas import DATASET_COLUMNS, METADATA, METADATA_COLUMNS
 
 #: The line that opens the consolidated text of a document.
@@ -39,11 +41,11 @@ def read_pdfs(spark: SparkSession, folder: str, pages: Callable[[bytes], list[st
     return found.select(F.regexp_extract("path", r"([^/]*)\.pdf$", 1).alias("doc_id"), consolidated(F.col("text")).alias("text"))
 
 
-def read_corpus(spark: SparkSession, folder: str, pages: Callable[[bytes], list[str]] | None = None, export: str | None = None) -> DataFrame:
-    """Text files, or PDF files where an extractor is given; export: a folder for the extracted texts."""
+def read_corpus(spark: SparkSession, folder: str, pages: Callable[[bytes], list[str]] | None = None, export: str | None = None, files: bool = False) -> DataFrame:
+    """Text files, or PDF files where an extractor is given; export: a folder for the extracted texts, as a table or (files) one file each."""
     docs = read_texts(spark, folder) if pages is None else read_pdfs(spark, folder, pages)
     if export:
-        export_texts(docs, export)
+        (export_text_files if files else export_texts)(docs, export)
     return docs
 
 
@@ -55,9 +57,9 @@ def export_texts(docs: DataFrame, folder: str) -> None:
 def export_text_files(docs: DataFrame, folder: str) -> None:
     """One <doc_id>.txt per document, written by Spark's text writer into a folder of its own.
 
-    The files end in .txt folders named doc_id=<id>; each holds one part.
+    They lie in folders named doc_id=<id>; a line end closes the last line.
     """
-    docs.select("doc_id", F.col("text").alias("value")).repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").option("lineSep", "").text(folder)
+    docs.select("doc_id", F.col("text").alias("value")).repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(folder)
 
 
 def check_columns(df: DataFrame, needed: tuple[str, ...]) -> DataFrame:
@@ -82,8 +84,9 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation questions: row_id and the other columns, all trimmed strings."""
     found = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
     check_columns(found, DATASET_COLUMNS)
-    columns = [strip(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("row_id" if c == "id" else c) for c in DATASET_COLUMNS]
-    return found.select(*columns)
+    columns = {"row_id" if c == "id" else c: strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in DATASET_COLUMNS}
+    columns["question_type"] = one_of(columns["question_type"], QUESTION_TYPES)
+    return found.select(*[c.alias(name) for name, c in columns.items()])
 
 
 def write_review(review: DataFrame, path: str) -> None:
@@ -91,11 +94,16 @@ def write_review(review: DataFrame, path: str) -> None:
     review.write.mode("overwrite").json(path)
 
 
-def review_as_map(review: DataFrame) -> DataFrame:
-    """One row, one column json: {doc_id: review}.  For reviews small enough to be shown as one object."""
+def review_as_map(review: DataFrame) -> Iterator[str]:
+    """The lines of one JSON object {doc_id: review}, in the order of ids; the driver holds one partition at a time."""
     rest = [c for c in review.columns if c != "doc_id"]
-    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_id", F.struct(*rest)))))
-    return review.agg(F.to_json(pairs, {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
+    rows = review.orderBy("doc_id").select("doc_id", F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("json"))
+    before = "{"
+    for row in rows.toLocalIterator():
+        yield before
+        before = f"  {json.dumps(row['doc_id'], ensure_ascii=False)}: {row['json']},"
+    yield before.removesuffix(",")
+    yield "}"
 
 
 def last_write_wins(rows: DataFrame, key: str, order: str) -> DataFrame:

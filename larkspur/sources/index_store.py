@@ -1,4 +1,8 @@
-"""The chunk index: a Parquet table in buckets of doc_id, written whole or for some documents."""
+"""The chunk index: a Parquet table in buckets of doc_id and, within them, folders by exams; written whole or for some documents.
+
+Both are payload indexes: documents are replaced by their buckets, and a search for some exams reads only
+the folders that have one of them.
+"""
 
 from __future__ import annotations
 
@@ -26,6 +30,13 @@ def _bucket(spec: IndexSpec) -> F.Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(spec.buckets)).cast("int")
 
 
+def _put(points: DataFrame, spec: IndexSpec, mode: str) -> None:
+    """As many tasks as the data needs: buckets are rebalanced, large ones over several tasks and files."""
+    exams = F.concat_ws("|", F.sort_array(F.array_distinct(F.coalesce("metadata.exams_id", F.array().cast("array<string>")))))
+    rows = points.withColumn("exams", exams).hint("rebalance", "bucket", "exams")
+    rows.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("bucket", "exams").parquet(spec.path)
+
+
 def write_index(points: DataFrame, spec: IndexSpec, doc_ids: list[str] | None = None) -> None:
     """Without ids (or with none) the index is made anew; otherwise only those documents are replaced.
 
@@ -34,34 +45,33 @@ def write_index(points: DataFrame, spec: IndexSpec, doc_ids: list[str] | None =
     spark = points.sparkSession
     fresh = points.withColumn("bucket", _bucket(spec))
     if not doc_ids:
-        fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(spec.path)
+        _put(fresh, spec, "overwrite")
         return
     ids = spark.createDataFrame([(i,) for i in sorted(set(doc_ids))], "doc_id string")
-    fresh = fresh.join(F.broadcast(ids), "doc_id", "left_semi")
+    fresh = fresh.join(ids, "doc_id", "left_semi")
     if exists(spark, spec.path):
         touched = [r[0] for r in ids.select(_bucket(spec).alias("b")).distinct().collect()]
-        old = spark.read.parquet(spec.path).where(F.col("bucket").isin(touched)).join(F.broadcast(ids), "doc_id", "left_anti")
+        old = spark.read.parquet(spec.path).drop("exams").where(F.col("bucket").isin(touched)).join(ids, "doc_id", "left_anti")
         fresh = old.unionByName(fresh, allowMissingColumns=True)
-        # what is read must not be written over: first to another place, then into the partitions
+        # what is read must not be written over: first to another place (which holds all of these buckets should the rest fail), then into the folders
         aside = f"{spec.path.rstrip('/')}-{uuid.uuid4().hex}"
         fresh.write.parquet(aside)
         staged = spark.read.schema(fresh.schema).parquet(aside)
-        empty = [b for b in touched if staged.where(F.col("bucket") == b).isEmpty()]
-        staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(spec.path)
         fs = spark._jvm.org.apache.hadoop.fs.Path(aside).getFileSystem(spark._jsc.hadoopConfiguration())
-        for gone in [aside, *[f"{spec.path}/bucket={b}" for b in empty]]:
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(gone), True)
+        for b in touched:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{spec.path}/bucket={b}"), True)
+        _put(staged, spec, "append")
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(aside), True)
     else:
-        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(spec.path)
-
-
-def read_index(spark: SparkSession, spec: IndexSpec) -> DataFrame:
-    return spark.read.parquet(spec.path).drop("bucket")
+        _put(fresh, spec, "overwrite")
 
 
-def exam_postings(points: DataFrame) -> DataFrame:
-    """(exam, point_id, doc_id): the key index of an array payload, to be partitioned by exam."""
-    return points.select(F.explode("metadata.exams_id").alias("exam"), "point_id", "doc_id")
+def read_index(spark: SparkSession, spec: IndexSpec, exams: tuple[str, ...] | None = None) -> DataFrame:
+    """The points; exams: only those of one of these exams, from the folders that have them."""
+    found = spark.read.option("basePath", spec.path).parquet(spec.path)
+    if exams is not None:
+        found = found.where(F.arrays_overlap(F.split("exams", r"[|]"), F.array(*[F.lit(e) for e in exams]).cast("array<string>")))
+    return found.drop("bucket", "exams")
 
 
 def scroll_sections(index: DataFrame, doc_id: str) -> DataFrame:

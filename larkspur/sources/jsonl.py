@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType, _parse_datatype_string
 
@@ -25,27 +25,27 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def parse_lines(lines: DataFrame, schema: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """lines: file, number, value.  Parsed rows with file and number.
+def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """lines: file, number (anything that orders the lines of a file), value.  Parsed rows with file and number.
 
     Blank lines are skipped.  A broken line is dropped if it is the very last
     of its file (blank ones included), and raises elsewhere.
     """
     wanted: StructType = _parse_datatype_string(schema)
     whole = StructType([*wanted.fields]).add(_BROKEN, StringType())
-    last = F.max("number").over(Window.partitionBy("file"))
-    parsed = lines.withColumn("last", last).where(F.trim("value") != "").withColumn("r", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}))
+    last = lines.groupBy("file").agg(F.max("number").alias("last"))  # one row for each file, however long these are
+    parsed = lines.where(F.trim("value") != "").join(last, "file").withColumn("r", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}))
     broken = F.col(f"r.{_BROKEN}").isNotNull()
     kept = parsed.where(~(broken & (F.col("number") == F.col("last"))))
-    checked = F.when(broken, F.raise_error(F.concat(F.lit("broken line "), F.col("number").cast("string")))).otherwise(F.col("number"))
+    checked = F.when(broken, F.raise_error(F.concat(F.lit("broken line "), F.substring("value", 1, 80)))).otherwise(F.col("number"))
     return kept.select("file", checked.alias("number"), *[f"r.{f.name}" for f in wanted.fields])
 
 
 def load_completed(spark: SparkSession, path: str, schema: str, key: str = "row_id") -> DataFrame:
-    """The last record of each key; no rows where there is no file."""
+    """The last record of each key; no rows where there is no file.  Files are read in splits by line; a line's place is its split's and its number in there."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("at"), "value")
-    lines = texts.select("file", "at", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("number", "value"))
-    rows = parse_lines(lines, schema).join(lines.select("file", "at").distinct(), "file").withColumn("order", F.struct("at", "file", "number"))
-    return last_write_wins(rows, key, "order").drop("file", "at", "number", "order")
+    m = F.col("_metadata")
+    place = F.struct(m["file_modification_time"].alias("at"), m["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("line"))
+    rows = parse_lines(spark.read.text(path).select(m["file_path"].alias("file"), place.alias("number"), "value"), schema)
+    return last_write_wins(rows.withColumn("order", F.struct("number.at", "file", "number")), key, "order").drop("file", "number", "order")

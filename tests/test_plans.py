@@ -3,11 +3,12 @@ from __future__ import annotations
 import pytest
 from larkspur.config import IndexSpec
 from larkspur.functions import accounts
-from larkspur.plans.answer import Components, answer, next_history, process_queries
+from larkspur.plans.answer import Components, answer, next_history, process_queries, prompt, stream_fragments
 from larkspur.plans.cli import main
-from larkspur.plans.evaluate import evaluate_generation, evaluate_queries, evaluate_retrieval, judge_rows
+from larkspur.plans.evaluate import Artifacts, evaluate_generation, evaluate_queries, evaluate_retrieval, judge_rows, run_all
 from larkspur.plans.ingest import build_index, ingest, with_metadata
-from larkspur.plans.models import GenerationConfig, HashingEmbedder, KeywordQueryModel, OverlapJudge
+from larkspur.plans.models import ExtractiveGenerator, GenerationConfig, HashingEmbedder, KeywordQueryModel, Lazy, OverlapJudge
+from larkspur.plans.report import condensation_table
 from larkspur.sources.index_store import read_index
 from larkspur.streaming.sessions import artifact_sink, session_turns, windowed_counts
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ class Fails:
     def predict_batch(self, turns):
         raise RuntimeError("no reply")
 
-    def generate_batch(self, prompts):
+    def generate_batch(self, prompts, settings):
         def parts():
             yield "a medias"
             yield ""
@@ -93,11 +94,80 @@ def test_evaluation(spark, index):
 
 def test_judge_errors(spark):
     class Breaks:
-        def score_batch(self, rows):
+        name = "j"
+
+        def score(self, instruction, payload):
             raise RuntimeError("429")
 
-    rows = spark.createDataFrame([("OK", "a", "b", "c"), ("NO_CONTEXT", "a", "", "")], "status string, ground_truth_answer string, answer string, context string")
-    assert [r.zeroed_reason for r in judge_rows(rows, Breaks()).collect()] == ["judge_error=RuntimeError: 429", "status=NO_CONTEXT"]
+    rows = spark.createDataFrame([("OK", "a", "b", "c", None), ("NO_CONTEXT", "a", "", "", None), ("HARNESS_ERROR", "a", "", "", "x")], "status string, ground_truth_answer string, answer string, context string, harness_error string")
+    assert [r.zeroed_reason for r in judge_rows(rows, Breaks()).collect()] == ["judge_error=RuntimeError: 429", "status=NO_CONTEXT", "harness_error=x"]
+    assert [r.judge_model for r in judge_rows(rows, OverlapJudge()).collect()] == ["word-overlap", "word-overlap", ""]
+
+
+def test_scores_are_independent(spark):
+    rows = spark.createDataFrame([("OK", "uno dos", "uno tres", "uno tres cuatro")], "status string, ground_truth_answer string, answer string, context string")
+    row = judge_rows(rows, OverlapJudge()).first()
+    assert (row.correctness, row.faithfulness) == (2, 3)
+
+
+def test_evaluation_program(spark, index, tmp_path):
+    rows = spark.createDataFrame([("1", "A1", "standard", "plazos de recurso", "un mes", "Artículo 1.", "ley1"), ("2", "C1", "with_ref", "jornada de horas", "siete horas", "Artículo 1.", "ley2"), ("3", "OT", "off_topic", "paella", "", "", "")],
+                                 "row_id string, exam string, question_type string, question string, ground_truth_answer string, ground_truth_ref string, ground_truth_doc_id string")
+    parts, out = Components(query_model=Lazy(lambda: KeywordQueryModel(("plazos", "jornada")))), Artifacts(f"file://{tmp_path}/run")
+    with pytest.raises(ValueError, match="without a result"):
+        run_all(rows, index, parts, OverlapJudge(), out, ("retrieval",))
+    report = run_all(rows, index, parts, OverlapJudge(), out)
+    assert "| all | 1 | 1.000000 | 2 |" in report and "query processing" in report and "| generate |" in report and "word" not in report
+    records = spark.read.json(out.path("generation")).collect()
+    assert {r.row_id: (r.session_id, r.judge_model, r.status) for r in records} == {i: (f"eval-{i}", "word-overlap", "OK") for i in "12"}
+    assert run_all(rows, index, parts, OverlapJudge(), out, ("report",)) == report  # from the artifacts alone
+    ranks = spark.read.json(out.path("retriever")).first()
+    assert ranks.ranks["20"] == 1 and ranks.retrieve_ms > 0
+    broken = Components(query_model=parts.query_model, embedder=None, generator=None)
+    assert run_all(rows, index.drop("content"), broken, OverlapJudge(), out, ("generation",)) is None
+    assert {r.zeroed_reason.split("=")[0] for r in spark.read.json(out.path("generation")).collect()} <= {"harness_error", "status"}
+
+
+def test_trace(spark, index):
+    """What was found, with scores and marks, and the last six turns for the generator."""
+    turns = [("user" if i % 2 == 0 else "assistant", f"turno{i}") for i in range(10)]
+
+    class Shows(ExtractiveGenerator):
+        def generate_batch(self, prompts, settings):
+            return [[f"{settings.temperature}|", p] for p in prompts]
+
+    class Last(KeywordQueryModel):
+        def predict_batch(self, turns):
+            assert all("turno0" in t for t in turns)  # the query model sees the whole history
+            return [("SI", t.split("Consulta actual: ")[-1]) for t in turns]
+
+    queries = spark.createDataFrame([("1", "plazos de recurso", turns, "A1", [])], "query_id string, query string, history array<struct<role: string, content: string>>, exam string, temas array<string>")
+    traces = answer(queries, index, Components(query_model=Last(), generator=Shows()))
+    row = traces.first()
+    assert row.answer.startswith("0.2|") and "turno4" in row.answer and "turno3" not in row.answer and "Usuario: turno8" in row.answer
+    assert [c["rank"] for c in row.retrieved] == [1, 2] and all(c.kept and c.retrieval_score > 0 for c in row.retrieved)
+    assert [c.point_id for c in row.final_chunks] == [s.point_id for s in row.sources]
+    assert traces.is_cached and row.relevance == "RELEVANT"
+    traces.unpersist()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for _ in range(2):
+        answer(queries, index, Components()).unpersist()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
+def test_fragments(spark):
+    rows = spark.createDataFrame([("1", "Contexto:\nuno dos tres"), ("2", "Contexto:\n")], "query_id string, prompt string")
+    found = stream_fragments(rows, ExtractiveGenerator(), GenerationConfig(max_tokens=2)).orderBy("query_id", "seq").collect()
+    assert [(r.query_id, r.seq, r.fragment) for r in found] == [("1", 0, "uno "), ("1", 1, "dos ")]
+    found = stream_fragments(rows.limit(1), Fails()).collect()
+    assert [(r.seq, r.fragment, r.error) for r in found] == [(0, "a medias", None), (1, "", "RuntimeError: corte")]
+    text = rows.select(prompt(F.lit("c"), F.lit("q"), F.lit("")).alias("p")).first().p
+    assert text.endswith("Contexto:\nc\n\nPregunta: q")
+
+
+def test_condensation(spark):
+    rows = spark.createDataFrame([("b", "q", "q", "RELEVANT"), ("a", "q", "x", "UNKNOWN")], "row_id string, question string, condensed_query string, verdict string")
+    assert list(condensation_table(rows))[2:] == ["| a | q | x | yes | UNKNOWN |", "| b | q | q | no | RELEVANT |"]
 
 
 def test_config():
@@ -128,7 +198,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*index, "ingest", f"file://{tmp_path}/docs", f"file://{tmp_path}/meta.csv", "--review", f"file://{tmp_path}/review"]) == 0
     assert spark.read.json(f"file://{tmp_path}/review").first().final_n_chunks == 2
     assert main([*index, "ask", "plazos de recurso", "--tema", "I"]) == 0
-    assert "[1] Ley uno Artículo 1." in capsys.readouterr().out
+    out = capsys.readouterr().out
+    assert "[1] Ley uno Artículo 1." in out and "kept" in out
+    assert main([*index, "ask", "plazos de recurso", "--tema", "IV", "--tema", "I"]) == 0
+    assert main([*index, "ask", "plazos de recurso", "--tema", "IV", "--tema", "V"]) == 1
     assert main([*index, "ask", "plazos de recurso", "--exam", "C2"]) == 1
 
 

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from larkspur.config import IndexSpec
-from larkspur.functions.text import estimate_tokens, normalize_ref, one_of, pipe_split, shorten, strip
+from larkspur.functions.text import estimate_tokens, normalize_ref, one_of, pipe_split, strip
 from larkspur.functions.vectors import cosine, unit
 from larkspur.sources import files, jsonl
-from larkspur.sources.index_store import exam_postings, read_index, scroll_sections, to_points, write_index
+from larkspur.sources.index_store import read_index, scroll_sections, to_points, write_index
 from pyspark.sql import functions as F
 
 
@@ -16,6 +18,9 @@ def test_texts(spark, tmp_path):
     docs = files.read_corpus(spark, f"file://{tmp_path}", export=f"file://{tmp_path}/out")
     assert sorted(map(tuple, docs.collect())) == [("a", "uno"), ("b", "dos\nlíneas")]
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
+    files.read_corpus(spark, f"file://{tmp_path}", export=f"file://{tmp_path}/each", files=True)
+    found = {p.parent.name: p.read_text(encoding="utf-8") for p in (tmp_path / "each").glob("doc_id=*/*.txt")}
+    assert found == {"doc_id=a": "uno\n", "doc_id=b": "dos\nlíneas\n"}
 
 
 def test_pdfs(spark, tmp_path):
@@ -41,6 +46,9 @@ def test_csv(spark, tmp_path):
     q.write_text("﻿id,exam,question_type,question,ground_truth_answer,ground_truth_ref,ground_truth_doc_id\n 1 ,A2,standard, ¿qué? ,,r,d\n", encoding="utf-8")
     row = files.read_dataset(spark, f"file://{q}").first()
     assert (row.row_id, row.question, row.ground_truth_answer) == ("1", "¿qué?", "")
+    q.write_text("id,exam,question_type,question,ground_truth_answer,ground_truth_ref,ground_truth_doc_id\n1,A2,otra,q,,r,d\n", encoding="utf-8")
+    with pytest.raises(Exception, match="not one of"):
+        files.read_dataset(spark, f"file://{q}").collect()
 
 
 def test_jsonl(spark, tmp_path):
@@ -76,15 +84,17 @@ def test_index(spark, tmp_path):
     assert sorted((r.doc_id, r.content[-1]) for r in rows.collect()) == [("a", "y")] * 3 + [("c", "x")]
     assert "n_tokens" not in rows.select("metadata.*").columns and rows.select("point_id").distinct().count() == 4
     assert scroll_sections(rows, "a").count() == 3
-    assert exam_postings(rows).count() == 8
+    assert read_index(spark, spec, ("A2", "C1")).count() == 4 and read_index(spark, spec, ("C1",)).count() == 0
+    plan = read_index(spark, spec, ("C1",))._jdf.queryExecution().executedPlan().toString()
+    assert "exams" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
     write_index(to_points(chunks(spark, [("z", 1, "w")])), spec, [])
     assert [r.doc_id for r in read_index(spark, spec).collect()] == ["z"]
 
 
 def test_review_map(spark):
     df = spark.createDataFrame([("b", 1, ["x"]), ("a", 2, [])], "doc_id string, n int, sections array<string>")
-    text = files.review_as_map(df).first()[0]
-    assert text.index('"a"') < text.index('"b"')
+    assert json.loads("\n".join(files.review_as_map(df))) == {"a": {"n": 2, "sections": []}, "b": {"n": 1, "sections": ["x"]}}
+    assert json.loads("\n".join(files.review_as_map(df.where("false")))) == {}
 
 
 def test_strings(spark):
@@ -95,7 +105,6 @@ def test_strings(spark):
     assert [r[0] for r in df.select(pipe_split(F.col("t"))).collect()] == [[], [], ["A1", "A2"]]
     df = spark.createDataFrame([("",), ("x",), ("xxx",), ("xxxx",)], "t string")
     assert [r[0] for r in df.select(estimate_tokens(F.col("t"))).collect()] == [0, 1, 1, 2]
-    assert df.select(shorten(F.lit("y" * 40))).first()[0] == "y" * 30
     with pytest.raises(Exception, match="not one of"):
         df.select(one_of(F.col("t"), ("", "x"))).collect()
 
