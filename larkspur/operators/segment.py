@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkSpec
 from ..functions.text import strip
-from .patterns import LEGAL, PatternSet
+from .patterns import LEGAL, PatternSet, find_title
 from .splitter import Splitter, Tokenizer, WordTokenizer
 
 LEVELS = {"articles": "articulo_disposicion", "numbers": "articulo_disposicion", "chapter": "capitulo", "title": "titulo", "length": "documento completo"}
@@ -47,9 +47,9 @@ def _compiled(pattern: str) -> re.Pattern:
 
 def layers(text: str, patterns: PatternSet) -> Iterator[tuple[str, bool]]:
     """The text from outside inwards: (what stands before an embedded title, True) and at last (the rest, False)."""
-    while patterns.embedded and (m := _compiled(patterns.embedded).search(text)):
-        yield text[: m.start()].strip(), True
-        text = text[m.end() :].lstrip().lstrip("«")
+    while place := find_title(text, patterns.titles):
+        yield text[: place[0]].strip(), True
+        text = text[place[1] :].lstrip().lstrip("«")
     yield text, False
 
 

@@ -14,8 +14,10 @@ from .operators import retrieve as R
 from .operators.context import block, within_budget
 from .operators.history import session_segments, tail, to_contents, transcript
 from .operators.segment import chunk_review, numeric_sequence, resolve_headings, segment, slice_texts, split_long
-from .plans.answer import MESSAGES, messages, verdict
+from .plans.answer import MESSAGES, messages, status, verdict
+from .plans.ingest import with_metadata
 from .sources.files import last_write_wins
+from .streaming.sessions import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -230,12 +232,20 @@ def ground_truth_missing(spark, sf_dir):
 
 @query("SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
 def metadata_join(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(read(spark, sf_dir, "labels"), "doc_id")
+    """Documents that have metadata, with it."""
+    known, _ = with_metadata(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), _label_metadata(spark, sf_dir))
+    return known.select("doc_id", "lang", "source", F.col("exams_id").cast("int").alias("quality"), F.col("tema").cast("int").alias("toxic"))
+
+
+def _label_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels in the columns of the metadata."""
+    fixed = [F.lit("").alias(c) for c in ("doc_name", "doc_date", "source_url")]
+    return read(spark, sf_dir, "labels").select("doc_id", *fixed, F.col("quality").cast("string").alias("exams_id"), F.col("toxic").cast("string").alias("tema"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def docs_without_metadata(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return with_metadata(read(spark, sf_dir, "documents").select("doc_id", "text"), _label_metadata(spark, sf_dir))[1]
 
 
 BUDGET_CTE = """
@@ -504,8 +514,8 @@ def pipeline_status(spark, sf_dir):
     rows = items.select(F.col("item_id").alias("query_id"), verdict(label).alias("relevance"), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise("").alias("c"), "text")
     hits = _containing(items, docs)
     joined = rows.join(hits, "query_id", "left")
-    status = F.when(F.col("relevance") == "OFF_TOPIC", "OFF_TOPIC").when(F.coalesce("n", F.lit(0)) == 0, "NO_CONTEXT").otherwise("OK")
-    return joined.withColumn("status", status).select("query_id", "relevance", "status", F.md5(F.when(F.col("c") == "", F.col("text")).otherwise(F.col("c")).cast("binary")).alias("condensed_md5"), messages()[F.col("status")].alias("message"))
+    blocks = F.when(F.coalesce("n", F.lit(0)) > 0, "[1]")
+    return joined.withColumn("status", status(F.col("relevance"), blocks, F.lit(None))).select("query_id", "relevance", "status", F.md5(F.when(F.col("c") == "", F.col("text")).otherwise(F.col("c")).cast("binary")).alias("condensed_md5"), messages()[F.col("status")].alias("message"))
 
 
 def _containing(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -531,7 +541,5 @@ def _containing(items: DataFrame, docs: DataFrame) -> DataFrame:
 def event_windows(spark, sf_dir):
     """Hourly counts, the batch form of the streaming windows."""
     rows = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    found = rows.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
+    found = windowed_counts(rows).withColumn("value", F.round("value", 4))
     return found.select(F.floor(F.unix_timestamp("window.start") / 3600).alias("hour"), "event_type", "n", "value")
-
-

@@ -37,17 +37,17 @@ def _put(points: DataFrame, spec: IndexSpec, mode: str) -> None:
     rows.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("bucket", "exams").parquet(spec.path)
 
 
-def write_index(points: DataFrame, spec: IndexSpec, doc_ids: list[str] | None = None) -> None:
-    """Without ids (or with none) the index is made anew; otherwise only those documents are replaced.
+def write_index(points: DataFrame, spec: IndexSpec, doc_ids: list[str] | DataFrame | None = None) -> None:
+    """Without ids (or with an empty list) the index is made anew; otherwise only those documents (a list, or a table with doc_id) are replaced.
 
     Buckets without such documents aren't touched.
     """
     spark = points.sparkSession
     fresh = points.withColumn("bucket", _bucket(spec))
-    if not doc_ids:
+    if doc_ids is None or (isinstance(doc_ids, list) and not doc_ids):
         _put(fresh, spec, "overwrite")
         return
-    ids = spark.createDataFrame([(i,) for i in sorted(set(doc_ids))], "doc_id string")
+    ids = spark.createDataFrame([(i,) for i in sorted(set(doc_ids))], "doc_id string") if isinstance(doc_ids, list) else doc_ids.select("doc_id").distinct()
     fresh = fresh.join(ids, "doc_id", "left_semi")
     if exists(spark, spec.path):
         touched = [r[0] for r in ids.select(_bucket(spec).alias("b")).distinct().collect()]
