@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.byte_bpe import encode_documents
 from larkspur.llm.mixing import Mix, mix_sources
 from larkspur.llm.ngram_join import drop_near_duplicates
-from larkspur.llm.shared import materialize
+from larkspur.llm.shared import materialize, release, scratch
 from larkspur.llm.substring_dedup import dedup_passages
 from larkspur.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -53,7 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn; what a stage has written for itself goes when its result is written, and that one when the next is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), name))
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

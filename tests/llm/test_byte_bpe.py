@@ -49,3 +49,14 @@ def test_documents(spark):
 def test_decoding_cuts_inside_characters():
     ids = B.encode("é", PATH, PATTERN) + B.encode("日", PATH, PATTERN)
     assert b"".join(B.decode([i], PATH, PATTERN) for i in ids) == "é日".encode()
+
+
+def test_other_patterns():
+    """A pattern whose matches reach over the usual cuts is never cut."""
+    wide = r"\p{L}+ \p{L}+|\s+|\S"
+    assert B.cuts_are_safe(PATTERN) and not B.cuts_are_safe(wide) and not B.cuts_are_safe(r"\S+\s?|\s+")
+    with open(PATH, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("y", pat_str=wide, mergeable_ranks=ranks, special_tokens={})
+    text = "uno dos tres " * 40
+    assert B.encode(text, PATH, wide, size=20) == enc.encode_ordinary(text)

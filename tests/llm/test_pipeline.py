@@ -61,6 +61,30 @@ def test_stages(spark, tables):
     assert P.run(spark, sf_dir).count() == steps["byte_bpe"].count()
 
 
+def test_clashing_columns_and_long_texts(spark, tables, tmp_path):
+    """Further columns with names that stages use themselves, and a text of a million words that goes through every stage."""
+    rng = random.Random(4)
+    long = " ".join(f"{rng.getrandbits(30):x}" for _ in range(150_000))
+    docs = spark.createDataFrame([(1, long, "en", "src1", 0), (2, long + " fin", "en", "src1", 0), (3, None, None, None, None), (4, "uno dos " * 200_000, "de", "src2", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("row", "key", "score", "epoch", "removed", "__row", "predicted", "domain"):
+        docs = docs.withColumn(name, docs["doc_id"])
+    for name, stage in P.STAGES:
+        docs = materialize(stage(spark, docs, tables[0]) if name != "mixing" else docs, name)
+    got = {r.doc_id: r for r in docs.collect()}
+    assert set(got) == {1, 3, 4} and got[1].n_tokens > 150_000 and got[3].n_tokens == 0
+    assert {r.doc_id for r in P.mix(spark, spark.createDataFrame([(1, long, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"), tables[0]).collect()} == {1}
+
+
+def test_scratch_goes(spark, tables):
+    """Behind a run only the last stage's input is left in the shared folder."""
+    from larkspur.llm import shared
+
+    before = set(shared._LIVE)
+    assert P.run(spark, tables[0]).count()
+    left = [p for p in shared._LIVE if p not in before]
+    assert len(left) == 1 and "/mixing-" in left[0]
+
+
 def test_empty(spark, tables):
     docs = spark.read.parquet(f"{tables[0]}/documents.parquet").where("false")
     for _, stage in P.STAGES:
