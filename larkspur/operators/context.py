@@ -10,12 +10,17 @@ from ..functions.text import estimate_tokens, heading, or_else
 
 
 def within_budget(results: DataFrame, spec: ContextSpec | None = None, query: str = "query_id", order: str = "rank", content: str = "content") -> DataFrame:
-    """The first result of each query and all further ones up to the first that goes over the budget."""
+    """The first result of each query and all further ones up to the first that goes over the budget.
+
+    results: at most one row for each query and place in the order.  Only places and lengths are sorted; the contents of the few
+    results that are kept are joined to them.
+    """
     spec = spec or ContextSpec()
     w = Window.partitionBy(query).orderBy(order)
-    tokens = results.withColumn("n_tokens_estimate", estimate_tokens(F.col(content), spec.chars_per_token))
+    sizes = results.select(query, order, estimate_tokens(F.col(content), spec.chars_per_token).alias("n_tokens_estimate"))
     running = F.sum("n_tokens_estimate").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return tokens.withColumn("cum_tokens", running).withColumn("citation", F.row_number().over(w)).where((F.col("citation") == 1) | (F.col("cum_tokens") <= spec.budget))
+    kept = sizes.withColumn("cum_tokens", running).withColumn("citation", F.row_number().over(w)).where((F.col("citation") == 1) | (F.col("cum_tokens") <= spec.budget))
+    return results.join(kept, [query, order]).select(*results.columns, "n_tokens_estimate", "cum_tokens", "citation")
 
 
 def block(citation: F.Column, doc_name: F.Column, seccion: F.Column, doc_date: F.Column, content: F.Column) -> F.Column:

@@ -11,7 +11,7 @@ from .config import Bm25Spec, ChunkSpec, ContextSpec, EvalSpec, FusionSpec, Retr
 from .functions.text import normalize_ref, pipe_split
 from .operators import metrics as M
 from .operators import retrieve as R
-from .operators.context import block, within_budget
+from .operators.context import render, within_budget
 from .operators.history import session_segments, tail, to_contents, transcript
 from .operators.segment import chunk_review, numeric_sequence, resolve_headings, segment, slice_texts, split_long
 from .plans.answer import MESSAGES, messages, status, verdict
@@ -275,9 +275,10 @@ FROM kept GROUP BY query_id
 """)
 def context_render(spark, sf_dir):
     """The numbered blocks of each source."""
-    rows = _budgeted(spark, sf_dir).select("query_id", "citation", "n_tokens_estimate", block(F.col("citation"), F.col("query_id"), F.col("lang"), F.lit(""), F.col("content")).alias("b"))
-    done = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("citation", "b"))).alias("x"), F.sum("n_tokens_estimate").alias("n_tokens_estimate"))
-    return done.select("query_id", F.array_join(F.transform("x", lambda r: r["b"]), "\n\n").alias("blocks"), "n_tokens_estimate")
+    meta = F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.col("query_id").alias("doc_name"), F.lit("").alias("doc_date"), F.lit("").alias("source_url"), F.col("lang").alias("seccion"))
+    kept = _budgeted(spark, sf_dir).select("query_id", "citation", "n_tokens_estimate", "content", F.col("doc_id").cast("string").alias("point_id"), meta.alias("metadata"))
+    asked = read(spark, sf_dir, "documents").select(F.col("source").alias("query_id")).distinct()
+    return render(kept, asked).select("query_id", "blocks", "n_tokens_estimate")
 
 
 @query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6")
