@@ -73,8 +73,8 @@ def measure(documents: DataFrame, text: str = "text") -> DataFrame:
     first = docs.selectExpr(
         "doc_id", "lang", "t",
         f"translate(t, '{_SPACE}', '') AS t1",
-        f"filter(split(t, '{_SPLIT}'), w -> w <> '') AS words",
-        f"filter(split(t, '{_BETWEEN}'), w -> w <> '') AS runs",
+        f"array_remove(split(t, '{_SPLIT}'), '') AS words",
+        f"array_remove(split(lower(t), '{_BETWEEN}'), '') AS runs",
     )
     second = first.selectExpr(
         "doc_id", "lang", "words", "runs", "length(t) AS n0", "length(t1) AS n1", f"translate(t1, '{lower}', '') AS t2",
@@ -87,7 +87,7 @@ def measure(documents: DataFrame, text: str = "text") -> DataFrame:
         "doc_id", "lang", "cast(size(words) AS long) AS n_words", "cast(n1 AS long) AS word_chars", "cast(n_symbols AS long) AS n_symbols", "cast(n_dup_lines AS long) AS n_dup_lines",
         f"{_repeat_words()} AS n_repeat_words",
         "array(n1 - length(t2), n0 - n1, length(t2) - length(t3), length(t3) - length(t4), length(t4) - n5, n5 - n6, n6) AS classes",
-        _let(f"filter(transform(runs, w -> lower(w)), w -> w IN ({vocabulary}))", "c", "array_append(transform(array_distinct(c), x -> struct(x AS word, size(filter(c, y -> y = x)) AS n)), struct('' AS word, size(runs) - size(c) AS n))") + " AS common",
+        _let(f"filter(runs, w -> w IN ({vocabulary}))", "c", "array_append(transform(array_distinct(c), x -> struct(x AS word, size(c) - size(array_remove(c, x)) AS n)), struct('' AS word, size(runs) - size(c) AS n))") + " AS common",
     )
 
 

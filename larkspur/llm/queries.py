@@ -204,7 +204,7 @@ WITH d AS (
 ), char_distance AS (
   SELECT r, min(v) AS char_distance FROM (SELECT r, g, sqrt(greatest(sum({term}), 0)) AS v FROM char_terms WHERE p IS NOT NULL GROUP BY r, g) GROUP BY r
 ), runs AS (
-  SELECT r, lang, lower(unnest(list_filter(string_split_regex(t, '[^\p{{L}}]+'), lambda x: x <> ''))) AS word FROM d
+  SELECT r, lang, unnest(list_filter(string_split_regex(lower(t), '[^\p{{L}}]+'), lambda x: x <> '')) AS word FROM d
 ), common AS (
   SELECT r, lang, CASE WHEN word IN ({vocabulary}) THEN word ELSE '' END AS word, count(*) AS n FROM runs GROUP BY 1, 2, 3
 ), common_sizes AS (
