@@ -62,21 +62,40 @@ def _weight(path: list[str], mix: Mix) -> F.Column:
     return column.cast("double")
 
 
+#: Steps of the ratio of cap and weight, to each doubling, in which the children of a node are summed before any are sorted.
+STEPS = 64
+
+
 def share_out(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     """Give each parent's `grant` to its children: columns w (weight) and cap become a whole number `name`.
 
     A child is full if its cap is at most its share at the level (tokens per
-    weight) at which all of the grant is given; the others get their weight times that level.
+    weight) at which all of the grant is given; the others get their weight times that level.  Children are first
+    summed by steps of cap per weight, a few thousand rows for a node however many children it has; only those in the step where
+    the level lies are sorted themselves.
     """
-    w = Window.partitionBy(*parent).orderBy(F.col("cap") / F.col("w"), *[c for c in children.columns if c.startswith("__")])
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    from_here = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = children.withColumn("level", (F.col("grant") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(from_here)).withColumn("place", F.row_number().over(w))
-    full = F.col("cap") / F.col("w") <= F.col("level")
-    # of the children in order of cap/w, the first that isn't full sets the level of all behind it
-    first = F.min(F.when(~full, F.struct("place", "level"))).over(Window.partitionBy(*parent))
-    level = level.withColumn("level", first["level"]).withColumn("full", F.col("level").isNull() | (F.col("cap") / F.col("w") <= F.col("level")))
-    return level.withColumn(name, F.when(F.col("full"), F.col("cap")).otherwise(F.floor(F.col("w") * F.col("level"))).cast("long")).drop("level", "place", "full")
+    ratio = F.col("cap") / F.col("w")
+    own = [c for c in children.columns if c.startswith("__")]
+    rows = children.withColumn("ratio", ratio).withColumn("step", F.floor(F.log2(ratio + 1) * STEPS).cast("int"))
+    last = F.max_by(F.struct("cap", "w", "ratio"), F.struct("ratio", *own)).alias("last")
+    steps = rows.groupBy(*parent, "step").agg(F.sum("cap").alias("caps"), F.sum("w").alias("ws"), F.max("grant").alias("grant"), last)
+    order = Window.partitionBy(*parent).orderBy("step")
+    before = F.coalesce(F.sum("caps").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = steps.withColumn("before", before).withColumn("from_here", F.sum("ws").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    # a step is full if its last child is, when all others of it are: levels only rise while children are full
+    at_last = (F.col("grant") - F.col("before") - (F.col("caps") - F.col("last.cap"))) / (F.col("from_here") - (F.col("ws") - F.col("last.w")))
+    ends = steps.where(F.col("last.ratio") > at_last).groupBy(*parent).agg(F.min(F.struct("step", "before", "from_here", "ws")).alias("end"))
+    ends = ends.select(*parent, F.col("end.step").alias("end"), F.col("end.before").alias("before"), (F.col("end.from_here") - F.col("end.ws")).alias("behind"))
+    # of the children in that step, by cap per weight, the first that isn't full sets the level of all behind it
+    w = Window.partitionBy(*parent).orderBy("ratio", *own)
+    inside = rows.join(ends, parent).where("step = end")
+    caps = F.col("before") + F.coalesce(F.sum("cap").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = (F.col("grant") - caps) / (F.col("behind") + F.sum("w").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    found = inside.withColumn("level", level).withColumn("place", F.row_number().over(w)).where("ratio > level").groupBy(*parent).agg(F.min(F.struct("place", "level")).alias("first"))
+    levels = found.select(*parent, F.col("first.level").alias("level"))
+    full = F.col("level").isNull() | (F.col("ratio") <= F.col("level"))
+    done = rows.join(levels, parent, "left")
+    return done.withColumn(name, F.when(full, F.col("cap")).otherwise(F.floor(F.col("w") * F.col("level"))).cast("long")).drop("level", "ratio", "step")
 
 
 def budgets(documents: DataFrame, mix: Mix, rows: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from larkspur.llm.mixing import Mix, budgets, mix_sources
+from larkspur.llm.mixing import Mix, budgets, mix_sources, share_out
 
 DOCS = "doc_id long, text string, lang string, source string, epoch string"
 
@@ -95,5 +95,16 @@ def test_equal_leaves(spark):
         assert {(r["__domain"], r["__lang"], r["__source"]): r.grant for r in budgets(df, mix).collect()} == grants
 
 
+def test_many_children(spark):
+    """Thousands of children of a node, many of them alike, against the same shares taken one by one."""
+    rng = random.Random(6)
+    for grant in (1_000, 77_777, 400_000, 10**7):
+        caps = {f"s{i}": rng.choice([0, 1, 5, 5, 5, rng.randint(0, 900)]) for i in range(3000)}
+        weights = {k: rng.choice([1, 1, 1, 2, 7]) for k in caps}
+        df = spark.createDataFrame([("", k, c, float(weights[k]), float(grant)) for k, c in caps.items()], "__root string, __source string, cap long, w double, grant double")
+        got = {r["__source"]: r.given for r in share_out(df, ["__root"], "given").collect()}
+        assert got == water(grant, caps, weights.get)
+
+
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], DOCS)).count() == 0

@@ -97,6 +97,50 @@ def test_trees_equal_a_walk():
     assert ((model.score(x) >= 0.5) == (x[:, 0] * x[:, 1] > 0)).mean() > 0.9
 
 
+def test_first_splits_are_the_best():
+    """The root of the first tree against every cut of every statistic, and the leaves against plain sums."""
+    rng = np.random.default_rng(5)
+    for seed in range(6):
+        x, rest = rng.normal(size=(120, 3)).round(1), 1.0
+        y = ((x[:, seed % 3] > 0.3) ^ (rng.random(120) < 0.15)).astype(float)
+        model = Q.fit_trees(x, y, trees=1, depth=1, rate=1.0, bins=8, ridge=rest)
+        p = y.mean()
+        best = []
+        for j in range(3):
+            for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 9)[1:-1])):
+                gain = 0.0
+                for side in (x[:, j] <= cut, x[:, j] > cut):
+                    g, h = sum(p - v for v in y[side]), p * (1 - p) * side.sum()
+                    gain += g * g / (h + rest)
+                    if h < 2.0:
+                        gain = -np.inf
+                best.append((gain, j, cut))
+        top = max(best)[0]
+        assert any(abs(gain - top) < 1e-9 and (model.feature[0, 0], model.threshold[0, 0]) == (j, cut) for gain, j, cut in best)
+        left = x[:, model.feature[0, 0]] <= model.threshold[0, 0]
+        for value, side in zip(model.value[0], (left, ~left), strict=True):
+            assert abs(value + sum(p - v for v in y[side]) / (p * (1 - p) * side.sum() + rest)) < 1e-9
+
+
+def test_scores_of_whole_tables(tables):
+    """The query's scores are those of a model fitted and walked text by text in plain Python."""
+    docs, labels, truth, _ = tables
+    got = {r.doc_id: r.score for r in Q.score_quality(docs.select("doc_id", "text"), Q.fit_quality(docs, labels)).collect() if r.doc_id in truth}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in truth}
+    one = lambda t: Q.statistics(pa.array([t], pa.string()))[0]
+    learned = sorted((truth[i][0], list(one(t))) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 3 != 1)
+    model = Q.fit_trees(np.array([x for _, x in learned]), np.array([y for y, _ in learned], dtype=float))
+    for i, t in texts.items():
+        raw = model.base
+        x = one(t)
+        for feature, threshold, value in zip(model.feature, model.threshold, model.value, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if x[feature[node]] > threshold[node] else 1)
+            raw += value[node - len(feature)]
+        assert abs(got[i] - 1 / (1 + math.exp(-raw))) < 1e-6, i
+
+
 def test_statistics():
     texts = ["", None, "Abc 12!\nabc abc", "é é é"]
     x = Q.statistics(pa.array(texts, pa.string()))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def session(master, found=None):
     conf = {"spark.checkpoint.dir": found} if found else {}
     store = SimpleNamespace(get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__)
-    return SimpleNamespace(conf=store, sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    return SimpleNamespace(conf=store, sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k, d=None: d)))
 
 
 def test_no_shared_folder_on_a_cluster():
