@@ -19,6 +19,7 @@ from .queries import LINES_CTE, query, read
 from .sources import files, jsonl
 from .sources.index_store import read_index, scroll_sections, to_points, write_index
 from .sources.scratch import scratch_dir
+from .streaming.sessions import OUT, artifact_sink, session_turns
 
 WIDE = ChunkSpec(max_tokens=1_000_000)
 
@@ -425,3 +426,31 @@ def next_histories(spark, sf_dir):
     history = F.transform("h", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
     done = chats.select("conv_id", next_history(tail_array(history, 4), F.lit("q"), F.when(F.col("conv_id") % 2 == 0, "a").otherwise("")).alias("h"))
     return done.select("conv_id", F.array_join(F.transform("h", lambda t: F.concat_ws(":", t["role"], t["content"])), "\n").alias("history"), F.size("h").alias("n"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a stream of messages with answers."""
+    stream = spark.readStream.schema("conv_id long, turn long, role string, text string").option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    answered = F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text"))
+    return stream.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), F.when(F.col("turn") < 4, "A1").otherwise("C1").alias("exam"), F.col("text").alias("query"), answered.alias("answer"))
+
+
+@query("""
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, CASE WHEN turn < 4 THEN 'A1' ELSE 'C1' END AS exam, CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS answer FROM conversations)
+SELECT session_id, seq, exam, CAST(least(6, 2 * count(*) FILTER (answer <> '') OVER (PARTITION BY session_id, exam ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS INTEGER) AS history_len FROM t
+""")
+def session_stream(spark, sf_dir):
+    """A stream of chat messages with state: the length of the history that each message is asked with."""
+    out = scratch_dir(spark, "sessions")
+    run = session_turns(_turns(spark, sf_dir)).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(OUT).parquet(out).select("session_id", "seq", "exam", "history_len")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS row_id, turn AS seq, md5(text) AS text_md5 FROM conversations")
+def streamed_artifacts(spark, sf_dir):
+    """Records that a stream appends to an artifact, each of them once."""
+    out = scratch_dir(spark, "records")
+    rows = _turns(spark, sf_dir).select(F.col("session_id").alias("row_id"), "seq", F.md5(F.col("query").cast("binary")).alias("text_md5"))
+    artifact_sink(rows, out, out + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("row_id string, seq long, text_md5 string").json(out)

@@ -17,10 +17,11 @@ from ..schemas import DATASET_COLUMNS, METADATA, METADATA_COLUMNS
 CONSOLIDATED = r"(?Umd)^.*TEXTO CONSOLIDADO.*$"
 
 
-def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id (file stem), text of each .txt file."""
+def read_texts(spark: SparkSession, folder: str, in_order: bool = False) -> DataFrame:
+    """doc_id (file stem), text of each .txt file; in_order: by doc_id, where the order is for people to read."""
     found = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    return found.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.txt$", 1).alias("doc_id"), F.col("value").alias("text"))
+    docs = found.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.txt$", 1).alias("doc_id"), F.col("value").alias("text"))
+    return docs.orderBy("doc_id") if in_order else docs
 
 
 def consolidated(text: F.Column) -> F.Column:

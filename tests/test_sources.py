@@ -17,6 +17,7 @@ def test_texts(spark, tmp_path):
     (tmp_path / "c.md").write_text("no")
     docs = files.read_corpus(spark, f"file://{tmp_path}", export=f"file://{tmp_path}/out")
     assert sorted(map(tuple, docs.collect())) == [("a", "uno"), ("b", "dos\nlíneas")]
+    assert [r.doc_id for r in files.read_texts(spark, f"file://{tmp_path}", in_order=True).collect()] == ["a", "b"]
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
     files.read_corpus(spark, f"file://{tmp_path}", export=f"file://{tmp_path}/each", files=True)
     found = {p.parent.name: p.read_text(encoding="utf-8") for p in (tmp_path / "each").glob("doc_id=*/*.txt")}
