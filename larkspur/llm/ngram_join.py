@@ -4,7 +4,7 @@ A document is the set of its distinct word shingles.  Sets are put into one
 global order (how often a token occurs by a fixed-size histogram over all
 documents, then the token's hash).  Two sets with a Jaccard similarity of at least t share a
 token within their prefixes in that order, so documents meet by prefix tokens;
-whoever meets is compared in a compressed prefix tree.
+whoever meets is compared in compressed prefix trees, down which many sets go together.
 
 A token shared by k documents doesn't give k(k-1)/2 pairs.  First all are
 compared with one pivot (the least digest).  When the links found so have been
@@ -38,7 +38,7 @@ from .wordhash import set_digest, shingles, slices, word_hashes
 #: Counters of the histogram that orders the tokens: 1 MB whatever the input.
 COUNTERS = 1 << 18
 _PART = 1024
-#: Tokens of the sets that meet a pivot in one block; pairs of no more than FEW_TOKENS in all are one block for each pivot.
+#: Tokens of the sets in one block, about; pairs of no more than FEW_TOKENS in all are dealt by their first alone.
 BLOCK_TOKENS, FEW_TOKENS = 200_000, 4_000_000
 #: Rows of a token in one tile of the last round.
 TILE = 4096
@@ -108,26 +108,33 @@ class PrefixTree:
                 node.children[int(tokens[at])] = child = upper
             node, at = child, at + same
 
-    def probe(self, tokens: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
-        """(key, overlap) of all sets whose overlap is at least num/den of both sizes' sum.
+    def join(self, probes: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, int, int]]:
+        """(place of the probe, key, overlap) of all sets whose overlap with a probe is at least num/den of both sizes' sum.
 
-        What a run shares with the probe is counted once for all sets below it;
-        a subtree ends where even full agreement of all that remains can't reach
-        the overlap that its smallest set needs.
+        All probes go down the tree together.  What a run shares with each of them is counted once for all sets
+        below it, by an index from tokens to probes; a probe leaves a subtree where even full agreement of all that remains
+        can't reach the overlap that its smallest set needs.
         """
-        own, size = np.sort(tokens), len(tokens)
-        stack = [(self, 0)]
+        sizes = np.array([len(p) for p in probes], dtype=np.int64)
+        index: dict[int, list[int]] = {}
+        for i, tokens in enumerate(probes):
+            for token in tokens.tolist():
+                index.setdefault(token, []).append(i)
+        stack = [(self, np.arange(len(probes)), np.zeros(len(probes), dtype=np.int64))]
         while stack:
-            node, overlap = stack.pop()
-            if len(node.run) and size:
-                at = np.minimum(np.searchsorted(own, node.run), size - 1)
-                overlap += int(np.count_nonzero(own[at] == node.run))
-            if overlap + min(node.most - node.depth, size - overlap) < ceil_div(num * (size + node.least), den):
+            node, active, overlap = stack.pop()
+            shared = [i for token in node.run.tolist() if token in index for i in index[token]]
+            if shared:
+                overlap = overlap + np.bincount(shared, minlength=len(probes))[active]
+            need = -(-(num * (sizes[active] + node.least)) // den)
+            keep = overlap + np.minimum(node.most - node.depth, sizes[active] - overlap) >= need
+            active, overlap = active[keep], overlap[keep]
+            if not len(active):
                 continue
             for key, other in node.sets:
-                if den * overlap >= num * (size + other):
-                    yield key, overlap
-            stack += [(child, overlap) for child in node.children.values()]
+                for i in np.flatnonzero(den * overlap >= num * (sizes[active] + other)):
+                    yield int(active[i]), key, int(overlap[i])
+            stack += [(child, active, overlap) for child in node.children.values()]
 
 
 class Order:
@@ -445,14 +452,26 @@ class Bits:
 
 
 def _compare(t: Fraction):
+    """Links between the probes and the sets of a block: so many of them that all that link, directly or through others of the block, are connected."""
     num, den = t.numerator, t.denominator + t.numerator
 
     def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        a = key[0]
         sets = {int(k): np.frombuffer(v, dtype=np.uint64) for k, v in zip(block["node"], block["tokens"], strict=True)}
-        own = sets.pop(int(a), None)
-        found = [] if own is None or not sets else [k for k, _ in PrefixTree.build(sorted(sets.items())).probe(own, num, den)]
-        return pd.DataFrame({"u": np.full(len(found), a, dtype=np.int64), "v": np.array(found, dtype=np.int64)})
+        nodes = sorted({int(k) for k in block["node"][block["probe"]]})
+        root = {k: k for k in sets}
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        found = []
+        for i, other, _ in PrefixTree.build(sorted(sets.items())).join([sets[k] for k in nodes], num, den):
+            a, b = find(nodes[i]), find(other)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                found.append((nodes[i], other))
+        return pd.DataFrame({"u": np.array([x for x, _ in found], dtype=np.int64), "v": np.array([y for _, y in found], dtype=np.int64)})
 
     return run
 
@@ -582,17 +601,24 @@ class NgramJoin:
         return reduce(DataFrame.unionByName, self.sets)
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a, node, n (size of node's set), written.  Links among them, by prefix trees in blocks of a bounded number of tokens."""
+        """pairs: a, node, n (size of node's set), written.  Links that connect all of them that link.
+
+        Pairs are dealt to blocks of about BLOCK_TOKENS by a (by a and node where one a has more); a block has one prefix tree
+        of all its sets, which all its a go through together.
+        """
         if not pairs.stats["n"]:
             return materialize(self.spark.createDataFrame([], "u long, v long"), "links", n=F.count("*"))
+        blocks = F.lit(-(-int(pairs.stats["tokens"]) // BLOCK_TOKENS))
         if pairs.stats["tokens"] <= FEW_TOKENS:
-            spread = pairs.select("a", "node", F.lit(0).cast("long").alias("block"))
+            spread = pairs.select("a", "node", F.pmod(F.xxhash64("a"), blocks).alias("block"))
         else:
-            shares = pairs.groupBy("a").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("blocks"))
-            spread = pairs.join(shares, "a").select("a", "node", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).alias("block"))
-        members = spread.unionByName(spread.select("a", F.col("a").alias("node"), "block").distinct())
-        blocks = members.join(self._sets(members, 2 * pairs.stats["n"]), "node").groupBy("a", "block").applyInPandas(_compare(self.t), "u long, v long")
-        links = materialize(blocks, "links", n=F.count("*"))
+            shares = pairs.groupBy("a").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("shares"))
+            share = F.pmod(F.xxhash64("node"), F.col("shares").cast("long"))
+            spread = pairs.join(shares, "a").select("a", "node", F.pmod(F.xxhash64(F.col("a"), share), blocks).alias("block"))
+        members = spread.select("block", "node", F.lit(False).alias("probe")).unionByName(spread.select("block", F.col("a").alias("node"), F.lit(True).alias("probe")))
+        members = members.groupBy("block", "node").agg(F.max("probe").alias("probe"))
+        found = members.join(self._sets(members, 2 * pairs.stats["n"]), "node").groupBy("block").applyInPandas(_compare(self.t), "u long, v long")
+        links = materialize(found, "links", n=F.count("*"))
         release(pairs)
         return links
 

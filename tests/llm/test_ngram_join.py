@@ -69,6 +69,7 @@ def corpus(seed, groups=6, size=14):
 def test_against_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(N, "TILE", 4)
     monkeypatch.setattr(N, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(N, "FEW_TOKENS", 4_000_000 if seed == 1 else 0)
     pairs = corpus(seed)
     got = N.near_duplicate_classes(spark.createDataFrame(rows(pairs), DOCS)).collect()
     assert sorted(map(tuple, got)) == brute(pairs)[0]
@@ -123,12 +124,13 @@ def test_empty_table(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.frozensets(st.integers(0, 30), max_size=20), max_size=12), st.frozensets(st.integers(0, 30), min_size=1, max_size=20))
-def test_prefix_tree(sets, probe):
-    arrays = [(i, np.array(sorted(s), dtype=np.uint64)) for i, s in enumerate(sets)]
-    tree = N.PrefixTree.build(arrays)
-    got = sorted(tree.probe(np.array(sorted(probe), dtype=np.uint64), 3, 7))
-    assert got == [(i, len(s & probe)) for i, s in enumerate(sets) if 7 * len(s & probe) >= 3 * (len(s) + len(probe))]
+@given(st.lists(st.frozensets(st.integers(0, 30), max_size=20), max_size=12), st.lists(st.frozensets(st.integers(0, 30), min_size=1, max_size=20), max_size=5), st.sampled_from([(3, 7), (1, 6), (9, 19)]))
+def test_prefix_tree(sets, probes, need):
+    array = lambda s: np.array(sorted(s), dtype=np.uint64)
+    tree = N.PrefixTree.build([(i, array(s)) for i, s in enumerate(sets)])
+    num, den = need
+    got = sorted(tree.join([array(p) for p in probes], num, den))
+    assert got == [(j, i, len(s & p)) for j, p in enumerate(probes) for i, s in enumerate(sets) if den * len(s & p) >= num * (len(s) + len(p))]
 
 
 @settings(max_examples=60, deadline=None)
