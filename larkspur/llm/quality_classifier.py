@@ -20,6 +20,8 @@ from .wordhash import _MULT, mix, slices, string_buffers, words_with_spans
 #: Labelled documents that the trees are fitted on, at most.
 SAMPLE = 20_000
 FOLDS, HELD_OUT = 3, 1
+#: Bytes of text whose statistics are worked out at once; the arrays take some fifty times as much.
+PART = 1 << 20
 _CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "quote", "symbol", "high")
 FEATURES = ("log_words", "log_bytes", "word_mean", "word_spread", "long_words", "distinct", "top_word", "repeat_1", "repeat_3", "words_per_line", "words_per_stop", *_CLASSES)
 
@@ -153,7 +155,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rat
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, size=PART):
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(statistics(part.column("text"))), pa.list_(pa.float64()))], names=["label", "x"])
 
 
@@ -171,7 +173,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, hel
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=PART):
                 score = np.round(model.value.score(statistics(part.column("text"))), 6)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
 
