@@ -112,7 +112,10 @@ def budgets(documents: DataFrame, mix: Mix, rows: DataFrame | None = None) -> Da
             nodes = nodes.withColumn("grant", F.lit(float(total if mix.budget is None else mix.budget)))
         else:
             nodes = nodes.join(level, ["__root", *path[:-1]])
-        level = share_out(nodes, ["__root", *path[:-1]], "given").select("__root", *path, F.col("given").alias("grant"))
+        # each level is written: its plan reads the nodes several times, and three levels would read them that often to the third power
+        nodes = materialize(nodes, "nodes")
+        level = materialize(share_out(nodes, ["__root", *path[:-1]], "given").select("__root", *path, F.col("given").alias("grant")), "level")
+        release(nodes)
     return leaves.join(level.drop("__root"), keys)
 
 
