@@ -50,8 +50,8 @@ BITS_PER_TOKEN = 4
 PIVOT_ROUNDS, WORTH, CHEAP = 4, 0.005, 64
 #: Rows of a token in one group of the first round: a token that is far more frequent is dealt to several.
 SPLIT = 2048
-#: Groups to which the rows of a token are dealt where they meet one row of that token.
-SALTS = 8
+#: Groups to which the rows of such a token are dealt where they meet one row of it.
+SALTS = 16
 #: Least shared tokens of a row that go with it, so that a pair comes out under its first one only.
 FIRST_TOKENS = 8
 #: Tokens of at most so many rows are paired by a join, of more rows in tiles with signatures.
@@ -276,10 +276,10 @@ def _stars(t: Fraction):
 
     A row comes out when the next one is known; what is kept is one pivot and
     one row, however many rows a group has.  All rows of a token with several groups
-    come out, with `more`: they meet again in the next rounds.
+    come out, with `hot` and `more`: they meet again in the next rounds.
     """
     names = ("token", "salt", "node", "n", "pos")
-    schema = pa.schema([("a", pa.int64()), ("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("na", pa.int32()), ("meet", pa.bool_()), ("more", pa.bool_())])
+    schema = pa.schema([("a", pa.int64()), ("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("na", pa.int32()), ("meet", pa.bool_()), ("more", pa.bool_()), ("hot", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {k: np.zeros(0, dtype=np.int64) for k in names}  # the last row, before it its pivot if that is another
@@ -288,7 +288,7 @@ def _stars(t: Fraction):
         def out(x, take, pivot, more):
             i, j = np.flatnonzero(take), pivot[take]
             meet = (i != j) & _may_link(x["n"][i], x["pos"][i], x["n"][j], x["pos"][j], t)
-            cols = [x["node"][j], x["token"][i], x["node"][i], x["n"][i].astype(np.int32), x["pos"][i].astype(np.int32), x["n"][j].astype(np.int32), meet, (more[i] & (i != j)) | (x["salt"][i] >= 0)]
+            cols = [x["node"][j], x["token"][i], x["node"][i], x["n"][i].astype(np.int32), x["pos"][i].astype(np.int32), x["n"][j].astype(np.int32), meet, (more[i] & (i != j)) | (x["salt"][i] >= 0), x["salt"][i] >= 0]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
 
         for batch in batches:
@@ -510,14 +510,14 @@ class NgramJoin:
     def roots(self) -> DataFrame:
         """(node, root) of every node with a link: the components of all links."""
         rows = self.docs.where("doc_id IS NOT NULL").mapInArrow(lean(_prefixes(self.width, self.order, self.t)), "token long, salt int, node long, n int, pos int")
-        kind = "a long, token long, node long, n int, pos int, na int, meet boolean, more boolean"
+        kind = "a long, token long, node long, n int, pos int, na int, meet boolean, more boolean, hot boolean"
         met = materialize(rows.repartition(F.col("token"), F.col("salt")).sortWithinPartitions("token", "salt", "node").mapInArrow(lean(_stars(self.t)), kind), "met")
         #: node, sig, doc_id and the number of the prefix tokens under which the node meets others.
         self.known = materialize(self.firsts.join(met.groupBy("node").agg(F.count("*").cast("int").alias("shared")), "node"), "known")
         self.sets: list[DataFrame] = []
         links = self._verified(self._near(met.where("meet").select("a", "node", "n", "na")))
         roots = connected_components(links)
-        rest, tokens = self._mixed(met.where("more").select("token", "node", "n", "pos"), roots, 0)
+        rest, tokens = self._mixed(met.where("more").select("token", "node", "n", "pos", "hot"), roots, 0)
         release(met, links)
         num, den = self.t.numerator, self.t.denominator
         need = F.ceil(F.expr(f"({num} * (n + p.n)) / {num + den}D"))
@@ -526,7 +526,7 @@ class NgramJoin:
             had = tokens.size["rows"]
             if tokens.size["pairs"] <= CHEAP * had:
                 break
-            star = self._dealt(rest, tokens.select("token", "p")).where(F.expr(f"root <> p.root AND {den} * least(n, p.n) >= {num} * greatest(n, p.n)") & (bound >= need))
+            star = self._dealt(rest, tokens.select("token", "hot", "p")).where(F.expr(f"root <> p.root AND {den} * least(n, p.n) >= {num} * greatest(n, p.n)") & (bound >= need))
             near = self._near(star.select(F.col("p.node").alias("a"), "node", "n", F.col("p.n").alias("na")))
             if near.stats["n"] < WORTH * had:
                 break  # what these few pairs link is found in the tiles
@@ -535,13 +535,13 @@ class NgramJoin:
                 break
             before = rest, tokens
             roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(further))
-            rest, tokens = self._mixed(self._dealt(rest.drop("root"), tokens.select("token")), roots, turn + 1)
+            rest, tokens = self._mixed(self._dealt(rest.drop("root"), tokens.select("token", "hot")), roots, turn + 1)
             release(*before, further)
             if further.stats["n"] < WORTH * had:
                 break
         if not tokens.size["rows"]:
             return roots
-        rest = self._dealt(rest, tokens.select("token", "k")).join(self.known.select("node", "shared"), "node")
+        rest = self._dealt(rest, tokens.select("token", "hot", "k")).join(self.known.select("node", "shared"), "node")
         x, y = rest.where(F.col("k") <= FEW).alias("x"), rest.where(F.col("k") <= FEW).alias("y")
         need = F.ceil(F.expr(f"({num} * (x.n + y.n)) / {num + den}D"))
         bound = F.expr("least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos)")
@@ -562,9 +562,9 @@ class NgramJoin:
         return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(further)) if further.stats["n"] else roots
 
     def _dealt(self, rows: DataFrame, tokens: DataFrame) -> DataFrame:
-        """rows joined with tokens, one row each: the rows of a token are dealt to SALTS groups, which the adaptive skew join can cut further."""
-        salted = tokens.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"]).drop("salt")
+        """rows joined with tokens, one row each: the rows of a hot token are dealt to SALTS groups, which the adaptive skew join can cut further."""
+        salted = tokens.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0)))).drop("hot")
+        return rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(0)).join(salted, ["token", "salt"]).drop("salt")
 
     def _mixed(self, rows: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
         """rows with each node's root, and the tokens under which different components meet: their number of rows k and a pivot p.
@@ -573,7 +573,7 @@ class NgramJoin:
         """
         rows = materialize(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rest")
         pivot = F.min_by(F.struct("node", "n", "pos", "root"), F.xxhash64("node", "token", F.lit(turn))).alias("p")
-        tokens = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k"), pivot).where("low <> high").select("token", "k", "p")
+        tokens = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k"), F.max("hot").alias("hot"), pivot).where("low <> high").select("token", "k", "hot", "p")
         tokens = materialize(tokens, "mixed", rows=F.sum("k"), pairs=F.sum(F.expr("k * (k - 1) / 2")))
         tokens.size = {k: v or 0 for k, v in tokens.stats.items()}
         return rows, tokens
