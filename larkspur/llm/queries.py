@@ -98,6 +98,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read(spark, sf_dir, "embeddings"), count=32, scale=64, offset=1_000_000)
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import count_tokens
+
+    return count_tokens(read(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -111,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op10_license_scan": op10_license_scan,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_whitening": op12_whitening,
+    "op13_token_counts": op13_token_counts,
 }
 
 OP8_SQL = """
