@@ -121,3 +121,42 @@ def test_pages(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, [*[got.collect()[0]] * 2, *got.where("n_chars = 0").collect()]))
     assert got.where("n_chars = 3").count() == 2 and got.count() == 4
     assert H.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def some(sign, n):
+    return " ".join([sign] * n)
+
+
+A, B, C, NO = some("a", 80), some("b", 80), some("c", 80), some("n", 30)
+
+
+@pytest.mark.parametrize(("source", "text"), [
+    (f"<body><p>{some('a', 18)}</p><p>{some('b', 20)}</p></body>", f"{some('a', 18)}\n{some('b', 20)}"), (f"<body><p>{some('a', 18)}</p></body>", some("a", 18)), (some("a", 25), some("a", 25)), ("uno dos tres", "uno dos tres"),
+    (f"<form id=aspnetForm><input type=hidden name=x><div id=main><h1>t t</h1><p>{A}</p><p>{B}</p></div></form>", f"t t\n{A}\n{B}"), (f"<form><div><p>{A}</p><p>{B}</p><p>{C}</p></div></form>", f"{A}\n{B}\n{C}"),
+    (f'<form><input><input><p>{NO}</p><textarea></textarea></form><div class="post"><p>{A}</p></div>', A),
+    (f"<div><h1>t t t</h1><p>{A}</p><ul><li>first point here</li><li>second point</li><li>third</li></ul><p>{B}</p></div>", f"t t t\n{A}\nfirst point here\nsecond point\nthird\n{B}"),
+    (f"<div><h1>t t t</h1><p>{A}</p><ul><li>first point here</li><li>second point</li><li>third</li></ul></div>", f"t t t\n{A}\nfirst point here\nsecond point\nthird"),
+    (f'<article><p>{A}</p><div class="article-comments"><p>{NO}</p></div></article>', A), (f'<div class="content"><p>{A}</p><div class="post-comments"><p>{NO}</p></div></div>', A), (f'<article><p>{A}</p><div class="entry-footer">{some("n", 12)}</div></article>', A),
+    (f'<main><section class="news-ticker"><p>{some("n", 12)}</p></section><p>{A}</p></main>', A), (f'<div class="page-with-sidebar"><article><p>{A}</p></article></div>', A), (f'<div class="post"><div class="post-header"><h1>t</h1></div><p>{A}</p></div>', f"t\n{A}"),
+])
+def test_small_pages_forms_lists_and_comments(source, text):
+    assert H.main_text(source, TREE) == text
+
+
+@pytest.mark.parametrize("wrap", [("<form id=aspnetForm><input type=hidden><div id=main>", "</div></form>"), ('<div class="post">', "</div>"), ('<div id="content" class="page-with-sidebar">', "</div>"), ("<main>", "</main>")])
+def test_built_pages_without_article(wrap):
+    """Texts with lists in the containers pages are made of, with notices, comments and input forms inside and around."""
+    rng = random.Random(11)
+    flat = lambda n: " ".join(prose(rng, n).split())
+    outside = [lambda: f'<nav><a href="/">{flat(2)}</a></nav>', lambda: f'<div class="ad-slot"><p>{flat(rng.randint(1, 40))}</p></div>', lambda: f"<form><input><p>{flat(rng.randint(2, 20))}</p><textarea></textarea></form>", lambda: f"<footer>{flat(rng.randint(2, 30))}</footer>"]
+    inside = [lambda: f'<div class="article-comments"><p>{flat(rng.randint(5, 60))}</p></div>', lambda: f'<div class="entry-footer">{flat(rng.randint(2, 30))}</div>', lambda: f'<section class="news-ticker">{flat(9)}</section>']
+    for _ in range(60):
+        text, body = [], []
+        for i in range(rng.randint(3, 7)):
+            items = [flat(rng.choice([1, 3, 8])) for _ in range(rng.randint(2, 5))] if i % 3 == 2 else [flat(rng.choice([3, 8])) if i == 0 else flat(rng.choice([25, 60, 120]))]
+            text += items
+            body.append(f"<h1>{items[0]}</h1>" if i == 0 else f"<p>{items[0]}</p>" if len(items) == 1 else "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
+        if rng.random() < 0.5:
+            body.append(rng.choice(inside)())
+        around = [f() for f in rng.sample(outside, 2)]
+        assert H.main_text(f"<html><body>{around[0]}{wrap[0]}{''.join(body)}{wrap[1]}{around[1]}</body></html>", TREE) == "\n".join(text)
