@@ -5,7 +5,8 @@ document) are compressed with each license template as a zstandard raw
 dictionary.  Templates are ranked by how many bytes that saves; each is held
 against every stretch of the block and confirmed by its word differences.  The name of the license within a
 template, numbers and words that turn a sense round must be the same: what differs there is an unknown variant
-of the template, not that license.  Of confirmed stretches that overlap the best one stays, all others are returned.
+of the template, not that license; so is what a word such as "not" goes before.  Of confirmed stretches that overlap
+the best one stays, all others are returned.  A license that "and", "or" or a comma joins to a confirmed one is found by its name alone.
 """
 
 from __future__ import annotations
@@ -82,6 +83,23 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 #: What BSD-3-Clause has beyond BSD-2-Clause.
 _THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
 TEMPLATES["BSD-3-Clause-text"] = TEMPLATES["BSD-2-Clause-text"].replace("THIS SOFTWARE IS", _THIRD + "THIS SOFTWARE IS", 1)
+#: Short names by which licenses are known (fixed values), stated behind one of LEADS and a colon or word.
+NAMES = {
+    "MIT": ("MIT", "Expat"), "Apache-2.0": ("Apache-2.0", "Apache 2.0", "Apache 2"), "GPL-2.0": ("GPL-2.0", "GPL-2.0-only", "GPLv2", "GPL v2", "GPL 2.0", "GNU GPLv2", "GNU GPL v2"),
+    "GPL-3.0": ("GPL-3.0", "GPL-3.0-only", "GPLv3", "GPL v3", "GPL 3.0", "GNU GPLv3", "GNU GPL v3"), "GPL-2.0-or-later": ("GPL-2.0-or-later",), "GPL-3.0-or-later": ("GPL-3.0-or-later",),
+    "LGPL-2.1": ("LGPL-2.1", "LGPL-2.1-only", "LGPLv2.1", "LGPL v2.1"), "LGPL-3.0": ("LGPL-3.0", "LGPL-3.0-only", "LGPLv3", "LGPL v3"), "LGPL-2.1-or-later": ("LGPL-2.1-or-later",), "LGPL-3.0-or-later": ("LGPL-3.0-or-later",),
+    "AGPL-3.0": ("AGPL-3.0", "AGPL-3.0-only", "AGPLv3", "AGPL v3"), "AGPL-3.0-or-later": ("AGPL-3.0-or-later",), "BSD-2-Clause": ("BSD-2-Clause", "BSD 2-Clause"), "BSD-3-Clause": ("BSD-3-Clause", "BSD 3-Clause"),
+    "MPL-2.0": ("MPL-2.0", "MPL 2.0"), "EPL-2.0": ("EPL-2.0", "EPL 2.0"), "ISC": ("ISC",), "Zlib": ("Zlib",), "Unlicense": ("Unlicense",), "CC0-1.0": ("CC0-1.0", "CC0 1.0"),
+    "CC-BY-4.0": ("CC-BY-4.0", "CC BY 4.0"), "CC-BY-SA-4.0": ("CC-BY-SA-4.0", "CC BY-SA 4.0"), "CC-BY-NC-4.0": ("CC-BY-NC-4.0",), "CC-BY-ND-4.0": ("CC-BY-ND-4.0",), "CC-BY-NC-SA-4.0": ("CC-BY-NC-SA-4.0",), "CC-BY-NC-ND-4.0": ("CC-BY-NC-ND-4.0",),
+}
+LEADS = {"spdx-license-identifier": (), "license": (":",), "licence": (":",), "licensed": ("under",), "licenced": ("under",), "released": ("under",), "distributed": ("under",), "available": ("under",)}
+#: Words before a stretch that turn its sense round (fixed values), and how many words before it are looked at.
+TURNS = frozenset("not no never neither nor cannot isn wasn aren weren".split())
+BEFORE = 3
+#: Words that may stand between a license and one that is joined to it (fixed values).
+JOINS = frozenset("and or".split())
+BETWEEN = frozenset("and or either both also the a under by of terms alternatively at your option license licence".split())
+_JOINT = re.compile(r"[,/&+|]")
 #: Words that tell licenses apart or turn a sense round, wherever they stand (fixed values); words with a digit are such, too.
 KEYS = frozenset("affero lesser library mozilla eclipse apache mit bsd isc zlib gnu gpl lgpl agpl sa nc nd sharealike noncommercial noderivatives noderivs attribution proprietary not no neither nor only except".split())
 #: Spellings that count as the same where words must be the same (fixed values).
@@ -89,7 +107,7 @@ SAME = {"licence": "license", "licenced": "licensed", "ver": "version", "v": "ve
 UNKNOWN = "unknown variant"
 #: Templates of more words are held against all that stands round the cues of a document, not against single sentences.
 LONG = 30
-CUE = r"licen[cs]e|rights[\W_]+reserved|public[\W_]+domain|copyright|\bcc[\W_]{0,9}(?:by|0)|redistribution|permission[\W_]+is[\W_]+hereby"
+CUE = r"licen[cs]e|\b[al]?gpl|rights[\W_]+reserved|public[\W_]+domain|copyright|\bcc[\W_]{0,9}(?:by|0)|redistribution|permission[\W_]+is[\W_]+hereby"
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 _CUE = re.compile(CUE, re.I)
 _SIGNS = r"[ \t]*(?:[#*;%!>|'\"]+|//+!?|/\*+!?|--+)?[ \t]*"
@@ -201,16 +219,32 @@ class Scanner:
         self.templates = {k: t.replace("{", "").replace("}", "") for k, t in marked.items()}
         self.differences, self.winners = differences, winners
         self.words = {k: words(t) for k, t in self.templates.items()}
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
+        self.joined: dict[tuple[str, ...], str] = {}
+        for k, t in reversed(marked.items()):
+            for m in re.finditer(r"\{[^}]*\}", t) if t.count("{") == 1 else ():
+                self.joined[tuple(SAME.get(w, w) for w in words(m[0]))] = k
+        self.later: dict[str, str] = {}
+        self.brief: dict[tuple[str, ...], str] = {}
+        for license, names in NAMES.items() if templates is None else ():
+            k = f"{license}#{names[0]}"
+            self.brief |= {tuple(words(name)): k for name in names}
+            self.later[license] = k
+            marked[k] = "Licensed under the {" + names[0] + "} license."
+        for name, k in self.brief.items():
+            self.joined.setdefault(name, k)
+        self.longest = max(map(len, self.joined), default=0)
         self.named = {k: [(len(words(t[: m.start()])), len(words(t[: m.end()]))) for m in re.finditer(r"\{[^}]*\}", t)] for k, t in marked.items()}
-        self.long = [k for k, w in self.words.items() if len(w) > LONG]
-        self.short = [k for k, w in self.words.items() if len(w) <= LONG]
+        self.words |= {k: words(marked[k]) for k in self.brief.values()}
+        self.long = [k for k in self.templates if len(self.words[k]) > LONG]
+        self.short = [k for k in self.templates if len(self.words[k]) <= LONG]
         own = {w for t in self.templates.values() if not _CUE.search(t) for w in gate(t, differences)}
         self.pattern = "|".join([CUE, *(r"\b" + re.escape(w) + r"\b" for w in sorted(own))])
         self.cues = re.compile(self.pattern, re.I) if own else _CUE
         reach = lambda some: max([600, *(2 * len(self.templates[k]) for k in some)])
         self.reach, self.wide = reach(self.short), reach(self.long)
         self.plain = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
-        self.given = {k: zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(plain(t).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in self.templates.items()}
+        self.given = {k: zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(plain(t).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in {k: t.replace("{", "").replace("}", "") for k, t in marked.items()}.items()}
 
     def rank(self, block: str, names: list[str] | None = None) -> list[tuple[int, str]]:
         """(bytes saved, template), most first; ties by name."""
@@ -249,7 +283,7 @@ class Scanner:
         """
         other = self.words[template]
         most = self.differences * len(other)
-        if not other or sum(min(n, counts[w]) for w, n in Counter(other).items()) < len(other) - most:
+        if not other or sum(min(n, counts[w]) for w, n in self.counts[template].items()) < len(other) - most:
             return
         n = len(own)
         place = np.arange(n + 1)
@@ -303,8 +337,55 @@ class Scanner:
                 pass
             yield max(0, first.start() - self.wide), min(len(text), last.end() + self.wide), self.long
 
+    @staticmethod
+    def turned(block: str, spans: list[tuple[int, int]], own: list[str], lo: int) -> list[str]:
+        """What stands shortly before a stretch, in its sentence, and turns its sense round."""
+        for i in range(lo - 1, max(-1, lo - 1 - BEFORE), -1):
+            if _END.search(block, spans[i][1], spans[i + 1][0]):
+                break
+            if own[i] in TURNS and own[i + 1] != "only":
+                return ["+" + own[i]]
+        return []
+
+    def beside(self, block: str, spans: list[tuple[int, int]], own: list[str], hi: int) -> tuple[int, int, str] | None:
+        """The name (first word, end, template) that is joined to what ends before the word hi."""
+        at = hi
+        while at < len(own) and at - hi < 6 and own[at] in BETWEEN:
+            at += 1
+        for lo in range(at, hi - 1, -1):  # "the" and the like may belong to the name
+            if lo < len(own) and (JOINS & set(own[hi:lo]) or _JOINT.search(block, spans[hi - 1][1], spans[lo][0])) and not _END.search(block, spans[hi - 1][1], spans[lo][0]):
+                for n in range(min(self.longest, len(own) - lo), 0, -1):
+                    name = self.joined.get(tuple(SAME.get(w, w) for w in own[lo : lo + n]))
+                    if name:
+                        return lo, lo + n, name
+        return None
+
+    def stated(self, block: str, spans: list[tuple[int, int]], own: list[str]) -> Iterator[tuple[int, int, str]]:
+        """(first word, end, template) of every short name behind one of LEADS."""
+        for i in range(len(own) if self.brief else 0):
+            behind = LEADS.get(own[i])
+            if behind is None or i + 1 >= len(own):
+                continue
+            at = i + 1
+            if behind == ("under",):
+                if own[at] != "under":
+                    continue
+                at += 1
+            elif ":" not in block[spans[i][1] : spans[at][0]]:
+                continue
+            while at < len(own) and at - i < 7 and own[at] in ("the", "a", "terms", "of", "either"):
+                at += 1
+            for n in range(min(self.longest, len(own) - at), 0, -1):
+                name = self.brief.get(tuple(own[at : at + n]))
+                if name and not _END.search(block, spans[i][1], spans[at][0]):
+                    if block.startswith("+", spans[at + n - 1][1]):
+                        name = self.later.get(license_of(name) + "-or-later", name)
+                    yield i, at + n + (own[at + n : at + n + 1] in (["license"], ["licence"])), name
+                    break
+
     def scan(self, text: str) -> list[dict]:
         stretches: list[tuple] = []
+        places: dict[tuple[int, int], tuple] = {}
         for start, end, names in self.blocks(text):
             block = text[start:end]
             spans = [m.span() for m in _WORD.finditer(block)]
@@ -313,15 +394,23 @@ class Scanner:
             known = {w: i for i, w in enumerate(counts)}
             ids = np.array([known[w] for w in own], dtype=np.int64)
             saves: dict[tuple, int] = {}
-            maybe = [k for k in names if sum(min(n, counts[w]) for w, n in Counter(self.words[k]).items()) >= (1 - self.differences) * len(self.words[k])]
+            maybe = [k for k in names if sum(min(n, counts[w]) for w, n in self.counts[k].items()) >= (1 - self.differences) * len(self.words[k])]
+            for lo, hi, name in self.stated(block, spans, own) if names is self.short else ():
+                a, b = start + spans[lo][0], start + spans[hi - 1][1]
+                turned = self.turned(block, spans, own, lo)
+                places[a, b] = (start, block, spans, own, hi, turned)
+                stretches.append((2 if turned else 1, lo - hi, len(turned), -self.saved(text[a:b], name), name, a, b, turned))
             for _, name in self.rank(block, maybe)[: self.winners] if maybe else []:
                 for lo, hi, differences, another in self.confirmed(own, ids, known, counts, name):
                     a, b = spans[lo][0], _TAIL.match(block, spans[hi - 1][1]).end()
+                    turned = self.turned(block, spans, own, lo)
+                    places[start + a, start + b] = (start, block, spans, own, hi, turned)
+                    differences, another = [*turned, *differences], another or bool(turned)
                     if (a, b, name) not in saves:
                         saves[a, b, name] = self.saved(block[a:b], name)
                     # words explained, less the differences: a whole text goes before a sentence of it
                     worth = hi - lo - sum(w[0] == "+" for w in differences) - len(differences)
-                    stretches.append((another, -worth, len(differences), -saves[a, b, name], name, start + a, start + b, differences))
+                    stretches.append((2 if another else 0, -worth, len(differences), -saves[a, b, name], name, start + a, start + b, differences))
         found = []
         taken: list[tuple[int, int]] = []  # the chosen stretches, in order
         for another, _, _, saved, name, a, b, differences in sorted(stretches):
@@ -329,7 +418,20 @@ class Scanner:
             if (i and taken[i - 1][1] > a) or (i < len(taken) and taken[i][0] < b):
                 continue
             taken.insert(i, (a, b))
-            found.append({"license": UNKNOWN if another else name, "nearest": name, "start": a, "end": b, "saved": -saved, "differences": differences})
+            found.append({"license": UNKNOWN if another == 2 else name, "nearest": name, "start": a, "end": b, "saved": -saved, "differences": differences})
+        for x in found:  # grows by what is joined to what it holds
+            if x["license"] == UNKNOWN and not places[x["start"], x["end"]][-1]:
+                continue
+            start, block, spans, own, hi, turned = places[x["start"], x["end"]]
+            if beside := self.beside(block, spans, own, hi):
+                lo, hi, name = beside
+                a, b = start + spans[lo][0], start + spans[hi - 1][1]
+                i = bisect(taken, (a, b))
+                if (i and taken[i - 1][1] > a) or (i < len(taken) and taken[i][0] < b):
+                    continue
+                taken.insert(i, (a, b))
+                places[a, b] = (start, block, spans, own, hi, turned)
+                found.append({"license": UNKNOWN if turned else name, "nearest": name, "start": a, "end": b, "saved": self.saved(text[a:b], name), "differences": [*turned, *self.differ(own[lo:hi], name)]})
         return sorted(found, key=lambda x: x["start"])
 
 
@@ -338,7 +440,7 @@ _FOUND = pa.list_(pa.struct([("license", pa.string()), ("nearest", pa.string()),
 
 def license_of(template: str) -> str:
     """The license that a template of this name states."""
-    return template.removesuffix("-text").removesuffix("-grant")
+    return template.partition("#")[0].removesuffix("-text").removesuffix("-grant")
 
 
 def _run(templates: dict[str, str] | None, differences: float):
@@ -349,6 +451,8 @@ def _run(templates: dict[str, str] | None, differences: float):
             maybe = pc.fill_null(pc.match_substring_regex(texts, scanner.pattern, ignore_case=True), False).to_pylist()
             out = [scanner.scan(texts[i].as_py()) if maybe[i] else [] for i in range(batch.num_rows)]
             names = [sorted({license_of(x["license"]) for x in found}) for found in out]
+            for x in (x for found in out for x in found):
+                x["license"] = x["license"].partition("#")[0]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.list_(pa.string())), pa.array(out, _FOUND)], names=["row", "licenses", "found"])
 
     return run

@@ -186,3 +186,40 @@ def test_against_every_stretch():
         for x in found:
             if x["license"] != L.UNKNOWN:
                 assert not any(L.key(w[1:]) for w in x["differences"] if w[1:] not in L.SAME), x
+
+
+def licenses(text):
+    return [(L.license_of(x["license"]), text[x["start"] : x["end"]]) for x in L.Scanner().scan(text)]
+
+
+def test_what_turns_the_sense_round_before_a_stretch():
+    for text in ("This is not released under the MIT License.", "Not released under the MIT License.", "It was never licensed under the Apache License, Version 2.0.", "This isn't licensed under GPLv3."):
+        assert [x for x, _ in licenses(text)] == [L.UNKNOWN], text
+    assert [x for x, _ in licenses("Not released under the MIT License or the Apache License, Version 2.0.")] == [L.UNKNOWN] * 2
+    for text in ("Do not edit. Released under the MIT License.", "Not only released under the MIT License.", "This may not be sold by anybody else and is released under the MIT License."):
+        assert [x for x, _ in licenses(text)] == ["MIT"], text
+
+
+def test_alternatives_and_lists():
+    mit, apache = "MIT License", "Apache License, Version 2.0"
+    assert licenses(f"Released under the {mit} or the {apache}.") == [("MIT", f"Released under the {mit}"), ("Apache-2.0", apache)]
+    assert licenses(f"Licensed under the {apache} or the {mit}.") == [("Apache-2.0", f"Licensed under the {apache}"), ("MIT", mit)]
+    assert [x for x, _ in licenses(f"Dual licensed under the {mit} and the {apache}.")] == ["MIT", "Apache-2.0"]
+    assert [x for x, _ in licenses(f"Released under the {mit}, the {apache}, or CC BY 4.0.")] == ["MIT", "Apache-2.0", "CC-BY-4.0"]
+    assert [x for x, _ in licenses(f"Released under the {mit}. The {apache} is long.")] == ["MIT"]
+    assert [x for x, _ in licenses("Licensed under MIT/Apache-2.0")] == ["MIT", "Apache-2.0"]
+
+
+def test_short_names_and_spdx_expressions():
+    expected = {
+        "licensed under GPLv3": ["GPL-3.0"], "Licensed under the GPL v2.": ["GPL-2.0"], "licensed under GPLv3+": ["GPL-3.0-or-later"], "License: BSD-3-Clause": ["BSD-3-Clause"], "SPDX-License-Identifier: MIT": ["MIT"],
+        "// SPDX-License-Identifier: (MIT OR Apache-2.0)\n": ["MIT", "Apache-2.0"], "# SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0-or-later"], "Distributed under the terms of the LGPL v2.1 license.": ["LGPL-2.1"],
+        "the MIT course licensed many patents": [], "driving license: mitigated": [], "license MIT": [],
+    }
+    for text, names in expected.items():
+        assert [x for x, _ in licenses(text)] == names, text
+
+
+def test_rows_name_licenses_without_the_wording(spark):
+    (row,) = L.scan_licenses(spark.createDataFrame([(1, "SPDX-License-Identifier: MIT OR Apache-2.0")], "doc_id long, text string")).collect()
+    assert row["licenses"] == ["Apache-2.0", "MIT"] and [x["license"] for x in row["found"]] == ["MIT", "Apache-2.0"]
