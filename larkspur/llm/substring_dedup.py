@@ -10,7 +10,7 @@ words on either side.  Inside a passage the cuts are the same wherever it
 stands, at the start of a line or in the middle of one; lines and paragraphs as units miss
 what was pasted into a line.  Repeated stretches only say where to look: windows of words that begin with one of them or
 reach beyond the ends of a run of them (all windows, where the run
-isn't long enough by itself) are grouped by digest in the same way, and the words of a window that repeats go.
+isn't long enough by itself) are grouped by digest in the same way, and the words of a window that repeats go (the first occurrence stays whole where a later one overlaps it).
 """
 
 from __future__ import annotations
@@ -91,11 +91,22 @@ def _units(batch: pa.RecordBatch, kind: str) -> tuple[np.ndarray, np.ndarray, np
     return sequence_hashes(words, starts, ends), row, np.arange(len(starts)) - first[row], ends - starts
 
 
-_UNIT = "digest long, doc_id long, hash long, unit int, first boolean"
+_UNIT = "digest long, doc_id long, hash long, unit long, first boolean"
 
 
-def _firsts(cols: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Batches of _UNIT from digests, ids, text hashes and places: of each digest the first occurrence (may be kept), and all others (will not)."""
+def beyond(own: np.ndarray, lead: np.ndarray, same: np.ndarray, length: int) -> np.ndarray:
+    """Places of later windows, with how many of their first words belong to the first occurrence, which stays: place * length + words.
+
+    own, lead: places of each window and of the first of its digest; same: whether that one stands in the same text.
+    """
+    return own.astype(np.int64) * length + np.where(same, np.clip(lead.astype(np.int64) + length - own, 0, length - 1), 0)
+
+
+def _firsts(cols: list[list[np.ndarray]], length: int = 0) -> Iterator[pa.RecordBatch]:
+    """Batches of _UNIT from digests, ids, text hashes and places: of each digest the first occurrence (may be kept), and all others (will not).
+
+    length: that of windows; the places of others are then those of beyond().
+    """
     if not cols[0]:
         return
     digest, doc, text, unit = (np.concatenate(c) for c in cols)
@@ -106,6 +117,10 @@ def _firsts(cols: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     digest, doc, text, unit = digest[~again], doc[~again], text[~again], unit[~again]
     first = np.ones(len(digest), dtype=bool)
     first[1:] = digest[1:] != digest[:-1]
+    unit = unit.astype(np.int64)
+    if length:
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(digest)), 0))
+        unit = np.where(first, unit, beyond(unit, unit[lead], (doc == doc[lead]) & (text == text[lead]), length))
     for lo in range(0, len(digest), 50_000):
         s = slice(lo, lo + 50_000)
         yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (digest, doc, text, unit, first)], names=["digest", "doc_id", "hash", "unit", "first"])
@@ -218,35 +233,40 @@ def _windows(least: int):
                             col.append(x)
                         held += len(place)
                 if held > LOCAL:
-                    yield from _firsts(cols)
+                    yield from _firsts(cols, least + 1)
                     cols, held = [[], [], [], []], 0
-        yield from _firsts(cols)
+        yield from _firsts(cols, least + 1)
 
     return run
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by digest and rank: all that aren't the first of their digest."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        if held is not None:
-            cols = [np.concatenate([[h], c]) for h, c in zip(held, cols, strict=True)]
-        digest, doc, text, unit = cols
-        n = len(digest)
-        first = np.ones(n, dtype=bool)
-        first[1:] = digest[1:] != digest[:-1]
-        lead = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-        out = ~first & ~((doc == doc[lead]) & (text == text[lead]) & (unit == unit[lead]))
-        if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (doc, text, unit)], names=["doc_id", "hash", "unit"])
-        held = [c[lead[-1]] for c in cols]
+def _later(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by digest and rank: all that aren't the first of their digest."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            if held is not None:
+                cols = [np.concatenate([[h], c]) for h, c in zip(held, cols, strict=True)]
+            digest, doc, text, unit = cols
+            n = len(digest)
+            first = np.ones(n, dtype=bool)
+            first[1:] = digest[1:] != digest[:-1]
+            lead = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+            same = (doc == doc[lead]) & (text == text[lead])
+            out = ~first & ~(same & (unit == unit[lead]))
+            if out.any():
+                place = beyond(unit, unit[lead], same, length) if length else unit
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (doc, text, place)], names=["doc_id", "hash", "unit"])
+            held = [c[lead[-1]] for c in cols]
+
+    return run
 
 
 def _cut(least: int, kind: str):
-    """found: the first words of windows of least + 1 words that repeat, or the lines or paragraphs that do."""
+    """found: the windows of least + 1 words that repeat, as beyond() gives them, or the lines or paragraphs that do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,7 +283,8 @@ def _cut(least: int, kind: str):
                         places = np.unique(found.values.to_numpy(zero_copy_only=False))
                         raw = data[offsets[i] : offsets[i + 1]]
                         if kind == "stretch":
-                            gone = [(int(p), int(p) + least + 1) for p in places]
+                            at_word, stay = np.divmod(places, least + 1)
+                            gone = sorted(zip((at_word + stay).tolist(), (at_word + least + 1).tolist(), strict=True))
                         else:
                             own = _bounds(starts, at, i)
                             gone = [(int(own[lo]), int(own[hi])) for lo, hi in runs(places) if own[hi] - own[lo] > least]
@@ -299,10 +320,10 @@ def passages(gone: list[tuple[int, int]], raw: np.ndarray) -> tuple[list[tuple[i
     return [(int(first[a]), int(first[b]) if b < len(first) else len(raw)) for a, b in spans], sum(b - a for a, b in spans)
 
 
-def _repeats(local: DataFrame) -> DataFrame:
-    """doc_id, hash and the places of all that isn't the first occurrence of its digest."""
-    unit = "doc_id long, hash long, unit int"
-    later = local.where("first").select("digest", "doc_id", "hash", "unit").repartition(F.col("digest")).sortWithinPartitions("digest", "doc_id", "hash", "unit").mapInArrow(lean(_later), unit)
+def _repeats(local: DataFrame, length: int = 0) -> DataFrame:
+    """doc_id, hash and the places of all that isn't the first occurrence of its digest (of windows of so many words as beyond() gives them)."""
+    unit = "doc_id long, hash long, unit long"
+    later = local.where("first").select("digest", "doc_id", "hash", "unit").repartition(F.col("digest")).sortWithinPartitions("digest", "doc_id", "hash", "unit").mapInArrow(lean(_later(length)), unit)
     gone = later.unionByName(local.where("NOT first").select("doc_id", "hash", "unit"))
     return gone.groupBy("doc_id", "hash").agg(F.collect_set("unit").alias("units"))
 
@@ -314,7 +335,7 @@ def dedup_passages(documents: DataFrame, least_words: int = 50, unit: str = "str
     lines, or of paragraphs between blank lines, of over least_words words in all go; 0 takes every repeated one).
     removed: spans (start, end) in characters of the original text, with the white space behind
     them; removed_words: their words.  A unit that repeats is kept where its
-    (doc_id, text hash, place) is least, nulls of doc_id last.  Rows with the same doc_id and
+    (doc_id, text hash, place) is least, nulls of doc_id last; of a window that overlaps its own first occurrence only the words beyond that one go.  Rows with the same doc_id and
     text are one occurrence and come out alike.  Null texts stay null, empty
     ones empty; a text that is all repeated becomes empty, its row stays.
     Other columns stay as they are (removed and removed_words of the input are replaced).
@@ -337,7 +358,7 @@ def dedup_passages(documents: DataFrame, least_words: int = 50, unit: str = "str
         release(local, doubts, repeated)
         windows = materialize(joined.select(*key, "text").join(holders, key).mapInArrow(lean(_windows(least_words)), _UNIT), "windows")
         release(holders)
-        seen = materialize(_repeats(windows).withColumnRenamed("units", "found"), "seen")
+        seen = materialize(_repeats(windows, least_words + 1).withColumnRenamed("units", "found"), "seen")
         release(windows)
         judged = joined.drop("units").join(seen, key, "left").select("row", "text", "found")
     else:
