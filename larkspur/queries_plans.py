@@ -15,6 +15,7 @@ from .plans.answer import CONTEXT_MARK, SYSTEM_PROMPT, next_history, prompt, str
 from .plans.evaluate import evaluate_queries, judge_rows
 from .plans.ingest import ingest
 from .plans.models import ExtractiveGenerator, GenerationConfig, KeywordQueryModel, OverlapJudge
+from . import queries_search  # noqa: F401  (registers its queries)
 from .queries import LINES_CTE, query, read
 from .sources import files, jsonl
 from .sources.index_store import read_index, scroll_sections, to_points, write_index
