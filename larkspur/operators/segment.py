@@ -9,6 +9,7 @@ Tables of marks without texts have the same rules as windows: drop_citations and
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -53,9 +54,49 @@ def layers(text: str, patterns: PatternSet) -> Iterator[tuple[str, bool]]:
     yield text, False
 
 
+#: How patterns of lines begin, and the first sign of a line that isn't blank.
+_LINE, _FIRST = r"(?m)^\s*", re.compile(r"(?m)^[^\S\n]*(?=\S)")
+#: Words before a heading among which what leads into a citation is looked for.
+LEAD_WORDS = 16
+
+
+def matches(text: str, pattern: str) -> Iterator[tuple[int, int, re.Match]]:
+    """(start, end, match) of all that finditer finds.
+
+    A pattern of lines is tried once at the first sign of each line that isn't blank, whatever blank lines go
+    before; the match starts at the first of these, as the pattern says.
+    """
+    if not pattern.startswith(_LINE):
+        yield from ((m.start(), m.end(), m) for m in _compiled(pattern).finditer(text))
+        return
+    rest = _compiled("(?m)" + pattern.removeprefix(_LINE))
+    blank, end = 0, 0  # where the blank lines before a line begin, and the end of the last match
+    for line in _FIRST.finditer(text):
+        at = line.end()
+        start = blank
+        stop = text.find("\n", at)
+        blank = stop + 1 if stop >= 0 else len(text)
+        if start < end:  # a match may take white space behind it, and then lines begin behind that
+            if at < end:
+                continue
+            start = end if end == 0 or text[end - 1] == "\n" else text.find("\n", end, at) + 1
+            if start == 0:
+                continue
+        found = rest.match(text, at)
+        if found:
+            end = found.end()
+            yield start, end, found
+
+
 def marks(text: str, kind: str, pattern: str) -> list[Mark]:
     """All matches of a pattern; of bare numbers with the number."""
-    return [Mark(kind, m.start(), m.end(), m[0].strip(), int(m[1]) if kind == "number" else None) for m in _compiled(pattern).finditer(text)]
+    return [Mark(kind, start, end, text[start:end].strip(), int(m[1]) if kind == "number" else None) for start, end, m in matches(text, pattern)]
+
+
+def leads_in(body: str, words: list[int], start: int, pattern: str) -> bool:
+    """Whether the words before a place lead into a citation; words: where each word of the body starts."""
+    before = bisect_left(words, start)
+    return bool(before and _compiled(pattern).search(body[words[max(0, before - LEAD_WORDS)] : start]))
 
 
 def in_sequence(found: list[Mark]) -> list[Mark]:
@@ -75,13 +116,14 @@ def headings(body: str, patterns: PatternSet, spec: ChunkSpec) -> list[tuple[int
     tags = [*marks(body, "heading", patterns.heading), *marks(body, "category", patterns.category), *marks(body, "ordinal", patterns.ordinal)]
     quotes = [(m.start(), m[0] == "«") for m in re.finditer("[«»]", body)]
     tags.sort(key=lambda t: t.start)  # stable: a heading before a category before an ordinal
+    starts = [m.start() for m in re.finditer(r"\S+", body)] if spec.reject_leadins else []
     kept, at, open_ = [], 0, False
     for tag in tags:
         while at < len(quotes) and quotes[at][0] < tag.start:
             open_, at = quotes[at][1], at + 1
         if tag.kind == "heading":
             free = spec.exempt_ordinals and _compiled(patterns.ordinal_article).search(tag.heading)
-            if (open_ and not free) or (spec.reject_leadins and _compiled(patterns.lead_in).search(body[: tag.start])):
+            if (open_ and not free) or (spec.reject_leadins and leads_in(body, starts, tag.start, patterns.lead_in)):
                 continue
         kept.append(tag)
     found, last = [], None
@@ -141,13 +183,13 @@ def sections_of(text: str, patterns: PatternSet, spec: ChunkSpec, splitter: Spli
     """
     *outer, (inner, _) = layers(text, patterns)
     found = [Section("preambulo", None, part) for part, _ in outer if part]
-    annex = _compiled(patterns.annex).search(inner)
-    body = inner[: annex.start()] if annex else inner
+    annex = next(matches(inner, patterns.annex), (None,))[0]
+    body = inner if annex is None else inner[:annex]
     name, starts = strategy(inner, body, patterns, spec, forced)
     if name == "length":
         parts = splitter.split(body) if body.strip() else []
-        if annex:
-            tail = inner[annex.start() :]
+        if annex is not None:
+            tail = inner[annex:]
             parts = [*parts[:-1], f"{parts[-1]}\n{tail}"] if parts else [tail]
         found += [Section("none", None, part) for part in parts]
     else:
@@ -213,7 +255,7 @@ def slice_texts(texts: DataFrame, starts: str = "starts") -> DataFrame:
 
 
 def _splitter(spec: ChunkSpec, tokenizer: Tokenizer) -> Splitter:
-    return Splitter(spec.clamped(tokenizer.limit).max_tokens - tokenizer.specials, spec.overlap, tokenizer.count)
+    return Splitter(spec.clamped(tokenizer.limit).max_tokens - tokenizer.specials, spec.overlap, tokenizer.count, starts=getattr(tokenizer, "starts", None))
 
 
 def segment(docs: DataFrame, spec: ChunkSpec | None = None, tokenizer: Tokenizer | None = None, patterns: PatternSet = LEGAL) -> DataFrame:
@@ -244,11 +286,14 @@ def split_long(sections: DataFrame, spec: ChunkSpec | None = None, tokenizer: To
 
     @F.pandas_udf("struct<was_split: boolean, parts: array<struct<content: string, n_tokens: int>>>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        splitter = _splitter(spec, tokenizer)
-        size = lambda t: tokenizer.count(t or "") + tokenizer.specials
-        sizes = [size(t) for t in texts]
-        parts = [[{"content": t, "n_tokens": n}] if n <= limit else [{"content": x, "n_tokens": size(x)} for x in splitter.split(t)] for t, n in zip(texts, sizes, strict=True)]
-        return pd.DataFrame({"was_split": [n > limit for n in sizes], "parts": parts})
+        splitter, more = _splitter(spec, tokenizer), tokenizer.specials
+        split, parts = [], []
+        for t in texts:
+            starts = splitter.starts(t or "") if splitter.starts else None
+            n = (tokenizer.count(t or "") if starts is None else len(starts)) + more
+            split.append(n > limit)
+            parts.append([{"content": x, "n_tokens": k + more} for x, k in splitter.parts(t, starts)] if n > limit else [{"content": t, "n_tokens": n}])
+        return pd.DataFrame({"was_split": split, "parts": parts})
 
     rest = [c for c in sections.columns if c != "content"]
     rows = sections.select(*rest, run("content").alias("__r"))

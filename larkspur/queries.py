@@ -489,11 +489,41 @@ def chunk_reviews(spark, sf_dir):
     return found.select("doc_id", "segmentation_level", "n_different_sections", "n_split_chunks", "final_n_chunks", "preamble_length_tokens")
 
 
-@query()
+#: Limits of split_long_chunks: tokens of a part without the two special ones, and of the overlap.
+SPLIT_SIZE, SPLIT_OVERLAP = 254, 32
+
+
+@query(rf"""
+WITH RECURSIVE lines AS (
+  SELECT doc_id, i, CASE WHEN i = 1 THEN p ELSE chr(10) || p END AS piece FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+), counted AS (
+  SELECT doc_id, i, piece, len(regexp_extract_all(piece, '[\p{{L}}\p{{N}}_]{{1,6}}|[^\p{{L}}\p{{N}}_\s]')) AS n FROM lines WHERE piece <> ''
+), marked AS (
+  SELECT *, sum(CASE WHEN n >= {SPLIT_SIZE} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM counted
+), words AS (
+  SELECT doc_id, i, 2 * k - 1 AS run, j, CASE WHEN j = 1 THEN w ELSE ' ' || w END AS piece FROM (SELECT doc_id, i, k, unnest(string_split(piece, ' ')) AS w, generate_subscripts(string_split(piece, ' '), 1) AS j FROM marked WHERE n >= {SPLIT_SIZE})
+), pieces AS (
+  SELECT doc_id, i, 2 * k AS run, 1 AS j, piece, n FROM marked WHERE n < {SPLIT_SIZE}
+  UNION ALL SELECT doc_id, i, run, j, piece, len(regexp_extract_all(piece, '[\p{{L}}\p{{N}}_]{{1,6}}|[^\p{{L}}\p{{N}}_\s]')) FROM words WHERE piece <> ''
+), summed AS (
+  SELECT *, sum(n) OVER (PARTITION BY doc_id, run ORDER BY i, j) AS upto FROM pieces
+), runs AS (
+  SELECT doc_id, run, list(piece ORDER BY i, j) AS p, list_prepend(CAST(0 AS HUGEINT), list(upto ORDER BY i, j)) AS c FROM summed GROUP BY doc_id, run
+), parts AS (
+  SELECT doc_id, run, p, c, 0 AS part, CAST(0 AS BIGINT) AS b, greatest(1, len(list_filter(c, lambda x: x <= {SPLIT_SIZE})) - 1) AS e FROM runs
+  UNION ALL
+  SELECT doc_id, run, p, c, part + 1, b, greatest(b + 1, len(list_filter(c, lambda x: x <= c[b + 1] + {SPLIT_SIZE})) - 1) FROM (
+    SELECT doc_id, run, p, c, part, least(e, greatest(b, len(list_filter(c, lambda x: x < greatest(c[e + 1] - {SPLIT_OVERLAP}, c[e + 2] - {SPLIT_SIZE}))))) AS b FROM parts WHERE e < len(p)
+  )
+), texts AS (
+  SELECT doc_id, run, part, regexp_replace(array_to_string(p[b + 1 : e], ''), '^\s+|\s+$', '', 'g') AS content, c[e + 1] - c[b + 1] + 2 AS n_tokens FROM parts
+)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run, part) - 1 AS INTEGER) AS section_seq, 0 AS part_seq, 'none' AS tipo_seccion, CAST(n_tokens AS INTEGER) AS n_tokens, content FROM texts WHERE content <> ''
+""")
 def split_long_chunks(spark, sf_dir):
-    """Raw documents by length, in parts of at most 256 tokens; tested for bounds, order and coverage."""
+    """Raw documents by length, in parts of at most 256 tokens, two of them special, with overlap."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    spec = ChunkSpec(max_tokens=256, overlap=32)
+    spec = ChunkSpec(max_tokens=SPLIT_SIZE + 2, overlap=SPLIT_OVERLAP)
     return split_long(segment(docs, spec), spec).select("doc_id", "section_seq", "part_seq", "tipo_seccion", "n_tokens", "content")
 
 

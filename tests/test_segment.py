@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import itertools
+import random
+import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from larkspur.config import ChunkSpec
 from larkspur.operators import segment as G
-from larkspur.operators.patterns import LEGAL, PatternSet
-from larkspur.operators.segment import chunk_review, drop_citations, numeric_sequence, resolve_headings, segment, split_long
+from larkspur.operators.patterns import LEGAL, PatternSet, find_title
+from larkspur.operators.segment import chunk_review, drop_citations, layers, matches, numeric_sequence, resolve_headings, sections_of, segment, split_long
 from larkspur.operators.splitter import Splitter, WordTokenizer
 from pyspark.sql import functions as F
 
@@ -187,3 +190,44 @@ def test_citation_flags(spark):
 
 def test_word_tokenizer():
     assert WordTokenizer().count("uno, dos") == 3
+
+
+def test_line_patterns_find_what_finditer_finds():
+    """Every pattern on texts put together at random: the same places as by the pattern as a whole."""
+    bits = ["Artículo 1", "Artículo primero bis.", "\n", "\n\n", " ", "\t\n", "\r\n", "DISPOSICIONES FINALES", " \n ", "Primero.", " texto", "1.", " x", "2. y", "CAPÍTULO I", "TÍTULO II algo", "ANEXO", "Disposición final primera.", "Disposición adicional", "«", "bis", "\x0b", "Artículo 5\n\n\n", "."]
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        for pattern in (LEGAL.heading, LEGAL.category, LEGAL.ordinal, LEGAL.number, LEGAL.chapter, LEGAL.title, LEGAL.annex):
+            assert [(a, b) for a, b, _ in matches(text, pattern)] == [m.span() for m in re.finditer(pattern, text)], (text, pattern)
+
+
+def took(run):
+    start = time.perf_counter()
+    run()
+    return time.perf_counter() - start
+
+
+@pytest.mark.parametrize("text", [lambda n: "x\n" + "\n" * n + "Artículo 1. a\n" + "\n" * n, lambda n: "\n".join(f"Artículo {i}. texto de conformidad con el" for i in range(n // 8)), lambda n: "REGLAMENTO\n" * (n // 8) + "DEL\n"])
+def test_segmentation_takes_time_in_proportion(text):
+    spec, splitter = ChunkSpec(reject_leadins=True), Splitter(254, 32, len)
+    small, large = (min(took(lambda n=n: sections_of(text(n), LEGAL, spec, splitter)) for _ in range(3)) for n in (4000, 32000))
+    assert large < 24 * small + 0.05  # 64 times as long if it grew with the square
+
+
+def test_titles_with_any_white_space_between_their_words():
+    text = "antes\nPLAN GENERAL" + "\n" * 500 + " DE\tCONTABILIDAD  \nArtículo 1. a"
+    assert find_title(text, LEGAL.titles) == (6, text.index("DAD") + 3)
+    assert find_title(text.replace("DAD  \n", "DAD x\n"), LEGAL.titles) is None
+    assert [t for t, _ in layers(text, LEGAL)] == ["antes", "Artículo 1. a"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "palabra", "extraordinariamente", " ", "  ", "\n", "\n\n", ".", ", ", "é", "_", "\t", "x" * 40, "\xa0", "٣"]), max_size=50), st.integers(1, 25), st.integers(0, 25))
+def test_offsets_split_as_counts_do(pieces, size, overlap):
+    """Ranges of token starts give the parts that counting each piece gives, and each part's own count."""
+    text, tok = "".join(pieces), WordTokenizer()
+    assert tok.starts(text).tolist() == [m.start() for m in tok._token.finditer(text)]
+    found = Splitter(size, min(size, overlap), tok.count, starts=tok.starts).parts(text)
+    assert [x for x, _ in found] == Splitter(size, min(size, overlap), tok.count).split(text)
+    assert all(n == tok.count(x) for x, n in found)
