@@ -75,6 +75,7 @@ class IndexSpec:
     dense: str = "dense"
     sparse: str = "sparse"
     buckets: int = 16
+    blocks: str | None = None  # the folder of the stored block indexes (build_blocks), which searches then go by
 
     @staticmethod
     def from_environment(environ: Mapping[str, str]) -> IndexSpec:

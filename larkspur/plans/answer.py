@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..config import ContextSpec, IndexSpec, RetrievalSpec
 from ..functions.text import or_else
+from ..operators.block_search import build_dense, build_sparse, hybrid_stored
 from ..operators.context import mark_kept, render, within_budget
 from ..operators.history import tail_array, user_turn
 from ..operators.retrieve import dense_topk, effective_temas, fuse, inverted_index, k_sweep, matches, postings, query_terms, sparse_scores, to_result, top
@@ -83,8 +84,13 @@ def process_queries(queries: DataFrame, model: QueryModel) -> DataFrame:
 
 
 def branches(queries: DataFrame, points: DataFrame, embedder: Embedder, k: int, spec: RetrievalSpec, index: IndexSpec) -> tuple[DataFrame, DataFrame]:
-    """The k best of the dense and of the sparse search, each within the filter of its query; stored sparse vectors are taken where there are any."""
+    """The k best of the dense and of the sparse search, each within the filter of its query.
+
+    By the stored block indexes where the index has them; else stored sparse vectors are taken where there are any.
+    """
     asked = queries.select("query_id", F.col("condensed_query").alias("text"), "exam", effective_temas(F.col("exam"), F.col("temas")).alias("temas"), embed_column(embedder)("condensed_query").alias("dense"))
+    if index.blocks:
+        return hybrid_stored(asked, f"{index.blocks}/sparse", f"{index.blocks}/dense", k, spec.bm25)
     payload = points.select("point_id", F.col(index.dense).alias("dense"), F.col("metadata.exams_id").alias("exams_id"), F.col("metadata.tema").alias("tema"))
     dense = dense_topk(asked, payload, k)
     wanted = query_terms(asked, spec.bm25)
@@ -95,6 +101,13 @@ def branches(queries: DataFrame, points: DataFrame, embedder: Embedder, k: int,
     return dense, sparse
 
 
+def build_blocks(points: DataFrame, index: IndexSpec, spec: RetrievalSpec | None = None) -> None:
+    """Write the block indexes of points (point_id, content, metadata and the dense vectors) into the index's folder for them."""
+    payload = [F.col("metadata.exams_id").alias("exams_id"), F.col("metadata.tema").alias("tema")]
+    build_sparse(points.select("point_id", "content", *payload), f"{index.blocks}/sparse", (spec or RetrievalSpec()).bm25)
+    build_dense(points.select("point_id", F.col(index.dense).alias("dense"), *payload), f"{index.blocks}/dense")
+
+
 def retrieve(queries: DataFrame, points: DataFrame, embedder: Embedder, k: int, spec: RetrievalSpec | None = None, index: IndexSpec | None = None) -> DataFrame:
     """queries: query_id, condensed_query, exam, temas.  Filtered hybrid search; the filter comes before any ranking."""
     spec = spec or RetrievalSpec()

@@ -122,28 +122,53 @@ class Artifacts:
         return f"{self.folder.rstrip('/')}/{phase}"
 
 
-def run_query_processing(rows: DataFrame, components: Components, out: Artifacts) -> None:
-    """Every question, on and off topic; the artifact is made anew."""
-    _record(evaluate_queries(rows, components).select(*_names(QUERY_RECORD)), out.path("query_processing"))
-
-
-def run_retrieval(rows: DataFrame, points: DataFrame, components: Components, out: Artifacts, spec: RetrievalSpec | None = None) -> None:
+@dataclass(frozen=True)
+class Batches:
+    """How the questions of a phase are recorded: in so many batches, each once it is done; resume: without those that are recorded."""
+
+    count: int = 1
+    resume: bool = False
+
+    def pending(self, rows: DataFrame, path: str, schema: str) -> Iterator[DataFrame]:
+        """The batches to be done.  Without resume the records of the phase are removed first."""
+        spark = rows.sparkSession
+        if not self.resume:
+            reset(spark, path)
+        for part in range(self.count):
+            some = rows if self.count == 1 else rows.where(F.pmod(F.xxhash64("row_id"), F.lit(self.count)) == part)
+            if self.resume:
+                some = some.join(load_completed(spark, path, schema).select("row_id"), "row_id", "left_anti")
+                if some.isEmpty():
+                    continue
+            yield some
+
+
+def run_query_processing(rows: DataFrame, components: Components, out: Artifacts, batches: Batches | None = None) -> None:
+    """Every question, on and off topic."""
+    path = out.path("query_processing")
+    for some in (batches or Batches()).pending(rows, path, QUERY_RECORD):
+        append(evaluate_queries(some, components).select(*_names(QUERY_RECORD)), path)
+
+
+def run_retrieval(rows: DataFrame, points: DataFrame, components: Components, out: Artifacts, spec: RetrievalSpec | None = None, batches: Batches | None = None) -> None:
     """Ranks of the expected sections at each depth, from the recorded condensed queries."""
     processed = load_completed(rows.sparkSession, out.path("query_processing"), QUERY_RECORD)
-    start = time.perf_counter()
-    ranks = evaluate_retrieval(rows, processed, points, components, spec).persist()
-    searched = max(1, ranks.select("row_id").distinct().count())
-    ms = (time.perf_counter() - start) * 1000 / searched
-    found = rank_records(ranks.withColumn("ms", F.lit(ms)))
-    asked = require_all(graded(rows), processed.select("row_id", "condensed_query"))
-    _record(asked.join(found, "row_id").select(*_names(RANK_RECORD)), out.path("retriever"))
-    ranks.unpersist()
-
-
-def run_generation(rows: DataFrame, points: DataFrame, components: Components, judge: Judge, out: Artifacts, k: int = 5) -> None:
+    for some in (batches or Batches()).pending(graded(rows), out.path("retriever"), RANK_RECORD):
+        start = time.perf_counter()
+        ranks = evaluate_retrieval(some, processed, points, components, spec).persist()
+        searched = max(1, ranks.select("row_id").distinct().count())
+        ms = (time.perf_counter() - start) * 1000 / searched
+        found = rank_records(ranks.withColumn("ms", F.lit(ms)))
+        asked = require_all(graded(some), processed.select("row_id", "condensed_query"))
+        append(asked.join(found, "row_id").select(*_names(RANK_RECORD)), out.path("retriever"))
+        ranks.unpersist()
+
+
+def run_generation(rows: DataFrame, points: DataFrame, components: Components, judge: Judge, out: Artifacts, k: int = 5, batches: Batches | None = None) -> None:
     """Answers and their scores, from the recorded query processing."""
     processed = load_completed(rows.sparkSession, out.path("query_processing"), QUERY_RECORD)
-    _record(evaluate_generation(rows, processed, points, components, judge, k).select(*_names(GENERATION_RECORD)), out.path("generation"))
+    for some in (batches or Batches()).pending(graded(rows), out.path("generation"), GENERATION_RECORD):
+        append(evaluate_generation(some, processed, points, components, judge, k).select(*_names(GENERATION_RECORD)), out.path("generation"))
 
 
 def run_report(rows: DataFrame, out: Artifacts, spec: EvalSpec | None = None) -> str:
@@ -152,21 +177,19 @@ def run_report(rows: DataFrame, out: Artifacts, spec: EvalSpec | None = None) ->
     return build_report(rows, load("query_processing", QUERY_RECORD), ranks_of(load("retriever", RANK_RECORD)), load("generation", GENERATION_RECORD), spec)
 
 
-def run_all(rows: DataFrame, points: DataFrame, components: Components, judge: Judge, out: Artifacts, phases: tuple[str, ...] = ("query_processing", "retrieval", "generation", "report")) -> str | None:
-    """The phases asked for, in order; each reads what the ones before have left, so any of them can be run again by itself."""
+def run_all(rows: DataFrame, points: DataFrame, components: Components, judge: Judge, out: Artifacts, phases: tuple[str, ...] = ("query_processing", "retrieval", "generation", "report"), batches: Batches | None = None) -> str | None:
+    """The phases asked for, in order; each reads what the ones before have left, so any of them can be run again by itself.
+
+    A run that was stopped goes on with Batches(n, resume=True): questions that are recorded aren't asked again.
+    """
     if "query_processing" in phases:
-        run_query_processing(rows, components, out)
+        run_query_processing(rows, components, out, batches)
     if "retrieval" in phases:
-        run_retrieval(rows, points, components, out)
+        run_retrieval(rows, points, components, out, batches=batches)
     if "generation" in phases:
-        run_generation(rows, points, components, judge, out)
+        run_generation(rows, points, components, judge, out, batches=batches)
     return run_report(rows, out) if "report" in phases else None
 
 
 def _names(schema: str) -> list[str]:
     return _parse_datatype_string(schema).fieldNames()
-
-
-def _record(records: DataFrame, path: str) -> None:
-    reset(records.sparkSession, path)
-    append(records, path)
