@@ -19,10 +19,15 @@ def or_else(c: Column, other: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), other)
 
 
+#: A sign from U+0300 on; a text without any is composed as it stands, since marks and all that composition changes lie there.
+_BEYOND = "[^\\x00-\\x{2FF}]"
+
+
 def nfc(c: Column) -> Column:
-    """Canonical composition; the JVM side has no function for it."""
+    """Canonical composition.  The JVM side has no function for it, so texts with signs that it may change, and only those, go to Python."""
     compose = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x)), StringType())
-    return compose(c)
+    open_ = c.rlike(_BEYOND)
+    return F.when(open_, compose(F.when(open_, c))).otherwise(c)
 
 
 def normalize_ref(c: Column) -> Column:

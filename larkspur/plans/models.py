@@ -19,7 +19,7 @@ class GenerationConfig:
     temperature: float | None = None
     max_tokens: int | None = None
 
-    def filled(self, temperature: float = 0.2, max_tokens: int = 2048) -> GenerationConfig:
+    def filled(self, temperature: float = 0.2, max_tokens: int = 800) -> GenerationConfig:
         return GenerationConfig(temperature if self.temperature is None else self.temperature, max_tokens if self.max_tokens is None else self.max_tokens)
 
 

@@ -443,7 +443,25 @@ SELECT session_id, seq, exam, CAST(least(6, 2 * count(*) FILTER (answer <> '') O
 def session_stream(spark, sf_dir):
     """A stream of chat messages with state: the length of the history that each message is asked with."""
     out = scratch_dir(spark, "sessions")
-    run = session_turns(_turns(spark, sf_dir)).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start()
+    run = session_turns(_turns(spark, sf_dir)).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", scratch_dir(spark, "checkpoint")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(OUT).parquet(out).select("session_id", "seq", "exam", "history_len")
+
+
+@query("""
+WITH t AS (
+  SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, CASE WHEN turn < 4 THEN 'A1' ELSE 'C1' END AS exam, CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS answer, turn * 10 + (turn // 3) * 60 AS minute FROM conversations
+), marked AS (
+  SELECT *, CASE WHEN lag(exam) OVER w <> exam OR minute - lag(minute) OVER w >= 60 THEN 1 ELSE 0 END AS fresh FROM t WINDOW w AS (PARTITION BY session_id ORDER BY seq)
+), s AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY seq) AS part FROM marked)
+SELECT session_id, seq, exam, CAST(least(6, 2 * count(*) FILTER (answer <> '') OVER (PARTITION BY session_id, part ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS INTEGER) AS history_len FROM s
+""")
+def session_expiry(spark, sf_dir):
+    """The same stream with times: a message that comes an hour or more after the one before finds no history."""
+    out = scratch_dir(spark, "expiry")
+    minute = F.col("seq") * 10 + F.floor(F.col("seq") / 3) * 60
+    timed = _turns(spark, sf_dir).withColumn("ts", F.timestamp_seconds(1_704_067_200 + minute * 60))
+    run = session_turns(timed, time="ts", idle_ms=3_600_000).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", scratch_dir(spark, "checkpoint")).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(OUT).parquet(out).select("session_id", "seq", "exam", "history_len")
 
@@ -453,5 +471,5 @@ def streamed_artifacts(spark, sf_dir):
     """Records that a stream appends to an artifact, each of them once."""
     out = scratch_dir(spark, "records")
     rows = _turns(spark, sf_dir).select(F.col("session_id").alias("row_id"), "seq", F.md5(F.col("query").cast("binary")).alias("text_md5"))
-    artifact_sink(rows, out, out + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    artifact_sink(rows, out, scratch_dir(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("row_id string, seq long, text_md5 string").json(out)

@@ -7,36 +7,72 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 OUT = "session_id string, seq long, exam string, history_len int, answer string"
-STATE = "exam string, roles array<string>, texts array<string>"
+STATE = "exam string, roles array<string>, texts array<string>, last long, due long"
+#: A session without messages for so long is forgotten.
+IDLE_MS = 24 * 3600 * 1000
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def session_turns(messages: DataFrame, keep: int = 6) -> DataFrame:
-    """messages: session_id, seq, exam, query, answer.  For each message the length of the history it was asked with.
+class SessionProcessor(StatefulProcessor):
+    """A session's exam and its last turns.
 
-    The history is cleared when the exam changes; question and answer go behind it if
-    the answer isn't empty.  Only the last `keep` turns are kept in the state.
+    Where messages have a time (at_ms) one that comes idle_ms or more after the one before finds no history,
+    and a timer removes the state once the watermark is so far.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        exam, roles, texts = state.get if state.exists else (None, [], [])
+    def __init__(self, keep: int, idle_ms: int, timed: bool) -> None:
+        self.keep, self.idle_ms, self.timed = keep, idle_ms, timed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  (names that Spark calls)
+        exam, roles, texts, last, due = self.session.get() or (None, [], [], None, None)
         roles, texts = list(roles), list(texts)
-        rows = pd.concat(list(batches)).sort_values("seq")
         out = []
-        for row in rows.itertuples(index=False):
-            if exam is not None and row.exam != exam:
+        for row in pd.concat(list(rows)).sort_values("seq").to_dict("records"):
+            at = row["at_ms"] if self.timed else None
+            if (exam is not None and row["exam"] != exam) or (last is not None and at is not None and at - last >= self.idle_ms):
                 roles, texts = [], []
-            exam = row.exam
-            out.append((key[0], row.seq, exam, len(roles), row.answer))
-            if row.answer:
-                roles, texts = (roles + ["user", "assistant"])[-keep:], (texts + [row.query, row.answer])[-keep:]
-        state.update((exam, roles, texts))
+            exam, last = row["exam"], at
+            out.append((key[0], row["seq"], exam, len(roles), row["answer"]))
+            if row["answer"]:
+                roles, texts = (roles + ["user", "assistant"])[-self.keep :], (texts + [row["query"], row["answer"]])[-self.keep :]
+        if self.timed:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = max(last + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(due)
+        self.session.update((exam, roles, texts, last, due))
         yield pd.DataFrame(out, columns=["session_id", "seq", "exam", "history_len", "answer"])
 
-    return messages.groupBy("session_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.session.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def session_turns(messages: DataFrame, keep: int = 6, time: str | None = None, idle_ms: int = IDLE_MS, late: str = "10 minutes") -> DataFrame:
+    """messages: a stream of session_id, seq, exam, query, answer.  For each message the length of the history it was asked with.
+
+    The history is cleared when the exam changes; question and answer go behind it if the answer isn't empty.  Only the last
+    `keep` turns are kept in the state.  time: a timestamp of the messages; sessions that were idle for idle_ms are then
+    forgotten, their state once the watermark (`late` behind the newest message) is so far.  Without it a session is
+    kept for ever.  The state store is set to RocksDB, which such state needs, where no other one than Spark's default is set.
+    """
+    conf = messages.sparkSession.conf
+    if conf.get(_PROVIDER).endswith("HDFSBackedStateStoreProvider"):
+        conf.set(_PROVIDER, _ROCKS)
+    columns = ["session_id", "seq", "exam", "query", "answer"]
+    rows = messages.select(*columns) if time is None else messages.withWatermark(time, late).select(*columns, time, F.unix_millis(time).alias("at_ms"))
+    return rows.groupBy("session_id").transformWithStateInPandas(SessionProcessor(keep, idle_ms, time is not None), OUT, "append", "None" if time is None else "EventTime")
 
 
 def artifact_sink(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

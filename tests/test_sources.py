@@ -4,7 +4,7 @@ import json
 
 import pytest
 from larkspur.config import IndexSpec
-from larkspur.functions.text import estimate_tokens, normalize_ref, one_of, pipe_split, strip
+from larkspur.functions.text import nfc, estimate_tokens, normalize_ref, one_of, pipe_split, strip
 from larkspur.functions.vectors import cosine, unit
 from larkspur.sources import files, jsonl
 from larkspur.sources.index_store import read_index, scroll_sections, to_points, write_index
@@ -110,6 +110,19 @@ def test_strings(spark):
         df.select(one_of(F.col("t"), ("", "x"))).collect()
 
 
+def test_only_texts_that_may_change_are_composed_in_python(spark):
+    """All signs below U+0300 are composed as they stand; Python sees null for texts of such."""
+    import unicodedata
+
+    assert all(unicodedata.normalize("NFC", chr(i)) == chr(i) for i in range(0x300))
+    assert all(unicodedata.normalize("NFC", chr(i) + chr(j)) == chr(i) + chr(j) for i in range(0x20, 0x300, 7) for j in range(0x300))
+    rows = [("Artículo 1",), ("Arti\u0301culo 1",), ("한",), ("\u1112\u1161\u11ab",), ("\u212b",), ("\u02ff",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "t string")
+    assert [r[0] for r in df.select(nfc(F.col("t"))).collect()] == [None if t is None else unicodedata.normalize("NFC", t) for (t,) in rows]
+    plan = df.select(nfc(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN RLIKE" in plan and "ArrowEvalPython" in plan
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     got = df.select(cosine(F.col("a"), F.col("b")).alias("c"), unit(F.col("a")).alias("u")).collect()
