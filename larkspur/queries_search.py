@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import string
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import IndexSpec
 from .operators import retrieve as R
 from .operators.block_search import DenseSearch, SparseSearch, build_dense, build_sparse, hybrid_stored
+from .plans.answer import MESSAGES, Components, answer
+from .plans.ingest import embed_column
+from .plans.models import KeywordQueryModel
 from .queries import DENSE_CTE, ORACLE, SPARSE_CTE, SPEC, _exam, _points, _vector_queries, query, read
 from .sources.index_store import read_index, to_points, vacuum, write_index
 from .sources.scratch import scratch_dir
@@ -80,3 +86,59 @@ def index_snapshots(spark, sf_dir):
     vacuum(spark, spec, keep=3)
     found = [read_index(spark, spec, version=v).select(F.lit(v).alias("version"), "doc_id", "content") for v in (1, 2, 3)]
     return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+class LetterEmbedder:
+    """Frequencies of the letters a to z at length one: a stand-in that SQL can follow."""
+
+    dim = 26
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        out = np.array([[(t or "").lower().count(c) for c in string.ascii_lowercase] for t in texts], dtype=np.float64).reshape(len(texts), self.dim)
+        n = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(n > 0, n, 1)
+
+
+_LETTERS = ", ".join(f"CAST(length(t) - length(replace(t, '{c}', '')) AS DOUBLE)" for c in string.ascii_lowercase)
+
+
+@query(f"""
+WITH meta AS (
+  SELECT doc_id, text, lower(text) AS t, CASE lang WHEN 'en' THEN 'A1' WHEN 'de' THEN 'A2' WHEN 'fr' THEN 'C1' ELSE 'C2' END AS exam, source FROM documents
+), vectors AS (SELECT *, [{_LETTERS}] AS v FROM meta), asked AS (
+  SELECT item_id AS query_id, text, lower(text) AS t, ['A1', 'A2', 'C1', 'C2'][1 + item_id % 4] AS exam, contains(lower(text), 'the') OR contains(lower(text), 'der') AS relevant FROM benchmark
+), asked_vectors AS (SELECT *, [{_LETTERS}] AS v FROM asked), {SPARSE_CTE}, open AS (
+  SELECT q.query_id, q.v AS qv, d.doc_id AS point_id, d.v FROM asked_vectors q JOIN vectors d ON d.exam = q.exam AND (q.exam <> 'A1' OR list_has_any([d.source], ['src0', 'src1'])) WHERE q.relevant
+), dense AS (
+  SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(qv, v), 6) DESC, point_id) AS rank FROM open WHERE list_sum(v) > 0 AND list_sum(qv) > 0
+), sparse AS (
+  SELECT s.query_id, s.point_id, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.point_id) AS rank FROM sparse_scores s JOIN open o ON o.query_id = s.query_id AND o.point_id = s.point_id
+), fused AS (
+  SELECT query_id, point_id, round(sum(CAST(1 AS DOUBLE) / (2 + rank - 1)), 9) AS score FROM (SELECT * FROM dense WHERE rank <= 5 UNION ALL SELECT * FROM sparse WHERE rank <= 5) GROUP BY query_id, point_id
+), found AS (
+  SELECT query_id, point_id, rank, sum(n) OVER (PARTITION BY query_id ORDER BY rank) AS upto, '[' || rank || '] Doc ' || point_id || ' — Art. ' || (point_id % 7) || chr(10) || text AS block
+  FROM (SELECT f.*, d.text, CAST(ceil(length(d.text) / 3) AS BIGINT) AS n, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM fused f JOIN meta d ON d.doc_id = f.point_id) WHERE rank <= 5
+), contexts AS (
+  SELECT query_id, string_agg(CAST(point_id AS VARCHAR), ',' ORDER BY rank) AS found_ids, string_agg(CAST(point_id AS VARCHAR), ',' ORDER BY rank) FILTER (rank = 1 OR upto <= 3000) AS final_ids,
+         string_agg(block, chr(10) || chr(10) ORDER BY rank) FILTER (rank = 1 OR upto <= 3000) AS blocks, min(block) FILTER (rank = 1) AS first FROM found GROUP BY query_id
+), said AS (
+  SELECT *, array_to_string(list_slice(regexp_extract_all(first, '[^\\s]*\\s|[^\\s]+$'), 1, 800), '') AS answer FROM contexts
+), traces AS (
+  SELECT q.query_id, CASE WHEN q.relevant THEN 'RELEVANT' ELSE 'OFF_TOPIC' END AS relevance, CASE WHEN NOT q.relevant THEN 'OFF_TOPIC' WHEN s.blocks IS NULL THEN 'NO_CONTEXT' ELSE 'OK' END AS status, q.text, s.* EXCLUDE (query_id) FROM asked q LEFT JOIN said s USING (query_id)
+)
+SELECT query_id, relevance, status, CASE status WHEN 'OFF_TOPIC' THEN '{MESSAGES["OFF_TOPIC"]}' WHEN 'NO_CONTEXT' THEN '{MESSAGES["NO_CONTEXT"]}' ELSE '' END AS message, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS condensed_md5,
+       coalesce(found_ids, '') AS found_ids, coalesce(final_ids, '') AS final_ids, md5(coalesce(blocks, '')) AS blocks_md5, md5(coalesce(answer, '')) AS answer_md5 FROM traces
+""")
+def answer_traces(spark, sf_dir):
+    """Every benchmark passage asked as a question through the whole plan: verdict, filtered hybrid search, budgeted context, answer, trace."""
+    embedder = LetterEmbedder()
+    texts = _texts(spark, sf_dir)
+    own = F.col("point_id").cast("string")
+    meta = {"doc_id": own, "doc_name": F.concat(F.lit("Doc "), own), "doc_date": F.lit(""), "source_url": F.lit(""), "exams_id": F.col("exams_id"), "tema": F.col("tema"), "tipo_seccion": F.lit("articulo"), "seccion": F.concat(F.lit("Art. "), (F.col("point_id") % 7).cast("string"))}
+    points = texts.select("point_id", "content", embed_column(embedder)("content").alias("dense"), F.struct(*[c.alias(n) for n, c in meta.items()]).alias("metadata"))
+    exam = F.element_at(F.array(*[F.lit(e) for e in ("A1", "A2", "C1", "C2")]), (F.col("item_id") % 4 + 1).cast("int"))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("string").alias("history"), exam.alias("exam"), F.array(F.lit("src0"), F.lit("src1")).alias("temas"))
+    traces = answer(asked, points, Components(embedder=embedder, query_model=KeywordQueryModel(("the", "der"))), k=5, spec=SPEC, session_id="s", timestamp_utc="t")
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["point_id"]), ",")
+    md5 = lambda c: F.md5(F.coalesce(c, F.lit("")).cast("binary"))
+    return traces.select("query_id", "relevance", "status", "message", md5(F.col("condensed_query")).alias("condensed_md5"), ids("retrieved").alias("found_ids"), ids("final_chunks").alias("final_ids"), md5(F.col("blocks")).alias("blocks_md5"), md5(F.col("answer")).alias("answer_md5"))
