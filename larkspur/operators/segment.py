@@ -54,8 +54,8 @@ def layers(text: str, patterns: PatternSet) -> Iterator[tuple[str, bool]]:
     yield text, False
 
 
-#: How patterns of lines begin, and the first sign of a line that isn't blank.
-_LINE, _FIRST = r"(?m)^\s*", re.compile(r"(?m)^[^\S\n]*(?=\S)")
+#: How patterns of lines begin.
+_LINE = r"(?m)^\s*"
 #: Words before a heading among which what leads into a citation is looked for.
 LEAD_WORDS = 16
 
@@ -63,29 +63,20 @@ LEAD_WORDS = 16
 def matches(text: str, pattern: str) -> Iterator[tuple[int, int, re.Match]]:
     """(start, end, match) of all that finditer finds.
 
-    A pattern of lines is tried once at the first sign of each line that isn't blank, whatever blank lines go
-    before; the match starts at the first of these, as the pattern says.
+    A pattern of lines is tried once at each line by itself, whatever blank lines go before; the match starts at the
+    first of these, as the pattern says.
     """
     if not pattern.startswith(_LINE):
         yield from ((m.start(), m.end(), m) for m in _compiled(pattern).finditer(text))
         return
-    rest = _compiled("(?m)" + pattern.removeprefix(_LINE))
-    blank, end = 0, 0  # where the blank lines before a line begin, and the end of the last match
-    for line in _FIRST.finditer(text):
-        at = line.end()
-        start = blank
-        stop = text.find("\n", at)
-        blank = stop + 1 if stop >= 0 else len(text)
-        if start < end:  # a match may take white space behind it, and then lines begin behind that
-            if at < end:
-                continue
-            start = end if end == 0 or text[end - 1] == "\n" else text.find("\n", end, at) + 1
-            if start == 0:
-                continue
-        found = rest.match(text, at)
-        if found:
-            end = found.end()
-            yield start, end, found
+    end = 0
+    for found in _compiled(r"(?m)^[^\S\n]*" + f"(?:{pattern.removeprefix(_LINE)})").finditer(text):
+        line = found.start()
+        before = text[end:line]  # up to the match before, so that all of these together are one text
+        full = len(before.rstrip())
+        start = end if not full and (end == 0 or text[end - 1] == "\n") else text.find("\n", end + full, line) + 1
+        end = found.end()
+        yield start, end, found
 
 
 def marks(text: str, kind: str, pattern: str) -> list[Mark]:
