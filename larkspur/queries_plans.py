@@ -431,7 +431,8 @@ def next_histories(spark, sf_dir):
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as a stream of messages with answers."""
-    stream = spark.readStream.schema("conv_id long, turn long, role string, text string").option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    # a pattern as the path: the table may be one file or a folder of parts, and a stream takes no path of a single file
+    stream = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{sf_dir}/conversations.parque[t]")
     answered = F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text"))
     return stream.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), F.when(F.col("turn") < 4, "A1").otherwise("C1").alias("exam"), F.col("text").alias("query"), answered.alias("answer"))
 
