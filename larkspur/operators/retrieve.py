@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from ..functions.text import words
 
 #: Queries and points that meet in one task of a dense search.
 QUERY_TILE, POINT_TILE = 4096, 50_000
+#: Points that are counted, and meet queries, in one task of a sparse search.
+TEXT_TILE = 8192
 
 
 def effective_temas(exam: Column, temas: Column) -> Column:
@@ -132,10 +136,10 @@ def inverted_index(points: DataFrame, spec: Bm25Spec | None = None, text: str =
 
     wanted: a table with the terms that will be asked for.  Others are left out before they are counted, so
     that a search shuffles the postings of its own terms only.  With idf all terms of the corpus count their documents, yet
-    only the wanted ones come out.
+    only the wanted ones come out.  About TEXT_TILE points are counted in a task, at any size of the table.
     """
     spec = spec or Bm25Spec()
-    tokens = points.select("point_id", terms(F.col(text), spec).alias("w")).select("point_id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    tokens = points.select("point_id", text).repartition(_text_tiles(points), "point_id").select("point_id", terms(F.col(text), spec).alias("w")).select("point_id", F.size("w").alias("len"), F.explode("w").alias("term"))
     if wanted is not None:
         tokens = tokens.join(wanted.select("term").distinct(), "term", "left_semi")
     counted = tokens.groupBy("point_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
@@ -147,6 +151,11 @@ def inverted_index(points: DataFrame, spec: Bm25Spec | None = None, text: str =
     return index.join(df, "term").select("term", "point_id", (F.col("weight") * F.col("idf")).alias("weight"))
 
 
+def _text_tiles(points: DataFrame) -> int:
+    n = points.count()
+    return max(1, -(-n // TEXT_TILE), min(points.sparkSession.sparkContext.defaultParallelism, -(-n // 512)))
+
+
 def sparse_vector(text: Column, spec: Bm25Spec | None = None) -> Column:
     """array<struct<term, weight>> of a text, in the order of terms: what an index stores with each point; the weights without idf."""
     spec = spec or Bm25Spec()
@@ -174,6 +183,76 @@ def sparse_scores(queries: DataFrame, index: DataFrame, spec: Bm25Spec | None =
     return index.join(query_terms(queries, spec), "term").groupBy("query_id", "point_id").agg(F.round(F.sum("weight"), digits).alias("score"))
 
 
+def sparse_topk(queries: DataFrame, points: DataFrame, index: DataFrame, k: int, spec: Bm25Spec | None = None, digits: int = 6) -> DataFrame:
+    """query_id, point_id, score, rank of the k best points by the sums of sparse_scores.
+
+    The postings of each point become one row, tiles of queries meet tiles of points, and a task keeps k rows per query:
+    scores of all pairs are neither shuffled nor held, and what a task holds doesn't grow with the tables.
+    queries: query_id, text; index: term, point_id, weight of these points.  With exam and temas the points have
+    exams_id and tema, and a query sees those that match only.
+    """
+    filtered = "exam" in queries.columns
+    both = ["exam", "temas"] if filtered else []
+    asked = queries.select("query_id", *both, terms(F.col("text"), spec or Bm25Spec()).alias("t")).groupBy("query_id", *both).agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("terms"))
+    rows = index.groupBy("point_id").agg(F.collect_list(F.struct("term", "weight")).alias("sparse"))
+    if filtered:
+        rows = rows.join(points.select("point_id", "exams_id", "tema"), "point_id")
+    tiles, shards = max(1, -(-queries.count() // QUERY_TILE)), _text_tiles(points)
+    tile, shard = F.pmod(F.xxhash64("query_id"), F.lit(tiles)).cast("int"), F.pmod(F.xxhash64("point_id"), F.lit(shards)).cast("int")
+    asked = asked.withColumn("__tile", tile).withColumn("__shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    rows = rows.withColumn("__shard", shard).withColumn("__tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, point_id {index.schema['point_id'].dataType.simpleString()}, score double"
+    found = asked.groupBy("__tile", "__shard").cogroup(rows.groupBy("__tile", "__shard")).applyInArrow(_tile_sparse(k, digits, filtered), kinds)
+    return top(found, k)
+
+
+def _tile_sparse(k: int, digits: int, filtered: bool):
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        of_query, of_point, scores = [], [], []
+        if len(queries) and len(rows):
+            lists, vectors = queries["terms"].combine_chunks(), rows["sparse"].combine_chunks()
+            words, weights = vectors.flatten().flatten()
+            kinds = lists.flatten().unique()
+            code = pc.fill_null(pc.index_in(words, value_set=kinds), -1).to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            starts = np.searchsorted(code[order], np.arange(len(kinds) + 1))
+            at = np.repeat(np.arange(len(rows)), pc.list_value_length(vectors).to_numpy(zero_copy_only=False))[order]
+            weights = weights.to_numpy(zero_copy_only=False)[order]
+            ids = rows["point_id"].to_numpy()
+            payload = rows.select(["exams_id", "tema"]).to_pandas() if filtered else None
+            masks: dict[tuple, np.ndarray] = {}
+            for i in range(len(queries)):
+                own = pc.index_in(lists[i].values, value_set=kinds).to_numpy(zero_copy_only=False)
+                places = [slice(starts[c], starts[c + 1]) for c in own]
+                if not places:
+                    continue
+                met = np.concatenate([at[p] for p in places])
+                total = np.bincount(met, weights=np.concatenate([weights[p] for p in places]), minlength=len(rows))
+                usable = np.bincount(met, minlength=len(rows)) > 0
+                if filtered:
+                    temas = queries["temas"][i].as_py()
+                    wanted = (queries["exam"][i].as_py(), frozenset(t for t in temas if t is not None))
+                    if temas and not wanted[1]:
+                        continue
+                    if wanted not in masks:
+                        masks[wanted] = _allowed(payload, *wanted)
+                    usable &= masks[wanted]
+                usable = np.flatnonzero(usable)
+                s = np.floor(total[usable] * 10.0**digits + 0.5) / 10.0**digits
+                if len(usable) > k:
+                    high = s >= np.partition(s, len(s) - k)[len(s) - k]
+                    usable, s = usable[high], s[high]
+                best = np.lexsort((ids[usable], -s))[:k]
+                of_query.append(np.full(len(best), i))
+                of_point.append(usable[best])
+                scores.append(s[best])
+        take = lambda table, name, some: table[name].take(pa.array(np.concatenate(some) if some else [], pa.int64()))
+        found = pa.array(np.concatenate(scores) if scores else [], pa.float64())
+        return pa.table({"query_id": take(queries, "query_id", of_query), "point_id": take(rows, "point_id", of_point), "score": found})
+
+    return run
+
+
 def stems(found: Column, language: str) -> Column:
     """Each word without its endings, by the rules of a language (STEMS)."""
     rules = STEMS[language]

@@ -21,7 +21,7 @@ from ..functions.text import or_else
 from ..operators.block_search import build_dense, build_sparse, hybrid_stored
 from ..operators.context import mark_kept, render, within_budget
 from ..operators.history import tail_array, user_turn
-from ..operators.retrieve import dense_topk, effective_temas, fuse, inverted_index, k_sweep, matches, postings, query_terms, sparse_scores, to_result, top
+from ..operators.retrieve import dense_topk, effective_temas, fuse, inverted_index, k_sweep, postings, query_terms, sparse_topk, to_result, top
 from .ingest import embed_column
 from .models import Embedder, ExtractiveGenerator, GenerationConfig, Generator, HashingEmbedder, KeywordQueryModel, QueryModel
 
@@ -96,8 +96,7 @@ def branches(queries: DataFrame, points: DataFrame, embedder: Embedder, k: int,
     wanted = query_terms(asked, spec.bm25)
     stored = index.sparse in points.columns and not spec.bm25.idf
     found = postings(points, wanted, index.sparse) if stored else inverted_index(points, spec.bm25, wanted=wanted)
-    scores = sparse_scores(asked, found, spec.bm25).join(asked.select("query_id", "exam", "temas"), "query_id").join(payload.drop("dense"), "point_id")
-    sparse = top(scores.where(matches(F.col("exams_id"), F.col("tema"), F.col("exam"), F.col("temas"))).select("query_id", "point_id", "score"), k)
+    sparse = sparse_topk(asked, payload, found, k, spec.bm25)
     return dense, sparse
 
 

@@ -82,10 +82,10 @@ doc_words AS (
 )"""
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sparse(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     points = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), F.col("text").alias("content"))
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.sparse_scores(asked, R.inverted_index(points, SPEC.bm25, wanted=R.query_terms(asked, SPEC.bm25)), SPEC.bm25)
+    return R.sparse_topk(asked, points, R.inverted_index(points, SPEC.bm25, wanted=R.query_terms(asked, SPEC.bm25)), k, SPEC.bm25)
 
 
 def _dense_of_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -104,7 +104,7 @@ SELECT query_id, point_id, score, CAST(rank AS INTEGER) AS rank FROM (
 """)
 def sparse_bm25_topk(spark, sf_dir):
     """The five best documents of each benchmark passage by saturated term frequency."""
-    return R.top(_sparse(spark, sf_dir), 5)
+    return _sparse(spark, sf_dir, 5)
 
 
 ITEM_DENSE_CTE = """
@@ -132,7 +132,7 @@ def hybrid_rrf(spark, sf_dir):
     """Dense and sparse branches of five, fused by reciprocal ranks."""
     asked, points = _dense_of_items(spark, sf_dir)
     dense = R.dense_topk(asked, points, 5).select("query_id", "point_id", "score")
-    return R.hybrid_topk(dense, _sparse(spark, sf_dir), 5, SPEC)
+    return R.hybrid_topk(dense, _sparse(spark, sf_dir, 5).drop("rank"), 5, SPEC)
 
 
 @query(f"""
@@ -151,7 +151,7 @@ def retrieval_k_sweep(spark, sf_dir):
     """The hybrid search at every depth of the grid."""
     asked, points = _dense_of_items(spark, sf_dir)
     dense = R.dense_topk(asked, points, max(SPEC.k_grid)).select("query_id", "point_id", "score")
-    return R.k_sweep(dense, _sparse(spark, sf_dir), SPEC)
+    return R.k_sweep(dense, _sparse(spark, sf_dir, max(SPEC.k_grid)).drop("rank"), SPEC)
 
 
 def _exam(lang: F.Column) -> F.Column:

@@ -138,3 +138,20 @@ def test_sessions(spark):
     rows = [("s", 1, "A1"), ("s", 2, "A1"), ("s", 3, "C1"), ("t", 1, "C1")]
     found = session_segments(spark.createDataFrame(rows, "s string, n int, exam string"), "s", ["n"], "exam")
     assert [(r.s, r.segment) for r in found.orderBy("s", "n").collect()] == [("s", 0), ("s", 0), ("s", 1), ("t", 0)]
+
+
+def test_sparse_tiles_hold_the_best_of_all(spark, monkeypatch):
+    """Whatever tiles meet, the k best are those of all scores; no task gets more points than a tile."""
+    monkeypatch.setattr(R, "TEXT_TILE", 7)
+    monkeypatch.setattr(R, "QUERY_TILE", 2)
+    rows = [(i, " ".join(f"w{'abcdefghij'[(i * j) % 10]}" for j in range(1 + i % 6)), [["A1"], ["C1"], None][i % 3], [f"t{i % 2}", None]) for i in range(60)] + [(60, None, ["A1"], None), (61, "", ["A1"], ["t0"])]
+    points = spark.createDataFrame(rows, "point_id long, content string, exams_id array<string>, tema array<string>")
+    asked = spark.createDataFrame([(1, "wa wb wb wj", "A1", []), (2, "wc none", "A1", ["t0"]), (3, "wa wd", "C1", ["t1", None]), (4, None, "A1", []), (5, "wa", "B1", []), (6, "wa", "A1", [None])], "query_id long, text string, exam string, temas array<string>")
+    for spec in (None, R.Bm25Spec(idf=True)):
+        index = R.inverted_index(points, spec, wanted=R.query_terms(asked, spec))
+        scores = R.sparse_scores(asked, index, spec)
+        plain = {(r.query_id, r["rank"]): (r.point_id, r.score) for r in R.top(scores, 5).collect()}
+        assert plain and {(r.query_id, r["rank"]): (r.point_id, r.score) for r in R.sparse_topk(asked.select("query_id", "text"), points, index, 5, spec).collect()} == plain
+        open_ = scores.join(asked.select("query_id", "exam", "temas"), "query_id").join(points.drop("content"), "point_id").where(R.matches(F.col("exams_id"), F.col("tema"), F.col("exam"), F.col("temas")))
+        within = {(r.query_id, r["rank"]): (r.point_id, r.score) for r in R.top(open_, 5).collect()}
+        assert within and {(r.query_id, r["rank"]): (r.point_id, r.score) for r in R.sparse_topk(asked, points, index, 5, spec).collect()} == within
