@@ -15,8 +15,10 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..config import ChunkSpec
 from ..functions.text import strip
@@ -257,14 +259,50 @@ def segment(docs: DataFrame, spec: ChunkSpec | None = None, tokenizer: Tokenizer
     """
     spec, tokenizer = spec or ChunkSpec(), tokenizer or WordTokenizer()
 
-    @F.pandas_udf("struct<level: string, sections: array<struct<tipo_seccion: string, seccion: string, content: string>>>")
-    def run(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        splitter = _splitter(spec, tokenizer)
-        done = [sections_of(t or "", patterns, spec, splitter, i in spec.forced) for i, t in zip(ids, texts, strict=True)]
-        return pd.DataFrame({"level": [x for x, _ in done], "sections": [[s._asdict() for s in x] for _, x in done]})
+    def parts_of(batch: pa.RecordBatch, splitter: Splitter) -> Iterator[tuple[int, list[tuple]]]:
+        for row, (own, text) in enumerate(zip(batch["__id"], batch["text"], strict=True)):
+            level, sections = sections_of(text.as_py() or "", patterns, spec, splitter, own.as_py() in spec.forced)
+            yield row, [(i, *s, level) for i, s in enumerate(sections)]
+
+    rows = docs.select("doc_id", F.col("doc_id").cast("string").alias("__id"), "text")
+    return _exploded(rows, ["doc_id"], parts_of, "section_seq int, tipo_seccion string, seccion string, content string, level string", spec, tokenizer)
+
+
+#: Characters and rows of the results that a map of texts holds before it hands them on.
+HELD_CHARS, HELD_ROWS = 2_000_000, 4096
+
 
-    found = docs.select("doc_id", run(F.col("doc_id").cast("string"), "text").alias("r")).select("doc_id", F.col("r.level").alias("level"), F.posexplode("r.sections").alias("section_seq", "s"))
-    return found.select("doc_id", "section_seq", "s.tipo_seccion", "s.seccion", "s.content", "level")
+def _exploded(rows: DataFrame, keep: list[str], parts_of, more: str, spec: ChunkSpec, tokenizer: Tokenizer) -> DataFrame:
+    """The columns `keep` of each row with those of each of its parts (DDL `more`), in batches of bounded size.
+
+    parts_of gives the place of each row of a batch and its parts.  The results of one text are held at once, never those of a batch.
+    """
+    added = _parse_datatype_string(more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = _splitter(spec, tokenizer)
+        for batch in batches:
+            text = next((f.type for f in batch.schema if pa.types.is_large_string(f.type)), pa.string())
+            kinds = [{"string": text, "int": pa.int32(), "boolean": pa.bool_()}[f.dataType.simpleString()] for f in added]
+            kept = [batch[c] for c in keep]
+
+            def flushed(places: list[int], held: list[tuple], kinds=kinds, kept=kept) -> pa.RecordBatch:
+                columns = zip(*held, strict=True)
+                return pa.RecordBatch.from_arrays([*[c.take(pa.array(places, pa.int32())) for c in kept], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[*keep, *added.names])
+
+            places, held, chars = [], [], 0
+            for place, parts in parts_of(batch, splitter):
+                for part in parts:
+                    places.append(place)
+                    held.append(part)
+                    chars += sum(len(x) for x in part if isinstance(x, str))
+                    if chars >= HELD_CHARS or len(held) >= HELD_ROWS:
+                        yield flushed(places, held)
+                        places, held, chars = [], [], 0
+            if held:
+                yield flushed(places, held)
+
+    return rows.mapInArrow(run, StructType([*rows.select(*keep).schema.fields, *added.fields]))
 
 
 def split_long(sections: DataFrame, spec: ChunkSpec | None = None, tokenizer: Tokenizer | None = None) -> DataFrame:
@@ -275,21 +313,16 @@ def split_long(sections: DataFrame, spec: ChunkSpec | None = None, tokenizer: To
     spec, tokenizer = spec or ChunkSpec(), tokenizer or WordTokenizer()
     limit = spec.clamped(tokenizer.limit).max_tokens
 
-    @F.pandas_udf("struct<was_split: boolean, parts: array<struct<content: string, n_tokens: int>>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        splitter, more = _splitter(spec, tokenizer), tokenizer.specials
-        split, parts = [], []
-        for t in texts:
+    def parts_of(batch: pa.RecordBatch, splitter: Splitter) -> Iterator[tuple[int, list[tuple]]]:
+        more = tokenizer.specials
+        for row, content in enumerate(batch["content"]):
+            t = content.as_py()
             starts = splitter.starts(t or "") if splitter.starts else None
             n = (tokenizer.count(t or "") if starts is None else len(starts)) + more
-            split.append(n > limit)
-            parts.append([{"content": x, "n_tokens": k + more} for x, k in splitter.parts(t, starts)] if n > limit else [{"content": t, "n_tokens": n}])
-        return pd.DataFrame({"was_split": split, "parts": parts})
+            yield row, [(n > limit, i, x, k + more) for i, (x, k) in enumerate(splitter.parts(t, starts))] if n > limit else [(False, 0, t, n)]
 
     rest = [c for c in sections.columns if c != "content"]
-    rows = sections.select(*rest, run("content").alias("__r"))
-    rows = rows.select(*rest, F.col("__r.was_split").alias("was_split"), F.posexplode("__r.parts").alias("part_seq", "__p"))
-    return rows.select(*rest, "was_split", "part_seq", "__p.content", "__p.n_tokens")
+    return _exploded(sections.select(*rest, "content"), rest, parts_of, "was_split boolean, part_seq int, content string, n_tokens int", spec, tokenizer)
 
 
 def chunk_review(chunks: DataFrame) -> DataFrame:

@@ -231,3 +231,34 @@ def test_offsets_split_as_counts_do(pieces, size, overlap):
     found = Splitter(size, min(size, overlap), tok.count, starts=tok.starts).parts(text)
     assert [x for x, _ in found] == Splitter(size, min(size, overlap), tok.count).split(text)
     assert all(n == tok.count(x) for x, n in found)
+
+
+def test_results_go_on_in_bounded_batches():
+    """What a map holds of its results doesn't grow with the batch of texts, nor with the parts of one text."""
+    import pyarrow as pa
+    from larkspur.operators import segment as S
+
+    class Rows:
+        """Takes the map that would run in a task."""
+
+        def select(self, *columns):
+            self.columns = columns
+            return self
+
+        schema = type("Schema", (), {"fields": []})()
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    texts = ["\n".join(f"Artículo {i}. {'palabra ' * 20}" for i in range(1, 3000)), *["Artículo 1. a\nArtículo 2. b"] * 6000, None]
+
+    def parts_of(batch, splitter):
+        for row, text in enumerate(batch["text"]):
+            yield row, [(i, *s, "x") for i, s in enumerate(S.sections_of(text.as_py() or "", S.LEGAL, S.ChunkSpec(), splitter)[1])]
+
+    run = S._exploded(Rows(), ["doc_id"], parts_of, "section_seq int, tipo_seccion string, seccion string, content string, level string", S.ChunkSpec(), S.WordTokenizer())
+    batch = pa.RecordBatch.from_pydict({"doc_id": [str(i) for i in range(len(texts))], "text": texts})
+    found = list(run(iter([batch])))
+    assert sum(b.num_rows for b in found) == 2999 + 2 * 6000 and len(found) > 3
+    assert max(b.num_rows for b in found) <= S.HELD_ROWS and max(b.nbytes for b in found) < 6_000_000
+    assert [r for b in found for r in b["doc_id"].to_pylist()] == ["0"] * 2999 + [str(i) for i in range(1, 6001) for _ in range(2)]
