@@ -14,11 +14,13 @@ from math import pi
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Bm25Spec
-from .retrieve import QUERY_TILE, _unit_rows, query_terms, terms, top
+from .retrieve import QUERY_TILE, _text_tiles, _unit_rows, query_terms, terms, top
 
 #: Points of a block, about.
 BLOCK_POINTS = 1024
@@ -30,15 +32,16 @@ BITS = 64
 SLACK = 1e-9
 
 
-def placed(points: DataFrame, kind: Column, block_points: int = BLOCK_POINTS) -> DataFrame:
+def placed(points: DataFrame, kind: Column, block_points: int = BLOCK_POINTS, parts: int | None = None) -> DataFrame:
     """points with kind, block and pos: rows of one kind are dealt to as many blocks as they need, in each ordered by point_id.
 
-    There must be few kinds (their table is sent to each task): 1,024 at most here.
+    There must be few kinds (their table is sent to each task): 1,024 at most here.  parts: partitions of whole blocks.
     """
     with_kind = points.withColumn("kind", kind)
     upto = Window.orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)
     sizes = with_kind.groupBy("kind").agg(F.ceil(F.count("*") / block_points).cast("int").alias("splits")).withColumn("first", F.coalesce(F.sum("splits").over(upto), F.lit(0)).cast("int"))
     dealt = with_kind.join(F.broadcast(sizes), "kind").withColumn("block", F.col("first") + F.pmod(F.xxhash64("point_id"), F.col("splits")).cast("int"))
+    dealt = dealt if parts is None else dealt.repartition(parts, "block")
     return dealt.withColumn("pos", F.row_number().over(Window.partitionBy("block").orderBy("point_id")) - 1).drop("splits", "first")
 
 
@@ -75,10 +78,6 @@ def _zipped(a: Column, b: Column, how: str) -> Column:
     return F.zip_with(a, b, lambda x, y: getattr(F.coalesce(x, F.lit(0).cast("bigint")), how)(F.coalesce(y, F.lit(0).cast("bigint"))))
 
 
-def _is_set(words: Column, pos: Column) -> Column:
-    return F.coalesce(F.getbit(F.get(words, F.floor(pos / BITS).cast("int")), (pos % BITS).cast("int")) == 1, F.lit(False))
-
-
 def build_sparse(points: DataFrame, path: str, spec: Bm25Spec | None = None, text: str = "content", block_points: int = BLOCK_POINTS) -> None:
     """Write postings (term, block, list of pos and weight, greatest weight) and places (block, pos, point_id) below path, and bitmaps where points has exams_id and tema.
 
@@ -86,14 +85,15 @@ def build_sparse(points: DataFrame, path: str, spec: Bm25Spec | None = None, tex
     """
     spec = spec or Bm25Spec()
     payload = [c for c in ("exams_id", "tema") if c in points.columns]
-    found = points.select("point_id", *payload, terms(F.col(text), spec).alias("w")).withColumn("len", F.greatest(F.size("w"), F.lit(0)))
-    where = placed(found.select("point_id", "len", *payload), F.floor(F.log2(F.col("len") + 1) * 2).cast("int"), block_points)
-    where.select("block", "pos", "point_id", *payload).write.parquet(f"{path}/places")
-    counted = found.select("point_id", "len", F.explode("w").alias("term")).groupBy("point_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    found = points.select("point_id", *payload, F.col(text).alias("text"), F.greatest(F.size(terms(F.col(text), spec)), F.lit(0)).alias("len"))
+    kind = F.floor(F.log2(F.col("len") + 1) * 2).cast("int")
+    placed(found.drop("text"), kind, block_points).select("block", "pos", "point_id", *payload).write.parquet(f"{path}/places")
+    # whole texts go to their blocks, once: what is counted and listed there needs no other shuffle
+    there = placed(found.select("point_id", "len", "text"), kind, block_points, 4 * _text_tiles(points))  # all their terms are counted: about 2,048 points a task
+    counted = there.select("block", "pos", "len", F.explode(terms(F.col("text"), spec)).alias("term")).groupBy("block", "pos", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     weight = f"tf * ({spec.k1}D + 1) / (tf + {spec.k1}D * (1 - {spec.b}D + {spec.b}D * len / {spec.avg_len}D))"
     spark = points.sparkSession
-    at = spark.read.parquet(f"{path}/places").select("block", "pos", "point_id")
-    each = counted.join(at, "point_id").select("term", "block", F.struct("pos", F.expr(weight).alias("weight")).alias("p"))
+    each = counted.select("term", "block", F.struct("pos", F.expr(weight).alias("weight")).alias("p"))
     lists = each.groupBy("term", "block").agg(F.sort_array(F.collect_list("p")).alias("list"), F.max("p.weight").alias("most"), F.count("*").alias("n"))
     lists.sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
     if len(payload) == 2:
@@ -110,6 +110,43 @@ def _asked_terms(queries: DataFrame, postings: DataFrame, places: DataFrame, spe
     return asked.join(df.select("term", F.expr("ln(1D + (total - df + 0.5D) / (df + 0.5D))").alias("factor")), "term")
 
 
+def _block_sparse(k: int, digits: int, filtered: bool):
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        of_query, places, scores = [], [], []
+        if len(queries) and len(rows):
+            lists, found = rows["list"].combine_chunks(), queries["terms"].combine_chunks()
+            pos, weights = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            upto = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+            words, factors = found.flatten().flatten()
+            at = pc.fill_null(pc.index_in(words, value_set=rows["term"].combine_chunks()), -1).to_numpy(zero_copy_only=False)
+            factors = factors.to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))])
+            n = int(pos.max()) + 1
+            for i in range(len(queries)):
+                own = [j for j in range(ends[i], ends[i + 1]) if at[j] >= 0]
+                if not own:
+                    continue
+                parts = [slice(upto[at[j]], upto[at[j] + 1]) for j in own]
+                met = np.concatenate([pos[p] for p in parts])
+                total = np.bincount(met, weights=np.concatenate([weights[p] * factors[j] for p, j in zip(parts, own, strict=True)]), minlength=n)
+                usable = np.bincount(met, minlength=n) > 0
+                if filtered:
+                    bits = np.unpackbits(np.array(queries["words"][i].as_py(), dtype="<i8").view(np.uint8), bitorder="little")[:n].astype(bool)
+                    usable[: len(bits)] &= bits
+                    usable[len(bits) :] = False
+                usable = np.flatnonzero(usable)
+                s = np.floor(total[usable] * 10.0**digits + 0.5) / 10.0**digits
+                best = np.lexsort((usable, -s))[:k]
+                of_query.append(np.full(len(best), i))
+                places.append(usable[best])
+                scores.append(s[best])
+        some = pa.array(np.concatenate(of_query) if of_query else [], pa.int64())
+        joined = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
+        return pa.table({"query_id": queries["query_id"].take(some), "block": queries["block"].take(some), "pos": joined(places, pa.int64()).cast(pa.int32()), "score": joined(scores, pa.float64())})
+
+    return run
+
+
 class SparseSearch:
     """The k best points of each query (query_id, text; with exam and temas also filtered) in a stored index.
 
@@ -123,6 +160,7 @@ class SparseSearch:
         self.k, self.digits, self.spec = k, digits, spec or Bm25Spec()
         self.postings, self.places = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/places").select("block", "pos", "point_id")
         self.asked = _asked_terms(queries, self.postings, self.places, self.spec)
+        self.tiles, self.kind = max(1, -(-queries.count() // QUERY_TILE)), queries.schema["query_id"].dataType.simpleString()
         bounds = self.postings.select("term", "block", "most").join(self.asked, "term").groupBy("query_id", "block").agg(F.sum(F.col("most") * F.col("factor")).alias("bound"))
         self.filtered = "exam" in queries.columns
         self.pairs = bounds.join(allowed_blocks(queries, spark.read.parquet(f"{path}/bitmaps")), ["query_id", "block"]) if self.filtered else bounds
@@ -134,11 +172,16 @@ class SparseSearch:
         self.rest = beside.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") + F.lit(10.0**-digits) >= F.col("floor"))).drop("floor")
 
     def scored(self, pairs: DataFrame) -> DataFrame:
-        """query_id, point_id, score of the k best of each (query_id, block); positions are in the order of ids, so ties are too."""
-        held = F.filter("list", lambda p: _is_set(F.col("words"), p["pos"])) if self.filtered else F.col("list")
-        each = pairs.join(self.asked, "query_id").join(self.postings.select("term", "block", "list"), ["term", "block"]).select("query_id", "block", "factor", F.explode(held).alias("p"))
-        sums = each.groupBy("query_id", "block", "p.pos").agg(F.round(F.sum(F.col("p.weight") * F.col("factor")), self.digits).alias("score"))
-        best = sums.withColumn("at", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(F.desc("score"), "pos"))).where(F.col("at") <= self.k)
+        """query_id, point_id, score of the k best of each (query_id, block); positions are in the order of ids, so ties are too.
+
+        Tiles of a block's queries meet its postings, so that scores of all pairs are neither shuffled nor held.
+        """
+        some = ["words"] if self.filtered else []
+        asked = self.asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "factor")).alias("terms"))
+        asked = pairs.select("query_id", "block", *some).join(asked, "query_id").withColumn("tile", F.pmod(F.xxhash64("query_id"), F.lit(self.tiles)).cast("int"))
+        rows = self.postings.select("term", "block", "list").join(self.asked.select("term").distinct(), "term", "left_semi").join(pairs.select("block").distinct(), "block", "left_semi")
+        rows = rows.select(*[F.col(c).alias(c) for c in ("term", "block", "list")]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(self.tiles - 1))))
+        best = asked.groupBy("block", "tile").cogroup(rows.groupBy("block", "tile")).applyInArrow(_block_sparse(self.k, self.digits, self.filtered), f"query_id {self.kind}, block int, pos int, score double")
         return best.join(self.places, ["block", "pos"]).select("query_id", "point_id", "score")
 
     def result(self) -> DataFrame:

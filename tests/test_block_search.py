@@ -129,3 +129,16 @@ def test_empty_indexes(spark, tmp_path):
     assert B.SparseSearch(asked(spark), f"file://{tmp_path}/s", 5).result().count() == 0
     queries = vectors(spark, 10).select(F.col("point_id").alias("query_id"), "dense")
     assert B.DenseSearch(queries, f"file://{tmp_path}/d", 5).result().count() == 0
+
+
+def test_sparse_scores_stay_in_their_tile(spark, tmp_path, monkeypatch):
+    """Scores of all pairs of query and point are in no shuffle, and tiles of queries find what all find."""
+    points = texts(spark)
+    B.build_sparse(points, f"file://{tmp_path}/index", block_points=16)
+    queries = asked(spark)
+    plain = R.top(R.sparse_scores(queries, R.inverted_index(points)), 5)
+    monkeypatch.setattr(B, "QUERY_TILE", 1)
+    search = B.SparseSearch(queries.select("query_id", "text"), f"file://{tmp_path}/index", 5)
+    plan = search.result()._jdf.queryExecution().toString()
+    assert search.tiles == queries.count() > 1 and "FlatMapCoGroupsInArrow" in plan
+    assert same(search.result(), plain)
