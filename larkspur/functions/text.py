@@ -51,7 +51,7 @@ def one_of(c: Column, values: tuple[str, ...]) -> Column:
 
 def words(c: Column, pattern: str) -> Column:
     """Lower-cased pieces between matches of pattern, without empty ones."""
-    return F.filter(F.split(F.lower(c), pattern), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(c), pattern), "")
 
 
 def heading(doc_name: Column, seccion: Column) -> Column:

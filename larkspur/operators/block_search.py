@@ -1,8 +1,8 @@
 """Stored indexes in blocks of points, and searches that leave out the blocks whose bound is below the k-th score.
 
 A point has a place: its block and its position in it.  The sparse index has, for each term and block, the
-postings and their greatest weight; blocks hold points of about the same number of words, since a weight
-depends on that, so that the greatest weights are near the others.  The dense index has cells round centroids, with the
+postings and their greatest weight; blocks hold points of about the same length, since a weight
+depends on their number of words, so that the greatest weights are near the others.  The dense index has cells round centroids, with the
 angle within which all points of a cell lie.  Exams and temas are bitmaps over the positions of each block, which
 a filter combines before anything is scored.
 """
@@ -20,10 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Bm25Spec
+from ..sources.scratch import scratch_dir, written
 from .retrieve import QUERY_TILE, _text_tiles, _unit_rows, query_terms, terms, top
 
 #: Points of a block, about.
 BLOCK_POINTS = 1024
+#: Characters of a block's texts, about: blocks of long texts hold fewer points.
+BLOCK_CHARS = 1 << 22
+#: Different terms of all queries up to which they are sent to each task; more are joined by a shuffle.
+SENT_TERMS = 200_000
 #: Points whose vectors give the centroids, and the greatest number of these.
 SAMPLE, CELLS = 20_000, 1024
 ROUNDS = 10
@@ -32,14 +37,18 @@ BITS = 64
 SLACK = 1e-9
 
 
-def placed(points: DataFrame, kind: Column, block_points: int = BLOCK_POINTS, parts: int | None = None) -> DataFrame:
+def placed(points: DataFrame, kind: Column, block_points: int = BLOCK_POINTS, parts: int | None = None, load: Column | None = None, of: DataFrame | None = None) -> DataFrame:
     """points with kind, block and pos: rows of one kind are dealt to as many blocks as they need, in each ordered by point_id.
 
     There must be few kinds (their table is sent to each task): 1,024 at most here.  parts: partitions of whole blocks.
+    load: the share of a block that a point fills by itself, where blocks are bounded by more than the number of points.
+    of: the same points without the columns that cost most to read, by which they are counted.
     """
     with_kind = points.withColumn("kind", kind)
     upto = Window.orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = with_kind.groupBy("kind").agg(F.ceil(F.count("*") / block_points).cast("int").alias("splits")).withColumn("first", F.coalesce(F.sum("splits").over(upto), F.lit(0)).cast("int"))
+    need = F.count("*") / block_points if load is None else F.greatest(F.count("*") / block_points, F.sum(load))
+    counted = with_kind if of is None else of.withColumn("kind", kind)
+    sizes = counted.groupBy("kind").agg(F.ceil(need).cast("int").alias("splits")).withColumn("first", F.coalesce(F.sum("splits").over(upto), F.lit(0)).cast("int"))
     dealt = with_kind.join(F.broadcast(sizes), "kind").withColumn("block", F.col("first") + F.pmod(F.xxhash64("point_id"), F.col("splits")).cast("int"))
     dealt = dealt if parts is None else dealt.repartition(parts, "block")
     return dealt.withColumn("pos", F.row_number().over(Window.partitionBy("block").orderBy("point_id")) - 1).drop("splits", "first")
@@ -84,22 +93,46 @@ def build_sparse(points: DataFrame, path: str, spec: Bm25Spec | None = None, tex
     point_id must be unique.  A term that every point has is one row for each block, so no key holds more than a block.
     """
     spec = spec or Bm25Spec()
-    payload = [c for c in ("exams_id", "tema") if c in points.columns]
-    found = points.select("point_id", *payload, F.col(text).alias("text"), F.greatest(F.size(terms(F.col(text), spec)), F.lit(0)).alias("len"))
-    kind = F.floor(F.log2(F.col("len") + 1) * 2).cast("int")
-    placed(found.drop("text"), kind, block_points).select("block", "pos", "point_id", *payload).write.parquet(f"{path}/places")
-    # whole texts go to their blocks, once: what is counted and listed there needs no other shuffle
-    there = placed(found.select("point_id", "len", "text"), kind, block_points, 4 * _text_tiles(points))  # all their terms are counted: about 2,048 points a task
-    counted = there.select("block", "pos", "len", F.explode(terms(F.col("text"), spec)).alias("term")).groupBy("block", "pos", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    weight = f"tf * ({spec.k1}D + 1) / (tf + {spec.k1}D * (1 - {spec.b}D + {spec.b}D * len / {spec.avg_len}D))"
     spark = points.sparkSession
-    each = counted.select("term", "block", F.struct("pos", F.expr(weight).alias("weight")).alias("p"))
-    lists = each.groupBy("term", "block").agg(F.sort_array(F.collect_list("p")).alias("list"), F.max("p.weight").alias("most"), F.count("*").alias("n"))
-    lists.sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
+    payload = [c for c in ("exams_id", "tema") if c in points.columns]
+    found = points.select("point_id", *payload, F.col(text).alias("text"), F.coalesce(F.length(F.col(text)), F.lit(0)).alias("chars"))
+    kind, load = F.floor(F.log2(F.col("chars") + 1) * 2).cast("int"), F.col("chars") / BLOCK_CHARS
+    short = written(found.drop("text"), f"{scratch_dir(spark, 'lengths')}/rows")
+    placed(short, kind, block_points, load=load).select("block", "pos", "point_id", *payload).write.parquet(f"{path}/places")
+    # whole texts go to their blocks, once, and are cut into terms there only
+    there = placed(found.select("point_id", "chars", "text"), kind, block_points, 4 * _text_tiles(short), load, short)  # about 2,048 points a task
+    cut = there.select("block", "pos", terms(F.col("text"), spec).alias("terms"))
+    cut.groupBy("block").applyInArrow(_block_postings(spec), "term string, block int, list array<struct<pos: int, weight: double>>, most double, n long").write.parquet(f"{path}/postings")
     if len(payload) == 2:
         payload_bitmaps(spark.read.parquet(f"{path}/places")).write.parquet(f"{path}/bitmaps")
 
 
+def _block_postings(spec: Bm25Spec):
+    """The postings of a block's terms, in the order of terms and positions."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        lists, pos = rows["terms"].combine_chunks(), rows["pos"].to_numpy()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        code = np.empty(len(order), dtype=np.int64)
+        code[order] = np.arange(len(order))
+        length = np.zeros(int(pos.max()) + 1, dtype=np.int64)
+        length[pos] = sizes
+        key, tf = np.unique(code[coded.indices.to_numpy()] * len(length) + np.repeat(pos, sizes), return_counts=True)
+        term, at = np.divmod(key, len(length))
+        weight = tf * (spec.k1 + 1) / (tf + spec.k1 * (1 - spec.b + spec.b * length[at] / spec.avg_len))
+        starts = np.flatnonzero(np.diff(term, prepend=-1))
+        items = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(weight, pa.float64())], ["pos", "weight"])
+        ends = np.append(starts, len(key))
+        return pa.table({
+            "term": coded.dictionary.take(pa.array(order[term[starts]])), "block": pa.array(np.full(len(starts), rows["block"][0].as_py()), pa.int32()), "list": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items),
+            "most": pa.array(np.maximum.reduceat(weight, starts) if len(starts) else [], pa.float64()), "n": pa.array(np.diff(ends), pa.int64()),
+        })
+
+    return run
+
+
 def _asked_terms(queries: DataFrame, postings: DataFrame, places: DataFrame, spec: Bm25Spec) -> DataFrame:
     """query_id, term, factor: 1, or the term's idf."""
     asked = query_terms(queries, spec)
@@ -156,37 +189,42 @@ class SparseSearch:
     """
 
     def __init__(self, queries: DataFrame, path: str, k: int, spec: Bm25Spec | None = None, digits: int = 6) -> None:
-        spark = queries.sparkSession
+        spark, held = queries.sparkSession, scratch_dir(queries.sparkSession, "search")
         self.k, self.digits, self.spec = k, digits, spec or Bm25Spec()
         self.postings, self.places = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/places").select("block", "pos", "point_id")
-        self.asked = _asked_terms(queries, self.postings, self.places, self.spec)
+        self.asked = written(_asked_terms(queries, self.postings, self.places, self.spec), f"{held}/asked")
+        wanted = self.asked.select("term").distinct()
+        wanted = F.broadcast(wanted) if wanted.count() <= SENT_TERMS else wanted
+        # what several steps read is worked out once
+        self.lists = written(self.postings.select("term", "block", "most", "list").join(wanted, "term", "left_semi"), f"{held}/lists")
         self.tiles, self.kind = max(1, -(-queries.count() // QUERY_TILE)), queries.schema["query_id"].dataType.simpleString()
-        bounds = self.postings.select("term", "block", "most").join(self.asked, "term").groupBy("query_id", "block").agg(F.sum(F.col("most") * F.col("factor")).alias("bound"))
+        bounds = self.lists.select("term", "block", "most").join(self.asked, "term").groupBy("query_id", "block").agg(F.sum(F.col("most") * F.col("factor")).alias("bound"))
         self.filtered = "exam" in queries.columns
-        self.pairs = bounds.join(allowed_blocks(queries, spark.read.parquet(f"{path}/bitmaps")), ["query_id", "block"]) if self.filtered else bounds
+        self.pairs = written(bounds.join(allowed_blocks(queries, spark.read.parquet(f"{path}/bitmaps")), ["query_id", "block"]) if self.filtered else bounds, f"{held}/pairs")
         best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
         self.first = self.pairs.withColumn("at", F.row_number().over(best)).where("at = 1").drop("at")
-        self.of_first = self.scored(self.first)
-        floor = top(self.of_first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        self.of_first = written(self.scored(self.first), f"{held}/first")
+        floor = self.of_first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
         beside = self.pairs.join(self.first.select("query_id", F.col("block").alias("one")), "query_id").where("block <> one").drop("one")
         self.rest = beside.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") + F.lit(10.0**-digits) >= F.col("floor"))).drop("floor")
 
     def scored(self, pairs: DataFrame) -> DataFrame:
-        """query_id, point_id, score of the k best of each (query_id, block); positions are in the order of ids, so ties are too.
+        """query_id, block, pos, score of the k best of each (query_id, block); positions are in the order of ids, so ties are too.
 
         Tiles of a block's queries meet its postings, so that scores of all pairs are neither shuffled nor held.
         """
         some = ["words"] if self.filtered else []
         asked = self.asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "factor")).alias("terms"))
         asked = pairs.select("query_id", "block", *some).join(asked, "query_id").withColumn("tile", F.pmod(F.xxhash64("query_id"), F.lit(self.tiles)).cast("int"))
-        rows = self.postings.select("term", "block", "list").join(self.asked.select("term").distinct(), "term", "left_semi").join(pairs.select("block").distinct(), "block", "left_semi")
+        rows = self.lists.select("term", "block", "list").join(pairs.select("block").distinct(), "block", "left_semi")
         rows = rows.select(*[F.col(c).alias(c) for c in ("term", "block", "list")]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(self.tiles - 1))))
-        best = asked.groupBy("block", "tile").cogroup(rows.groupBy("block", "tile")).applyInArrow(_block_sparse(self.k, self.digits, self.filtered), f"query_id {self.kind}, block int, pos int, score double")
-        return best.join(self.places, ["block", "pos"]).select("query_id", "point_id", "score")
+        return asked.groupBy("block", "tile").cogroup(rows.groupBy("block", "tile")).applyInArrow(_block_sparse(self.k, self.digits, self.filtered), f"query_id {self.kind}, block int, pos int, score double")
 
     def result(self) -> DataFrame:
-        """query_id, point_id, score, rank."""
-        return top(self.of_first.unionByName(self.scored(self.rest)), self.k)
+        """query_id, point_id, score, rank; ids are looked up for those whose score is among a query's k highest, ties included."""
+        found = self.of_first.unionByName(self.scored(self.rest))
+        high = found.withColumn("at", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("at") <= self.k)
+        return top(high.join(self.places, ["block", "pos"]).select("query_id", "point_id", "score"), self.k)
 
 
 def _centroids(sample: np.ndarray, n: int) -> np.ndarray:
@@ -233,7 +271,7 @@ def build_dense(points: DataFrame, path: str, cells: int | None = None, sample:
             cell = near.argmax(axis=1) if len(batch) else np.zeros(0, dtype=int)
             yield batch[["point_id", *payload]].assign(cell=cell, cosine=near[np.arange(len(batch)), cell], unit=list(unit))
 
-    assigned = usable.select("point_id", *payload, "dense").mapInPandas(nearest, f"{kinds}, cell int, cosine double, unit array<double>")
+    assigned = written(usable.select("point_id", *payload, "dense").mapInPandas(nearest, f"{kinds}, cell int, cosine double, unit array<double>"), f"{scratch_dir(spark, 'assigned')}/rows")
     placed(assigned, F.col("cell"), block_points).drop("kind").write.parquet(f"{path}/places")
     places = spark.read.parquet(f"{path}/places")
     angles = places.groupBy("cell").agg(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min("cosine")))).alias("angle"), F.count("*").alias("n"), F.collect_set("block").alias("blocks"))
@@ -292,7 +330,7 @@ class DenseSearch:
     """
 
     def __init__(self, queries: DataFrame, path: str, k: int, exclude_self: bool = False, digits: int = 6, probes: int | None = None) -> None:
-        spark = queries.sparkSession
+        spark, held = queries.sparkSession, scratch_dir(queries.sparkSession, "search")
         self.k, self.exclude_self, self.digits = k, exclude_self, digits
         self.places, self.queries = spark.read.parquet(f"{path}/places").select("block", "pos", "point_id", "unit"), queries
         cells = spark.read.parquet(f"{path}/cells")
@@ -301,14 +339,15 @@ class DenseSearch:
         kind = queries.schema["query_id"].dataType.simpleString()
         bounds = queries.select("query_id", "dense").mapInPandas(_bounds(table), f"query_id {kind}, cell int, near double, bound double") if len(table) else spark.createDataFrame([], f"query_id {kind}, cell int, near double, bound double")
         blocks = cells.select("cell", F.explode("blocks").alias("block"))
-        self.pairs = bounds.join(F.broadcast(cells.select("cell")), "cell")
+        # what several steps read is worked out once
+        self.pairs = written(bounds.join(F.broadcast(cells.select("cell")), "cell"), f"{held}/pairs")
         near = Window.partitionBy("query_id").orderBy(F.desc("near"), "cell")
         ranked = self.pairs.withColumn("at", F.row_number().over(near))
         self.blocks = blocks
         if self.filtered:
-            self.allowed = allowed_blocks(queries, spark.read.parquet(f"{path}/bitmaps"))
+            self.allowed = written(allowed_blocks(queries, spark.read.parquet(f"{path}/bitmaps")), f"{held}/allowed")
         self.first = ranked.where(F.col("at") <= (probes or 1)).select("query_id", "cell")
-        self.of_first = self.scored(self.first)
+        self.of_first = written(self.scored(self.first), f"{held}/first")
         self.rest = None
         if probes is None:
             floor = top(self.of_first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))

@@ -16,7 +16,7 @@ from .plans.ingest import embed_column
 from .plans.models import KeywordQueryModel
 from .queries import DENSE_CTE, ORACLE, SPARSE_CTE, SPEC, _exam, _points, _vector_queries, query, read
 from .sources.index_store import read_index, to_points, vacuum, write_index
-from .sources.scratch import scratch_dir
+from .sources.scratch import scratch_dir, written
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +60,10 @@ def filtered_hybrid(spark, sf_dir):
     texts, folder = _texts(spark, sf_dir), scratch_dir(spark, "hybrid")
     vectors = _points(spark, sf_dir).select("point_id", "dense")
     build_sparse(texts, f"{folder}/sparse", SPEC.bm25)
-    build_dense(vectors.join(texts.drop("content"), "point_id"), f"{folder}/dense")
+    build_dense(written(vectors.join(texts.drop("content"), "point_id"), f"{folder}/points"), f"{folder}/dense")
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), _exam(F.col("lang")).alias("exam"), "source")
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(docs, "query_id").join(vectors.withColumnRenamed("point_id", "query_id"), "query_id")
-    asked = asked.select("query_id", "text", "dense", "exam", R.effective_temas(F.col("exam"), F.array("source", F.lit("src0"))).alias("temas"))
+    asked = written(asked.select("query_id", "text", "dense", "exam", R.effective_temas(F.col("exam"), F.array("source", F.lit("src0"))).alias("temas")), f"{folder}/asked")
     dense, sparse = hybrid_stored(asked, f"{folder}/sparse", f"{folder}/dense", 5, SPEC.bm25)
     return R.hybrid_topk(dense.drop("rank"), sparse.drop("rank"), 5, SPEC)
 

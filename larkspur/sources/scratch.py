@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folders that have been handed out and not removed.
 _LIVE: dict[str, SparkSession] = {}
@@ -37,3 +37,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     path = f"{found}/{name}-{uuid.uuid4().hex}" if found else f"file://{tempfile.mkdtemp(prefix=f'larkspur-{name}-')}"
     _LIVE[path] = spark
     return path
+
+
+def written(rows: DataFrame, path: str) -> DataFrame:
+    """The rows, written to path once and read from there."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

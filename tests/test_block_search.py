@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -142,3 +143,28 @@ def test_sparse_scores_stay_in_their_tile(spark, tmp_path, monkeypatch):
     plan = search.result()._jdf.queryExecution().toString()
     assert search.tiles == queries.count() > 1 and "FlatMapCoGroupsInArrow" in plan
     assert same(search.result(), plain)
+
+
+def test_texts_are_cut_once_and_long_ones_lie_in_small_blocks(spark, tmp_path, monkeypatch):
+    """Cutting a text into terms is the dearest step of the build; a block is bounded by its characters, too."""
+    points, queries, calls, cut = texts(spark), asked(spark), [], B.terms
+    monkeypatch.setattr(B, "BLOCK_CHARS", 20_000)
+    monkeypatch.setattr(B, "terms", lambda *a: calls.append(a) or cut(*a))
+    B.build_sparse(points, f"file://{tmp_path}/index")
+    sizes = spark.read.parquet(f"file://{tmp_path}/index/places").join(points, "point_id").groupBy("block").agg(F.sum(F.length("content")).alias("chars")).where("chars > 40000")
+    assert len(calls) == 1 and sizes.count() == 0
+    plain = R.top(R.sparse_scores(queries, R.inverted_index(points)), 5)
+    assert same(B.SparseSearch(queries.select("query_id", "text"), f"file://{tmp_path}/index", 5).result(), plain)
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_a_search_reads_the_index_once(spark, tmp_path, monkeypatch, sent):
+    """Lists, bounds and the first scores are worked out once, so postings and bitmaps may go before the result is read."""
+    points, queries = texts(spark), asked(spark)
+    monkeypatch.setattr(B, "SENT_TERMS", sent)
+    B.build_sparse(points, f"file://{tmp_path}/index", block_points=16)
+    expected = B.SparseSearch(queries, f"file://{tmp_path}/index", 5).result().collect()
+    search = B.SparseSearch(queries, f"file://{tmp_path}/index", 5)
+    for name in ("postings", "bitmaps"):
+        shutil.rmtree(tmp_path / "index" / name)
+    assert len(expected) > 20 and sorted(search.result().collect()) == sorted(expected)
