@@ -258,8 +258,8 @@ def build_dense(points: DataFrame, path: str, cells: int | None = None, sample:
     size = usable.groupBy(F.size("dense").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
     size = size[0]["size"] if size else 0
     usable = usable.where(F.size("dense") == size)
-    rows = usable.orderBy(F.xxhash64("point_id"), "point_id").limit(sample).select("dense").toPandas()["dense"]
-    vectors = _unit_rows(list(rows)) if len(rows) else np.zeros((0, size))
+    rows = usable.orderBy(F.xxhash64("point_id"), "point_id").limit(sample).select("dense").toArrow()["dense"].combine_chunks()  # no object for each number in the driver
+    vectors = _unit_rows(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size)) if len(rows) else np.zeros((0, size))
     n = cells or max(1, min(CELLS, int(np.sqrt(len(vectors)))))
     centroids = spark.sparkContext.broadcast(_centroids(vectors, n) if len(vectors) else np.zeros((1, size)))
     kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in ("point_id", *payload))
